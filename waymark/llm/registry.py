@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from waymark.llm.language import op1_language_id
+from waymark.llm.quality import op2_quality
+from waymark.llm.toxicity import op9_toxicity
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_quality": op2_quality,
+    "op9_toxicity": op9_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {}
