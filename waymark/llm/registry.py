@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from waymark.llm.language import op1_language_id
+from waymark.llm.lines import OP3_SQL, op3_line_dedup
 from waymark.llm.packing import op5_packing
 from waymark.llm.quality import op2_quality
 from waymark.llm.toxicity import op9_toxicity
@@ -11,10 +12,12 @@ from waymark.llm.warc import OP6_SQL, op6_warc
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_quality": op2_quality,
+    "op3_line_dedup": op3_line_dedup,
     "op5_packing": op5_packing,
     "op6_warc": op6_warc,
     "op9_toxicity": op9_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op3_line_dedup": OP3_SQL,
     "op6_warc": OP6_SQL,
 }
