@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from waymark.llm.decontamination import OP8_SQL, op8_decontamination
 from waymark.llm.language import op1_language_id
 from waymark.llm.lines import OP3_SQL, op3_line_dedup
 from waymark.llm.packing import op5_packing
@@ -15,9 +16,11 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op5_packing": op5_packing,
     "op6_warc": op6_warc,
+    "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": OP3_SQL,
     "op6_warc": OP6_SQL,
+    "op8_decontamination": OP8_SQL,
 }
