@@ -5,6 +5,7 @@ from __future__ import annotations
 from waymark.llm.decontamination import OP8_SQL, op8_decontamination
 from waymark.llm.language import op1_language_id
 from waymark.llm.lines import OP3_SQL, op3_line_dedup
+from waymark.llm.neighbours import op4_nearest_neighbours
 from waymark.llm.packing import op5_packing
 from waymark.llm.quality import op2_quality
 from waymark.llm.toxicity import op9_toxicity
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_quality": op2_quality,
     "op3_line_dedup": op3_line_dedup,
+    "op4_nearest_neighbours": op4_nearest_neighbours,
     "op5_packing": op5_packing,
     "op6_warc": op6_warc,
     "op8_decontamination": op8_decontamination,
