@@ -5,6 +5,7 @@ from __future__ import annotations
 from waymark.llm.decontamination import OP8_SQL, op8_decontamination
 from waymark.llm.language import op1_language_id
 from waymark.llm.lines import OP3_SQL, op3_line_dedup
+from waymark.llm.near_duplicates import OP7_SQL, op7_near_duplicates
 from waymark.llm.neighbours import op4_nearest_neighbours
 from waymark.llm.packing import op5_packing
 from waymark.llm.quality import op2_quality
@@ -18,11 +19,13 @@ QUERIES = {
     "op4_nearest_neighbours": op4_nearest_neighbours,
     "op5_packing": op5_packing,
     "op6_warc": op6_warc,
+    "op7_near_duplicates": op7_near_duplicates,
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": OP3_SQL,
     "op6_warc": OP6_SQL,
+    "op7_near_duplicates": OP7_SQL,
     "op8_decontamination": OP8_SQL,
 }
