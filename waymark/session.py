@@ -48,7 +48,7 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/waymark/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(spark: SparkSession, df: DataFrame, name: str, *, path: str | None = None) -> DataFrame:
+def materialize(spark: SparkSession, df: DataFrame, name: str, *, path: str | None = None, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: the lineage ends there, and executors may be lost.
 
     Shuffle files of the write are released as soon as it has ended.
@@ -58,7 +58,7 @@ def materialize(spark: SparkSession, df: DataFrame, name: str, *, path: str | No
     before = spark.conf.get(key, "false")
     spark.conf.set(key, "true")
     try:
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("compression", codec).parquet(path)
     finally:
         spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
