@@ -8,6 +8,7 @@ from waymark.llm.lines import OP3_SQL, op3_line_dedup
 from waymark.llm.near_duplicates import OP7_SQL, op7_near_duplicates
 from waymark.llm.neighbours import op4_nearest_neighbours
 from waymark.llm.packing import op5_packing
+from waymark.llm.passages import OP10_SQL, op10_repeated_passages
 from waymark.llm.quality import op2_quality
 from waymark.llm.toxicity import op9_toxicity
 from waymark.llm.warc import OP6_SQL, op6_warc
@@ -22,10 +23,12 @@ QUERIES = {
     "op7_near_duplicates": op7_near_duplicates,
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
+    "op10_repeated_passages": op10_repeated_passages,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": OP3_SQL,
     "op6_warc": OP6_SQL,
     "op7_near_duplicates": OP7_SQL,
     "op8_decontamination": OP8_SQL,
+    "op10_repeated_passages": OP10_SQL,
 }
