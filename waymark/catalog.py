@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import importlib
+import pkgutil
 
-from pyspark.sql import DataFrame, SparkSession
+from waymark import plans
+from waymark.plans.base import COVERS, ORACLE_SQL, QUERIES
+
+for _module in sorted(m.name for m in pkgutil.iter_modules(plans.__path__)):
+    importlib.import_module(f"waymark.plans.{_module}")
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "tfidf_topk"
+
+__all__ = ["COVERS", "FLAGSHIP", "ORACLE_SQL", "QUERIES"]
