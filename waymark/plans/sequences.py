@@ -58,13 +58,13 @@ def session_split(table):
 
 @query(
     "AGG-09 AGG-07 AGG-08",
-    f"""{_SESS} SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS n, round(min(value), 4) AS lo, round(max(value), 4) AS hi, round(avg(value), 7) AS mean, round(coalesce(var_samp(value), 0), 6) AS variance, round(sum(value), 3) AS total, round(sum(value * value), 2) AS squares, round(100.0 * count(value) / count(*), 2) AS known FROM s GROUP BY user_id, session""",
+    f"""{_SESS} SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS n, round(min(value), 4) AS lo, round(max(value), 4) AS hi, round(avg(value), 7) AS mean, round(coalesce(var_samp(value), 0), 6) AS variance, round(sum(value), 3) AS total, round(sum(value * value), 4) AS squares, round(100.0 * count(value) / count(*), 2) AS known FROM s GROUP BY user_id, session""",
 )
 def session_stats(table):
     """Statistics of each session."""
     v = F.col("value")
     out = S.sessions(events(table), "t", 21600, by=BY, order=ORDER).groupBy("user_id", "session")
-    return out.agg(F.count("*").alias("n"), F.round(F.min(v), 4).alias("lo"), F.round(F.max(v), 4).alias("hi"), F.round(F.avg(v), 7).alias("mean"), F.round(F.coalesce(F.var_samp(v), F.lit(0.0)), 6).alias("variance"), F.round(F.sum(v), 3).alias("total"), F.round(F.sum(v * v), 2).alias("squares"), F.round(100.0 * F.count(v) / F.count("*"), 2).alias("known"))
+    return out.agg(F.count("*").alias("n"), F.round(F.min(v), 4).alias("lo"), F.round(F.max(v), 4).alias("hi"), F.round(F.avg(v), 7).alias("mean"), F.round(F.coalesce(F.var_samp(v), F.lit(0.0)), 6).alias("variance"), F.round(F.sum(v), 3).alias("total"), F.round(F.sum(v * v), 4).alias("squares"), F.round(100.0 * F.count(v) / F.count("*"), 2).alias("known"))
 
 
 @query("AGG-24", f"{_E}, d AS (SELECT user_id, event_type, coalesce(lead(t) OVER (PARTITION BY user_id ORDER BY t, event_id), t) - t AS d FROM e) SELECT user_id, event_type, round(sum(d), 2) AS duration, count(*) AS n FROM d GROUP BY ALL")
