@@ -1,0 +1,396 @@
+"""The corpus operators against plain versions, on tables full of edge cases, and on held-out labels."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import sys
+import zlib
+from collections import defaultdict
+from pathlib import Path
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+from parity import assert_same  # noqa: E402
+
+from waymark.llm import registry  # noqa: E402
+
+SMALL = "/root/testdata/sf0.001"
+SPACE = b" \t\n\x0b\x0c\r"
+
+
+def _words(prefix: str, n: int, at: int = 0) -> str:
+    return " ".join(f"{prefix}{i}" for i in range(at, at + n))
+
+
+def _texts() -> list[str | None]:
+    base = _words("w", 300)
+    near = base.split()
+    near[150] = "changed"
+    long = " ".join(_words(f"q{j}x", 997) for j in range(30))
+    shared = _words("common", 60)
+    return [
+        base, base, " ".join(near), None, "", "   \n\t ", "one two three", "ONE two  three", "one two three", "x",
+        "header line\n" + _words("a", 70) + "\nHEADER LINE  ", "header line\n" + shared + "\n" + _words("b", 80), _words("c", 30) + "\n" + shared + " tail",
+        long, long + " more", "same " * 400, "same " * 401, "Ünïcode ÉTÉ straße joined " + _words("u", 60), " line\x1cseparators\x85kept " + _words("v", 60),
+        "the quick brown fox jumps over the lazy dog again and again until it is tired", "prefix the quick brown fox jumps over the lazy dog again suffix", "it's <|endoftext|> 12,5%!! don't",
+        *(f"header line\nfooter\n\n{_words(f'd{i}_', 55)}" for i in range(12)),
+    ]
+
+
+@pytest.fixture(scope="module")
+def edge(tmp_path_factory) -> str:
+    """Edge-case tables: nulls in any column, repeated rows, clashing column names."""
+    d = tmp_path_factory.mktemp("edge")
+    texts = _texts()
+    ids: list[int | None] = list(range(100, 100 + len(texts)))
+    texts, ids = [*texts, texts[0], texts[2]], [*ids, 100, 102]  # repeated rows
+    n = len(texts)
+    extra = {k: pa.array([f"{k}{i}" for i in range(n)]) for k in ("score", "held_out", "rank", "key", "grp", "doc", "id", "n_words", "kept", "runs", "w")}
+    pq.write_table(pa.table({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.string()), "lang": pa.array(["en" if i % 3 else None for i in range(n)]), "source": pa.array([None if i % 5 == 0 else "s" for i in range(n)]), "n_chars": pa.array([None if t is None else len(t) for t in texts], pa.int64()), **extra}), d / "documents.parquet")
+    pq.write_table(pa.table({"doc_id": pa.array([*ids, None], pa.int64()), "quality": pa.array([*(None if i % 7 == 0 else i % 2 for i in range(n)), 1], pa.int32()), "toxic": pa.array([*(None if i % 6 == 0 else int(i % 4 == 0) for i in range(n)), 0], pa.int32())}), d / "labels.parquet")
+    pq.write_table(pa.table({"item_id": pa.array([1, 2, 3, 10, 10, None], pa.int64()), "text": pa.array(["The quick brown fox jumps over the lazy dog AGAIN and again", "one two three", None, "", "w10 w11 w12 w13 w14 w15 w16 w17 w18 w19 w20", "zz"], pa.string()), "doc": pa.array(["x"] * 6)}), d / "benchmark.parquet")
+    pages = ["<p>a</p>", "<p>a</p>", None, "", "é" * 200_000, "é" * 200_000, "x" * 700_001, "<p>b</p>"]
+    pq.write_table(pa.table({"page_id": pa.array([5, 3, 8, 9, 20, 21, 30, 2**40], pa.int64()), "url": pa.array([None, "http://a b", "u\r\nX: y", *["http://x"] * 5]), "html": pa.array(pages, pa.string()), "sha1": pa.array(["z"] * 8)}), d / "pages.parquet")
+    rng = np.random.default_rng(3)
+    vectors: list = [list(map(float, rng.normal(size=8))) for _ in range(60)]
+    vectors[5], vectors[7], vectors[9], vectors[11], vectors[13] = None, [0.0] * 8, [float("nan")] + [1.0] * 7, [1.0] * 3, [None] + [1.0] * 7
+    vectors[20] = vectors[21] = vectors[22] = vectors[40]
+    pq.write_table(pa.table({"vec_id": pa.array(range(60), pa.int64()), "embedding": pa.array(vectors, pa.list_(pa.float32())), "label": pa.array([None] * 60, pa.int32()), "score": pa.array(["s"] * 60)}), d / "embeddings.parquet")
+    return str(d)
+
+
+@pytest.fixture(scope="module")
+def empty(edge, tmp_path_factory) -> str:
+    d = tmp_path_factory.mktemp("empty")
+    for p in Path(edge).glob("*.parquet"):
+        pq.write_table(pq.read_table(p).slice(0, 0), d / p.name)
+    return str(d)
+
+
+def _docs(d: str) -> list[tuple[int, str | None]]:
+    t = pq.read_table(f"{d}/documents.parquet", columns=["doc_id", "text"])
+    return list(zip(t["doc_id"].to_pylist(), t["text"].to_pylist(), strict=True))
+
+
+def _rows(spark, name: str, d: str) -> list[dict]:
+    return [r.asDict() for r in registry.QUERIES[name](spark, d).collect()]
+
+
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+def test_empty_tables_give_empty_results(spark, empty, name):
+    assert _rows(spark, name, empty) == []
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
+def test_query_gives_the_rows_of_its_sql(spark, name):
+    assert_same(spark, registry.QUERIES[name], registry.ORACLE_SQL[name], SMALL)
+
+
+def test_language_of_edge_cases(spark, edge):
+    rows = _rows(spark, "op1_language_id", edge)
+    texts = _docs(edge)
+    assert sorted(r["doc_id"] for r in rows) == sorted(i for i, _ in texts)
+    for r in rows:
+        text = next(t for i, t in texts if i == r["doc_id"])
+        letters = bool(text) and any(c.isalpha() for c in text)
+        assert (r["lang_pred"] == "und") == (not letters)
+        assert 0 <= r["score"] <= 1
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+
+
+def test_language_held_out(spark):
+    rows = {r["doc_id"]: r for r in _rows(spark, "op1_language_id", "/root/testdata/sf0.01")}
+    t = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "lang"]).to_pylist()
+    held = [rows[x["doc_id"]]["lang_pred"] == x["lang"] for x in t if rows[x["doc_id"]]["held_out"]]
+    assert np.mean(held) > 0.97
+
+
+@pytest.mark.parametrize(("name", "label"), [("op2_quality", "quality"), ("op9_toxicity", "toxic")])
+def test_labels_held_out(spark, name, label):
+    rows = {r["doc_id"]: r for r in _rows(spark, name, "/root/testdata/sf0.01")}
+    assert len(rows) == 1000 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in rows.values())
+    t = pq.read_table("/root/testdata/sf0.01/labels.parquet").to_pylist()
+    held = [rows[x["doc_id"]]["predicted"] == x[label] for x in t if rows[x["doc_id"]]["held_out"]]
+    assert np.mean(held) > 0.93
+
+
+@pytest.mark.parametrize("name", ["op2_quality", "op9_toxicity"])
+def test_classifiers_take_edge_cases(spark, edge, name):
+    rows = _rows(spark, name, edge)
+    assert sorted(r["doc_id"] for r in rows) == sorted(i for i, _ in _docs(edge))
+    same = defaultdict(set)
+    for r in rows:
+        same[r["doc_id"]].add(r["score"])
+    assert all(len(s) == 1 for s in same.values())
+
+
+def test_severity_is_ordered(spark):
+    for r in _rows(spark, "op9_toxicity", SMALL):
+        assert r["expected_severity"] >= r["score"] - 1e-9
+
+
+def test_ordinal_regression_recovers_order():
+    from waymark.llm.toxicity import fit_ordinal
+
+    rng = np.random.default_rng(1)
+    strength = rng.integers(0, 4, 600)
+    rows = np.concatenate([np.repeat(np.arange(600), strength), np.arange(600)])
+    cols = np.concatenate([np.concatenate([np.arange(s) for s in strength]), np.full(600, 5)])
+    w, theta = fit_ordinal(rows, cols, strength, 6)
+    assert np.all(np.diff(theta) > 0) and np.all(w[:3] > 0.5)
+
+
+def test_line_dedup_brute_force(spark, edge):
+    docs = _docs(edge)
+    holders = defaultdict(set)
+    key = lambda x: x.strip(SPACE).lower()  # noqa: E731  bytes fold ASCII only
+    for i, t in docs:
+        for x in (t or "").encode().split(b"\n"):
+            if key(x):
+                holders[key(x)].add(i)
+    bad = {k for k, s in holders.items() if len(s) >= 10}
+    assert bad
+    want = []
+    for i, t in docs:
+        lines = (t or "").encode().split(b"\n")
+        kept = [x for x in lines if key(x) not in bad]
+        want.append((i, len(lines), len(lines) - len(kept), hashlib.sha256(b"\n".join(kept)).hexdigest()))
+    got = [(r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in _rows(spark, "op3_line_dedup", edge)]
+    assert sorted(got) == sorted(want)
+
+
+def test_line_index_levels(spark, tmp_path):
+    from waymark.llm.lines import LineIndex
+
+    index = LineIndex(spark, f"file://{tmp_path}/index", min_documents=3, fanout=2)
+    for _ in range(5):
+        index.add(spark.createDataFrame([(1, 1, 1), (2, 2, 1)], "h1 long, h2 long, n long"))
+    assert {tuple(r) for r in index.frequent().collect()} == {(1, 1), (2, 2)}
+    assert sum(map(len, index.levels)) <= 4
+
+
+def test_neighbours_exact_on_few_rows(spark, edge):
+    t = pq.read_table(f"{edge}/embeddings.parquet")
+    vectors = {i: np.array(v, float) for i, v in zip(t["vec_id"].to_pylist(), t["embedding"].to_pylist(), strict=True) if v is not None and len(v) == 8 and None not in v and np.isfinite(v).all() and any(v)}
+    got = defaultdict(list)
+    for r in _rows(spark, "op4_nearest_neighbours", edge):
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    assert set(got) == {i for i in vectors if i % 20 == 0}
+    for q, found in got.items():
+        best = sorted(((-(vectors[q] * v).sum(), i) for i, v in vectors.items() if i != q))[:20]
+        found.sort()
+        assert [f[0] for f in found] == list(range(1, 21))
+        assert [f[1] for f in found] == [i for _, i in best]
+        assert np.allclose([f[2] for f in found], [-s for s, _ in best])
+
+
+def test_neighbours_recall(spark):
+    t = pq.read_table("/root/testdata/sf0.1/embeddings.parquet")
+    x, ids = np.array(t["embedding"].to_pylist(), float), np.array(t["vec_id"].to_pylist())
+    got = defaultdict(set)
+    for r in _rows(spark, "op4_nearest_neighbours", "/root/testdata/sf0.1"):
+        got[r["query_id"]].add(r["vec_id"])
+    hit = []
+    for i in np.flatnonzero(ids % 20 == 0):
+        s = (x * x[i]).sum(1)
+        s[i] = -np.inf
+        hit.append(len(got[ids[i]] & set(ids[np.lexsort((ids, -s))[:20]].tolist())) / 20)
+    assert np.mean(hit) >= 0.95
+
+
+def test_packing_round_trip(spark, edge):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from waymark.llm.packing import pack_documents
+
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = defaultdict(list)
+    for i, t in _docs(edge):
+        want[i].append([*tok.encode(t or "", add_special_tokens=False).ids, 2])
+    rows = [r.asDict() for r in pack_documents(spark, spark.read.parquet(f"{edge}/documents.parquet"), with_ids=True).collect()]
+    sequences = defaultdict(list)
+    for r in rows:
+        ids = np.frombuffer(r["ids"], "<u4")
+        assert len(ids) == r["length"] and zlib.crc32(r["ids"]) == r["ids_crc32"]
+        assert any(w[r["start"] : r["start"] + r["length"]] == ids.tolist() and len(w) == r["doc_tokens"] for w in want[r["doc_id"]])
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert sum(r["length"] for r in rows) == sum(len(w) for ws in want.values() for w in ws)
+    for pieces in sequences.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at == 4096 or at & (at - 1) == 0
+
+
+def test_first_fit_decreasing_is_first_fit():
+    from waymark.llm.packing import first_fit_decreasing
+
+    rng = np.random.default_rng(0)
+    for _ in range(30):
+        sizes = rng.integers(1, 50, rng.integers(1, 80))
+        bins: list[list[int]] = []
+        free: list[int] = []
+        for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+            b = next((b for b, f in enumerate(free) if f >= sizes[i]), len(free))
+            if b == len(free):
+                bins.append([])
+                free.append(64)
+            bins[b].append(i)
+            free[b] -= sizes[i]
+        assert first_fit_decreasing(sizes, 64) == bins
+
+
+def test_warc_brute_force(spark, edge):
+    t = pq.read_table(f"{edge}/pages.parquet").to_pylist()
+    first: dict[bytes, int] = {}
+    for r in t:
+        body = (r["html"] or "").encode()
+        first[body] = min(first.get(body, r["page_id"]), r["page_id"])
+    want = []
+    for r in t:
+        body = (r["html"] or "").encode()
+        again = r["page_id"] > first[body]
+        want.append((r["page_id"], len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), "revisit" if again else "response", first[body] if again else None))
+    got = [(r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in _rows(spark, "op6_warc", edge)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_warc_payloads_come_back_in_chunks(spark, edge, tmp_path):
+    from waymark.llm.warc import read_archives, write_archives
+
+    pages = spark.read.parquet(f"{edge}/pages.parquet")
+    manifest = write_archives(spark, pages, f"file://{tmp_path}/warc", chunk_bytes=100_000)
+    rows = read_archives(spark, manifest, chunk_bytes=65_536).collect()
+    whole = defaultdict(bytes)
+    for r in sorted(rows, key=lambda r: (r["record_id"], r["chunk_no"])):
+        assert len(r["chunk"]) <= 65_536
+        whole[r["page_id"]] += r["chunk"]
+    assert whole[30] == b"x" * 700_001 and whole[20] == ("é" * 200_000).encode()
+
+
+def _sets(text: str | None) -> set:
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_near_duplicates_brute_force(spark, edge):
+    docs = _docs(edge)
+    sets = [(i, _sets(t)) for i, t in docs]
+    parent = {i: i for i, _ in docs}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in sets:
+        for j, b in sets:
+            if a and b and 100 * len(a & b) >= 75 * len(a | b):
+                lo, hi = sorted((root(i), root(j)))
+                parent[hi] = lo
+    want = [(i, len(s), root(i), root(i) == i) for i, s in sets]
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in _rows(spark, "op7_near_duplicates", edge)]
+    assert sorted(got) == sorted(want)
+
+
+def test_near_duplicates_in_a_large_group(spark, tmp_path):
+    """A group of near copies beside documents that share half of it: branching and exhaustive nodes give the same links."""
+    rng = np.random.default_rng(2)
+    base = [f"t{i}" for i in range(220)]
+    texts = []
+    for i in range(150):
+        words = list(base)
+        for p in rng.choice(220, rng.integers(0, 9), replace=False):
+            words[p] = f"e{i}_{p}"
+        if i % 3 == 0:
+            words[110:] = [f"o{i}_{p}" for p in range(110)]
+        texts.append(" ".join(words))
+    pq.write_table(pa.table({"doc_id": pa.array(range(150), pa.int64()), "text": texts}), tmp_path / "documents.parquet")
+    sets = [_sets(t) for t in texts]
+    label = list(range(150))
+    for i in range(150):
+        for j in range(i):
+            if label[i] != label[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                lo, hi = sorted((label[i], label[j]))
+                label = [lo if x == hi else x for x in label]
+    got = {r["doc_id"]: r["component_id"] for r in _rows(spark, "op7_near_duplicates", str(tmp_path))}
+    assert [got[i] for i in range(150)] == label
+
+
+def _alnum_words(text: str | None) -> list[bytes]:
+    ok = {*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)}
+    return bytes(c if c in ok else 0x20 for c in (text or "").encode().lower()).split()
+
+
+def test_decontamination_brute_force(spark, edge):
+    items = pq.read_table(f"{edge}/benchmark.parquet").to_pylist()
+    windows = defaultdict(set)
+    for x in items:
+        w = _alnum_words(x["text"])
+        n = min(len(w), 10)
+        for s in range(len(w) - n + 1 if n else 0):
+            windows[tuple(w[s : s + n])].add(x["item_id"])
+    want = []
+    for i, t in _docs(edge):
+        w = _alnum_words(t)
+        hit, found = set(), set()
+        for n in {len(k) for k in windows}:
+            for s in range(len(w) - n + 1):
+                if (k := tuple(w[s : s + n])) in windows:
+                    hit |= set(range(s, s + n))
+                    found |= windows[k]
+        ids = ",".join(sorted(str(x) for x in found if x is not None))
+        want.append((i, len(w), len(hit), len(found), hashlib.sha256(ids.encode()).hexdigest(), bool(hit)))
+    got = [tuple(r[c] for c in ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")) for r in _rows(spark, "op8_decontamination", edge)]
+    assert sorted(got) == sorted(want)
+
+
+def _repeats(docs: list[tuple[int, str | None]], k: int = 50) -> list[tuple]:
+    owner: dict = {}
+    split = [(i, (t or "").encode().split()) for i, t in docs]
+    for i, w in split:
+        for s in range(len(w) - k + 1):
+            key = tuple(w[s : s + k])
+            owner[key] = min(owner.get(key, i), i)
+    out = []
+    for i, w in split:
+        gone = set()
+        for s in range(len(w) - k + 1):
+            if owner[tuple(w[s : s + k])] < i:
+                gone |= set(range(s, s + k))
+        kept = b" ".join(x for p, x in enumerate(w) if p not in gone)
+        out.append((i, len(w), len(gone), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def test_passages_brute_force(spark, edge):
+    got = [(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in _rows(spark, "op10_repeated_passages", edge)]
+    assert sorted(got) == sorted(_repeats(_docs(edge)))
+
+
+def test_crowded_buckets_give_the_same(spark, edge, monkeypatch, tmp_path):
+    from waymark.llm import passages
+
+    monkeypatch.setattr(passages, "BUCKET", 2)
+    shared = _words("common", 80)
+    texts = [f"{_words(f'l{i}_', 40)} {shared} {_words(f'r{i}_', 40)}" for i in range(30)]
+    pq.write_table(pa.table({"doc_id": pa.array(range(30), pa.int64()), "text": texts}), tmp_path / "documents.parquet")
+    got = [(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in _rows(spark, "op10_repeated_passages", str(tmp_path))]
+    assert sorted(got) == sorted(_repeats(list(enumerate(texts))))
+
+
+def test_null_ids_do_not_break_operators(spark, edge, tmp_path):
+    t = pq.read_table(f"{edge}/documents.parquet")
+    ids = pa.array([None if i % 4 == 0 else v for i, v in enumerate(t["doc_id"].to_pylist())], pa.int64())
+    for p in Path(edge).glob("*.parquet"):
+        pq.write_table(pq.read_table(p) if p.name != "documents.parquet" else t.set_column(0, "doc_id", ids), tmp_path / p.name)
+    for name in registry.QUERIES:
+        if name not in ("op4_nearest_neighbours", "op5_packing", "op6_warc"):
+            assert len(_rows(spark, name, str(tmp_path))) == t.num_rows, name
