@@ -3,9 +3,9 @@
 A document's set is that of its five-word shingles. Documents with equal sets are one class, and one document of each
 class takes part. Each of several independent trees puts a document into the node of its minwise token at the tree's
 first coordinate. Inside a node every member is first compared with the node's smallest member. Then nodes whose
-members are all in one component are done; other small nodes are compared exhaustively, except inside components; other
-large nodes branch: every member goes on to the nodes of its minwise tokens at two further coordinates chosen by the
-path. This goes on until no node is left, so nothing is capped.
+members are all in one component are done; nodes with few pairs across components for their size are compared
+exhaustively, except inside components; the others branch: every member goes on to the nodes of its minwise tokens at
+two further coordinates chosen by the path. This goes on until no node is left, so nothing is capped.
 
 Candidates pass exact bounds on sizes and a test on minwise agreement that a pair at the threshold fails once in about
 half a million; every link is confirmed on the full sets, which are made from the texts where they meet. Members of one
@@ -38,8 +38,8 @@ COORDINATES = 32
 #: Coordinates of COORDINATES on which a candidate pair must agree.
 AGREE = 12
 BRANCHES = 2
-#: Members of a node that is compared exhaustively.
-SMALL_NODE = 16
+#: Pairs across components, for each member, up to which a node is compared exhaustively.
+CROSS_PAIRS = 16
 #: Levels of branching after which any node counts as small.
 DEPTH = 24
 #: Members that a task streams past one centre.
@@ -172,10 +172,12 @@ class _Join:
         return rows.join(centre, "node").filter("rep > a and label != centre_label").select("a", F.col("rep").alias("b"))
 
     def mixed(self, nodes: DataFrame) -> DataFrame:
-        """Nodes of more than one component, with labels and sizes."""
+        """Members of nodes with more than one component, with labels, and whether the node has few pairs across them."""
         rows = self.with_labels(nodes)
-        facts = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("node", "size")
-        return rows.join(facts, "node")
+        parts = rows.groupBy("node", "label").agg(F.count("*").cast("double").alias("c"))
+        facts = parts.groupBy("node").agg(F.count("*").alias("labels"), F.sum("c").alias("size"), F.sum(F.col("c") * F.col("c")).alias("squares")).filter("labels > 1")
+        small = (F.col("size") * F.col("size") - F.col("squares")) / 2 <= CROSS_PAIRS * F.col("size")
+        return rows.join(facts.select("node", small.alias("small")), "node")
 
     def exhaustive(self, small: DataFrame) -> DataFrame:
         left = small.select("node", F.col("rep").alias("a"), F.col("label").alias("la"))
@@ -221,7 +223,7 @@ class _Join:
             children = None
             if older is not None:
                 mixed = self._keep(self.mixed(older), "mixed")
-                alone = F.col("size") <= SMALL_NODE if depth < DEPTH else F.lit(True)
+                alone = F.col("small") if depth < DEPTH else F.lit(True)
                 parts.append(self.exhaustive(mixed.filter(alone)))
                 large = mixed.filter(~alone)
                 if not large.isEmpty():
