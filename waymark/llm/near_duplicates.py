@@ -2,13 +2,14 @@
 
 A document's set is that of its five-word shingles. Documents with equal sets are one class, and one document of each
 class takes part. Each of several independent trees puts a document into the node of its minwise token at the tree's
-first coordinate. Inside a node every member is first compared with the node's smallest member. Then nodes whose
-members are all in one component are done; nodes with few pairs across components for their size are compared
-exhaustively, except inside components; the others branch: every member goes on to the nodes of its minwise tokens at
-two further coordinates chosen by the path. This goes on until no node is left, so nothing is capped.
-
-Candidates pass exact bounds on sizes and a test on minwise agreement that a pair at the threshold fails once in about
-half a million; every link is confirmed on the full sets, which are made from the texts where they meet. Members of one
+first coordinate. Inside a node every member is first compared with the node's smallest member, its pivot. Nodes whose
+members are then all in one component are done. Other nodes of up to NODE_ROWS members are compared exhaustively,
+except inside components; larger ones branch: every member goes on to the nodes of its minwise tokens at two further
+coordinates chosen by the path. This goes on until no node is left, so nothing is capped.
+
+What an exhaustive node leaves out is exact where it can be (the sizes, and what both sets have in common with the pivot,
+bound the intersection) and else a test on minwise agreement that a pair at the threshold fails less than once in
+100,000; every link is confirmed on the full sets, which are made from the texts where they meet. Members of one
 centre are dealt over as many tasks as their number asks for, each of which streams them past the centre.
 
 With ten trees, a pair of similarity 0.75 shares no first node once in 4^10, about one in a million.
@@ -38,14 +39,18 @@ COORDINATES = 32
 #: Coordinates of COORDINATES on which a candidate pair must agree.
 AGREE = 12
 BRANCHES = 2
-#: Pairs across components, for each member, up to which a node is compared exhaustively.
-CROSS_PAIRS = 16
+#: Members of a node that is compared exhaustively in one task (some 300 bytes each).
+NODE_ROWS = 8192
+#: Low bytes of so many further minwise hashes make a fine sketch; a candidate pair must agree on SKETCH_AGREE of them.
+SKETCH = 256
+SKETCH_AGREE = 161
 #: Levels of branching after which any node counts as small.
 DEPTH = 24
 #: Members that a task streams past one centre.
 CENTRE_MEMBERS = 400
 
 _ODD = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+_FINE = mix(np.arange(7001, SKETCH + 7001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _SHIFT = mix(np.arange(101, COORDINATES + 101, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -95,11 +100,19 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             where = np.zeros(end - at + 1, np.int32)
             where[1:] = np.cumsum(n > 0) * COORDINATES
             sig = pa.ListArray.from_arrays(pa.array(where), pa.array(mins.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.array(n), pa.array(s1), pa.array(s2), sig], names=["id", "n", "s1", "s2", "sig"])
+            fine = np.zeros((len(full), SKETCH), np.uint8)
+            short = (sh >> np.uint64(32)).astype(np.uint32)
+            with np.errstate(over="ignore"):
+                for c in range(SKETCH):
+                    if len(full):
+                        fine[:, c] = np.minimum.reduceat((short ^ np.uint32(_FINE[c] & np.uint64(0xFFFFFFFF))) * np.uint32((_FINE[c] >> np.uint64(32)) | np.uint64(1)), first[full]) & np.uint32(0xFF)
+            ends = np.concatenate([[0], np.cumsum(n > 0) * SKETCH]).astype(np.int32)
+            bits = pa.Array.from_buffers(pa.binary(), end - at, [None, pa.py_buffer(ends), pa.py_buffer(fine)])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.array(n), pa.array(s1), pa.array(s2), sig, bits], names=["id", "n", "s1", "s2", "sig", "bits"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (centre, salt, member, id, s1, s2, text) come centre before members; links come out as (a, b)."""
+    """Rows (centre, salt, member, id, s1, s2, text) come centre before members; (a, b, common, linked) come out."""
     centre: tuple | None = None
     bases: list[np.ndarray] = []
     for batch in batches:
@@ -122,13 +135,62 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         spot = np.searchsorted(base, own)
                         spot[spot == len(base)] = 0
                         both = int((base[spot] == own).sum())
-                        if 100 * both >= PERCENT * (len(base) + len(own) - both):
-                            out.append((key[0], names[3][at + r]))
+                        out.append((key[0], names[3][at + r], both, 100 * both >= PERCENT * (len(base) + len(own) - both)))
                 else:
                     raise ValueError(f"centre {key} did not come before its members")
             if out:
-                a, b = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                columns = zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in columns], names=["a", "b", "common", "linked"])
+
+
+def node_pairs(rep: np.ndarray, label: np.ndarray, n: np.ndarray, common: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of pairs across components that may be similar enough. ``common`` is the intersection with the pivot, -1 if unknown."""
+    out: tuple[list, list] = ([], [])
+    known = common >= 0
+    outside = np.where(known, n - common, 0)
+    place = np.arange(len(rep))
+    for at in range(0, len(rep), 256):
+        i = place[at : at + 256, None]
+        most = np.minimum(n[i], n[None])
+        bound = np.minimum(common[i], common[None]) + np.minimum(outside[i], outside[None])
+        most = np.where(known[i] & known[None], np.minimum(most, bound), most)
+        maybe = (place[None] > i) & (label[i] != label[None]) & (rep[i] != rep[None]) & (100 * most >= PERCENT * (n[i] + n[None] - most))
+        left, right = np.nonzero(maybe)
+        left += at
+        for cut in range(0, len(left), 8192):
+            x, y = left[cut : cut + 8192], right[cut : cut + 8192]
+            good = (bits[x] == bits[y]).sum(1) >= SKETCH_AGREE
+            out[0].append(x[good])
+            out[1].append(y[good])
+    return tuple(np.concatenate(o) if o else np.zeros(0, int) for o in out)
+
+
+def _exhaustive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, rep, label, n, common, bits), sorted by node; candidate pairs (a, b) come out."""
+
+    def flush(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(rows)
+        rep, label, n, common = (t.column(c).to_numpy() for c in ("rep", "label", "n", "common"))
+        bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint8).reshape(-1, SKETCH)
+        x, y = node_pairs(rep, label, n, common, bits)
+        a, b = np.minimum(rep[x], rep[y]), np.maximum(rep[x], rep[y])
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    held: list[pa.RecordBatch] = []
+    current = None
+    for batch in batches:
+        node = batch.column("node").to_numpy()
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(node)) + 1, [len(node)]])
+        for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            if lo == hi:
+                continue
+            if node[lo] != current and held:
+                yield flush(held)
+                held = []
+            current = node[lo]
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield flush(held)
 
 
 class _Join:
@@ -137,12 +199,13 @@ class _Join:
     def __init__(self, spark: SparkSession, docs: DataFrame, key: str, text: str):
         self.spark = spark
         self.source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-        self.sketches = self._keep(self.source.mapInArrow(_sketch, "id long, n long, s1 long, s2 long, sig array<long>"), "sketches")
+        self.sketches = self._keep(self.source.mapInArrow(_sketch, "id long, n long, s1 long, s2 long, sig array<long>, bits binary"), "sketches")
         known = self.sketches.filter(F.col("id").isNotNull() & (F.col("n") > 0))
-        self.reps = self._keep(known.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.min("sig").alias("sig")), "classes")
+        self.reps = self._keep(known.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.min(F.struct("sig", "bits")).alias("m")).select("n", "s1", "s2", "rep", "m.sig", "m.bits"), "classes")
         self.labels: DataFrame | None = None
         self.links: list[DataFrame] = []
         self.seen: DataFrame | None = None
+        self.compared: DataFrame | None = None
         # rows that repeat a doc_id with different sets join the classes of these sets
         several = known.groupBy("id").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).filter("lo < hi").select("id")
         joined = known.join(several, "id", "left_semi").join(self.reps, ["n", "s1", "s2"]).filter("rep != id").select(F.col("rep").alias("a"), F.col("id").alias("b"))
@@ -172,17 +235,20 @@ class _Join:
         return rows.join(centre, "node").filter("rep > a and label != centre_label").select("a", F.col("rep").alias("b"))
 
     def mixed(self, nodes: DataFrame) -> DataFrame:
-        """Members of nodes with more than one component, with labels, and whether the node has few pairs across them."""
+        """Members of nodes with more than one component, with their labels and the nodes' pivots and sizes."""
         rows = self.with_labels(nodes)
-        parts = rows.groupBy("node", "label").agg(F.count("*").cast("double").alias("c"))
-        facts = parts.groupBy("node").agg(F.count("*").alias("labels"), F.sum("c").alias("size"), F.sum(F.col("c") * F.col("c")).alias("squares")).filter("labels > 1")
-        small = (F.col("size") * F.col("size") - F.col("squares")) / 2 <= CROSS_PAIRS * F.col("size")
-        return rows.join(facts.select("node", small.alias("small")), "node")
+        facts = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("rep").alias("pivot"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi and size > 2")
+        return rows.join(facts.select("node", "size", "pivot"), "node")
 
     def exhaustive(self, small: DataFrame) -> DataFrame:
-        left = small.select("node", F.col("rep").alias("a"), F.col("label").alias("la"))
-        right = small.select("node", F.col("rep").alias("b"), F.col("label").alias("lb"))
-        return left.join(right, "node").filter("a < b and la != lb").select("a", "b")
+        known = self.compared.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), "common") if self.compared is not None else None
+        rows = small.select("node", "rep", "label", "pivot")
+        rows = rows.join(known, ["pivot", "rep"], "left") if known is not None else rows.withColumn("common", F.lit(None).cast("long"))
+        own = self.reps.groupBy("rep").agg(F.max(F.struct("n", "bits")).alias("m"), F.count("*").alias("sets"))
+        # an id that stands for several sets has no one intersection with a pivot, and no one sketch to be ruled out by: its largest set speaks for it
+        full = rows.join(own, "rep").select("node", "rep", "label", F.col("m.n").alias("n"), F.when(F.col("sets") > 1, F.lit(-1)).otherwise(F.when(F.col("rep") == F.col("pivot"), F.col("m.n")).otherwise(F.coalesce("common", F.lit(-1)))).cast("long").alias("common"), F.col("m.bits").alias("bits"))
+        dealt = full.repartition("node").sortWithinPartitions("node", "rep")
+        return dealt.mapInArrow(_exhaustive, "a long, b long")
 
     def children(self, large: DataFrame) -> DataFrame:
         """Every member of a large node goes to the nodes of its tokens at coordinates that the path picks."""
@@ -205,14 +271,14 @@ class _Join:
         return self._keep(sized.filter(agree >= AGREE).select("a", "b").distinct(), "pairs")
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
-        """Those pairs (a, b) whose full sets are similar enough."""
+        """(a, b, common, linked) of the pairs, by their full sets."""
         count = pairs.groupBy("a").agg(F.ceil(F.count("*") / CENTRE_MEMBERS).cast("int").alias("salts"))
         member = pairs.join(count, "a").select(F.col("a").alias("centre"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(True).alias("member"), F.col("b").alias("id"))
         centre = count.select(F.col("a").alias("centre"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("member"), F.col("a").alias("id"))
         sets = self.reps.select(F.col("rep").alias("id"), "s1", "s2")
         rows = member.unionByName(centre).join(sets, "id").join(self.texts, "id")
         dealt = rows.repartition("centre", "salt").sortWithinPartitions("centre", "salt", "member")
-        return self._keep(dealt.select("centre", "salt", "member", "id", "s1", "s2", "text").mapInArrow(_confirm, "a long, b long").distinct(), "links")
+        return self._keep(dealt.select("centre", "salt", "member", "id", "s1", "s2", "text").mapInArrow(_confirm, "a long, b long, common long, linked boolean").groupBy("a", "b").agg(F.max("common").alias("common"), F.max("linked").alias("linked")), "links")
 
     def run(self) -> DataFrame:
         fresh, older = self.first_nodes(), None
@@ -223,7 +289,7 @@ class _Join:
             children = None
             if older is not None:
                 mixed = self._keep(self.mixed(older), "mixed")
-                alone = F.col("small") if depth < DEPTH else F.lit(True)
+                alone = F.col("size") <= NODE_ROWS if depth < DEPTH else F.lit(True)
                 parts.append(self.exhaustive(mixed.filter(alone)))
                 large = mixed.filter(~alone)
                 if not large.isEmpty():
@@ -238,8 +304,10 @@ class _Join:
             self.seen = pairs if self.seen is None else self.seen.unionByName(pairs)
             if not pairs.isEmpty():
                 found = self.confirm(pairs)
-                if not found.isEmpty():
-                    self.links.append(found)
+                self.compared = found if self.compared is None else self.compared.unionByName(found)
+                linked = found.filter("linked").select("a", "b")
+                if not linked.isEmpty():
+                    self.links.append(linked)
                     self._relabel()
             older, fresh = (fresh if fresh is not None else children), None
         return self.result()
