@@ -138,16 +138,16 @@ def smallest_owner(strings: list[tuple[bytes, int]], k: int) -> list[np.ndarray]
 
 
 def _buckets(k: int):
-    """Rows (mz, h1, h2, packed, md), sorted by mz: gives (h1, h2, owners) of strings some window of which has a smaller owner."""
+    """Rows (mz, h1, h2, packed, md), sorted by mz: gives (h1, h2, lower), the windows that a document below md has too."""
 
     def flush(rows: list[tuple]) -> list[tuple]:
         if len(rows) < 2:
             return []
         found = smallest_owner([(r[2], r[3]) for r in rows], k)
-        return [(r[0], r[1], o.tolist()) for r, o in zip(rows, found, strict=True) if (o < r[3]).any()]
+        return [(r[0], r[1], np.flatnonzero(o < r[3]).tolist()) for r, o in zip(rows, found, strict=True) if (o < r[3]).any()]
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=["h1", "h2", "owners"])
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int32()))], names=["h1", "h2", "lower"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, held, out = None, [], []
@@ -187,33 +187,34 @@ def _single_windows(k: int):
 
 
 def _owners(spark: SparkSession, rows: DataFrame, k: int) -> DataFrame:
-    """(h1, h2, md, owners) of every super-k-mer: its smallest document and, where some window has a smaller one, each window's."""
+    """(h1, h2, md, lower) of every super-k-mer: the smallest document that has it, and which of its windows a still smaller one has.
+
+    A document above md loses all windows of the string, md itself only those of ``lower``.
+    """
     own = rows.groupBy("mz", "h1", "h2", "packed").agg(F.min("id").alias("md"))
     path = fresh_path(spark, "strings")
     own = materialize(spark, own, "strings", path=path)
     crowd = own.groupBy("mz").agg(F.count("*").alias("c")).filter("c > 1")
     busy, crowded = crowd.filter(F.col("c") <= BUCKET).select("mz"), crowd.filter(F.col("c") > BUCKET).select("mz")
     dealt = own.join(busy, "mz", "left_semi").repartition("mz").sortWithinPartitions("mz")
-    found = dealt.select("mz", "h1", "h2", "packed", "md").mapInArrow(_buckets(k), "h1 long, h2 long, owners array<long>")
+    found = dealt.select("mz", "h1", "h2", "packed", "md").mapInArrow(_buckets(k), "h1 long, h2 long, lower array<int>")
     if not crowded.isEmpty():
         one_path = fresh_path(spark, "windows")
         one = materialize(spark, own.join(crowded, "mz", "left_semi").select("h1", "h2", "packed", "md").mapInArrow(_single_windows(k), "w1 long, w2 long, h1 long, h2 long, md long, i int"), "windows", path=one_path)
-        least = one.groupBy("w1", "w2").agg(F.min("md").alias("owner"), F.max("md").alias("last")).filter("owner < last").drop("last")
-        lower = one.join(least, ["w1", "w2"], "left").select("h1", "h2", "md", "i", F.coalesce("owner", "md").alias("owner"))
-        listed = lower.groupBy("h1", "h2").agg(F.array_sort(F.collect_list(F.struct("i", "owner"))).alias("x"), F.min(F.col("owner") - F.col("md")).alias("gain")).filter("gain < 0")
-        found = found.unionByName(listed.select("h1", "h2", F.col("x.owner").alias("owners")))
+        least = one.groupBy("w1", "w2").agg(F.min("md").alias("owner"), F.max("md").alias("last")).filter("owner < last").select(F.col("w1").alias("v1"), F.col("w2").alias("v2"), "owner")
+        lower = one.join(least, (F.col("w1") == F.col("v1")) & (F.col("w2") == F.col("v2")) & (F.col("md") > F.col("owner")))
+        found = found.unionByName(lower.groupBy("h1", "h2").agg(F.collect_set("i").alias("lower")))
     return own.select("h1", "h2", "md").join(found, ["h1", "h2"], "left")
 
 
 def _removed(n_words: int, id_: int, runs: list[dict], k: int) -> np.ndarray:
     gone = np.zeros(n_words + 1, np.int64)
     for r in runs:
-        if r["owners"] is None:
-            if r["md"] < id_:
-                gone[r["start"]] += 1
-                gone[r["start"] + r["n"] + k - 1] -= 1
+        if r["md"] < id_:
+            gone[r["start"]] += 1
+            gone[r["start"] + r["n"] + k - 1] -= 1
         else:
-            hit = r["start"] + np.flatnonzero(np.array(r["owners"], np.int64) < id_)
+            hit = r["start"] + np.array(r["lower"], np.int64)
             np.add.at(gone, hit, 1)
             np.add.at(gone, hit + k, -1)
     return np.cumsum(gone)[:-1] > 0
@@ -252,8 +253,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, *, key: str = "doc_id",
     rows = materialize(spark, rows, "super-kmers", path=fresh_path(spark, "super-kmers"))
     drop_path(spark, mini_path)
     owners = _owners(spark, rows, window)
-    places = rows.select("id", "th", "h1", "h2", "start", "n").join(owners, ["h1", "h2"]).filter(F.col("owners").isNotNull() | (F.col("md") < F.col("id")))
-    runs = places.groupBy("id", "th").agg(F.collect_list(F.struct("start", "n", "md", "owners")).alias("runs"))
+    places = rows.select("id", "th", "h1", "h2", "start", "n").join(owners, ["h1", "h2"]).filter(F.col("lower").isNotNull() | (F.col("md") < F.col("id")))
+    runs = places.groupBy("id", "th").agg(F.collect_list(F.struct("start", "n", "md", "lower")).alias("runs"))
     runs = materialize(spark, runs, "runs", path=fresh_path(spark, "runs"))
     final = source.withColumn("th", F.xxhash64("text")).join(runs, ["id", "th"], "left").select("id", "text", "runs")
     return final.mapInArrow(_rewrite(window), "id long, kept_text string, n_words long, n_removed long").withColumnRenamed("id", key)
