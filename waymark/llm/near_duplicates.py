@@ -39,11 +39,11 @@ COORDINATES = 32
 #: Coordinates of COORDINATES on which a candidate pair must agree.
 AGREE = 12
 BRANCHES = 2
-#: Members of a node that is compared exhaustively in one task (some 300 bytes each).
+#: Members of a node that is compared exhaustively in one task (some 600 bytes each).
 NODE_ROWS = 8192
 #: Low bytes of so many further minwise hashes make a fine sketch; a candidate pair must agree on SKETCH_AGREE of them.
-SKETCH = 256
-SKETCH_AGREE = 161
+SKETCH = 512
+SKETCH_AGREE = 342
 #: Levels of branching after which any node counts as small.
 DEPTH = 24
 #: Members that a task streams past one centre.
@@ -259,16 +259,22 @@ class _Join:
         shared = rows.groupBy("node").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("node")
         return self._keep(rows.join(shared, "node", "left_semi"), "nodes")
 
-    def candidates(self, pairs: DataFrame) -> DataFrame:
-        """New distinct pairs that sizes and minwise agreement leave."""
+    def candidates(self, stars: list[DataFrame], checked: list[DataFrame]) -> DataFrame:
+        """New distinct pairs: of stars those that sizes and minwise agreement leave, and all that an exhaustive node has checked."""
+        agree: Column = F.aggregate(F.zip_with("ga", "gb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+        one = self.reps.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sig").alias("ga"))
+        two = self.reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("gb"))
+        parts = list(checked)
+        for pairs in stars:
+            sized = pairs.distinct().join(one, "a").join(two, "b").filter(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
+            parts.append(sized.filter(agree >= AGREE).select("a", "b"))
+        pairs = parts[0]
+        for p in parts[1:]:
+            pairs = pairs.unionByName(p)
         pairs = pairs.distinct()
         if self.seen is not None:
             pairs = pairs.join(self.seen, ["a", "b"], "left_anti")
-        one = self.reps.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sig").alias("ga"))
-        two = self.reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("gb"))
-        agree: Column = F.aggregate(F.zip_with("ga", "gb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-        sized = pairs.join(one, "a").join(two, "b").filter(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
-        return self._keep(sized.filter(agree >= AGREE).select("a", "b").distinct(), "pairs")
+        return self._keep(pairs, "pairs")
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """(a, b, common, linked) of the pairs, by their full sets."""
@@ -285,22 +291,20 @@ class _Join:
         needed = fresh.select(F.col("rep").alias("id")).distinct()
         self.texts = self._keep(self.source.join(needed, "id", "left_semi"), "texts")
         for depth in range(10_000):
-            parts = [] if fresh is None else [self.stars(fresh)]
+            stars = [] if fresh is None else [self.stars(fresh)]
+            checked: list[DataFrame] = []
             children = None
             if older is not None:
                 mixed = self._keep(self.mixed(older), "mixed")
                 alone = F.col("size") <= NODE_ROWS if depth < DEPTH else F.lit(True)
-                parts.append(self.exhaustive(mixed.filter(alone)))
+                checked.append(self.exhaustive(mixed.filter(alone)))
                 large = mixed.filter(~alone)
                 if not large.isEmpty():
                     children = self.children(large)
-                    parts.append(self.stars(children))
-            if not parts:
+                    stars.append(self.stars(children))
+            if not stars and not checked:
                 break
-            pairs = parts[0]
-            for p in parts[1:]:
-                pairs = pairs.unionByName(p)
-            pairs = self.candidates(pairs)
+            pairs = self.candidates(stars, checked)
             self.seen = pairs if self.seen is None else self.seen.unionByName(pairs)
             if not pairs.isEmpty():
                 found = self.confirm(pairs)
