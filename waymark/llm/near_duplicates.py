@@ -203,7 +203,6 @@ class _Join:
         known = self.sketches.filter(F.col("id").isNotNull() & (F.col("n") > 0))
         self.reps = self._keep(known.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.min(F.struct("sig", "bits")).alias("m")).select("n", "s1", "s2", "rep", "m.sig", "m.bits"), "classes")
         self.labels: DataFrame | None = None
-        self.links: list[DataFrame] = []
         self.seen: DataFrame | None = None
         self.compared: DataFrame | None = None
         # rows that repeat a doc_id with different sets join the classes of these sets
@@ -211,8 +210,7 @@ class _Join:
         joined = known.join(several, "id", "left_semi").join(self.reps, ["n", "s1", "s2"]).filter("rep != id").select(F.col("rep").alias("a"), F.col("id").alias("b"))
         joined = self._keep(joined.distinct(), "repeated")
         if not joined.isEmpty():
-            self.links.append(joined)
-            self._relabel()
+            self._relabel(joined)
 
     def _keep(self, df: DataFrame, name: str) -> DataFrame:
         return materialize(self.spark, df, name, path=fresh_path(self.spark, name))
@@ -311,16 +309,23 @@ class _Join:
                 self.compared = found if self.compared is None else self.compared.unionByName(found)
                 linked = found.filter("linked").select("a", "b")
                 if not linked.isEmpty():
-                    self.links.append(linked)
-                    self._relabel()
+                    self._relabel(linked)
             older, fresh = (fresh if fresh is not None else children), None
         return self.result()
 
-    def _relabel(self) -> None:
-        edges = self.links[0]
-        for more in self.links[1:]:
-            edges = edges.unionByName(more)
-        self.labels = connected_components(self.spark, edges)
+    def _relabel(self, links: DataFrame) -> None:
+        """Take new links (a, b) into the labels. Links inside a component, and repeated ones between two, are dropped first."""
+        if self.labels is None:
+            self.labels = connected_components(self.spark, links)
+            return
+        own = self.labels
+        ends = links.join(own.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(own.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
+        between = self._keep(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a <> b").distinct(), "between")
+        if between.isEmpty():
+            return
+        merged = connected_components(self.spark, between).select(F.col("id").alias("component"), F.col("component").alias("root"))
+        ids = own.unionByName(between.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(own, "id", "left_anti").select("id", F.col("id").alias("component")))
+        self.labels = self._keep(ids.join(merged, "component", "left").select("id", F.coalesce("root", "component").alias("component")), "labels")
 
     def result(self) -> DataFrame:
         classes = self.reps.select("n", "s1", "s2", "rep")
