@@ -378,7 +378,7 @@ def test_passages_brute_force(spark, edge):
 def test_crowded_buckets_give_the_same(spark, edge, monkeypatch, tmp_path):
     from waymark.llm import passages
 
-    monkeypatch.setattr(passages, "BUCKET", 2)
+    monkeypatch.setattr(passages, "BUCKET_BYTES", 2000)
     shared = _words("common", 80)
     texts = [f"{_words(f'l{i}_', 40)} {shared} {_words(f'r{i}_', 40)}" for i in range(30)]
     pq.write_table(pa.table({"doc_id": pa.array(range(30), pa.int64()), "text": texts}), tmp_path / "documents.parquet")

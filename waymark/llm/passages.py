@@ -6,7 +6,7 @@ window occurs in another document is settled inside its bucket, where the window
 
 Minimisers that occur in one document only cannot hold a repeated window; they are found first, from the minimisers
 alone, and their super-k-mers are never packed. Equal super-k-mers are combined on the map side before they are
-shuffled, so exact copies cost one string. A bucket with more than ``BUCKET`` different strings is not gathered: its
+shuffled, so exact copies cost one string. A bucket with more than ``BUCKET_BYTES`` of different strings is not gathered: its
 windows are dealt by a 128-bit hash of their bytes, and combined in the same way. Nothing is left out.
 
 Defined edge cases: null texts have no words; texts of fewer words than a window keep all; a window repeated inside one
@@ -29,8 +29,8 @@ from waymark.session import drop_path, fresh_path, materialize, prepare
 
 WINDOW = 50
 MINIMISER = 8
-#: Different strings that one bucket may gather in a task.
-BUCKET = 128
+#: Bytes of different strings that one bucket may gather in a task; its windows take some forty times that.
+BUCKET_BYTES = 1 << 20
 #: Windows of one super-k-mer at most; longer runs (of a repeated word) are cut.
 RUN = 256
 
@@ -194,8 +194,8 @@ def _owners(spark: SparkSession, rows: DataFrame, k: int) -> DataFrame:
     own = rows.groupBy("mz", "h1", "h2", "packed").agg(F.min("id").alias("md"))
     path = fresh_path(spark, "strings")
     own = materialize(spark, own, "strings", path=path)
-    crowd = own.groupBy("mz").agg(F.count("*").alias("c")).filter("c > 1")
-    busy, crowded = crowd.filter(F.col("c") <= BUCKET).select("mz"), crowd.filter(F.col("c") > BUCKET).select("mz")
+    crowd = own.groupBy("mz").agg(F.count("*").alias("c"), F.sum(F.octet_length("packed")).alias("bytes")).filter("c > 1")
+    busy, crowded = crowd.filter(F.col("bytes") <= BUCKET_BYTES).select("mz"), crowd.filter(F.col("bytes") > BUCKET_BYTES).select("mz")
     dealt = own.join(busy, "mz", "left_semi").repartition("mz").sortWithinPartitions("mz")
     found = dealt.select("mz", "h1", "h2", "packed", "md").mapInArrow(_buckets(k), "h1 long, h2 long, lower array<int>")
     if not crowded.isEmpty():
