@@ -229,6 +229,18 @@ def test_packing_round_trip(spark, edge):
         assert at == 4096 or at & (at - 1) == 0
 
 
+def test_packing_keeps_capitals_with_combining_marks():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from waymark.llm.packing import WordEncoder
+
+    tok, enc = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), WordEncoder()
+    for t in ("J\u030coy", "H\u0331at.", "T\u0308al and Tal", "W\u030aal", "Y\u030aal", "j\u030coy J\u030coy JOY", "plain JOY", "E\u0301te\u0301 STRA\u00dfE"):
+        for _ in range(2):  # learnt, then remembered
+            assert np.frombuffer(enc.encode(t.encode()), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, t
+
+
 def test_first_fit_decreasing_is_first_fit():
     from waymark.llm.packing import first_fit_decreasing
 

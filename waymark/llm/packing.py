@@ -33,7 +33,9 @@ class WordEncoder:
     """Ids of texts, by remembering the ids of their whitespace-separated chunks.
 
     Valid for tokenizers that split at white space, drop it and fold case, as ``word_bpe_49k`` does: no token spans two
-    chunks. A text that may hold the name of a special token is encoded as a whole.
+    chunks. Only texts all in ASCII are lower-cased beforehand: elsewhere the tokenizer composes before it folds, and a
+    capital and its combining mark may compose differently from the small letter. A text that may hold the name of a
+    special token is encoded as a whole.
     """
 
     _TAIL = b".,;:!?"
@@ -80,7 +82,7 @@ class WordEncoder:
         """The ids as little-endian unsigned 32-bit integers."""
         if b"<|" in text:
             return self._pack(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids)
-        chunks = text.lower().split()  # ASCII case and ASCII white space
+        chunks = (text.lower() if text.isascii() else text).split()  # ASCII white space
         new = self.new
         try:
             return b"".join([new[c] for c in chunks])
