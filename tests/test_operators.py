@@ -130,3 +130,14 @@ def test_registration_finds_the_motion(spark):
 def test_angles_and_columns(spark):
     r = spark.range(1).select(G.normalize_angle(F.lit(3 * math.pi)).alias("a"), G.normalize_angle(F.lit(-math.pi)).alias("b"), X.column_letters(F.lit(703)).alias("c"), X.column_number(F.lit("AAA")).alias("d"), X.slug(F.lit("  İstanbul MAP! ")).alias("e"), X.rounded(F.lit(-0.0)).alias("f")).first()
     assert (r["a"], r["b"]) == pytest.approx((math.pi, math.pi)) and (r["c"], r["d"], r["e"]) == ("AAA", 703, "stanbul-map") and math.copysign(1, r["f"]) == 1
+
+
+def test_correlation_over_all_lags(spark):
+    import numpy as np
+
+    a, b = [1, 0, 4, 2, 0, 3, 5], [2, 1, 0, 0, 6, 1, 3]
+    df = spark.createDataFrame([("k", i, x, y) for i, (x, y) in enumerate(zip(a, b, strict=True))], "k string, i int, a long, b long")
+    out = rows(sequences.correlate(df, df, by=["k"], index="i", a="a", b="b").select("lag", "n", "xcorr", "xcov"), "lag")
+    da, db = np.array(a) - np.mean(a), np.array(b) - np.mean(b)
+    assert [r[:3] for r in out] == [(lag, 7 - abs(lag), c) for lag, c in zip(range(-6, 7), np.correlate(b, a, "full").tolist(), strict=True)]
+    assert [r[3] for r in out] == pytest.approx(np.correlate(db, da, "full").tolist())

@@ -171,8 +171,18 @@ def overlaps(left: DataFrame, right: DataFrame, *, by: list[str], start: str, en
     return a.join(b, [*by, "_k"]).filter((F.col(end) >= F.col(other_start)) & (F.col(start) <= F.col(other_end)) & (F.col("_k") == first)).drop("_k")
 
 
-def correlate(left: DataFrame, right: DataFrame, *, by: list[str], index: str, a: str, b: str, max_lag: int) -> DataFrame:
-    """(by..., lag, sum of products): cross-correlation at lags -max_lag..max_lag, by an equi-join on the shifted index."""
+def correlate(left: DataFrame, right: DataFrame, *, by: list[str], index: str, a: str, b: str, max_lag: int | None = None) -> DataFrame:
+    """(by..., lag, sum of products): cross-correlation at lags -max_lag..max_lag, by an equi-join on the shifted index.
+
+    Without ``max_lag``, (by..., lag, n, xcorr, xcov) at all lags that occur: the number of pairs, the raw
+    cross-correlation and the raw cross-covariance about each side's mean, by a join of each key's rows.
+    """
+    if max_lag is None:
+        w = Window.partitionBy(*by)
+        x = left.select(*by, F.col(index).alias("_i"), F.col(a).alias("_a"), (F.col(a) - F.avg(a).over(w)).alias("_da"))
+        y = right.select(*by, F.col(index).alias("_j"), F.col(b).alias("_b"), (F.col(b) - F.avg(b).over(w)).alias("_db"))
+        pairs = x.join(y, by).groupBy(*by, (F.col("_j") - F.col("_i")).cast("int").alias("lag"))
+        return pairs.agg(F.count("*").alias("n"), F.sum(F.col("_a") * F.col("_b")).alias("xcorr"), F.sum(F.col("_da") * F.col("_db")).alias("xcov"))
     x = left.select(*by, F.col(index).alias("_i"), F.col(a).alias("_a")).withColumn("lag", F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag)))).withColumn("_i", F.col("_i") + F.col("lag"))
     y = right.select(*by, F.col(index).alias("_i"), F.col(b).alias("_b"))
     return x.join(y, [*by, "_i"]).groupBy(*by, "lag").agg(F.sum(F.col("_a") * F.col("_b")).alias("xcorr"))

@@ -198,6 +198,23 @@ def xcorr(table):
     return S.correlate(d, d, by=BY, index="day", a="a", b="b", max_lag=3)
 
 
+@query(
+    "WIN-12",
+    f"""{_E}, k AS (SELECT user_id, CAST(floor(t / 86400) AS BIGINT) AS day, count(*) FILTER (WHERE event_type = 'view') AS a, count(*) FILTER (WHERE event_type = 'click') AS b FROM e GROUP BY ALL),
+s AS (SELECT user_id, unnest(range(min(day), max(day) + 1)) AS day FROM k GROUP BY user_id),
+d AS (SELECT user_id, day, coalesce(a, 0) AS a, coalesce(b, 0) AS b FROM s LEFT JOIN k USING (user_id, day)),
+m AS (SELECT *, a - avg(a) OVER (PARTITION BY user_id) AS da, b - avg(b) OVER (PARTITION BY user_id) AS db FROM d)
+SELECT x.user_id, CAST(y.day - x.day AS INTEGER) AS lag, count(*) AS n, CAST(sum(x.a * y.b) AS BIGINT) AS xcorr, round(sum(x.da * y.db), 6) + 0.0::DOUBLE AS xcov FROM m x JOIN m y ON x.user_id = y.user_id GROUP BY ALL""",
+)
+def xcorr_all_lags(table):
+    """Cross-correlation and cross-covariance of a user's daily views and clicks over all lags; days without events count as zero."""
+    day = F.floor(F.col("t") / 86400).alias("day")
+    k = events(table).groupBy("user_id", day).agg(F.count_if(F.col("event_type") == "view").alias("a"), F.count_if(F.col("event_type") == "click").alias("b"))
+    days = k.groupBy("user_id").agg(F.min("day").alias("lo"), F.max("day").alias("hi")).select("user_id", F.explode(F.sequence("lo", "hi")).alias("day"))
+    d = days.join(k, ["user_id", "day"], "left").fillna(0, ["a", "b"])
+    return S.correlate(d, d, by=BY, index="day", a="a", b="b").withColumn("xcov", F.round("xcov", 6) + F.lit(0.0))  # no negative zero
+
+
 @query("STR-04", f"{_E} SELECT event_id, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS map_id FROM e")
 def reset_sessions(table):
     """Map ids: a reset (an error) starts a new one."""
