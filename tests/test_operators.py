@@ -141,3 +141,10 @@ def test_correlation_over_all_lags(spark):
     da, db = np.array(a) - np.mean(a), np.array(b) - np.mean(b)
     assert [r[:3] for r in out] == [(lag, 7 - abs(lag), c) for lag, c in zip(range(-6, 7), np.correlate(b, a, "full").tolist(), strict=True)]
     assert [r[3] for r in out] == pytest.approx(np.correlate(db, da, "full").tolist())
+
+
+def test_sequence_errors_are_registered_for_every_length(spark):
+    from waymark import catalog
+
+    out = catalog.QUERIES["sequence_error_all_lengths"](spark, "/root/testdata/sf0.001")
+    assert [r[0] for r in rows(out.select("length").distinct(), "length")] == list(trajectories.SEQUENCE_LENGTHS)
