@@ -148,3 +148,59 @@ def test_sequence_errors_are_registered_for_every_length(spark):
 
     out = catalog.QUERIES["sequence_error_all_lengths"](spark, "/root/testdata/sf0.001")
     assert [r[0] for r in rows(out.select("length").distinct(), "length")] == list(trajectories.SEQUENCE_LENGTHS)
+
+
+def test_registered_optimisation_has_converged(spark, monkeypatch):
+    import numpy as np
+
+    from waymark import catalog
+
+    calls, real = [], trajectories.optimize_planar
+    monkeypatch.setattr(trajectories, "optimize_planar", lambda *a, **k: calls.append((a[1], real(*a, **k))) or calls[-1][1])
+    catalog.QUERIES["planar_optimisation"](spark, "/root/testdata/sf0.001")
+    links, out = calls[0]
+    p = {(u, n): (x, y, yaw) for u, n, x, y, yaw in out.collect()}
+    g = {k: np.zeros(3) for k in p}
+    for e in links.collect():
+        u, w = e["user_id"], np.array([e["w"], e["w"], e["wyaw"]])
+        (ax, ay, at), (bx, by, bt) = p[u, e["src"]], p[u, e["dst"]]
+        c, s = math.cos(at), math.sin(at)
+        x, y = c * (bx - ax) + s * (by - ay), c * (by - ay) - s * (bx - ax)
+        r = np.array([x - e["dx"], y - e["dy"], math.remainder(bt - at - e["dyaw"], 2 * math.pi)])
+        r *= w * min(1, 2 / max(math.sqrt((w * r * r).sum()), 1e-12))  # Huber at 2
+        g[u, e["src"]] += r @ [[-c, -s, y], [s, -c, -x], [0, 0, -1]]
+        g[u, e["dst"]] += r @ [[c, s, 0], [-s, c, 0], [0, 0, 1]]
+    held = {u: min(n for v, n in p if v == u) for u, _ in p}
+    worst = max(np.abs(v).max() for (u, n), v in g.items() if n != held[u])
+    assert worst < 1e-5  # no pose can move to lower the cost
+
+
+def test_registered_registration_has_converged(spark):
+    import numpy as np
+
+    from waymark import catalog
+    from waymark.plans.geometry import ranged
+
+    sf = "/root/testdata/sf0.001"
+    got = {r["cloud"]: (r["x"], r["y"], r["yaw"]) for r in catalog.QUERIES["planar_registration"](spark, sf).collect()}
+    clouds = {}
+    for c, _, x, y, flag in rows(ranged(lambda t: spark.read.parquet(f"{sf}/{t}.parquet")).select("cloud", "id", "x", "y", "flag"), "cloud", "id"):
+        clouds.setdefault(c, ([], []))[flag != "R"].append((x, y))
+    assert set(got) == {c for c, (a, _) in clouds.items() if a}
+    for c, (a, b) in clouds.items():
+        p, q, before = np.array(a), np.array(b), None
+        for _ in range(1000):
+            d2 = ((p[:, None] - q) ** 2).sum(2)
+            on = d2.min(1) <= 9
+            m = np.where(on, d2.argmin(1), -1)
+            if before is not None and (m == before).all():
+                break
+            before, u, v = m, p[on] @ (1, 1j), q[m[on]] @ (1, 1j)
+            turn = np.angle((np.conj(u - u.mean()) * (v - v.mean())).sum())
+            z = v.mean() + np.exp(1j * turn) * (p @ (1, 1j) - u.mean())
+            p = np.stack([z.real, z.imag], 1)
+        else:
+            raise AssertionError("no convergence")
+        x, y, yaw = got[c]
+        z = x + 1j * y + np.exp(1j * yaw) * (np.array(a) @ (1, 1j))
+        assert np.abs(z - p @ (1, 1j)).max() < 2e-2, c
