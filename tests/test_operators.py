@@ -204,3 +204,10 @@ def test_registered_registration_has_converged(spark):
         x, y, yaw = got[c]
         z = x + 1j * y + np.exp(1j * yaw) * (np.array(a) @ (1, 1j))
         assert np.abs(z - p @ (1, 1j)).max() < 2e-2, c
+
+
+def test_covers_claims_no_method_that_is_not_built():
+    from waymark import catalog
+
+    claimed = {i for ids in catalog.COVERS.values() for i in ids}
+    assert not claimed & {"GRA-17b", "GEO-21", "RET-10", "GRA-02", "GEO-11", "STR-11", "AGG-31", "RET-17", "GRA-11", "GRA-17c"}

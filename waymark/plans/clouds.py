@@ -123,7 +123,7 @@ def occupancy_classify(table):
     return C.occupancy(_grid(table), by=["ix", "iy"])
 
 
-@query("GEO-11 GEO-15", f"{_CELLS}, o AS (SELECT DISTINCT ix, iy FROM g WHERE occupied), n AS (SELECT ix + a AS ix, iy + b AS iy, count(*) AS n FROM o, (VALUES (-1), (0), (1)) s(a), (VALUES (-1), (0), (1)) t(b) GROUP BY ALL) SELECT n.ix, n.iy, n.n = 9 AS eroded FROM n")
+@query("GEO-15", f"{_CELLS}, o AS (SELECT DISTINCT ix, iy FROM g WHERE occupied), n AS (SELECT ix + a AS ix, iy + b AS iy, count(*) AS n FROM o, (VALUES (-1), (0), (1)) s(a), (VALUES (-1), (0), (1)) t(b) GROUP BY ALL) SELECT n.ix, n.iy, n.n = 9 AS eroded FROM n")
 def morphology(table):
     """Dilated cells, and whether they are in the eroded set too."""
     occupied = _grid(table).filter("occupied").select("ix", "iy").distinct()

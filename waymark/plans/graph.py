@@ -43,7 +43,7 @@ def shortest_path(table):
     return G.relax(g.sparkSession, G.both_ways(g, "cost"), start, limit=40.0)
 
 
-@query("GRA-01 GRA-02 RET-10", f"""WITH RECURSIVE {_G}, s(node, m) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT b.dst, s.m + CASE WHEN type = 0 THEN 1 ELSE 0 END FROM s JOIN b ON b.src = s.node WHERE s.m + CASE WHEN type = 0 THEN 1 ELSE 0 END <= 5)
+@query("GRA-01", f"""WITH RECURSIVE {_G}, s(node, m) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT b.dst, s.m + CASE WHEN type = 0 THEN 1 ELSE 0 END FROM s JOIN b ON b.src = s.node WHERE s.m + CASE WHEN type = 0 THEN 1 ELSE 0 END <= 5)
 SELECT CAST(0 AS BIGINT) AS origin, node, min(m) AS margin FROM s GROUP BY node""")
 def bfs_margin(table):
     """Nodes within five neighbour links of part 0; loop links cost nothing."""

@@ -24,7 +24,7 @@ def seed_cluster(table):
     return Y.seed_clusters(c, by=["cloud"], order=["id"], axes=["x", "y", "z"], radius=8.0).groupBy("cloud", "cluster").agg(F.count("*").alias("n"))
 
 
-@query("STR-01 GRA-17b", """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6::DOUBLE AS t FROM events),
+@query("STR-01", """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6::DOUBLE AS t FROM events),
 n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS rn FROM e),
 k AS (SELECT user_id, rn, event_id, t, t AS last, true AS kept FROM n WHERE rn = 1
 UNION ALL SELECT n.user_id, n.rn, n.event_id, n.t, CASE WHEN NOT (n.t - k.last > 0 AND n.t - k.last < 43200) THEN n.t ELSE k.last END, NOT (n.t - k.last > 0 AND n.t - k.last < 43200) FROM k JOIN n ON n.user_id = k.user_id AND n.rn = k.rn + 1)

@@ -17,7 +17,7 @@ def element_corners(table):
     return table("part").select("p_partkey", ring.alias("r")).select("p_partkey", F.round(F.col("r")[2]["x"], 6).alias("x"), F.round(F.col("r")[2]["y"], 6).alias("y"))
 
 
-@query("GEO-29 STR-11", "SELECT p_partkey AS id, round(CASE WHEN d IS NULL OR p_size % 4 = 0 THEN x ELSE x + (fx - x) * CASE WHEN d > 0 THEN least(d * 0.15, 0.25) / d ELSE 0 END END, 6) AS x, CASE WHEN d IS NULL THEN 'lost' WHEN p_size % 4 = 0 THEN 'weak' WHEN d > 1.0 THEN 'usable' ELSE 'stable' END AS state FROM (SELECT *, p_size::DOUBLE AS x, floor(p_size / 7.0::DOUBLE) * 7 AS fx, CASE WHEN p_partkey % 5 > 0 THEN p_size - floor(p_size / 7.0::DOUBLE) * 7 END AS d FROM part)")
+@query("GEO-29", "SELECT p_partkey AS id, round(CASE WHEN d IS NULL OR p_size % 4 = 0 THEN x ELSE x + (fx - x) * CASE WHEN d > 0 THEN least(d * 0.15, 0.25) / d ELSE 0 END END, 6) AS x, CASE WHEN d IS NULL THEN 'lost' WHEN p_size % 4 = 0 THEN 'weak' WHEN d > 1.0 THEN 'usable' ELSE 'stable' END AS state FROM (SELECT *, p_size::DOUBLE AS x, floor(p_size / 7.0::DOUBLE) * 7 AS fx, CASE WHEN p_partkey % 5 > 0 THEN p_size - floor(p_size / 7.0::DOUBLE) * 7 END AS d FROM part)")
 def road_attraction(table):
     """Poses drawn to the nearest road, and their state."""
     x = F.col("p_size").cast("double")
@@ -37,7 +37,7 @@ def loop_candidates(table):
     return A.loop_candidates(p, 3.0, 0.5, 20, by=["user_id"])
 
 
-@query("GEO-21", """WITH f AS (SELECT DISTINCT s_suppkey % 50 AS ix, (s_suppkey * 13) % 50 AS iy FROM supplier), k AS (SELECT i AS candidate, i * 0.5::DOUBLE AS x, i * 0.25::DOUBLE AS y FROM range(12) t(i)),
+@query("", """WITH f AS (SELECT DISTINCT s_suppkey % 50 AS ix, (s_suppkey * 13) % 50 AS iy FROM supplier), k AS (SELECT i AS candidate, i * 0.5::DOUBLE AS x, i * 0.25::DOUBLE AS y FROM range(12) t(i)),
 c AS (SELECT candidate, CAST(floor(x + p_size) AS BIGINT) AS ix, CAST(floor(y + p_partkey % 50) AS BIGINT) AS iy FROM k CROSS JOIN part)
 SELECT c.candidate, round(avg(CASE WHEN f.ix IS NULL THEN 0.45::DOUBLE * 0.45::DOUBLE ELSE 0 END), 9) AS cost FROM c LEFT JOIN f ON f.ix = c.ix AND f.iy = c.iy GROUP BY c.candidate""")
 def scan_match(table):
