@@ -229,6 +229,18 @@ def test_packing_round_trip(spark, edge):
         assert at == 4096 or at & (at - 1) == 0
 
 
+def test_neighbours_of_a_repeated_id_among_equal_vectors():
+    from types import SimpleNamespace
+
+    from waymark.llm.neighbours import scan_block
+
+    k, q = 4, np.array([[1.0, 0.0]])
+    ids = np.array([1, 1, 1, 2, 3, 4, 5, 6, 7])
+    x = np.array([[1.0, 0.0]] * 8 + [[0.6, 0.8]])
+    model = SimpleNamespace(encode=lambda d: d, scan=lambda own, d: own @ d.T)
+    assert scan_block(model, np.array([1]), q, ids, x, k)[1].tolist() == [2, 3, 4, 5]
+
+
 def test_packing_keeps_capitals_with_combining_marks():
     import public_tokenizers
     from tokenizers import Tokenizer

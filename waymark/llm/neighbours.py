@@ -162,9 +162,18 @@ def scan_block(model: Quantizer, q_ids: np.ndarray, q: np.ndarray, ids: np.ndarr
     _, first, group = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel(), return_index=True, return_inverse=True)
     distinct = x[first].astype(np.float64)
     members = np.argsort(group, kind="stable")  # ids of each group, ascending
-    size = np.bincount(group)
+    # no query needs more than k rows of an id, and it leaves out those with its own: k rows beside them are enough
+    sorted_ids, sorted_group = ids[members], group[members]
+    new = np.ones(len(members), bool)
+    new[1:] = (sorted_ids[1:] != sorted_ids[:-1]) | (sorted_group[1:] != sorted_group[:-1])
+    same = np.flatnonzero(new)
+    copies = np.diff(np.append(same, len(members)))
+    members = members[np.arange(len(members)) - np.repeat(same, copies) < k]
+    repeats = np.zeros(len(first), np.int64)
+    np.maximum.at(repeats, sorted_group[same], np.minimum(copies, k))
+    size = np.bincount(group[members], minlength=len(first))
     start = np.concatenate([[0], np.cumsum(size)])
-    size = np.minimum(size, k + 1)
+    size = np.minimum(size, k + repeats)
     codes = model.encode(distinct)
     out = ([], [], [])
     for at in range(0, len(q), 64):
