@@ -324,28 +324,92 @@ def test_near_duplicates_brute_force(spark, edge):
     assert sorted(got) == sorted(want)
 
 
-def test_near_duplicates_in_a_large_group(spark, tmp_path):
-    """A group of near copies beside documents that share half of it: branching and exhaustive nodes give the same links."""
-    rng = np.random.default_rng(2)
-    base = [f"t{i}" for i in range(220)]
+def _labels(sets: list[set]) -> list[int]:
+    label = np.arange(len(sets))
+    for i in range(len(sets)):
+        for j in range(i):
+            if label[i] != label[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                lo, hi = sorted((label[i], label[j]))
+                label[label == hi] = lo
+    return label.tolist()
+
+
+def _loose_group(rng, n: int, words: int, edits: int) -> list[str]:
+    """Near copies beside documents that share half of them, and chains of edits around the threshold."""
+    base = [f"t{i}" for i in range(words)]
     texts = []
-    for i in range(150):
-        words = list(base)
-        for p in rng.choice(220, rng.integers(0, 9), replace=False):
-            words[p] = f"e{i}_{p}"
+    for i in range(n):
+        own = list(base)
+        for p in rng.choice(words, rng.integers(0, edits), replace=False):
+            own[p] = f"e{i}_{p}"
         if i % 3 == 0:
-            words[110:] = [f"o{i}_{p}" for p in range(110)]
-        texts.append(" ".join(words))
+            own[words // 2 :] = [f"o{i % 7}_{p}" for p in range(words // 2)]
+        texts.append(" ".join(own))
+    return texts
+
+
+@pytest.mark.parametrize(("node_rows", "chunk"), [(512, 64), (8, 4)])
+def test_near_duplicates_in_a_large_group(spark, tmp_path, monkeypatch, node_rows, chunk):
+    """Nodes that branch give the links of exhaustive ones."""
+    from waymark.llm import near_duplicates
+
+    monkeypatch.setattr(near_duplicates, "NODE_ROWS", node_rows)
+    monkeypatch.setattr(near_duplicates, "CHUNK", chunk)
+    texts = _loose_group(np.random.default_rng(2), 150, 220, 9)
     pq.write_table(pa.table({"doc_id": pa.array(range(150), pa.int64()), "text": texts}), tmp_path / "documents.parquet")
+    got = {r["doc_id"]: r["component_id"] for r in _rows(spark, "op7_near_duplicates", str(tmp_path))}
+    assert [got[i] for i in range(150)] == _labels([_sets(t) for t in texts])
+
+
+def test_branching_keeps_links_at_the_threshold(spark, tmp_path, monkeypatch):
+    """Pairs of similarity 0.75 to 0.8 among many documents that share two thirds of them: nearly all links survive the branching."""
+    from waymark.llm import near_duplicates
+
+    monkeypatch.setattr(near_duplicates, "NODE_ROWS", 16)
+    monkeypatch.setattr(near_duplicates, "CHUNK", 4)
+    common = [f"t{i}" for i in range(200)]
+    texts = []
+    for i in range(300):
+        own = [f"x{i // 2}_{p}" for p in range(100)]
+        for p in range(i % 2, 60 * (i % 2), 8):
+            own[p] = f"y{i}_{p}"
+        texts.append(" ".join(common + own))
     sets = [_sets(t) for t in texts]
-    label = list(range(150))
-    for i in range(150):
-        for j in range(i):
-            if label[i] != label[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
-                lo, hi = sorted((label[i], label[j]))
-                label = [lo if x == hi else x for x in label]
+    similar = [len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in range(0, 300, 2)]
+    assert 0.75 <= min(similar) and max(similar) < 0.8
+    pq.write_table(pa.table({"doc_id": pa.array(range(300), pa.int64()), "text": texts}), tmp_path / "documents.parquet")
     got = {r["doc_id"]: r["component_id"] for r in _rows(spark, "op7_near_duplicates", str(tmp_path))}
-    assert [got[i] for i in range(150)] == label
+    assert all(got[i] in (i, i - i % 2) for i in range(300))
+    assert np.mean([got[i + 1] == i for i in range(0, 300, 2)]) >= 0.99
+
+
+def test_groups_and_forests_brute_force(monkeypatch):
+    from waymark.llm import near_duplicates as N
+
+    rng = np.random.default_rng(4)
+    texts = _loose_group(rng, 90, 120, 12) + [_words(f"z{i}", 80) for i in range(10)]
+    data = pa.array([t.encode() for t in texts], pa.binary())
+    batch = next(N._sketch(iter([pa.RecordBatch.from_arrays([pa.array(range(100), pa.int64()), data], names=["id", "text"])])))
+    n, s1 = batch.column("n").to_numpy(), batch.column("s1").to_numpy()
+    bits = np.frombuffer(batch.column("bits").buffers()[2], np.uint8).reshape(-1, N.SKETCH)
+    ids, cell = np.arange(100), np.sort(rng.integers(0, 3, 100))
+    sets = [_sets(t) for t in texts]
+    pairs = {(i, j) for i in range(100) for j in range(i + 1, 100) if cell[i] == cell[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    for limit in (N.GROUP_SHINGLES, 1000):  # the second splits groups into blocks
+        monkeypatch.setattr(N, "GROUP_SHINGLES", limit)
+        place, number = N.cell_groups(cell, ids, s1, ids, n, bits)
+        members = defaultdict(set)
+        for i, g in zip(place.tolist(), number.tolist(), strict=True):
+            members[g].add(i)
+        assert all(any({i, j} <= m for m in members.values()) for i, j in pairs)
+        if limit == 1000:
+            assert max(sum(n[list(m)]) for m in members.values()) < 1000 + 4 * max(n)
+    hashed = [np.sort(np.array([hash(x) for x in s], np.int64)) for s in sets]
+    both = N.shared(hashed)
+    assert all(both[i, j] == len(sets[i] & sets[j]) for i in range(100) for j in range(100))
+    links = N.forest(ids, hashed)
+    x, y = (np.array(c) for c in zip(*links, strict=True))
+    assert len(links) < 100 and N.roots(100, x, y).tolist() == _labels(sets)
 
 
 def _alnum_words(text: str | None) -> list[bytes]:

@@ -1,18 +1,20 @@
 """Near-duplicate documents by a chosen-path set similarity join on word shingles.
 
 A document's set is that of its five-word shingles. Documents with equal sets are one class, and one document of each
-class takes part. Each of several independent trees puts a document into the node of its minwise token at the tree's
-first coordinate. Inside a node every member is first compared with the node's smallest member, its pivot. Nodes whose
-members are then all in one component are done. Other nodes of up to NODE_ROWS members are compared exhaustively,
-except inside components; larger ones branch: every member goes on to the nodes of its minwise tokens at two further
-coordinates chosen by the path. This goes on until no node is left, so nothing is capped.
+class takes part. Each of several independent trees puts a class into the node of its minwise token at the tree's first
+coordinate. Nodes whose members are all in one component are done. Nodes of up to NODE_ROWS members, and those with so few
+outside their largest component, are compared exhaustively, block by block, and are done then. Others are compared in
+chunks, each with the node's pivot; if too many components are still left they branch: every member goes on to the nodes
+of its minwise tokens at two further coordinates chosen by the path. No path uses a coordinate twice, so the levels end;
+members that agree on all coordinates are compared block by block, over as many tasks as that takes. Nothing is capped.
 
-What an exhaustive node leaves out is exact where it can be (the sizes, and what both sets have in common with the pivot,
-bound the intersection) and else a test on minwise agreement that a pair at the threshold fails less than once in
-100,000; every link is confirmed on the full sets, which are made from the texts where they meet. Members of one
-centre are dealt over as many tasks as their number asks for, each of which streams them past the centre.
+Exhaustive comparison takes only pairs across components. Sizes, and minwise agreement that a pair at the threshold
+fails less than once in 100,000, leave groups of members that may be linked. The groups' full sets, made from the texts,
+meet in one task (or, where they are too long for it, two blocks of them do), and only a forest of links comes out, so
+that the rows grow with the members and not with their pairs. Later trees start from the components of the first two.
 
-With ten trees, a pair of similarity 0.75 shares no first node once in 4^10, about one in a million.
+Recall: with ten trees, a pair of similarity 0.75 shares no first node once in 4^10, about one in a million; in nodes
+that branch it is lost in one tree with probability 1/3 at most, so once in 60,000 in ten.
 
 Defined edge cases: fewer words than five make one shingle; null and wordless texts have no shingle and no link; rows
 that repeat a doc_id are each returned, with the links of any of them; rows with a null doc_id are never linked, have
@@ -25,29 +27,35 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm.components import connected_components
 from waymark.llm.text import Words, blocks, column_bytes, grams, mix
-from waymark.session import fresh_path, materialize, prepare
+from waymark.session import drop_path, fresh_path, materialize, prepare
 
 SHINGLE = 5
 PERCENT = 75
 TREES = 10
+#: Trees whose links are found before the others begin.
+FIRST_TREES = 2
 COORDINATES = 32
-#: Coordinates of COORDINATES on which a candidate pair must agree.
-AGREE = 12
 BRANCHES = 2
 #: Members of a node that is compared exhaustively in one task (some 600 bytes each).
-NODE_ROWS = 8192
+NODE_ROWS = 512
+#: Members of a larger node that are compared with its pivot and each other before it branches.
+CHUNK = 64
 #: Low bytes of so many further minwise hashes make a fine sketch; a candidate pair must agree on SKETCH_AGREE of them.
 SKETCH = 512
 SKETCH_AGREE = 342
-#: Levels of branching after which any node counts as small.
-DEPTH = 24
-#: Members that a task streams past one centre.
-CENTRE_MEMBERS = 400
+#: The same for the first bytes of the sketch, which are compared first; a pair at the threshold fails once in a million.
+COARSE = 64
+COARSE_AGREE = 30
+#: Shingles that a task gathers for one group, and pairs of rows that it compares at once.
+GROUP_SHINGLES = 1 << 21
+PAIRS = 1 << 16
+#: Members of a group that are each held against all others, before all are held against all in slices of so many shingles.
+ROWS, SLICE = 4, 4096
 
 _ODD = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _FINE = mix(np.arange(7001, SKETCH + 7001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -111,221 +119,296 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.array(n), pa.array(s1), pa.array(s2), sig, bits], names=["id", "n", "s1", "s2", "sig", "bits"])
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (centre, salt, member, id, s1, s2, text) come centre before members; (a, b, common, linked) come out."""
-    centre: tuple | None = None
-    bases: list[np.ndarray] = []
-    for batch in batches:
-        offsets, data = column_bytes(batch.column("text"))
-        names = [batch.column(c).to_pylist() for c in ("centre", "salt", "member", "id")]
-        want = [batch.column(c).to_numpy() for c in ("s1", "s2")]
-        for at, end in blocks(offsets):
-            first, sh = shingle_sets(offsets, data, at, end)
-            s1, s2 = set_hashes(first, sh)
-            same = (s1 == want[0][at:end]) & (s2 == want[1][at:end])
-            out: list[tuple[int, int]] = []
-            for r in np.flatnonzero(same).tolist():
-                own = sh[first[r] : first[r + 1]]
-                key = (names[0][at + r], names[1][at + r])
-                if not names[2][at + r]:
-                    bases = [*(bases if key == centre else []), own.copy()]
-                    centre = key
-                elif key == centre:
-                    for base in bases:
-                        spot = np.searchsorted(base, own)
-                        spot[spot == len(base)] = 0
-                        both = int((base[spot] == own).sum())
-                        out.append((key[0], names[3][at + r], both, 100 * both >= PERCENT * (len(base) + len(own) - both)))
-                else:
-                    raise ValueError(f"centre {key} did not come before its members")
-            if out:
-                columns = zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in columns], names=["a", "b", "common", "linked"])
-
-
-def node_pairs(rep: np.ndarray, label: np.ndarray, n: np.ndarray, common: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of pairs across components that may be similar enough. ``common`` is the intersection with the pivot, -1 if unknown."""
-    out: tuple[list, list] = ([], [])
-    known = common >= 0
-    outside = np.where(known, n - common, 0)
-    place = np.arange(len(rep))
-    for at in range(0, len(rep), 256):
-        i = place[at : at + 256, None]
-        most = np.minimum(n[i], n[None])
-        bound = np.minimum(common[i], common[None]) + np.minimum(outside[i], outside[None])
-        most = np.where(known[i] & known[None], np.minimum(most, bound), most)
-        maybe = (place[None] > i) & (label[i] != label[None]) & (rep[i] != rep[None]) & (100 * most >= PERCENT * (n[i] + n[None] - most))
-        left, right = np.nonzero(maybe)
-        left += at
-        for cut in range(0, len(left), 8192):
-            x, y = left[cut : cut + 8192], right[cut : cut + 8192]
-            good = (bits[x] == bits[y]).sum(1) >= SKETCH_AGREE
-            out[0].append(x[good])
-            out[1].append(y[good])
-    return tuple(np.concatenate(o) if o else np.zeros(0, int) for o in out)
-
-
-def _exhaustive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (node, rep, label, n, common, bits), sorted by node; candidate pairs (a, b) come out."""
+def row_pairs(end: np.ndarray, limit: int = PAIRS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All (i, j) with i < j < end[i], some ``limit`` at a time; rows of one cell stand together and share its end."""
+    many = end - np.arange(len(end)) - 1
+    total = np.concatenate([[0], np.cumsum(many)])
+    at = 0
+    while at < len(end):
+        stop = max(at + 1, int(np.searchsorted(total, total[at] + limit, side="right")) - 1)
+        left = np.repeat(np.arange(at, stop), many[at:stop])
+        yield left, left + 1 + np.arange(len(left)) - np.repeat(total[at:stop] - total[at], many[at:stop])
+        at = stop
+
+
+def roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Smallest position that each of n positions reaches over the pairs (x, y)."""
+    root = np.arange(n)
+    while True:
+        apart = root[x] != root[y]
+        x, y = x[apart], y[apart]
+        if not len(x):
+            return root
+        np.minimum.at(root, np.maximum(root[x], root[y]), np.minimum(root[x], root[y]))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def cell_groups(cell: np.ndarray, rep: np.ndarray, s1: np.ndarray, label: np.ndarray, n: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(position, group) of the rows of cells that may have a partner in another component; a group is closed under such pairs.
+
+    Equal groups of different cells get the same number.
+    """
+    found: tuple[list, list] = ([], [])
+    for x, y in row_pairs(np.searchsorted(cell, cell, side="right")):
+        maybe = (label[x] != label[y]) & (100 * np.minimum(n[x], n[y]) >= PERCENT * np.maximum(n[x], n[y]))
+        x, y = x[maybe], y[maybe]
+        for part, least in ((slice(0, COARSE), COARSE_AGREE), (slice(0, SKETCH), SKETCH_AGREE)):
+            good = np.zeros(len(x), bool)
+            for at in range(0, len(x), 8192):
+                good[at : at + 8192] = (bits[x[at : at + 8192], part] == bits[y[at : at + 8192], part]).sum(1) >= least
+            x, y = x[good], y[good]
+        found[0].append(x)
+        found[1].append(y)
+    x, y = (np.concatenate(f) if f else np.zeros(0, int) for f in found)
+    root = roots(len(cell), x, y)
+    own = np.unique(np.concatenate([x, y]))
+    order = own[np.lexsort((s1[own], rep[own], root[own]))]
+    same = np.zeros(len(order), bool)  # the pivot of a large node may be there twice
+    same[1:] = (root[order[1:]] == root[order[:-1]]) & (rep[order[1:]] == rep[order[:-1]]) & (s1[order[1:]] == s1[order[:-1]])
+    order = order[~same]
+    if not len(order):
+        return order, order
+    head = np.flatnonzero(np.diff(root[order], prepend=-1))
+    with np.errstate(over="ignore"):
+        name = np.add.reduceat(mix(mix(rep[order].view(np.uint64)) ^ s1[order].view(np.uint64)), head)
+    place, number = [order], [np.repeat(name, np.diff(np.append(head, len(order))))]
+    weight = np.add.reduceat(n[order], head)
+    for g in np.flatnonzero(weight > GROUP_SHINGLES).tolist():  # too much for one task's memory: every two blocks of it become a group
+        lo = head[g]
+        hi = head[g + 1] if g + 1 < len(head) else len(order)
+        number[0][lo:hi] = 0
+        block = (np.cumsum(n[order[lo:hi]]) - n[order[lo:hi]]) // (GROUP_SHINGLES // 2)
+        names = np.unique(block)
+        for i, a in enumerate(names):
+            for b in names[i + 1 :] if len(names) > 1 else names:
+                own = order[lo:hi][(block == a) | (block == b)]
+                place.append(own)
+                with np.errstate(over="ignore"):
+                    number.append(np.full(len(own), mix(name[g : g + 1] + np.uint64(a * 1_000_003 + b + 1))[0]))
+    place, number = np.concatenate(place), np.concatenate(number)
+    return place[number != 0], number[number != 0]
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (cell, rep, s1, label, n, bits), sorted by cell, give (grp, rep, s1, label) of those that may have a partner."""
 
     def flush(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(rows)
-        rep, label, n, common = (t.column(c).to_numpy() for c in ("rep", "label", "n", "common"))
-        bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint8).reshape(-1, SKETCH)
-        x, y = node_pairs(rep, label, n, common, bits)
-        a, b = np.minimum(rep[x], rep[y]), np.maximum(rep[x], rep[y])
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        cell, rep, s1, label, n = (t.column(c).to_numpy() for c in ("cell", "rep", "s1", "label", "n"))
+        bits = np.concatenate([np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if len(data) else np.zeros(0, np.uint8) for offsets, data in map(column_bytes, t.column("bits").chunks)])
+        place, number = cell_groups(cell, rep, s1, label, n, bits.reshape(-1, SKETCH))
+        return pa.RecordBatch.from_arrays([pa.array(number.view(np.int64)), pa.array(rep[place]), pa.array(s1[place]), pa.array(label[place])], names=["grp", "rep", "s1", "label"])
 
     held: list[pa.RecordBatch] = []
-    current = None
     for batch in batches:
-        node = batch.column("node").to_numpy()
-        cut = np.concatenate([[0], np.flatnonzero(np.diff(node)) + 1, [len(node)]])
-        for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            if lo == hi:
-                continue
-            if node[lo] != current and held:
-                yield flush(held)
-                held = []
-            current = node[lo]
-            held.append(batch.slice(lo, hi - lo))
+        if not batch.num_rows:
+            continue
+        cell = batch.column("cell").to_numpy()
+        whole = int(np.searchsorted(cell, cell[-1]))  # the last cell may go on in the next batch
+        if whole:
+            yield flush([*held, batch.slice(0, whole)])
+            held = []
+        elif held and held[-1].column("cell")[0].as_py() != cell[0]:
+            yield flush(held)
+            held = []
+        held.append(batch.slice(whole))
     if held:
         yield flush(held)
 
 
+def shared(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every two sets, by products of their incidence in slices of the elements."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, code, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    code = np.where(many > 1, np.cumsum(many > 1) - 1, -1)[code]
+    order = np.argsort(code, kind="stable")
+    code, owner = code[order], owner[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(code[-1]) + 1, SLICE):
+        lo, hi = np.searchsorted(code, [at, at + SLICE])
+        part = np.zeros((len(sets), SLICE), np.float32)
+        part[owner[lo:hi], code[lo:hi] - at] = 1
+        both += part @ part.T
+    return both.astype(np.int64)
+
+
+def forest(label: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links between members of a group, as few as join every two members that links between them join; labels are joined already."""
+    _, root = np.unique(label, return_inverse=True)
+    size = np.array([len(s) for s in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    out: list[tuple[int, int]] = []
+
+    def join(i: int, others: np.ndarray) -> None:
+        for j in others.tolist():
+            if root[j] != root[i]:
+                out.append((i, j))
+                root[root == root[j]] = root[i]
+
+    for i in range(min(len(sets) - 1, ROWS)):  # most groups are one component after the first rows
+        other = root != root[i]
+        if other.any():
+            spot = np.searchsorted(sets[i], flat)
+            spot[spot == size[i]] = 0
+            both = np.bincount(owner[sets[i][spot] == flat], minlength=len(sets))
+            join(i, np.flatnonzero(other & (100 * both >= PERCENT * (size + size[i] - both))))
+    if (root != root[0]).any() and len(sets) > ROWS + 1:
+        both = shared(sets)
+        linked = (root[:, None] != root[None]) & (100 * both >= PERCENT * (size[:, None] + size[None] - both))
+        for i in np.flatnonzero(linked.any(1)).tolist():
+            join(i, np.flatnonzero(linked[i]))
+    return out
+
+
+def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (grp, rep, s1, label, text), sorted by group: gives links (a, b) that hold on the full sets, a forest for each group."""
+    group, ids, marks, labels, sets = None, [], [], [], []
+
+    def links() -> list[tuple[int, int]]:
+        return [(min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in forest(np.array(labels), sets)] if len(sets) > 1 else []
+
+    for batch in batches:
+        offsets, data = column_bytes(batch.column("text"))
+        names, reps, want, known = (batch.column(c).to_numpy() for c in ("grp", "rep", "s1", "label"))
+        out: list[tuple[int, int]] = []
+        for at, end in blocks(offsets):
+            first, sh = shingle_sets(offsets, data, at, end)
+            s1, _ = set_hashes(first, sh)
+            for r in np.flatnonzero(s1 == want[at:end]).tolist():  # rows that repeat a doc_id have other sets
+                i = at + r
+                if names[i] != group:
+                    out += links()
+                    group, ids, marks, labels, sets = names[i], [], [], [], []
+                if (reps[i], want[i]) not in marks[-1:]:
+                    ids.append(int(reps[i]))
+                    marks.append((reps[i], want[i]))
+                    labels.append(known[i])
+                    sets.append(sh[first[r] : first[r + 1]].copy())
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+    if out := links():
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+
+
 class _Join:
-    """State of one join: class representatives, texts of those that may have a partner, links and labels so far."""
+    """State of one join: the classes of equal sets, and the labels that the links found so far give to ids."""
 
     def __init__(self, spark: SparkSession, docs: DataFrame, key: str, text: str):
         self.spark = spark
+        self.paths: list[str] = []
         self.source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-        self.sketches = self._keep(self.source.mapInArrow(_sketch, "id long, n long, s1 long, s2 long, sig array<long>, bits binary"), "sketches")
+        self.sketches = self._keep(self.source.mapInArrow(_sketch, "id long, n long, s1 long, s2 long, sig array<long>, bits binary"), "sketches", stay=True)
         known = self.sketches.filter(F.col("id").isNotNull() & (F.col("n") > 0))
-        self.reps = self._keep(known.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.min(F.struct("sig", "bits")).alias("m")).select("n", "s1", "s2", "rep", "m.sig", "m.bits"), "classes")
+        self.reps = self._keep(known.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.min(F.struct("sig", "bits")).alias("m")).select("n", "s1", "s2", "rep", "m.sig", "m.bits"), "classes", stay=True)
         self.labels: DataFrame | None = None
-        self.seen: DataFrame | None = None
-        self.compared: DataFrame | None = None
         # rows that repeat a doc_id with different sets join the classes of these sets
         several = known.groupBy("id").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).filter("lo < hi").select("id")
         joined = known.join(several, "id", "left_semi").join(self.reps, ["n", "s1", "s2"]).filter("rep != id").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-        joined = self._keep(joined.distinct(), "repeated")
-        if not joined.isEmpty():
-            self._relabel(joined)
+        self._relabel(self._keep(joined.distinct(), "repeated"))
 
-    def _keep(self, df: DataFrame, name: str) -> DataFrame:
-        return materialize(self.spark, df, name, path=fresh_path(self.spark, name))
+    def _keep(self, df: DataFrame, name: str, stay: bool = False) -> DataFrame:
+        path = fresh_path(self.spark, name)
+        if not stay:
+            self.paths.append(path)
+        return materialize(self.spark, df, name, path=path)
 
-    def with_labels(self, nodes: DataFrame) -> DataFrame:
+    def with_labels(self, rows: DataFrame) -> DataFrame:
         if self.labels is None:
-            return nodes.withColumn("label", F.col("rep"))
+            return rows.withColumn("label", F.col("rep"))
         own = self.labels.select(F.col("id").alias("rep"), "component")
-        return nodes.join(own, "rep", "left").select(*nodes.columns, F.coalesce("component", "rep").alias("label"))
-
-    def first_nodes(self) -> DataFrame:
-        """(node, rep): the nodes of the trees' first coordinates that have company."""
-        rows = self.reps.select("rep", F.posexplode(F.slice("sig", 1, TREES)).alias("tree", "token")).select(F.xxhash64("tree", "token").alias("node"), "rep")
-        shared = rows.groupBy("node").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("node")
-        return self._keep(rows.join(shared, "node", "left_semi").distinct(), "nodes")
-
-    def stars(self, nodes: DataFrame) -> DataFrame:
-        rows = self.with_labels(nodes)
-        centre = rows.groupBy("node").agg(F.min_by("label", "rep").alias("centre_label"), F.min("rep").alias("a"))
-        return rows.join(centre, "node").filter("rep > a and label != centre_label").select("a", F.col("rep").alias("b"))
-
-    def mixed(self, nodes: DataFrame) -> DataFrame:
-        """Members of nodes with more than one component, with their labels and the nodes' pivots and sizes."""
-        rows = self.with_labels(nodes)
-        facts = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("rep").alias("pivot"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi and size > 2")
-        return rows.join(facts.select("node", "size", "pivot"), "node")
-
-    def exhaustive(self, small: DataFrame) -> DataFrame:
-        known = self.compared.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), "common") if self.compared is not None else None
-        rows = small.select("node", "rep", "label", "pivot")
-        rows = rows.join(known, ["pivot", "rep"], "left") if known is not None else rows.withColumn("common", F.lit(None).cast("long"))
-        own = self.reps.groupBy("rep").agg(F.max(F.struct("n", "bits")).alias("m"), F.count("*").alias("sets"))
-        # an id that stands for several sets has no one intersection with a pivot, and no one sketch to be ruled out by: its largest set speaks for it
-        full = rows.join(own, "rep").select("node", "rep", "label", F.col("m.n").alias("n"), F.when(F.col("sets") > 1, F.lit(-1)).otherwise(F.when(F.col("rep") == F.col("pivot"), F.col("m.n")).otherwise(F.coalesce("common", F.lit(-1)))).cast("long").alias("common"), F.col("m.bits").alias("bits"))
-        dealt = full.repartition("node").sortWithinPartitions("node", "rep")
-        return dealt.mapInArrow(_exhaustive, "a long, b long")
-
-    def children(self, large: DataFrame) -> DataFrame:
-        """Every member of a large node goes to the nodes of its tokens at coordinates that the path picks."""
-        sig = self.reps.select("rep", "sig")
-        picks = F.transform(F.sequence(F.lit(0), F.lit(BRANCHES - 1)), lambda i: F.pmod(F.xxhash64("node", i), F.lit(COORDINATES)).cast("int"))
-        rows = large.select("node", "rep").join(sig, "rep").select("node", "rep", "sig", F.explode(F.array_distinct(picks)).alias("c"))
-        rows = rows.select(F.xxhash64("node", "c", F.element_at("sig", F.col("c") + 1)).alias("node"), "rep").distinct()
-        shared = rows.groupBy("node").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("node")
-        return self._keep(rows.join(shared, "node", "left_semi"), "nodes")
-
-    def candidates(self, stars: list[DataFrame], checked: list[DataFrame]) -> DataFrame:
-        """New distinct pairs: of stars those that sizes and minwise agreement leave, and all that an exhaustive node has checked."""
-        agree: Column = F.aggregate(F.zip_with("ga", "gb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-        one = self.reps.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sig").alias("ga"))
-        two = self.reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("gb"))
-        parts = list(checked)
-        for pairs in stars:
-            sized = pairs.distinct().join(one, "a").join(two, "b").filter(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
-            parts.append(sized.filter(agree >= AGREE).select("a", "b"))
-        pairs = parts[0]
-        for p in parts[1:]:
-            pairs = pairs.unionByName(p)
-        pairs = pairs.distinct()
-        if self.seen is not None:
-            pairs = pairs.join(self.seen, ["a", "b"], "left_anti")
-        return self._keep(pairs, "pairs")
-
-    def confirm(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, common, linked) of the pairs, by their full sets."""
-        count = pairs.groupBy("a").agg(F.ceil(F.count("*") / CENTRE_MEMBERS).cast("int").alias("salts"))
-        member = pairs.join(count, "a").select(F.col("a").alias("centre"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(True).alias("member"), F.col("b").alias("id"))
-        centre = count.select(F.col("a").alias("centre"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("member"), F.col("a").alias("id"))
-        sets = self.reps.select(F.col("rep").alias("id"), "s1", "s2")
-        rows = member.unionByName(centre).join(sets, "id").join(self.texts, "id")
-        dealt = rows.repartition("centre", "salt").sortWithinPartitions("centre", "salt", "member")
-        return self._keep(dealt.select("centre", "salt", "member", "id", "s1", "s2", "text").mapInArrow(_confirm, "a long, b long, common long, linked boolean").groupBy("a", "b").agg(F.max("common").alias("common"), F.max("linked").alias("linked")), "links")
+        return rows.join(own, "rep", "left").select(*rows.columns, F.coalesce("component", "rep").alias("label"))
+
+    def first_nodes(self, trees: range) -> DataFrame:
+        """(node, used, rep, s1, label) of the classes in the trees' nodes of their minwise token; ``used`` has a bit for each coordinate of the path."""
+        rows = self.with_labels(self.reps.select("rep", "s1", F.slice("sig", trees.start + 1, len(trees)).alias("sig")))
+        one = F.posexplode("sig").alias("t", "token")
+        tree = F.col("t") + trees.start
+        return rows.select("rep", "s1", "label", one).select(F.xxhash64(tree, "token").alias("node"), F.expr(f"shiftleft(1L, t + {trees.start})").alias("used"), "rep", "s1", "label")
+
+    def mixed(self, rows: DataFrame) -> DataFrame:
+        """Members of nodes with more than one component, with the node's size, pivot, largest component and its size.
+
+        ``open``: that the node has more than NODE_ROWS members outside its largest component.
+        """
+        by_label = rows.groupBy("node", "label").agg(F.count("*").alias("n"), F.min(F.struct("rep", "s1")).alias("first"))
+        facts = by_label.groupBy("node").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("main"), F.min("first").alias("pivot")).filter("size > main.n")
+        facts = facts.select("node", "size", "pivot", F.col("main.label").alias("main"), F.col("main.n").alias("most"), (F.col("size") - F.col("main.n") > NODE_ROWS).alias("open"))
+        # written first, so that both sides of the join are plain shuffles, which the engine splits where a node is large
+        return self._keep(rows.join(self._keep(facts, "nodes"), "node"), "members")
+
+    def cells(self, members: DataFrame) -> DataFrame:
+        """(cell, rep, s1, label): what one task compares.
+
+        A node of up to NODE_ROWS members is one cell. One with so few members outside its largest component has these in
+        a cell with each block of that component. Any other is dealt into cells of CHUNK members, each with the node's
+        pivot, or where the path has used up all coordinates, has a cell for every two blocks.
+        """
+        mark = F.xxhash64("rep", "s1", "node")
+        blocks_, chunks, parts = F.ceil(F.col("most") / NODE_ROWS), F.ceil(F.col("size") / CHUNK), F.ceil(2 * F.col("size") / NODE_ROWS)
+        part, zero = F.pmod(mark, parts), F.lit(0).cast("long")
+        pivot = (F.col("rep") == F.col("pivot.rep")) & (F.col("s1") == F.col("pivot.s1"))
+        number = (
+            F.when(F.col("size") <= NODE_ROWS, F.array(zero))
+            .when(~F.col("open"), F.when(F.col("label") == F.col("main"), F.array(F.pmod(mark, blocks_))).otherwise(F.sequence(zero, blocks_ - 1)))
+            .when(F.bit_count("used") >= COORDINATES, F.transform(F.sequence(zero, parts - 1), lambda j: F.least(part, j) * parts + F.greatest(part, j)))
+            .otherwise(F.when(pivot, F.sequence(zero, chunks - 1)).otherwise(F.array(F.pmod(mark, chunks))))
+        )
+        return members.select("node", "rep", "s1", "label", F.explode(number).alias("c")).select(F.xxhash64("node", "c").alias("cell"), "rep", "s1", "label")
+
+    def links(self, cells: DataFrame) -> DataFrame:
+        """New links (a, b): of every cell, a forest that joins what links join."""
+        own = self.reps.select("rep", "s1", "n", "bits")
+        dealt = cells.join(own, ["rep", "s1"]).select("cell", "rep", "s1", "label", "n", "bits").repartition("cell").sortWithinPartitions("cell")
+        groups = self._keep(dealt.mapInArrow(_groups, "grp long, rep long, s1 long, label long").distinct(), "groups")
+        needed = self._keep(groups.select(F.col("rep").alias("id")).distinct(), "needed")
+        texts = self.source.join(needed, "id", "left_semi").withColumnRenamed("id", "rep")
+        rows = groups.join(texts, "rep").select("grp", "rep", "s1", "label", "text").repartition("grp").sortWithinPartitions("grp", "rep", "s1")
+        return self._keep(rows.mapInArrow(_confirm, "a long, b long").distinct(), "links")
+
+    def further(self, members: DataFrame) -> DataFrame | None:
+        """Rows of the next level, from the nodes that were open, by the labels known now.
+
+        Members of a node that isn't open any more stay in it; else each goes on to the nodes of its tokens at coordinates that the path picks.
+        """
+        rows = members.filter(F.col("open") & (F.bit_count("used") < COORDINATES)).select("node", "used", "rep", "s1")
+        if rows.isEmpty():
+            return None
+        now = self.mixed(self.with_labels(rows)).join(self.reps.select("rep", "s1", "sig"), ["rep", "s1"])
+        left = F.filter(F.sequence(F.lit(0), F.lit(COORDINATES - 1)), lambda c: F.col("used").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), c)) == 0)
+        picks = F.slice(F.array_sort(F.transform(left, lambda c: F.struct(F.xxhash64("node", c).alias("h"), c.alias("c")))), 1, BRANCHES)
+        picks = F.when(F.col("open"), F.transform(picks, lambda p: p["c"])).otherwise(F.array(F.lit(-1)))
+        now = now.select("node", "used", "rep", "s1", "label", "sig", F.explode(picks).alias("c"))
+        stays = F.col("c") < 0
+        node = F.when(stays, F.col("node")).otherwise(F.xxhash64("node", "c", F.try_element_at("sig", F.col("c") + 1)))
+        used = F.when(stays, F.col("used")).otherwise(F.expr("used | shiftleft(1L, c)"))
+        return self._keep(now.select(node.alias("node"), used.alias("used"), "rep", "s1", "label"), "level")
 
     def run(self) -> DataFrame:
-        fresh, older = self.first_nodes(), None
-        needed = fresh.select(F.col("rep").alias("id")).distinct()
-        self.texts = self._keep(self.source.join(needed, "id", "left_semi"), "texts")
-        for depth in range(10_000):
-            stars = [] if fresh is None else [self.stars(fresh)]
-            checked: list[DataFrame] = []
-            children = None
-            if older is not None:
-                mixed = self._keep(self.mixed(older), "mixed")
-                alone = F.col("size") <= NODE_ROWS if depth < DEPTH else F.lit(True)
-                checked.append(self.exhaustive(mixed.filter(alone)))
-                large = mixed.filter(~alone)
-                if not large.isEmpty():
-                    children = self.children(large)
-                    stars.append(self.stars(children))
-            if not stars and not checked:
-                break
-            pairs = self.candidates(stars, checked)
-            self.seen = pairs if self.seen is None else self.seen.unionByName(pairs)
-            if not pairs.isEmpty():
-                found = self.confirm(pairs)
-                self.compared = found if self.compared is None else self.compared.unionByName(found)
-                linked = found.filter("linked").select("a", "b")
-                if not linked.isEmpty():
-                    self._relabel(linked)
-            older, fresh = (fresh if fresh is not None else children), None
+        for trees in (range(FIRST_TREES), range(FIRST_TREES, TREES)):
+            rows: DataFrame | None = self.first_nodes(trees)
+            while rows is not None:
+                members = self.mixed(rows)
+                self._relabel(self.links(self.cells(members)))
+                rows = self.further(members)
+        for path in self.paths:
+            drop_path(self.spark, path)
         return self.result()
 
     def _relabel(self, links: DataFrame) -> None:
         """Take new links (a, b) into the labels. Links inside a component, and repeated ones between two, are dropped first."""
-        if self.labels is None:
-            self.labels = connected_components(self.spark, links)
-            return
-        own = self.labels
-        ends = links.join(own.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(own.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
-        between = self._keep(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a <> b").distinct(), "between")
-        if between.isEmpty():
+        if self.labels is not None:
+            own = self.labels
+            ends = links.join(own.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(own.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
+            links = self._keep(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a <> b").distinct(), "between")
+        if links.isEmpty():
             return
-        merged = connected_components(self.spark, between).select(F.col("id").alias("component"), F.col("component").alias("root"))
-        ids = own.unionByName(between.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(own, "id", "left_anti").select("id", F.col("id").alias("component")))
-        self.labels = self._keep(ids.join(merged, "component", "left").select("id", F.coalesce("root", "component").alias("component")), "labels")
+        found = connected_components(self.spark, links)
+        if self.labels is not None:
+            merged = found.select(F.col("id").alias("component"), F.col("component").alias("root"))
+            ids = own.unionByName(found.select("id").join(own, "id", "left_anti").select("id", F.col("id").alias("component")))
+            found = ids.join(merged, "component", "left").select("id", F.coalesce("root", "component").alias("component"))
+        self.labels = self._keep(found, "labels", stay=True)
 
     def result(self) -> DataFrame:
         classes = self.reps.select("n", "s1", "s2", "rep")
