@@ -17,28 +17,35 @@ def both_ways(edges: DataFrame, *extra: str) -> DataFrame:
     return edges.select("src", "dst", *extra).unionByName(back)
 
 
-def relax(spark: SparkSession, edges: DataFrame, start: DataFrame, *, limit: float | None = None, max_rounds: int = 1000) -> DataFrame:
+def relax(spark: SparkSession, edges: DataFrame, start: DataFrame, *, limit: float | None = None, max_rounds: int = 1000, routes: bool = False) -> DataFrame:
     """(origin, node, cost): least cost from each origin over directed edges (src, dst, cost >= 0), up to ``limit``.
 
-    ``start`` is (origin, node). A round extends only the nodes whose cost fell in the round before.
+    ``start`` is (origin, node). A round extends only the nodes whose cost fell in the round before; edges are written
+    once. With ``routes`` there is also the route, an array of nodes, the smallest one of equal costs (costs must be above 0
+    then). A search that is not over after ``max_rounds`` rounds is an error, as its costs are not final.
     """
-    path = fresh_path(spark, "costs")
-    costs = materialize(spark, start.select("origin", "node", F.lit(0.0).alias("cost"), F.lit(True).alias("fresh")).distinct(), "costs", path=path)
+    edge_path, path = fresh_path(spark, "edges"), fresh_path(spark, "costs")
+    edges = materialize(spark, edges.select("src", "dst", F.col("cost").cast("double").alias("step")), "edges", path=edge_path)
+    way = [F.array("node").alias("route")] if routes else []
+    extra = ["route"] if routes else []
+    costs = materialize(spark, start.select("origin", "node", F.lit(0.0).alias("cost"), *way, F.lit(True).alias("fresh")).distinct(), "costs", path=path)
     for _ in range(max_rounds):
-        step = costs.filter("fresh").select("origin", F.col("node").alias("src"), F.col("cost").alias("_c")).join(edges, "src")
-        step = step.select("origin", F.col("dst").alias("node"), (F.col("_c") + F.col("cost")).alias("cost"))
+        step = costs.filter("fresh").withColumnRenamed("node", "src").join(edges, "src")
+        longer = [F.concat("route", F.array("dst")).alias("route")] if routes else []
+        step = step.select("origin", F.col("dst").alias("node"), (F.col("cost") + F.col("step")).alias("cost"), *longer)
         if limit is not None:
             step = step.filter(F.col("cost") <= limit)
-        found = step.groupBy("origin", "node").agg(F.min("cost").alias("new"))
+        found = step.groupBy("origin", "node").agg(F.min(F.struct("cost", *extra)).alias("new"))
         merged = costs.join(found, ["origin", "node"], "full_outer")
-        better = F.col("new").isNotNull() & (F.col("cost").isNull() | (F.col("new") < F.col("cost")))
-        merged = merged.select("origin", "node", F.when(better, F.col("new")).otherwise(F.col("cost")).alias("cost"), better.alias("fresh"))
+        better = F.col("new").isNotNull() & (F.col("cost").isNull() | (F.col("new") < F.struct("cost", *extra)))
+        merged = merged.select("origin", "node", *(F.when(better, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in ["cost", *extra]), better.alias("fresh"))
         old, path = path, fresh_path(spark, "costs")
         costs = materialize(spark, merged, "costs", path=path)
         drop_path(spark, old)
         if costs.filter("fresh").isEmpty():
-            break
-    return costs.select("origin", "node", "cost")
+            drop_path(spark, edge_path)
+            return costs.select("origin", "node", "cost", *extra)
+    raise RuntimeError(f"the search was not over after {max_rounds} rounds")
 
 
 def margins(spark: SparkSession, links: DataFrame, start: DataFrame, depth: int, *, loops_cost: bool = False, free: DataFrame | None = None) -> DataFrame:
@@ -55,20 +62,36 @@ def margins(spark: SparkSession, links: DataFrame, start: DataFrame, depth: int,
 
 
 def components(spark: SparkSession, edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, component): the smallest node that can be reached; by minimum labels and labels of labels."""
-    both = both_ways(edges.select("src", "dst")).distinct()
-    path = fresh_path(spark, "labels")
-    labels = materialize(spark, nodes.select("node", F.col("node").alias("component")).distinct(), "labels", path=path)
-    while True:
-        seen = both.join(labels.select(F.col("node").alias("dst"), "component"), "dst").groupBy("src").agg(F.min("component").alias("near"))
-        lower = labels.join(seen.withColumnRenamed("src", "node"), "node", "left").select("node", F.col("component").alias("before"), F.least("component", F.coalesce("near", "component")).alias("label"))
-        jump = lower.join(labels.select(F.col("node").alias("label"), F.col("component").alias("further")), "label", "left")
-        old, path = path, fresh_path(spark, "labels")
-        after = materialize(spark, jump.select("node", F.coalesce(F.least("label", "further"), "label").alias("component"), "before"), "labels", path=path)
+    """(node, component): the smallest node that can be reached, by contraction.
+
+    A round hooks every node to the neighbour with the smallest hash, or to itself if its own is smaller, follows two hooks
+    more, and replaces the ends of the edges by what they are hooked to; edges inside a contracted node go. Hashes differ
+    from round to round, so that a chain shrinks to a third or less however its nodes are numbered. The hooks of
+    all rounds are composed in the end. Ends of edges that are not in ``nodes`` connect, but are not returned.
+    """
+    hooks: list[DataFrame] = []
+    path = fresh_path(spark, "edges")
+    both = materialize(spark, both_ways(edges.select("src", "dst")).filter("src <> dst").distinct(), "edges", path=path)
+    while not both.isEmpty():
+        mark = len(hooks)
+        low = both.groupBy("src").agg(F.min(F.struct(F.xxhash64("dst", F.lit(mark)).alias("h"), F.col("dst").alias("to"))).alias("m"))
+        low = low.select("src", F.least("m", F.struct(F.xxhash64("src", F.lit(mark)).alias("h"), F.col("src").alias("to")))["to"].alias("to"))
+        for _ in range(2):
+            low = low.join(low.select(F.col("src").alias("to"), F.col("to").alias("next")), "to").select("src", F.col("next").alias("to"))
+        hook = materialize(spark, low, "hooks", path=fresh_path(spark, "hooks"))
+        hooks.append(hook)
+        moved = both.join(hook.withColumnRenamed("to", "a"), "src").join(hook.select(F.col("src").alias("dst"), F.col("to").alias("b")), "dst")
+        old, path = path, fresh_path(spark, "edges")
+        both = materialize(spark, moved.filter("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct(), "edges", path=path)
         drop_path(spark, old)
-        labels = after.select("node", "component")
-        if after.filter("component <> before").isEmpty():
-            return labels
+    drop_path(spark, path)
+    ends = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))) if hooks else None
+    labels = (nodes.select("node").unionByName(ends) if hooks else nodes.select("node")).distinct().withColumn("component", F.col("node"))
+    for hook in hooks:
+        labels = labels.join(hook.select(F.col("src").alias("component"), "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    labels = materialize(spark, labels, "labels", path=fresh_path(spark, "labels"))
+    least = labels.groupBy("component").agg(F.min("node").alias("least"))
+    return labels.join(least, "component").join(nodes.select("node").distinct(), "node", "left_semi").select("node", F.col("least").alias("component"))
 
 
 def reduce_by(labels: DataFrame, links: DataFrame, order: str = "id") -> DataFrame:

@@ -26,7 +26,7 @@ def graph(table) -> DataFrame:
     return chain.unionByName(jump).filter("dst is not null and src <> dst")
 
 
-@query("GRA-06 GRA-05 AGG-29 GEO-09", f"""WITH RECURSIVE {_G}, r AS (SELECT p_partkey AS node, p_partkey AS root FROM part UNION SELECT b.dst, r.root FROM r JOIN b ON b.src = r.node)
+@query("GRA-06", f"""WITH RECURSIVE {_G}, r AS (SELECT p_partkey AS node, p_partkey AS root FROM part UNION SELECT b.dst, r.root FROM r JOIN b ON b.src = r.node)
 SELECT node, min(root) AS component FROM r GROUP BY node""")
 def components(table):
     """Component of each part."""
@@ -34,7 +34,7 @@ def components(table):
     return G.components(g.sparkSession, g, table("part").select(F.col("p_partkey").alias("node")))
 
 
-@query("GRA-03 GRA-04 GRA-15", f"""WITH RECURSIVE {_G}, s(node, cost) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS DOUBLE) UNION SELECT b.dst, s.cost + b.cost FROM s JOIN b ON b.src = s.node WHERE s.cost + b.cost <= 40)
+@query("GRA-03 GRA-04", f"""WITH RECURSIVE {_G}, s(node, cost) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS DOUBLE) UNION SELECT b.dst, s.cost + b.cost FROM s JOIN b ON b.src = s.node WHERE s.cost + b.cost <= 40)
 SELECT CAST(0 AS BIGINT) AS origin, node, min(cost) AS cost FROM s GROUP BY node""")
 def shortest_path(table):
     """Least costs from part 0 up to 40."""
@@ -43,6 +43,19 @@ def shortest_path(table):
     return G.relax(g.sparkSession, G.both_ways(g, "cost"), start, limit=40.0)
 
 
+@query("GRA-15", f"""WITH RECURSIVE {_G}, s(node, cost, route) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS DOUBLE), [CAST(0 AS BIGINT)] UNION ALL
+  SELECT b.dst, s.cost + b.cost, list_append(s.route, b.dst) FROM s JOIN b ON b.src = s.node WHERE s.cost + b.cost <= 40 AND NOT list_contains(s.route, b.dst)),
+m AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY cost, route) AS rn FROM s)
+SELECT node AS goal, cost, CAST(len(route) - 1 AS INTEGER) AS hops, route[2] AS next_node, array_to_string(route, '>') AS route FROM m WHERE rn = 1""")
+def planned_route(table):
+    """Route from part 0 to each goal within a cost of 40, with the next node to go to; of equal costs the smallest route."""
+    g = graph(table)
+    start = table("part").filter("p_partkey = 0").select(F.col("p_partkey").alias("origin"), F.col("p_partkey").alias("node"))
+    found = G.relax(g.sparkSession, G.both_ways(g, "cost"), start, limit=40.0, routes=True)
+    hops = F.size("route") - 1
+    return found.select(F.col("node").alias("goal"), "cost", hops.alias("hops"), F.try_element_at("route", F.lit(2)).alias("next_node"), F.array_join(F.transform("route", lambda x: x.cast("string")), ">").alias("route"))
+
+
 @query("GRA-01", f"""WITH RECURSIVE {_G}, s(node, m) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT b.dst, s.m + CASE WHEN type = 0 THEN 1 ELSE 0 END FROM s JOIN b ON b.src = s.node WHERE s.m + CASE WHEN type = 0 THEN 1 ELSE 0 END <= 5)
 SELECT CAST(0 AS BIGINT) AS origin, node, min(m) AS margin FROM s GROUP BY node""")
 def bfs_margin(table):
