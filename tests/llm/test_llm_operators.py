@@ -463,12 +463,14 @@ def test_passages_brute_force(spark, edge):
     assert sorted(got) == sorted(_repeats(_docs(edge)))
 
 
-def test_crowded_buckets_give_the_same(spark, edge, monkeypatch, tmp_path):
+@pytest.mark.parametrize("limit", [3000, 1])
+def test_crowded_buckets_give_the_same(spark, edge, monkeypatch, tmp_path, limit):
+    """Buckets beyond the bound are split by longer minimisers, with a bound of one byte down to single windows."""
     from waymark.llm import passages
 
-    monkeypatch.setattr(passages, "BUCKET_BYTES", 2000)
+    monkeypatch.setattr(passages, "BUCKET_BYTES", limit)
     shared = _words("common", 80)
-    texts = [f"{_words(f'l{i}_', 40)} {shared} {_words(f'r{i}_', 40)}" for i in range(30)]
+    texts = [f"{_words(f'l{i % 9}_', 40 + i % 3)} {shared} {_words(f'r{i % 7}_', 40)}" for i in range(30)]
     pq.write_table(pa.table({"doc_id": pa.array(range(30), pa.int64()), "text": texts}), tmp_path / "documents.parquet")
     got = [(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in _rows(spark, "op10_repeated_passages", str(tmp_path))]
     assert sorted(got) == sorted(_repeats(list(enumerate(texts))))

@@ -6,8 +6,9 @@ window occurs in another document is settled inside its bucket, where the window
 
 Minimisers that occur in one document only cannot hold a repeated window; they are found first, from the minimisers
 alone, and their super-k-mers are never packed. Equal super-k-mers are combined on the map side before they are
-shuffled, so exact copies cost one string. A bucket with more than ``BUCKET_BYTES`` of different strings is not gathered: its
-windows are dealt by a 128-bit hash of their bytes, and combined in the same way. Nothing is left out.
+shuffled, so exact copies cost one string. A bucket with more than ``BUCKET_BYTES`` of different strings is split in the same
+way: its strings are cut again by minimisers twice as long, and so on up to k words, where a minimiser is the window
+itself and a bucket holds copies only. Windows are compared byte by byte at every level, and nothing is left out.
 
 Defined edge cases: null texts have no words; texts of fewer words than a window keep all; a window repeated inside one
 document alone stays; rows that repeat a doc_id are one document; rows with a null doc_id neither lose words nor take
@@ -30,7 +31,7 @@ from waymark.session import drop_path, fresh_path, materialize, prepare
 WINDOW = 50
 MINIMISER = 8
 #: Bytes of different strings that one bucket may gather in a task; its windows take some forty times that.
-BUCKET_BYTES = 1 << 20
+BUCKET_BYTES = 1 << 17
 #: Windows of one super-k-mer at most; longer runs (of a repeated word) are cut.
 RUN = 256
 
@@ -53,60 +54,64 @@ def window_minimisers(w: Words, k: int, m: int) -> tuple[np.ndarray, np.ndarray]
     return start, sliding_min(grams(h, m), k - m + 1)[start].view(np.int64)
 
 
+def _cuts(w: Words, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first word, number of windows, minimiser) of each run of windows that share a minimiser."""
+    start, mz = window_minimisers(w, k, m)
+    row = w.row[start]
+    change = np.ones(len(mz), bool)
+    change[1:] = (mz[1:] != mz[:-1]) | (row[1:] != row[:-1])
+    head = np.flatnonzero(change)
+    return row[head], start[head], np.diff(np.append(head, len(mz))), mz[head]
+
+
 def _minimisers(k: int, m: int):
+    """Rows (u1, u2, owner, text) give (u1, u2, owner, mz), the distinct minimisers of each."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            offsets, data = column_bytes(batch.column(1))
+            offsets, data = column_bytes(batch.column("text"))
             for at, end in blocks(offsets):
-                w = Words(offsets, data, at, end)
-                start, mz = window_minimisers(w, k, m)
-                row = w.row[start]
-                change = np.ones(len(mz), bool)
-                change[1:] = (mz[1:] != mz[:-1]) | (row[1:] != row[:-1])
-                row, mz = row[change], mz[change]
+                row, _, _, mz = _cuts(Words(offsets, data, at, end), k, m)
                 order = np.lexsort((mz, row))
                 row, mz = row[order], mz[order]
                 new = np.ones(len(mz), bool)
                 new[1:] = (mz[1:] != mz[:-1]) | (row[1:] != row[:-1])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[new] + at)), pa.array(mz[new])], names=["id", "mz"])
+                where = pa.array(row[new] + at)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(where) for c in ("u1", "u2", "owner")), pa.array(mz[new])], names=["u1", "u2", "owner", "mz"])
 
     return run
 
 
 def _super_kmers(k: int, m: int):
+    """Rows (u1, u2, owner, text, mzs) give the super-k-mers of the minimisers ``mzs``, with their first window and number of windows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, data = column_bytes(batch.column("text"))
-            ids, marks, shared = batch.column("id"), batch.column("th"), batch.column("mzs")
+            shared = batch.column("mzs")
             for at, end in blocks(offsets):
                 w = Words(offsets, data, at, end)
-                start, mz = window_minimisers(w, k, m)
-                row = w.row[start]
-                change = np.ones(len(mz), bool)
-                change[1:] = (mz[1:] != mz[:-1]) | (row[1:] != row[:-1])
-                head = np.flatnonzero(change)
-                length = np.diff(np.append(head, len(mz)))
+                row, start, length, mz = _cuts(w, k, m)
                 out: tuple[list, ...] = ([], [], [], [], [], [], [])
-                bound = np.searchsorted(row[head], np.arange(end - at + 1))
+                bound = np.searchsorted(row, np.arange(end - at + 1))
                 for r in range(end - at):
                     lo, hi = bound[r], bound[r + 1]
                     if lo == hi:
                         continue
-                    known = np.isin(mz[head[lo:hi]], np.array(shared[at + r].as_py(), np.int64))
+                    known = np.isin(mz[lo:hi], np.array(shared[at + r].as_py(), np.int64))
                     text = w.raw[w.edge[r] : w.edge[r + 1]].tobytes().split()
                     first = int(w.first[r])
-                    for h, n in zip(head[lo:hi][known].tolist(), length[lo:hi][known].tolist(), strict=True):
-                        s = int(start[h]) - first
+                    for s, n, z in zip((start[lo:hi][known] - first).tolist(), length[lo:hi][known].tolist(), mz[lo:hi][known].tolist(), strict=True):
                         for cut in range(0, n, RUN):
                             many = min(RUN, n - cut)
                             packed = b" ".join(text[s + cut : s + cut + many + k - 1])
                             a, b = _hash128(packed)
-                            for column, value in zip(out, (r + at, int(mz[h]), a, b, packed, s + cut, many), strict=True):
+                            for column, value in zip(out, (r + at, z, a, b, packed, s + cut, many), strict=True):
                                 column.append(value)
                 where = pa.array(out[0], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(where), marks.take(where), *(pa.array(c, pa.int64()) for c in out[1:4]), pa.array(out[4], pa.binary()), *(pa.array(c, pa.int32()) for c in out[5:])],
-                    names=["id", "th", "mz", "h1", "h2", "packed", "start", "n"],
+                    [*(batch.column(c).take(where) for c in ("u1", "u2", "owner")), *(pa.array(c, pa.int64()) for c in out[1:4]), pa.array(out[4], pa.binary()), *(pa.array(c, pa.int32()) for c in out[5:])],
+                    names=["u1", "u2", "owner", "mz", "h1", "h2", "packed", "start", "n"],
                 )
 
     return run
@@ -167,44 +172,48 @@ def _buckets(k: int):
     return run
 
 
-def _single_windows(k: int):
-    """Rows (h1, h2, packed, md) of crowded buckets: gives one row of each window."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                keys, row, spot = [], [], []
-                for r, p in enumerate(part.column("packed").to_pylist()):
-                    for i, x in enumerate(windows_of(p, k)):
-                        keys.append(_hash128(x))
-                        row.append(r)
-                        spot.append(i)
-                where = pa.array(row, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in keys], pa.int64()), pa.array([x[1] for x in keys], pa.int64()), *(part.column(c).take(where) for c in ("h1", "h2", "md")), pa.array(spot, pa.int32())], names=["w1", "w2", "h1", "h2", "md", "i"])
-
-    return run
-
-
-def _owners(spark: SparkSession, rows: DataFrame, k: int) -> DataFrame:
-    """(h1, h2, md, lower) of every super-k-mer: the smallest document that has it, and which of its windows a still smaller one has.
-
-    A document above md loses all windows of the string, md itself only those of ``lower``.
-    """
-    own = rows.groupBy("mz", "h1", "h2", "packed").agg(F.min("id").alias("md"))
-    path = fresh_path(spark, "strings")
-    own = materialize(spark, own, "strings", path=path)
-    crowd = own.groupBy("mz").agg(F.count("*").alias("c"), F.sum(F.octet_length("packed")).alias("bytes")).filter("c > 1")
-    busy, crowded = crowd.filter(F.col("bytes") <= BUCKET_BYTES).select("mz"), crowd.filter(F.col("bytes") > BUCKET_BYTES).select("mz")
-    dealt = own.join(busy, "mz", "left_semi").repartition("mz").sortWithinPartitions("mz")
-    found = dealt.select("mz", "h1", "h2", "packed", "md").mapInArrow(_buckets(k), "h1 long, h2 long, lower array<int>")
-    if not crowded.isEmpty():
-        one_path = fresh_path(spark, "windows")
-        one = materialize(spark, own.join(crowded, "mz", "left_semi").select("h1", "h2", "packed", "md").mapInArrow(_single_windows(k), "w1 long, w2 long, h1 long, h2 long, md long, i int"), "windows", path=one_path)
-        least = one.groupBy("w1", "w2").agg(F.min("md").alias("owner"), F.max("md").alias("last")).filter("owner < last").select(F.col("w1").alias("v1"), F.col("w2").alias("v2"), "owner")
-        lower = one.join(least, (F.col("w1") == F.col("v1")) & (F.col("w2") == F.col("v2")) & (F.col("md") > F.col("owner")))
-        found = found.unionByName(lower.groupBy("h1", "h2").agg(F.collect_set("i").alias("lower")))
-    return own.select("h1", "h2", "md").join(found, ["h1", "h2"], "left")
+class _Windows:
+    """Which windows of which texts a smaller owner has too, level by level; written tables are dropped in the end."""
+
+    def __init__(self, spark: SparkSession, k: int, m: int):
+        self.spark, self.k, self.paths = spark, k, []
+        self.lengths = [m]
+        while self.lengths[-1] < k:
+            self.lengths.append(min(k, 2 * self.lengths[-1]))
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths.append(fresh_path(self.spark, name))
+        return materialize(self.spark, df, name, path=self.paths[-1])
+
+    def drop(self) -> None:
+        for path in self.paths:
+            drop_path(self.spark, path)
+
+    def runs(self, units: DataFrame, level: int = 0) -> DataFrame:
+        """Of texts (u1, u2, owner, text): (u1, u2, owner, start, n, md, lower), the super-k-mers with windows that others have.
+
+        ``md`` is the smallest owner of the super-k-mer, ``lower`` lists which of its windows a still smaller one has.
+        """
+        k, m = self.k, self.lengths[level]
+        mini = self.keep(units.mapInArrow(_minimisers(k, m), "u1 long, u2 long, owner long, mz long"), "minimisers")
+        shared = mini.groupBy("mz").agg(F.min("owner").alias("lo"), F.max("owner").alias("hi")).filter("lo < hi").select("mz")
+        lists = mini.join(shared, "mz", "left_semi").groupBy("u1", "u2").agg(F.collect_set("mz").alias("mzs"))
+        texts = units.join(lists, ["u1", "u2"]).select("u1", "u2", "owner", "text", "mzs")
+        rows = self.keep(texts.mapInArrow(_super_kmers(k, m), "u1 long, u2 long, owner long, mz long, h1 long, h2 long, packed binary, start int, n int"), "super-kmers")
+        own = self.keep(rows.groupBy("mz", "h1", "h2", "packed").agg(F.min("owner").alias("md"), F.max("owner").alias("last")), "strings")
+        crowd = self.keep(own.groupBy("mz").agg(F.count("*").alias("c"), F.sum(F.octet_length("packed")).alias("bytes")).filter("c > 1").select("mz", "bytes"), "buckets")
+        fits = F.lit(True) if m == k else F.col("bytes") <= BUCKET_BYTES  # a gram of k words is the window itself
+        dealt = own.join(crowd.filter(fits), "mz", "left_semi").repartition("mz").sortWithinPartitions("mz")
+        lower = dealt.select("mz", "h1", "h2", "packed", "md").mapInArrow(_buckets(k), "h1 long, h2 long, lower array<int>")
+        large = crowd.filter(~fits)
+        if not large.isEmpty():
+            strings = self.keep(own.join(large, "mz", "left_semi").select(F.col("h1").alias("u1"), F.col("h2").alias("u2"), F.col("md").alias("owner"), F.col("packed").alias("text")), "large-buckets")
+            deeper = self.runs(strings, level + 1)
+            hit = F.when(F.col("md") < F.col("owner"), F.sequence("start", F.expr("start + n - 1"))).otherwise(F.transform("lower", lambda i: i + F.col("start")))
+            lower = lower.unionByName(deeper.groupBy("u1", "u2").agg(F.array_distinct(F.flatten(F.collect_list(hit))).alias("lower")).withColumnsRenamed({"u1": "h1", "u2": "h2"}))
+        # written, so that the engine can split the join where a string is in very many texts
+        owners = self.keep(own.select("h1", "h2", "md", "last").join(lower, ["h1", "h2"], "left").filter("md < last or lower is not null").select("h1", "h2", "md", "lower"), "owners")
+        return rows.select("u1", "u2", "owner", "start", "n", "h1", "h2").join(owners, ["h1", "h2"]).filter("lower is not null or md < owner").drop("h1", "h2")
 
 
 def _removed(n_words: int, id_: int, runs: list[dict], k: int) -> np.ndarray:
@@ -243,19 +252,11 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, *, key: str = "doc_id",
     """(key, kept_text, n_words, n_removed) of every row: words inside windows that start in a smaller document are gone."""
     prepare(spark)
     source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    taking = source.filter(F.col("id").isNotNull())
-    mini_path = fresh_path(spark, "minimisers")
-    mini = materialize(spark, taking.mapInArrow(_minimisers(window, minimiser), "id long, mz long"), "minimisers", path=mini_path)
-    shared = mini.groupBy("mz").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("mz")
-    lists = mini.join(shared, "mz", "left_semi").groupBy("id").agg(F.collect_set("mz").alias("mzs"))
-    with_marks = taking.withColumn("th", F.xxhash64("text")).join(lists, "id")
-    rows = with_marks.select("id", "th", "text", "mzs").mapInArrow(_super_kmers(window, minimiser), "id long, th long, mz long, h1 long, h2 long, packed binary, start int, n int")
-    rows = materialize(spark, rows, "super-kmers", path=fresh_path(spark, "super-kmers"))
-    drop_path(spark, mini_path)
-    owners = _owners(spark, rows, window)
-    places = rows.select("id", "th", "h1", "h2", "start", "n").join(owners, ["h1", "h2"]).filter(F.col("lower").isNotNull() | (F.col("md") < F.col("id")))
-    runs = places.groupBy("id", "th").agg(F.collect_list(F.struct("start", "n", "md", "lower")).alias("runs"))
-    runs = materialize(spark, runs, "runs", path=fresh_path(spark, "runs"))
+    work = _Windows(spark, window, minimiser)
+    units = source.filter(F.col("id").isNotNull()).select(F.col("id").alias("u1"), F.xxhash64("text").alias("u2"), F.col("id").alias("owner"), "text")
+    found = work.runs(units).groupBy(F.col("u1").alias("id"), F.col("u2").alias("th")).agg(F.collect_list(F.struct("start", "n", "md", "lower")).alias("runs"))
+    runs = materialize(spark, found, "runs", path=fresh_path(spark, "runs"))
+    work.drop()
     final = source.withColumn("th", F.xxhash64("text")).join(runs, ["id", "th"], "left").select("id", "text", "runs")
     return final.mapInArrow(_rewrite(window), "id long, kept_text string, n_words long, n_removed long").withColumnRenamed("id", key)
 
