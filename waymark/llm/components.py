@@ -1,19 +1,50 @@
-"""Connected components of an edge table, by minimum labels and pointer jumping."""
+"""Connected components of an edge table: in one task up to a counted number of edges, else by minimum labels and pointer jumping."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.session import drop_path, fresh_path, materialize
 
 
+#: Edges that one task may take (16 MB); beyond it the work is shared out.
+TASK_EDGES = 1 << 20
+
+
+def roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Smallest position that each of n positions reaches over the pairs (x, y)."""
+    root = np.arange(n)
+    while True:
+        apart = root[x] != root[y]
+        x, y = x[apart], y[apart]
+        if not len(x):
+            return root
+        np.minimum.at(root, np.maximum(root[x], root[y]), np.minimum(root[x], root[y]))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _in_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    t = pa.Table.from_batches(list(batches), pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+    ids, ends = np.unique(np.concatenate([t.column("a").to_numpy(), t.column("b").to_numpy()]), return_inverse=True)
+    root = roots(len(ids), ends[: t.num_rows], ends[t.num_rows :])
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[root])], names=["id", "component"])
+
+
 def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(id, component) of every end of the edges (a, b); the component is the smallest id in it.
 
-    Each round takes the smallest label around a node and then the label of that label, and is written to the shared
-    folder. Hubs are combined on the map side, and joins on them can be split by the engine.
+    ``edges`` should be a written table, as it is counted first. Each round takes the smallest label around a node and then
+    the label of that label, and is written to the shared folder. Hubs are combined on the map side, and joins on them can be
+    split by the engine.
     """
+    if edges.count() <= TASK_EDGES:
+        return edges.select(F.col("a").cast("long"), F.col("b").cast("long")).coalesce(1).mapInArrow(_in_one_task, "id long, component long")
     both_path = fresh_path(spark, "edges")
     both = edges.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("id"), F.col("a").alias("other"))).distinct()
     both = materialize(spark, both, "edges", path=both_path)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm.components import connected_components
+from waymark.llm.components import connected_components, roots
 from waymark.llm.text import Words, blocks, column_bytes, grams, mix
 from waymark.session import drop_path, fresh_path, materialize, prepare
 
@@ -42,7 +42,7 @@ FIRST_TREES = 2
 COORDINATES = 32
 BRANCHES = 2
 #: Members of a node that is compared exhaustively in one task (some 600 bytes each).
-NODE_ROWS = 512
+NODE_ROWS = 2048
 #: Members of a larger node that are compared with its pivot and each other before it branches.
 CHUNK = 64
 #: Low bytes of so many further minwise hashes make a fine sketch; a candidate pair must agree on SKETCH_AGREE of them.
@@ -131,19 +131,6 @@ def row_pairs(end: np.ndarray, limit: int = PAIRS) -> Iterator[tuple[np.ndarray,
         at = stop
 
 
-def roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Smallest position that each of n positions reaches over the pairs (x, y)."""
-    root = np.arange(n)
-    while True:
-        apart = root[x] != root[y]
-        x, y = x[apart], y[apart]
-        if not len(x):
-            return root
-        np.minimum.at(root, np.maximum(root[x], root[y]), np.minimum(root[x], root[y]))
-        while (root[root] != root).any():
-            root = root[root]
-
-
 def cell_groups(cell: np.ndarray, rep: np.ndarray, s1: np.ndarray, label: np.ndarray, n: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(position, group) of the rows of cells that may have a partner in another component; a group is closed under such pairs.
 
@@ -326,16 +313,15 @@ class _Join:
         tree = F.col("t") + trees.start
         return rows.select("rep", "s1", "label", one).select(F.xxhash64(tree, "token").alias("node"), F.expr(f"shiftleft(1L, t + {trees.start})").alias("used"), "rep", "s1", "label")
 
-    def mixed(self, rows: DataFrame) -> DataFrame:
-        """Members of nodes with more than one component, with the node's size, pivot, largest component and its size.
+    def facts(self, rows: DataFrame) -> DataFrame:
+        """Of nodes with more than one component: size, pivot, largest component and its size.
 
-        ``open``: that the node has more than NODE_ROWS members outside its largest component.
+        ``open``: that the node has more than NODE_ROWS members outside its largest component. Written, so that both sides
+        of a join are plain shuffles, which the engine splits where a node is large.
         """
         by_label = rows.groupBy("node", "label").agg(F.count("*").alias("n"), F.min(F.struct("rep", "s1")).alias("first"))
         facts = by_label.groupBy("node").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("main"), F.min("first").alias("pivot")).filter("size > main.n")
-        facts = facts.select("node", "size", "pivot", F.col("main.label").alias("main"), F.col("main.n").alias("most"), (F.col("size") - F.col("main.n") > NODE_ROWS).alias("open"))
-        # written first, so that both sides of the join are plain shuffles, which the engine splits where a node is large
-        return self._keep(rows.join(self._keep(facts, "nodes"), "node"), "members")
+        return self._keep(facts.select("node", "size", "pivot", F.col("main.label").alias("main"), F.col("main.n").alias("most"), (F.col("size") - F.col("main.n") > NODE_ROWS).alias("open")), "nodes")
 
     def cells(self, members: DataFrame) -> DataFrame:
         """(cell, rep, s1, label): what one task compares.
@@ -374,7 +360,8 @@ class _Join:
         rows = members.filter(F.col("open") & (F.bit_count("used") < COORDINATES)).select("node", "used", "rep", "s1")
         if rows.isEmpty():
             return None
-        now = self.mixed(self.with_labels(rows)).join(self.reps.select("rep", "s1", "sig"), ["rep", "s1"])
+        rows = self.with_labels(rows)
+        now = rows.join(self.facts(rows).select("node", "open"), "node").join(self.reps.select("rep", "s1", "sig"), ["rep", "s1"])
         left = F.filter(F.sequence(F.lit(0), F.lit(COORDINATES - 1)), lambda c: F.col("used").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), c)) == 0)
         picks = F.slice(F.array_sort(F.transform(left, lambda c: F.struct(F.xxhash64("node", c).alias("h"), c.alias("c")))), 1, BRANCHES)
         picks = F.when(F.col("open"), F.transform(picks, lambda p: p["c"])).otherwise(F.array(F.lit(-1)))
@@ -388,7 +375,7 @@ class _Join:
         for trees in (range(FIRST_TREES), range(FIRST_TREES, TREES)):
             rows: DataFrame | None = self.first_nodes(trees)
             while rows is not None:
-                members = self.mixed(rows)
+                members = self._keep(rows.join(self.facts(rows), "node"), "members")
                 self._relabel(self.links(self.cells(members)))
                 rows = self.further(members)
         for path in self.paths:
@@ -397,18 +384,18 @@ class _Join:
 
     def _relabel(self, links: DataFrame) -> None:
         """Take new links (a, b) into the labels. Links inside a component, and repeated ones between two, are dropped first."""
-        if self.labels is not None:
-            own = self.labels
-            ends = links.join(own.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(own.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
-            links = self._keep(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a <> b").distinct(), "between")
         if links.isEmpty():
             return
-        found = connected_components(self.spark, links)
-        if self.labels is not None:
+        own = self.labels
+        if own is not None:
+            ends = links.join(own.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(own.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
+            links = self._keep(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a <> b").distinct(), "between")
+        found = self._keep(connected_components(self.spark, links), "components", stay=True)
+        if own is not None:
             merged = found.select(F.col("id").alias("component"), F.col("component").alias("root"))
             ids = own.unionByName(found.select("id").join(own, "id", "left_anti").select("id", F.col("id").alias("component")))
-            found = ids.join(merged, "component", "left").select("id", F.coalesce("root", "component").alias("component"))
-        self.labels = self._keep(found, "labels", stay=True)
+            found = self._keep(ids.join(merged, "component", "left").select("id", F.coalesce("root", "component").alias("component")), "labels", stay=True)
+        self.labels = found
 
     def result(self) -> DataFrame:
         classes = self.reps.select("n", "s1", "s2", "rep")
