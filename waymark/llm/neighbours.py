@@ -6,18 +6,23 @@ the orthogonal one, since only the parallel part moves large inner products; wha
 kept as one number. A query scans tables of its inner products with the centroids (two codes to a byte, so one lookup of
 256 entries serves two subspaces), and the best of each block are reranked exactly, in double precision.
 
-Queries meet all rows block by block: rows and queries are dealt at random into blocks of bounded size, every pair of
-blocks is one task's work, and it returns only its k best rows for each query. Equal vectors of a block are scanned as one,
-with the smallest ids, so ties and hot copies cost and lose nothing.
+Equal vectors are one row of the index, with the smallest ids that have it, so ties and hot copies cost and lose nothing.
+Each is encoded once. Queries meet all codes block by block (some 30 bytes a row, and blocks as large as a task's memory
+takes, so that a pair of blocks is minutes of scanning for megabytes shuffled), the best of all blocks by approximate
+score are joined with their vectors, and ranked by exact scores. Blocks are dealt by hash, so a task that runs again gets
+the same rows. There is no pruning by coarse cells: on vectors without clusters it loses neighbours (of 64 cells, half
+must be probed for a recall of 0.9).
 
 Defined edge cases: null, zero and wrongly sized vectors and those with null or non-finite components take no part, as
-query or candidate; the size is the most frequent one, the smaller at ties; rows that share the query's id are not its
-candidates, and repeated rows of another id are candidates each; with fewer candidates than k all are returned; an
-empty table gives an empty result.
+query or candidate, nor do rows with a null id; the size is the most frequent one, the smaller at ties; rows that share the
+query's id are not its candidates, and repeated rows of another id are candidates each; rows that repeat a query's id
+with the same vector are one query, with others they share one answer, each candidate with its largest score; with
+fewer candidates than k all are returned; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from waymark.session import prepare
+from waymark.llm.text import column_bytes
+from waymark.session import fresh_path, materialize, prepare
 
-#: Rows a quantiser is fitted on at most (those with the smallest hash of their id).
+#: Vectors a quantiser is fitted on at most (those with the smallest hash of their number).
 FIT_ROWS = 8192
-ROW_BLOCK, QUERY_BLOCK = 8192, 2048
-#: Reranked rows of a block, for each query.
-RERANK = 128
+#: Codes and queries of one task at most (some 30 MB and 4 MB), and codes scanned at once.
+ROW_BLOCK, QUERY_BLOCK, TILE = 1 << 20, 1 << 14, 8192
+#: Vectors reranked for each query.
+RERANK = 96
 #: Coarse centroids; what is quantised is the direction from the nearest one, so tight clusters keep their detail.
 CELLS = 64
 #: Share of its norm that an inner product must reach to count in the loss.
@@ -155,52 +162,29 @@ def _split(x: np.ndarray) -> np.ndarray:
     return x.reshape(len(x), -1, _SUB)
 
 
-def scan_block(model: Quantizer, q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, rerank: int = RERANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, row id, exact score) of the k best rows of the block for each query, those with the query's id left out."""
-    order = np.lexsort((ids,))
-    ids, x = ids[order], x[order]
-    _, first, group = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel(), return_index=True, return_inverse=True)
-    distinct = x[first].astype(np.float64)
-    members = np.argsort(group, kind="stable")  # ids of each group, ascending
-    # no query needs more than k rows of an id, and it leaves out those with its own: k rows beside them are enough
-    sorted_ids, sorted_group = ids[members], group[members]
-    new = np.ones(len(members), bool)
-    new[1:] = (sorted_ids[1:] != sorted_ids[:-1]) | (sorted_group[1:] != sorted_group[:-1])
-    same = np.flatnonzero(new)
-    copies = np.diff(np.append(same, len(members)))
-    members = members[np.arange(len(members)) - np.repeat(same, copies) < k]
-    repeats = np.zeros(len(first), np.int64)
-    np.maximum.at(repeats, sorted_group[same], np.minimum(copies, k))
-    size = np.bincount(group[members], minlength=len(first))
-    start = np.concatenate([[0], np.cumsum(size)])
-    size = np.minimum(size, k + repeats)
-    codes = model.encode(distinct)
+def scan_codes(model: Quantizer, q: np.ndarray, codes: Codes, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, approximate score) of the ``keep`` best rows of each query, by table scans over tiles of rows."""
     out = ([], [], [])
     for at in range(0, len(q), 64):
         own = q[at : at + 64].astype(np.float64)
-        approx = model.scan(own, codes)
-        if len(distinct) > rerank:
-            best = np.argpartition(-approx, rerank - 1, axis=1)[:, :rerank]
-        else:
-            best = np.broadcast_to(np.arange(len(distinct)), approx.shape)
-        score = (distinct[best] * own[:, None]).sum(2)  # the same order of additions for every row, so equal vectors tie
-        qi = np.repeat(np.arange(len(own)), best.shape[1])
-        flat, value = best.ravel(), score.ravel()
-        n = size[flat]
-        row = np.repeat(np.arange(len(flat)), n)
-        within = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        found = ids[members[start[flat[row]] + within]]
-        qrow, value = qi[row], value[row]
-        other = found != q_ids[at : at + 64][qrow]
-        found, qrow, value = found[other], qrow[other], value[other]
-        by = np.lexsort((found, -value, qrow))
-        found, qrow, value = found[by], qrow[by], value[by]
-        begin = np.searchsorted(qrow, np.arange(len(own)))
-        keep = np.arange(len(qrow)) - begin[qrow] < k
-        out[0].append(q_ids[at : at + 64][qrow[keep]])
-        out[1].append(found[keep])
-        out[2].append(value[keep])
-    return tuple(np.concatenate(o) if o else np.zeros(0) for o in out)
+        rows, score = np.zeros((len(own), 0), np.int64), np.zeros((len(own), 0), np.float32)
+        for tile in range(0, len(codes.cell), TILE):
+            cut = slice(tile, tile + TILE)
+            found = model.scan(own, Codes(codes.packed[cut], codes.cell[cut], codes.length[cut], codes.along[cut]))
+            rows = np.concatenate([rows, np.broadcast_to(np.arange(tile, tile + found.shape[1]), found.shape)], 1)
+            score = np.concatenate([score, found], 1)
+            if score.shape[1] > keep:
+                best = np.argpartition(-score, keep - 1, axis=1)[:, :keep]
+                rows, score = np.take_along_axis(rows, best, 1), np.take_along_axis(score, best, 1)
+        out[0].append(np.repeat(np.arange(at, at + len(own)), rows.shape[1]))
+        out[1].append(rows.ravel())
+        out[2].append(score.ravel())
+    return tuple(np.concatenate(o) if o else np.zeros(0, int) for o in out)
+
+
+def _vectors(col: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    parts = [c.flatten().to_numpy(zero_copy_only=False) for c in (col.chunks if isinstance(col, pa.ChunkedArray) else [col])]
+    return (np.concatenate(parts) if parts else np.zeros(0, np.float32)).reshape(-1, dim)
 
 
 def usable(vector: Column, dim: int) -> Column:
@@ -210,46 +194,86 @@ def usable(vector: Column, dim: int) -> Column:
     return vector.isNotNull() & (F.size(vector) == dim) & ~F.coalesce(bad, F.lit(True)) & F.exists(v, lambda x: x != 0)
 
 
+def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
+    """(v, ids) of (id, v): each vector once, with its k + 1 smallest ids as (id, n), n being the number of its rows, k at most.
+
+    A query needs k rows of other ids than its own, and every id has a row, so these are enough. They are combined
+    before the shuffle, so any number of copies of a vector is a bounded row.
+    """
+    counted = rows.groupBy("v", "id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("n"))
+    ranked = counted.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).filter(F.col("r") <= k + 1)
+    return ranked.groupBy("v").agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("ids"))
+
+
 def search(spark: SparkSession, rows: DataFrame, is_query: Column, *, key: str = "vec_id", vector: str = "embedding", k: int = 20, fit_rows: int = FIT_ROWS, row_block: int = ROW_BLOCK, query_block: int = QUERY_BLOCK, rerank: int = RERANK) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query row the k rows with the largest inner product, by the index."""
     prepare(spark)
-    schema = "query_id long, vec_id long, score double"
+    nothing = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sizes = rows.filter(F.size(vector) > 0).groupBy(F.size(vector).alias("n")).count().orderBy(F.desc("count"), "n").first()
     if sizes is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return nothing
     dim = sizes["n"]
-    whole = rows.filter(usable(F.col(vector), dim)).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
-    sample = whole.select("id", "v").orderBy(F.xxhash64(F.lit("fit"), "id"), "id").limit(fit_rows).collect()
-    counts = whole.agg(F.count("*").alias("n"), F.count_if("is_query").alias("q")).first()
-    if not counts["q"]:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    model = spark.sparkContext.broadcast(Quantizer.fit(np.array([r["v"] for r in sample], np.float64)))  # its size is that of 16 vectors
-    n_rows, n_queries = -(-counts["n"] // row_block), -(-counts["q"] // query_block)
-    wide = "double" in dict(whole.dtypes)["v"]
-
-    def block(seed: int, n: int) -> Column:
-        return F.floor(F.rand(seed) * n).cast("int")
-
-    def all_of(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    left = whole.select("id", "v", block(3, n_rows).alias("b")).withColumn("q", all_of(n_queries))
-    right = whole.filter("is_query").select("id", "v", block(4, n_queries).alias("q")).withColumn("b", all_of(n_rows))
-
-    def matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        flat = t.column("v").combine_chunks()
-        values = (flat.flatten() if not isinstance(flat, pa.ChunkedArray) else pa.concat_arrays([c.flatten() for c in flat.chunks])).to_numpy(zero_copy_only=False)
-        return t.column("id").to_numpy(), values.astype(np.float64 if wide else np.float32).reshape(-1, dim)
-
-    def scan(a: pa.Table, q: pa.Table) -> pa.Table:
-        if not a.num_rows or not q.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        found = scan_block(model.value, *matrix(q), *matrix(a), k, rerank)
-        return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.float64())})
-
-    best = left.groupBy("b", "q").cogroup(right.groupBy("b", "q")).applyInArrow(scan, schema)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    whole = rows.filter(usable(F.col(vector), dim) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        return materialize(spark, df, name, path=fresh_path(spark, name))
+
+    # numbers given once and written, so that a task that runs again finds the same ones
+    classes = keep(distinct_vectors(whole, k).withColumn("c", F.monotonically_increasing_id()), "vectors")
+    asked = keep(whole.filter("is_query").select("id", "v").distinct().withColumn("u", F.monotonically_increasing_id()), "queries")
+    n, q = classes.count(), asked.count()
+    if not q:
+        return nothing
+    sample = classes.select("c", "v").orderBy(F.xxhash64(F.lit("fit"), "c"), "c").limit(fit_rows).collect()
+    model = spark.sparkContext.broadcast(Quantizer.fit(np.array([r["v"] for r in sample], np.float64)))  # centroids and books: a fixed number
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                found = model.value.encode(_vectors(batch.column("v"), dim))
+                ends = np.arange(batch.num_rows + 1, dtype=np.int32) * found.packed.shape[1]
+                packed = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(found.packed))])
+                yield pa.RecordBatch.from_arrays([batch.column("c"), packed, pa.array(found.cell.astype(np.int32)), pa.array(found.length), pa.array(found.along)], names=["c", "packed", "cell", "length", "along"])
+
+    codes = keep(classes.select("c", "v").mapInArrow(encode, "c long, packed binary, cell int, length float, along float"), "codes")
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    n_rows = -(-n // row_block)
+    n_queries = max(-(-q // query_block), min(-(-q // 64), -(-tasks // n_rows)))
+
+    def block(name: str, many: int) -> Column:
+        return F.pmod(F.xxhash64(name, F.lit("block")), F.lit(many)).cast("int")
+
+    def all_of(many: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
+
+    left = codes.withColumn("b", block("c", n_rows)).withColumn("q", all_of(n_queries))
+    right = asked.select("u", "v").withColumn("q", block("u", n_queries)).withColumn("b", all_of(n_rows))
+
+    def scan(a: pa.Table, asked_: pa.Table) -> pa.Table:
+        if not a.num_rows or not asked_.num_rows:
+            return pa.table({"u": pa.array([], pa.int64()), "c": pa.array([], pa.int64()), "near": pa.array([], pa.float32())})
+        flat = [np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] for offsets, data in map(column_bytes, a.column("packed").chunks)]
+        own = Codes(np.concatenate(flat).reshape(a.num_rows, -1), *(a.column(c).to_numpy() for c in ("cell", "length", "along")))
+        found = scan_codes(model.value, _vectors(asked_.column("v"), dim), own, rerank)
+        return pa.table({"u": asked_.column("u").to_numpy()[found[0]], "c": a.column("c").to_numpy()[found[1]], "near": found[2].astype(np.float32)})
+
+    near = left.groupBy("b", "q").cogroup(right.groupBy("b", "q")).applyInArrow(scan, "u long, c long, near float")
+    best = near.withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("near"), "c"))).filter(F.col("r") <= rerank).select("u", "c")
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (_vectors(batch.column(c), dim).astype(np.float64) for c in ("qv", "v"))
+                yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("c"), pa.array((a * b).sum(1))], names=["query_id", "c", "score"])
+
+    pairs = best.join(asked.select("u", F.col("id").alias("query_id"), F.col("v").alias("qv")), "u").join(classes.select("c", "v"), "c")
+    scored = pairs.select("query_id", "c", "qv", "v").mapInArrow(exact, "query_id long, c long, score double").groupBy("query_id", "c").agg(F.max("score").alias("score"))
+    named = scored.join(classes.select("c", "ids"), "c").withColumn("ids", F.filter("ids", lambda x: x["id"] != F.col("query_id"))).filter(F.size("ids") > 0)
+    # every class has a row for the query: those behind k others can't be among the k nearest
+    named = named.withColumn("r", F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).filter(F.col("r") <= k)
+    rows_ = named.select("query_id", "score", F.explode("ids").alias("m")).select("query_id", "score", F.col("m.id").alias("vec_id"), F.explode(F.sequence(F.lit(1), F.col("m.n"))).alias("copy"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id", "copy"))
+    return rows_.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
