@@ -1,10 +1,12 @@
 """Corpus-wide line deduplication over levelled sorted runs of line hashes.
 
-The index is a set of runs in the shared folder: Parquet tables sorted by line hash. Closed runs hold lines known to be
-frequent; open runs hold one row per other line with the number of documents that have it so far. Each new batch of
-documents is counted, merge-anti-joined with the closed runs, and added as an open run of level 0. When a level has
-``fanout`` open runs they are compacted into one of the next level, and lines that reach the threshold move to a closed
-run; a line is thus rewritten at most once per level.
+The index is a set of runs in the shared folder: tables of line hashes in a fixed number of files, one for each range of a
+hash of the key, each file sorted by key. Closed runs hold lines known to be frequent; open runs hold one row per other
+line with the number of documents that have it so far. A batch of documents is counted, dealt to the files' ranges, merged
+against the closed runs, whose lines it loses, and added as an open run of level 0. When a level has two runs they are
+merged into one of the next level, and lines that reach the threshold move to a closed run; a line is thus rewritten
+at most once per level. File i of one run only ever meets file i of another, in one task that reads both in order: the runs
+are not shuffled or sorted again.
 
 A line's hash is two 64-bit hashes of its key, and its key is the line without ASCII white space at both ends and with
 A-Z lower-cased. Only hashes are shuffled for counting, combined on the map side, so a line found everywhere is no hot key.
@@ -16,7 +18,9 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import xxhash
@@ -28,7 +32,8 @@ from waymark.session import drop_path, fresh_path, materialize, prepare
 MIN_DOCUMENTS = 10
 MIN_CODE_POINTS = 1
 BATCHES = 4
-FANOUT = 2
+#: Documents of one batch; a larger table makes more batches.
+BATCH_DOCUMENTS = 50_000_000
 _BIT = 1 << 63
 
 
@@ -71,85 +76,131 @@ def line_hashes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min
 
 
 class LineIndex:
-    """Levelled runs below one folder: open ones of (h1, h2, n), closed ones of (h1, h2)."""
+    """Levelled sorted runs below one folder: open ones of (h1, h2, n), closed ones of (h1, h2, n), n being at the threshold or above."""
 
-    def __init__(self, spark: SparkSession, path: str, min_documents: int = MIN_DOCUMENTS, fanout: int = FANOUT):
-        self.spark, self.path, self.min_documents, self.fanout = spark, path, min_documents, fanout
+    def __init__(self, spark: SparkSession, path: str, min_documents: int = MIN_DOCUMENTS, files: int | None = None):
+        self.spark, self.path, self.min_documents = spark, path, min_documents
+        self.files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
-        self.closed: list[str] = []
+        self.closed: list[list[str]] = []
+        self._name = f"waymark_lines_{uuid.uuid4().hex}"
         self._written = 0
 
-    def _write(self, rows: DataFrame, name: str) -> str:
-        path = f"{self.path}/{name}-{self._written}"
+    @contextmanager
+    def _in_order(self) -> Iterator[None]:
+        """While plans are made here, a run's files count as sorted (each range is one file)."""
+        keys = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.sources.bucketing.enabled": "true"}
+        before = {k: self.spark.conf.get(k) for k in keys}
+        for k, v in keys.items():
+            self.spark.conf.set(k, v)
+        try:
+            yield
+        finally:
+            for k, v in before.items():
+                self.spark.conf.set(k, v)
+
+    def _write(self, rows: DataFrame) -> str:
+        name = f"{self._name}_{self._written}"
         self._written += 1
-        materialize(self.spark, rows.sortWithinPartitions("h1", "h2"), name, path=path)
-        return path
-
-    def _open(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema("h1 long, h2 long, n long").parquet(*paths)
-
-    def known(self) -> DataFrame:
-        """(h1, h2) of the closed runs."""
-        if not self.closed:
-            return self.spark.createDataFrame([], "h1 long, h2 long")
-        return self.spark.read.schema("h1 long, h2 long").parquet(*self.closed)
+        with self._in_order():
+            rows.select("h1", "h2", "n").write.format("parquet").option("compression", "zstd").option("path", f"{self.path}/{name}").bucketBy(self.files, "h1", "h2").sortBy("h1", "h2").saveAsTable(name)
+        return name
+
+    def _run(self, name: str) -> DataFrame:
+        return self.spark.table(name).hint("merge")
+
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE {name}")
+        drop_path(self.spark, f"{self.path}/{name}")
+
+    def _merge(self, names: list[str]) -> DataFrame:
+        """One row per line of the runs, counts added up, file by file."""
+        out = self._run(names[0])
+        for name in names[1:]:
+            other = self._run(name).withColumnRenamed("n", "m")
+            out = out.join(other, ["h1", "h2"], "full_outer").select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"))
+        return out
+
+    def rest(self, counts: DataFrame) -> DataFrame:
+        """A batch's (h1, h2, n), one row per line, dealt and sorted like a run, without the lines of closed runs."""
+        out = counts.select("h1", "h2", "n").repartition(self.files, "h1", "h2").sortWithinPartitions("h1", "h2")
+        for name in (n for level in self.closed for n in level):
+            out = out.join(self._run(name).select("h1", "h2"), ["h1", "h2"], "left_anti")
+        return out
 
     def add(self, counts: DataFrame) -> None:
-        """Merge-anti-join a batch's (h1, h2, n), one row per line, with the closed runs, add the rest, and compact."""
-        rest = counts.join(self.known(), ["h1", "h2"], "left_anti") if self.closed else counts
-        if not self.levels:
-            self.levels.append([])
-        self.levels[0].append(self._write(rest.select("h1", "h2", "n"), "open-0"))
-        for level in range(64):
-            if level == len(self.levels) or len(self.levels[level]) < self.fanout:
-                break
-            self._compact(level)
-
-    def _compact(self, level: int) -> None:
-        old = self.levels[level]
-        merged = materialize(self.spark, self._open(old).groupBy("h1", "h2").agg(F.sum("n").alias("n")), "merged", path=(path := f"{self.path}/merged-{self._written}"))
-        if level + 1 == len(self.levels):
-            self.levels.append([])
-        self.levels[level + 1].append(self._write(merged.filter(F.col("n") < self.min_documents), f"open-{level + 1}"))
-        self.closed.append(self._write(merged.filter(F.col("n") >= self.min_documents).select("h1", "h2"), "closed"))
-        self.levels[level] = []
-        for gone in [*old, path]:
-            drop_path(self.spark, gone)
+        """Merge-anti-join a batch with the closed runs, add what is left as a run, and merge levels that have two."""
+        with self._in_order():
+            rest = self.rest(counts)
+        self._put(self.levels, rest, 0)
+        level = 0
+        while len(self.levels[level]) > 1:
+            old, self.levels[level] = self.levels[level], []
+            with self._in_order():
+                merged = self._merge(old)
+            self._put(self.levels, merged.filter(F.col("n") < self.min_documents), level + 1)
+            self._put(self.closed, merged.filter(F.col("n") >= self.min_documents), 0)
+            for name in old:
+                self._drop(name)
+            level += 1
+        level = 0
+        while level < len(self.closed) and len(self.closed[level]) > 1:
+            old, self.closed[level] = self.closed[level], []
+            with self._in_order():
+                merged = self._merge(old)
+            self._put(self.closed, merged, level + 1)
+            for name in old:
+                self._drop(name)
+            level += 1
+
+    def _put(self, levels: list[list[str]], rows: DataFrame, level: int) -> None:
+        while len(levels) <= level:
+            levels.append([])
+        levels[level].append(self._write(rows))
 
     def frequent(self) -> DataFrame:
-        """(h1, h2) of all lines at or above the threshold."""
-        paths = [p for level in self.levels for p in level]
-        if not paths:
-            return self.known()
-        rest = self._open(paths).groupBy("h1", "h2").agg(F.sum("n").alias("n")).filter(F.col("n") >= self.min_documents)
-        return self.known().unionByName(rest.select("h1", "h2"))
-
-
-def frequent_lines(spark: SparkSession, hashes: DataFrame, *, min_documents: int = MIN_DOCUMENTS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
+        """(h1, h2) of all lines at or above the threshold; written, and the runs are dropped."""
+        known = [n for level in self.closed for n in level]
+        open_ = [n for level in self.levels for n in level]
+        if not open_:
+            return self.spark.createDataFrame([], "h1 long, h2 long")
+        with self._in_order():
+            out = self._merge(open_).filter(F.col("n") >= self.min_documents).select("h1", "h2")
+            for name in known:
+                out = out.unionByName(self._run(name).select("h1", "h2"))
+            out = materialize(self.spark, out, "frequent-lines", path=fresh_path(self.spark, "frequent-lines"))
+        for name in [*known, *open_]:
+            self._drop(name)
+        self.levels, self.closed = [], []
+        return out
+
+
+def frequent_lines(spark: SparkSession, hashes: DataFrame, *, min_documents: int = MIN_DOCUMENTS, batches: int = BATCHES) -> DataFrame:
     """(h1, h2) of lines found in at least ``min_documents`` documents; ``hashes`` enters the index batch by batch.
 
     Batches are dealt by document, so that a document's lines are counted in one batch. A batch's line that is open in
-    an earlier run is a row of its own there, and compaction adds the two up.
+    an earlier run is a row of its own there, and merging adds the two up.
     """
     staged_path = fresh_path(spark, "line-batches")
     batch = F.pmod(F.xxhash64("doc"), F.lit(batches)).cast("int")
     counted = hashes.groupBy(batch.alias("batch"), "h1", "h2").agg(F.count("*").alias("n"))
     staged = materialize(spark, counted, "line-batches", path=staged_path)
-    index = LineIndex(spark, fresh_path(spark, "line-index"), min_documents, fanout)
+    index = LineIndex(spark, fresh_path(spark, "line-index"), min_documents)
     for b in range(batches):
         index.add(staged.filter(F.col("batch") == b))
     drop_path(spark, staged_path)
     return index.frequent()
 
 
-def drop_lines(spark: SparkSession, docs: DataFrame, *, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, min_documents: int = MIN_DOCUMENTS, min_code_points: int = MIN_CODE_POINTS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
+def drop_lines(spark: SparkSession, docs: DataFrame, *, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, min_documents: int = MIN_DOCUMENTS, min_code_points: int = MIN_CODE_POINTS, batches: int = BATCHES) -> DataFrame:
     """Every row with (key, columns of ``keep``, kept_text, n_lines, n_dropped): lines found in many documents are gone everywhere."""
     prepare(spark)
     source = docs.select(key, text)
     hashes = line_hashes(source, key=key, text=text, min_code_points=min_code_points)
     if source.groupBy(key).count().filter("count > 1").limit(1).count():
         hashes = hashes.distinct()  # rows that share a doc_id are one document
-    frequent = frequent_lines(spark, hashes, min_documents=min_documents, batches=batches, fanout=fanout)
+    batches = max(batches, -(-source.count() // BATCH_DOCUMENTS))
+    frequent = frequent_lines(spark, hashes, min_documents=min_documents, batches=batches)
     found = hashes.join(frequent, ["h1", "h2"], "left_semi").groupBy("doc").agg(F.collect_set(F.struct("h1", "h2")).alias("drop"))
     found = found.select("doc", F.col("drop.h1").alias("__h1"), F.col("drop.h2").alias("__h2"))
     names = [f"__keep{i}" for i in range(len(keep or []))]
