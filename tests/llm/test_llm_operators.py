@@ -129,20 +129,58 @@ def test_classifiers_take_edge_cases(spark, edge, name):
     assert all(len(s) == 1 for s in same.values())
 
 
-def test_severity_is_ordered(spark):
+def test_severity_of_binary_labels_is_their_probability(spark):
     for r in _rows(spark, "op9_toxicity", SMALL):
-        assert r["expected_severity"] >= r["score"] - 1e-9
+        assert r["expected_severity"] == r["score"] and r["severity"] == r["predicted"]
+
+
+def test_severity_of_four_grades(spark):
+    """Grades as labels give them: more bad words, a higher grade; held-out texts come out in order."""
+    from waymark.llm.toxicity import severity, train
+
+    rng = np.random.default_rng(8)
+    texts, grades = [], []
+    for i in range(900):
+        g = int(rng.integers(0, 4))
+        bad = [f"bad{x}" for x in rng.choice(6, g, replace=False)]
+        texts.append(" ".join(rng.permutation([*bad, *(f"plain{x}" for x in rng.integers(0, 200, 20))])))
+        grades.append(g)
+    docs = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    labels = spark.createDataFrame([(i, g) for i, g in enumerate(grades) if i % 3] + [(0, None), (1, -5)], "key long, grade int")
+    model = train(spark, docs, labels)
+    assert len(model.thresholds) == 3 and np.all(np.diff(model.thresholds) > 0)
+    got = {r["key"]: r for r in severity(spark, docs, model, key="key").collect()}
+    held = range(0, 900, 3)
+    assert all(0 <= got[i]["score"] <= got[i]["expected_severity"] <= 3 for i in held)
+    means = [np.mean([got[i]["expected_severity"] for i in held if grades[i] == g]) for g in range(4)]
+    assert np.all(np.diff(means) > 0.4)
+    assert np.mean([got[i]["severity"] == grades[i] for i in held]) > 0.8
+    with pytest.raises(ValueError, match="classes"):
+        train(spark, docs, spark.range(100).selectExpr("id AS key", "cast(id AS int) AS grade"))
+
+
+def test_ordinal_gradient_matches_differences():
+    """One small step of the fit lowers the plain negative log-likelihood, and many come near its least value."""
+    from waymark.llm.toxicity import fit_ordinal
 
+    rng = np.random.default_rng(3)
+    x = (rng.random((300, 5)) < 0.4).astype(float)
+    s = x @ np.array([2.0, 1.0, 0.0, -1.0, 0.5])
+    grade = (s + rng.logistic(size=300) > 0.5).astype(int) + (s + rng.logistic(size=300) > 2).astype(int)
 
-def test_ordinal_regression_recovers_order():
-    from waymark.llm.toxicity import fit_ordinal
+    def loss(w, theta):
+        cut = np.concatenate([[-50], theta, [50]])
+        cdf = 1 / (1 + np.exp(-(cut[None] - (x @ w)[:, None])))
+        return -np.log(np.maximum(cdf[np.arange(300), grade + 1] - cdf[np.arange(300), grade], 1e-12)).mean()
 
-    rng = np.random.default_rng(1)
-    strength = rng.integers(0, 4, 600)
-    rows = np.concatenate([np.repeat(np.arange(600), strength), np.arange(600)])
-    cols = np.concatenate([np.concatenate([np.arange(s) for s in strength]), np.full(600, 5)])
-    w, theta = fit_ordinal(rows, cols, strength, 6)
-    assert np.all(np.diff(theta) > 0) and np.all(w[:3] > 0.5)
+    rows, cols = np.nonzero(x)
+    w, theta = fit_ordinal(rows, cols, grade, 5, steps=1500, rate=0.02, sparsity=0.0, ridge=0.0)
+    best = loss(w, theta)
+    for d in range(7):
+        for step in (-0.15, 0.15):
+            v, t = w.copy(), theta.copy()
+            (v if d < 5 else t)[d if d < 5 else d - 5] += step
+            assert loss(v, t) > best - 1e-3
 
 
 def test_line_dedup_brute_force(spark, edge):
@@ -164,14 +202,32 @@ def test_line_dedup_brute_force(spark, edge):
     assert sorted(got) == sorted(want)
 
 
-def test_line_index_levels(spark, tmp_path):
+def test_line_index_levels(spark):
+    """Nine batches against plain counts; a batch is shuffled once, and the runs it meets are neither shuffled nor sorted again."""
     from waymark.llm.lines import LineIndex
-
-    index = LineIndex(spark, f"file://{tmp_path}/index", min_documents=3, fanout=2)
-    for _ in range(5):
-        index.add(spark.createDataFrame([(1, 1, 1), (2, 2, 1)], "h1 long, h2 long, n long"))
-    assert {tuple(r) for r in index.frequent().collect()} == {(1, 1), (2, 2)}
-    assert sum(map(len, index.levels)) <= 4
+    from waymark.session import fresh_path
+
+    rng = np.random.default_rng(5)
+    index = LineIndex(spark, fresh_path(spark, "test-index"), min_documents=6, files=3)
+    total: dict = defaultdict(int)
+    for _ in range(9):
+        batch = {int(k): int(rng.integers(1, 3)) for k in rng.choice(40, 12, replace=False)}
+        known = {k for k, n in total.items() if n >= 6}
+        counts = spark.createDataFrame([(k, -k, n) for k, n in batch.items()], "h1 long, h2 long, n long")
+        index.add(counts)
+        for k, n in batch.items():
+            total[k] += n
+        assert all(len(level) < 2 for level in [*index.levels, *index.closed])
+        assert known <= {k for k, n in total.items() if n >= 6}
+    assert any(index.closed)
+    with index._in_order():
+        plan = index.rest(counts)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") >= 1 and plan.count("Exchange") == 1 and plan.count("Sort [") == 1, plan
+        open_ = [n for level in index.levels for n in level]
+        if len(open_) > 1:
+            plan = index._merge(open_)._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan, plan
+    assert {tuple(r) for r in index.frequent().collect()} == {(k, -k) for k, n in total.items() if n >= 6}
 
 
 def test_neighbours_exact_on_few_rows(spark, edge):

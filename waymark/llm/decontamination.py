@@ -5,12 +5,13 @@ and benchmark items are joined on these fingerprints and every hit is extended w
 words, equal windows have equal fingerprints, so every shared span of at least ``window`` words is found. Items of
 fewer words are one window of their own length, whose only k-gram is the whole item.
 
-The benchmark's fingerprints are broadcast only if there are at most ``BROADCAST_ROWS`` of them; beyond that the join
+The benchmark's fingerprints are broadcast only if they hold at most ``BROADCAST_BYTES``; beyond that the join
 shuffles both sides. A fingerprint that many items share is one row with the list of those items.
 
 Defined edge cases: null and wordless texts have no words and are not contaminated; wordless items are ignored; rows
-that repeat an item_id are one item; repeated rows of documents are each returned; an empty benchmark contaminates
-nothing.
+that repeat an item_id are one item; rows with a null item_id are together one item, whose windows hit, but which is not
+named or counted; repeated rows of documents and those with a null doc_id are each judged and returned by their own text; an
+empty benchmark contaminates nothing.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from waymark.session import fresh_path, materialize, prepare
 
 WINDOW = 10
 GRAM = 5
-#: Rows of benchmark fingerprints that are broadcast at most (some 250 bytes each).
-BROADCAST_ROWS = 100_000
+#: Bytes of benchmark fingerprints, their words and lists of items that are broadcast at most.
+BROADCAST_BYTES = 32 << 20
 #: Bits of a fingerprint that hold the position; the others hold the hash.
 _PLACE = 30
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -90,18 +91,19 @@ def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, *, key
     """Every row with (key, columns of ``keep``, n_words, hits, n_hit, hit_items): the windows found, the words inside them, the items they are of."""
     prepare(spark)
     index = materialize(spark, benchmark_index(items, key=item_key, text=item_text, window=window, k=k), "benchmark-index", path=fresh_path(spark, "benchmark-index"))
-    sizes = {(r["win"], r["k"]): r["count"] for r in index.groupBy("win", "k").count().collect()}
+    taken = F.sum(F.octet_length(F.array_join("context", " ")) + 16 * F.size("context") + 32 * F.size("items") + 64)  # 32: an id, a longer one by its text
+    sizes = {(r["win"], r["k"]): r["bytes"] for r in index.groupBy("win", "k").agg(taken.alias("bytes")).collect()}  # one row for each length up to the window
     kinds = sorted(sizes) or [(window, k)]
     w = F.col("w")
     prints = F.concat(*(fingerprints(w, win, kk) for win, kk in kinds))
-    found = docs.select(F.col(key).alias("doc"), words(F.col(text)).alias("w")).select("doc", F.explode(prints).alias("fp")).select("doc", _hash(F.col("fp")).alias("h"), _place(F.col("fp")).alias("p"))
-    small = sum(sizes.values()) <= BROADCAST_ROWS
+    found = docs.select(F.col(key).alias("doc"), F.xxhash64(text).alias("th"), words(F.col(text)).alias("w")).select("doc", "th", F.explode(prints).alias("fp")).select("doc", "th", _hash(F.col("fp")).alias("h"), _place(F.col("fp")).alias("p"))
+    small = sum(sizes.values()) <= BROADCAST_BYTES
     hit = found.join(F.broadcast(index) if small else index, "h")
-    per_doc = hit.groupBy("doc").agg(F.collect_list(F.struct("p", "win", "k", "off", "context", "items")).alias("m"))
+    per_doc = hit.groupBy("doc", "th").agg(F.collect_list(F.struct("p", "win", "k", "off", "context", "items")).alias("m"))
 
     names = [f"__keep{i}" for i in range(len(keep or []))]
     rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"), *(F.col(c).alias(n) for c, n in zip(keep or [], names, strict=True)))
-    joined = rows.join(per_doc, F.col("__key").eqNullSafe(F.col("doc")), "left").withColumn("__w", words(F.col("__text")))
+    joined = rows.join(per_doc, F.col("__key").eqNullSafe(F.col("doc")) & (F.xxhash64("__text") == F.col("th")), "left").withColumn("__w", words(F.col("__text")))
 
     def windows_of(doc_words: Column, m: Column) -> Column:
         """Windows (s, n, items) of the document that hold the fingerprint and equal the item's window there."""

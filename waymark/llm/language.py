@@ -206,15 +206,18 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("lang").slice(at, end - at), pa.array(idx, pa.binary()), pa.array(val, pa.binary())], names=["lang", "idx", "val"])
 
 
-def train(spark: SparkSession, labelled: DataFrame, *, per_language: int = 600) -> Model:
+def train(spark: SparkSession, labelled: DataFrame, *, per_language: int = 600, most: int = 512) -> Model:
     """Fit on a bounded sample of rows (text, lang, key): about ``per_language`` texts of each language, cut there at most.
 
     Rows are taken by a hash of ``key``, at a rate read off the language counts, so no language is gathered in one task.
-    An example sent to the driver has at most 2^16 features, whatever the length of its text.
+    An example sent to the driver has at most 2^16 features, whatever the length of its text. More than ``most`` languages
+    are an error, as every two of a family get a machine.
     """
     prepare(spark)
     usable = labelled.filter(F.col("lang").isNotNull() & (F.length("text") > 0))
-    counts = {r[0]: r[1] for r in usable.groupBy("lang").count().collect()}
+    counts = {r[0]: r[1] for r in usable.groupBy("lang").count().limit(most + 1).collect()}
+    if len(counts) > most:
+        raise ValueError(f"more than {most} languages")
     rate = F.lit(0.0)
     for lang, n in sorted(counts.items()):
         rate = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(rate)

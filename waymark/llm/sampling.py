@@ -12,12 +12,15 @@ def fold_of(key: str | Column, folds: int) -> Column:
     return F.pmod(F.crc32(col.cast("string").cast("binary")), F.lit(folds))
 
 
-def bounded_per_class(df: DataFrame, label: str, key: str, per_class: int) -> DataFrame:
+def bounded_per_class(df: DataFrame, label: str, key: str, per_class: int, *, most: int = 64) -> DataFrame:
     """At most ``per_class`` rows of each class, those with the smallest hash of the key.
 
     The result holds at most ``per_class`` times the number of classes rows, which is what makes it fit to broadcast.
+    More than ``most`` classes are an error: each is taken by a sort of its own.
     """
-    classes = [r[0] for r in df.select(label).distinct().orderBy(label).collect() if r[0] is not None]
+    classes = sorted(r[0] for r in df.filter(F.col(label).isNotNull()).select(label).distinct().limit(most + 1).collect())
+    if len(classes) > most:
+        raise ValueError(f"more than {most} classes of {label}")
     parts = [df.filter(F.col(label) == F.lit(c)).orderBy(F.xxhash64(F.lit("sample"), F.col(key).cast("string")), F.col(key)).limit(per_class) for c in classes]
     if not parts:
         return df.limit(0)

@@ -5,8 +5,8 @@ shared by all ordered thresholds: P(grade <= j) = logistic(threshold_j - w.x). T
 probabilities of exceeding each threshold. Weights are sparse (proximal steps), so plain texts rest on the thresholds.
 
 Defined edge cases: null, empty and wordless texts have no feature and get the grade probabilities of the thresholds
-alone; repeated rows score alike; null grades are ignored and of repeated labels the largest counts; with fewer than
-two grades in the labels every expected severity is 0.
+alone; repeated rows score alike; null and negative grades are ignored and of repeated labels the largest counts; with fewer than
+two grades in the labels every expected severity is 0. Labels with more than 64 grades are an error.
 """
 
 from __future__ import annotations
@@ -29,7 +29,6 @@ PREFIXES = (4, 5, 6)
 PER_CLASS = 3000
 #: Features kept by their chi-square with the label.
 SELECTED = 2048
-GRADES = 3
 
 
 def presence(offsets: np.ndarray, data: np.ndarray, at: int, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,10 +104,9 @@ def _cdf(x: np.ndarray) -> np.ndarray:
 
 
 def fit(features: list[np.ndarray], grade: np.ndarray) -> OrdinalModel:
-    """Select features by chi-square of presence with grade > 0, grade binary labels by evidence, and fit.
+    """Select features by chi-square of presence with grade > 0, and fit one threshold between each two grades that the labels have.
 
-    Labels of more than two grades are used as they are. Of binary ones, those above 0 are split in GRADES by how many
-    selected features that speak for the label they hold: severity grows with the evidence.
+    Binary labels thus give one threshold, and the expected severity is the probability of the label.
     """
     if not len(grade) or len(np.unique(grade)) < 2:
         return OrdinalModel(np.full(1 << BITS, -1, np.int32), np.zeros(1), np.full(1, 40.0))
@@ -129,12 +127,7 @@ def fit(features: list[np.ndarray], grade: np.ndarray) -> OrdinalModel:
     position[chosen] = np.arange(len(chosen))
     places = [position[f] for f in features]
     places = [np.unique(p[p >= 0]) for p in places]
-    if grade.max() == 1:
-        strong = (bad[chosen] / n_bad > 5 * clean[chosen] / n_clean) & (bad[chosen] >= 5)
-        evidence = np.array([int(strong[p].sum()) for p in places])
-        cuts = np.unique(np.quantile(evidence[toxic], np.arange(1, GRADES) / GRADES))
-        grade = np.where(toxic, 1 + np.searchsorted(cuts, evidence, side="left"), 0)
-        _, grade = np.unique(grade, return_inverse=True)
+    _, grade = np.unique(grade, return_inverse=True)
     rows = np.repeat(np.arange(len(places)), [len(p) for p in places])
     weights, thresholds = fit_ordinal(rows, np.concatenate(places), grade.astype(int), len(chosen))
     return OrdinalModel(position, weights, thresholds)
