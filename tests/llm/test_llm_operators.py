@@ -571,3 +571,76 @@ def test_null_ids_do_not_break_operators(spark, edge, tmp_path):
     for name in registry.QUERIES:
         if name not in ("op4_nearest_neighbours", "op5_packing", "op6_warc"):
             assert len(_rows(spark, name, str(tmp_path))) == t.num_rows, name
+    rows = _rows(spark, "op5_packing", str(tmp_path))
+    for missing in (True, False):  # every row is packed, those without an id too
+        want = sum(1 for i in ids.to_pylist() if (i is None) == missing)
+        assert sum(r["start"] == 0 for r in rows if (r["doc_id"] is None) == missing) == want
+
+
+def test_null_ids_of_vectors_and_pages(spark, edge, tmp_path):
+    v = pq.read_table(f"{edge}/embeddings.parquet")
+    gone = {3, 17, 40, 41}
+    ids = pa.array([None if i in gone else i for i in range(60)], pa.int64())
+    pq.write_table(v.set_column(0, "vec_id", ids), tmp_path / "embeddings.parquet")
+    rows = _rows(spark, "op4_nearest_neighbours", str(tmp_path))
+    assert {r["query_id"] for r in rows} == {0, 20} and not {r["vec_id"] for r in rows} & {None, *gone}
+    p = pq.read_table(f"{edge}/pages.parquet")
+    pages = pa.array([None if i in (0, 3) else x for i, x in enumerate(p["page_id"].to_pylist())], pa.int64())
+    pq.write_table(p.set_column(0, "page_id", pages), tmp_path / "pages.parquet")
+    got = _rows(spark, "op6_warc", str(tmp_path))
+    assert sorted(str(r["page_id"]) for r in got) == sorted(str(x) for x in pages.to_pylist())
+
+
+def test_factorisation_identity_is_the_sum_over_pairs():
+    from waymark.llm.quality import FactorisationMachine, dimension, features
+
+    texts = pa.array(["some words, some WORDS and 12 more!", "", "line\nline\nother " * 5, None], pa.string())
+    from waymark.llm.text import column_bytes
+
+    offsets, data = column_bytes(texts)
+    first, idx, val = features(offsets, data, 0, 4, [np.array([3.0, np.nan, 90.0, np.nan])])
+    rng = np.random.default_rng(2)
+    dim = dimension(1)
+    machine = FactorisationMachine(0.3, rng.normal(0, 0.3, dim).astype(np.float32), rng.normal(0, 0.3, (dim, 4)).astype(np.float32))
+    for r, p in enumerate(machine.score(first, idx, val)):
+        i, x = idx[first[r] : first[r + 1]], val[first[r] : first[r + 1]].astype(float)
+        z = machine.bias + (machine.linear[i] * x).sum()
+        for a in range(len(i)):
+            for b in range(a + 1, len(i)):
+                z += machine.factors[i[a]].astype(float) @ machine.factors[i[b]].astype(float) * x[a] * x[b]
+        assert abs(p - 1 / (1 + np.exp(-z))) < 1e-4
+
+
+def test_votes_are_those_of_plain_machines(spark):
+    """Families first, then every pair of the family's languages: predictions against margins taken one row at a time."""
+    from waymark.llm import language as L
+    from waymark.llm.text import column_bytes
+
+    t = pq.read_table(f"{SMALL}/documents.parquet", columns=["text", "lang"]).to_pylist()
+    t = [r for r in t if r["text"] and r["lang"]][:120]
+    offsets, data = column_bytes(pa.array([r["text"] for r in t]))
+    index, first = L.ngram_index(offsets, data, 0, len(t))
+    examples = []
+    for r, x in enumerate(t):
+        i, c = np.unique(index[first[r] : first[r + 1]], return_counts=True)
+        examples.append((x["lang"], i.astype(np.int32), (c * (L.SCALE / c.sum())).astype(np.float32)))
+    model = L.fit(examples)
+    names, score = model.predict(index, first)
+    for r, (_, i, v) in enumerate(examples):
+        f = int(np.argmax([v @ model.family_weights[i, c] + model.family_bias[c] for c in range(len(model.families))])) if len(model.families) > 1 else 0
+        votes = dict.fromkeys(model.languages[f], 0)
+        for c, (a, b) in enumerate(model.pairs[f]):
+            votes[model.languages[f][a if v @ model.pair_weights[f][i, c] + model.pair_bias[f][c] >= 0 else b]] += 1
+        assert votes[names[r]] == max(votes.values()) and 0 <= score[r] <= 1
+    # one language only: it is the answer to every text
+    alone = L.fit([e for e in examples if e[0] == examples[0][0]])
+    assert set(alone.predict(index, first)[0]) == {examples[0][0]}
+
+
+def test_language_of_letters_beyond_ascii(spark, tmp_path):
+    texts = ["привет мир как дела", "hello world how are you", "λόγος καὶ ἔργον", "12 34 !?", "\u4e2d\u6587", "", None]
+    langs = ["ru", "en", None, "en", None, None, None]
+    n = len(texts)
+    pq.write_table(pa.table({"doc_id": pa.array(range(n), pa.int64()), "text": pa.array(texts, pa.string()), "lang": pa.array(langs, pa.string())}), tmp_path / "documents.parquet")
+    got = {r["doc_id"]: r["lang_pred"] for r in _rows(spark, "op1_language_id", str(tmp_path))}
+    assert all((got[i] == "und") == (i in (3, 5, 6)) for i in range(n))
