@@ -31,13 +31,13 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a local one is set only where none is configured."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share (``spark.checkpoint.dir``). Only a local master gets a temporary one where none is set."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        current = spark.sparkContext.getCheckpointDir()
-        found = current or tempfile.mkdtemp(prefix="waymark-shared-")
-        if not current:
-            spark.sparkContext.setCheckpointDir(found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="waymark-shared-")
+        spark.sparkContext.setCheckpointDir(found)
     if "://" not in found and not found.startswith("file:"):
         found = "file://" + os.path.abspath(found)
     return found.rstrip("/")
