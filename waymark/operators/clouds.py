@@ -75,25 +75,35 @@ def cell_of(name: str | Column, size: float | Column) -> Column:
 
 
 def near_pairs(left: DataFrame, right: DataFrame, radius: float, *, by: list[str], axes: tuple[str, ...] = AXES, left_id: str = "id", right_id: str = "id") -> DataFrame:
-    """(by..., left id as a, right id as b, d2) of points at most ``radius`` apart, by an equi-join on grid cells.
+    """(by..., left id as a, right id as b, d2) of points at most ``radius`` apart, by an equi-join on blocks of space.
 
-    Cells have the radius as edge, so a point's partners lie in its own and the adjacent ones: the right side is
-    repeated into 3^n cells, and no pair is made outside them.
+    A block's edge is three radii. A right point goes to its own block and to those whose border is within the radius, so
+    it is repeated less than five times on average in three dimensions; no pair is made outside blocks. Points that are not
+    finite have no partner.
     """
-    cells = [f"_c{i}" for i in range(len(axes))]
-    a = left.select(*by, F.col(left_id).alias("a"), *(F.col(x).alias(f"_a{i}") for i, x in enumerate(axes)), *(cell_of(x, radius).alias(c) for x, c in zip(axes, cells, strict=True)))
-    b = right.select(*by, F.col(right_id).alias("b"), *(F.col(x).alias(f"_b{i}") for i, x in enumerate(axes)), *(cell_of(x, radius).alias(c) for x, c in zip(axes, cells, strict=True)))
-    for c in cells:
-        b = b.withColumn("_s", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn(c, F.col(c) + F.col("_s")).drop("_s")
+    blocks = [f"_c{i}" for i in range(len(axes))]
+    edge, reach = 3 * radius, radius * (1 + 1e-9)
+    a = left.filter(finite(*axes)).select(*by, F.col(left_id).alias("a"), *(F.col(x).alias(f"_a{i}") for i, x in enumerate(axes)), *(cell_of(x, edge).alias(c) for x, c in zip(axes, blocks, strict=True)))
+    b = right.filter(finite(*axes)).select(*by, F.col(right_id).alias("b"), *(F.col(x).alias(f"_b{i}") for i, x in enumerate(axes)))
+    for i, c in enumerate(blocks):
+        b = b.withColumn(c, F.explode(F.sequence(cell_of(F.col(f"_b{i}") - reach, edge), cell_of(F.col(f"_b{i}") + reach, edge))))
     d2 = reduce(lambda p, q: p + q, [(F.col(f"_a{i}") - F.col(f"_b{i}")) * (F.col(f"_a{i}") - F.col(f"_b{i}")) for i in range(len(axes))])
-    return a.join(b, [*by, *cells]).withColumn("d2", d2).filter(F.col("d2") <= radius * radius).select(*by, "a", "b", "d2")
+    return a.join(b, [*by, *blocks]).withColumn("d2", d2).filter(F.col("d2") <= radius * radius).select(*by, "a", "b", "d2")
 
 
 def radius_outliers(cloud: DataFrame, radius: float, least: int, *, by: list[str], axes: tuple[str, ...] = AXES, key: str = "id") -> DataFrame:
-    """Points with at least ``least`` other points within the radius."""
-    pairs = near_pairs(cloud, cloud, radius, by=by, axes=axes, left_id=key, right_id=key).filter("a <> b")
-    enough = pairs.groupBy(*by, "a").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select(*by, F.col("a").alias(key))
-    return cloud.join(enough, [*by, key], "left_semi")
+    """Points with at least ``least`` other points within the radius.
+
+    A cell with the radius as diagonal that has more points than that keeps them all, so crowded cells make no pairs among themselves.
+    """
+    cells = [f"_k{i}" for i in range(len(axes))]
+    small = cloud.filter(finite(*axes)).withColumns({c: cell_of(x, 0.999999 * radius / len(axes) ** 0.5) for x, c in zip(axes, cells, strict=True)})
+    sparse = small.groupBy(*by, *cells).agg(F.count("*").alias("_n")).filter(F.col("_n") <= least)
+    open_ = small.join(sparse, [*by, *cells], "left_semi").drop(*cells)
+    pairs = near_pairs(open_, cloud, radius, by=by, axes=axes, left_id=key, right_id=key).filter("a <> b")
+    few = pairs.groupBy(*by, "a").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select(*by, F.col("a").alias(key))
+    crowded = small.join(sparse, [*by, *cells], "left_anti").select(*by, key)
+    return cloud.join(few.unionByName(crowded), [*by, key], "left_semi")
 
 
 def subtract(cloud: DataFrame, other: DataFrame, radius: float, *, by: list[str], least: int = 1, axes: tuple[str, ...] = AXES, key: str = "id") -> DataFrame:
@@ -124,7 +134,7 @@ def every(cloud: DataFrame, step: int, *, by: list[str], order: list[str]) -> Da
 
 def random_sample(cloud: DataFrame, n: int, *, by: list[str], key: str = "id", seed: int = 0) -> DataFrame:
     """n points of each cloud, chosen by a hash of the key, so that a run can be repeated."""
-    rn = F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64(F.lit(seed), key), key))
+    rn = F.row_number().over(Window.partitionBy(*by).orderBy(F.md5(F.concat_ws(":", F.lit(seed), key)), key))
     return cloud.withColumn("_rn", rn).filter(F.col("_rn") <= n).drop("_rn")
 
 

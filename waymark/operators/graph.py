@@ -99,3 +99,37 @@ def reduce_by(labels: DataFrame, links: DataFrame, order: str = "id") -> DataFra
     ends = links.join(labels.select(F.col("node").alias("src"), F.col("component").alias("a")), "src").join(labels.select(F.col("node").alias("dst"), F.col("component").alias("b")), "dst").filter("a <> b")
     best = ends.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.min(F.struct((F.col("type") != 0).alias("other"), F.col(order).alias("id"), "type")).alias("m"))
     return best.select("lo", "hi", F.col("m.id").alias("id"), F.col("m.type").alias("type"))
+
+
+def place_prediction(margins_: DataFrame, places: int, profile: list[float], *, epsilon: float = 0.01) -> DataFrame:
+    """(origin, node, p): how likely one moves from a place to another, by the margin between them.
+
+    ``profile`` is the probability of the virtual place (of being nowhere known), then that of margins 0, 1, ...; rows of
+    ``margins_`` (origin, node, margin) are within it. What neighbours that are missing would have had goes to the place itself, and
+    what the profile leaves below 1 is spread over all places that have nothing. A place's row is scaled to 1 less the virtual
+    place's share, and values below ``epsilon`` times the spread's share become 0. The matrix is sparse: node -1 is the
+    virtual place, node -2 any place that has no row of its own.
+    """
+    total, spread = sum(profile), max(0.0, 1.0 - sum(profile)) / places
+    at = F.element_at(F.array(*(F.lit(float(x)) for x in profile[1:])), F.col("margin") + 1)
+    rows = margins_.filter(F.col("margin") < len(profile) - 1).select("origin", "node", at.alias("p"))
+    sums = rows.groupBy("origin").agg(F.sum("p").alias("found"), F.count("*").alias("named"))
+    missing = F.greatest(F.lit(total - profile[0]) - F.col("found"), F.lit(0.0))
+    whole = F.col("found") + missing + F.lit(spread) * (places - F.col("named"))
+    sums = sums.select("origin", missing.alias("missing"), ((1 - profile[0]) / whole).alias("scale"))
+    named = rows.join(sums, "origin").select("origin", "node", ((F.col("p") + F.when(F.col("origin") == F.col("node"), F.col("missing")).otherwise(0.0)) * F.col("scale")).alias("p"))
+    rest = sums.select("origin", F.explode(F.array(F.struct(F.lit(-1).cast("long").alias("node"), F.lit(float(profile[0])).alias("p")), F.struct(F.lit(-2).cast("long").alias("node"), (F.lit(spread) * F.col("scale")).alias("p")))).alias("x")).select("origin", "x.node", "x.p")
+    small = epsilon * (1 - profile[0]) / places
+    return named.unionByName(rest).select("origin", "node", F.when(F.col("p") < small, 0.0).otherwise(F.col("p")).alias("p"))
+
+
+def predicted(prediction: DataFrame, prior: DataFrame) -> DataFrame:
+    """(node, p): where one is after a move, from the sparse prediction and a prior (node, p) over real places.
+
+    Each place gives its spread to every place but the named ones, so the spreads are summed once and taken back where named.
+    """
+    moved = prediction.join(prior.select(F.col("node").alias("origin"), F.col("p").alias("was")), "origin")
+    spread = moved.filter("node = -2").select("origin", (F.col("p") * F.col("was")).alias("s"))
+    named = moved.filter("node >= 0").join(spread, "origin").groupBy("node").agg(F.sum(F.col("p") * F.col("was") - F.col("s")).alias("p"))
+    everywhere = spread.agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("all"))
+    return prior.select("node").join(named, "node", "left").crossJoin(F.broadcast(everywhere)).select("node", (F.coalesce("p", F.lit(0.0)) + F.col("all")).alias("p"))  # one row

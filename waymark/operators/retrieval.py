@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A dictionary that is broadcast has at most so many words; a larger one is joined block by block.
-DICTIONARY_BROADCAST = 50_000
+#: Bytes of words in one broadcast row or one block of a dictionary.
+DICTIONARY_BYTES = 16 << 20
 
 
 def term_counts(words: DataFrame, node: str = "node", word: str = "word") -> DataFrame:
@@ -18,20 +20,23 @@ def words_per_node(words: DataFrame, node: str = "node") -> DataFrame:
     return words.groupBy(node).agg(F.count("*").alias("ni"))
 
 
-def likelihood(index: DataFrame, query_words: DataFrame, nodes: DataFrame) -> DataFrame:
+def likelihood(words: DataFrame, query_words: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, likelihood) of every node: the sum over the query's unique words of nwi * log10(N / nw) / ni.
 
-    ``index`` is (word, node, nwi), ``query_words`` (word), ``nodes`` (node). Words that all nodes hold weigh nothing.
-    One shuffle by word is avoided where the query's words are few: they are filtered first, by the engine's choice of join.
+    ``words`` is (node, word), one row per occurrence, or (node, word, nwi) with their number, ``query_words`` (word), ``nodes``
+    (node). Words that all nodes hold weigh nothing. Words that the query has not are counted together before anything is
+    shuffled.
     """
+    times = F.sum("nwi") if "nwi" in words.columns else F.count("*")
     n = nodes.agg(F.count("*").alias("n"))
-    ni = index.groupBy("node").agg(F.sum("nwi").alias("ni"))
-    asked = query_words.select("word").distinct()
-    hits = index.join(asked, "word", "left_semi")
+    asked = query_words.select("word").distinct().withColumn("asked", F.lit(True))
+    index = words.join(asked, "word", "left").groupBy("node", F.when(F.col("asked"), F.col("word")).alias("word")).agg(times.alias("nwi"))
+    hits = index.filter("word is not null")
     nw = hits.groupBy("word").agg(F.count("*").alias("nw"))
     idf = nw.crossJoin(F.broadcast(n)).select("word", F.log10(F.col("n") / F.col("nw")).alias("idf")).filter("idf > 0")  # n is one row
-    scored = hits.join(idf, "word").join(ni, "node").groupBy("node").agg(F.sum(F.col("nwi") * F.col("idf") / F.col("ni")).alias("score"))
-    return nodes.join(scored, "node", "left").select("node", F.coalesce("score", F.lit(0.0)).alias("likelihood"))
+    scored = hits.join(idf, "word").groupBy("node").agg(F.sum(F.col("nwi") * F.col("idf")).alias("score"))
+    ni = index.groupBy("node").agg(F.sum("nwi").alias("ni"))
+    return nodes.join(scored, "node", "left").join(ni, "node", "left").select("node", F.coalesce(F.col("score") / F.col("ni"), F.lit(0.0)).alias("likelihood"))
 
 
 def adjust(scores: DataFrame, value: str = "likelihood", *, ratio: bool = False, epsilon: float = 1e-4) -> DataFrame:
@@ -79,23 +84,55 @@ def squared_distance(a: Column, b: Column) -> Column:
 def two_nearest(descriptors: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(id, word1, d1, word2, d2): the two nearest words of each descriptor by squared distance; ties to the smaller word.
 
-    The dictionary is (word, vec). It is small against the descriptors; it is broadcast if it has at most
-    DICTIONARY_BROADCAST words, and split into blocks whose results are merged otherwise.
+    The dictionary is (word, vec). Up to DICTIONARY_BYTES it is one broadcast row, over which each descriptor keeps its two
+    best without a shuffle; a larger one is joined in blocks of such rows, and the blocks' best two are merged.
     """
-    many = dictionary.limit(DICTIONARY_BROADCAST + 1).count() > DICTIONARY_BROADCAST
-    words = dictionary.select(F.struct(F.col("word"), F.col("vec")).alias("w"))
-    if many:
-        blocks = 64
-        words = words.withColumn("block", F.pmod(F.hash("w.word"), F.lit(blocks)))
-        spread = descriptors.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        pairs = spread.join(words, "block")
+    taken = dictionary.agg(F.sum(8 * F.size("vec") + 16).alias("bytes")).first()["bytes"] or 0
+    blocks = -(-taken // DICTIONARY_BYTES) or 1
+    block = F.pmod(F.xxhash64("word"), F.lit(blocks)).cast("int")
+    words = dictionary.groupBy(block.alias("block")).agg(F.collect_list(F.struct("word", "vec")).alias("words"))
+    if blocks == 1:
+        pairs = descriptors.join(F.broadcast(words), F.lit(True), "left")
     else:
-        pairs = descriptors.join(F.broadcast(words), F.lit(True))
-    near = pairs.select("id", F.struct(squared_distance(F.col("vec"), F.col("w.vec")).alias("d"), F.col("w.word").alias("word")).alias("x"))
-    # two smallest by aggregation, so that the map side keeps two rows of each descriptor and block
-    first = near.groupBy("id").agg(F.min("x").alias("x1"), F.array_sort(F.collect_list("x")).alias("all"))
-    second = F.when(F.size("all") > 1, F.element_at("all", 2))
-    return first.select("id", F.col("x1.word").alias("word1"), F.col("x1.d").alias("d1"), second["word"].alias("word2"), second["d"].alias("d2"))
+        pairs = descriptors.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(words, "block")
+    near = F.transform("words", lambda w: F.struct(squared_distance(F.col("vec"), w["vec"]).alias("d"), w["word"].alias("word")))
+    best = pairs.select("id", F.slice(F.array_sort(near), 1, 2).alias("best"))
+    if blocks > 1:
+        best = best.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, 2).alias("best"))
+    first, second = F.try_element_at("best", F.lit(1)), F.try_element_at("best", F.lit(2))
+    return best.select("id", first["word"].alias("word1"), first["d"].alias("d1"), second["word"].alias("word2"), second["d"].alias("d2"))
+
+
+def incremental_words(descriptors: DataFrame, *, by: list[str], order: str, ratio: float = 0.8) -> DataFrame:
+    """(by..., order, word, is_new) of descriptors ``vec`` that make their dictionary as they come.
+
+    In order, a descriptor is compared with all words made before it: with fewer than two words, or where the nearest is
+    farther than ``ratio`` times the second (squared distances), it becomes a new word, numbered from 1; else it is the
+    nearest one, the smaller at ties. The order matters, so a key (a session with its own dictionary) is one task's work,
+    held as a matrix; distances of a descriptor to all words are one vector operation.
+    """
+    kinds = dict(descriptors.dtypes)
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(order, "ascending")])
+        x = np.array(table.column("vec").to_pylist(), dtype=float)
+        made, word, new = np.empty((len(x), x.shape[1])), np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+        n = 0
+        for i, v in enumerate(x):
+            if n >= 2:
+                d = ((made[:n] - v) ** 2).sum(1)
+                near = int(d.argmin())
+                second = np.partition(d, 1)[1]
+            if n < 2 or d[near] > ratio * second:
+                made[n] = v
+                n += 1
+                word[i], new[i] = n, True
+            else:
+                word[i] = near + 1
+        return table.select([*by, order]).append_column("word", pa.array(word)).append_column("is_new", pa.array(new))
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*by, order]) + ", word long, is_new boolean"
+    return descriptors.select(*by, order, "vec").groupBy(*by).applyInArrow(run, schema)
 
 
 def assign_words(descriptors: DataFrame, dictionary: DataFrame, *, ratio: float = 0.8, fixed: bool = False) -> DataFrame:

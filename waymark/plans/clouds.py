@@ -93,7 +93,7 @@ def every_seventh(table):
     return _ids(C.every(cloud(table), 7, by=["cloud"], order=["id"]))
 
 
-@query("TOP-08")
+@query("TOP-08", f"{_CLOUD} SELECT cloud, id FROM (SELECT *, row_number() OVER (PARTITION BY cloud ORDER BY md5('0:' || id), id) AS rn FROM c) WHERE rn <= 20")
 def random_points(table):
     """Twenty points of each cloud, by a hash of their ids."""
     return _ids(C.random_sample(cloud(table), 20, by=["cloud"]))

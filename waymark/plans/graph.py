@@ -74,3 +74,37 @@ def reduced_graph(table):
     g = graph(table).withColumn("id", F.col("src") * 1000000 + F.col("dst"))
     labels = G.components(g.sparkSession, g.filter("type = 1"), table("part").select(F.col("p_partkey").alias("node")))
     return G.reduce_by(labels, g)
+
+
+_PREDICTION = f"""WITH RECURSIVE {_G}, s(origin, node, m) AS (SELECT p_partkey, p_partkey, 0 FROM part UNION SELECT s.origin, b.dst, s.m + CASE WHEN type = 0 THEN 1 ELSE 0 END FROM s JOIN b ON b.src = s.node WHERE s.m + CASE WHEN type = 0 THEN 1 ELSE 0 END <= 3),
+r AS (SELECT origin, node, [0.4, 0.24, 0.12, 0.06][min(m) + 1]::DOUBLE AS p FROM s GROUP BY origin, node),
+t AS (SELECT origin, greatest(0.82::DOUBLE - sum(p), 0) AS missing, 0.9::DOUBLE / (sum(p) + greatest(0.82::DOUBLE - sum(p), 0) + 0.08::DOUBLE / (SELECT count(*) FROM part) * ((SELECT count(*) FROM part) - count(*))) AS scale FROM r GROUP BY origin),
+x AS (SELECT origin, node, (p + CASE WHEN origin = node THEN missing ELSE 0 END) * scale AS p FROM r JOIN t USING (origin) UNION ALL SELECT origin, -1, 0.1 FROM t UNION ALL SELECT origin, -2, scale * 0.08 / (SELECT count(*) FROM part) FROM t)"""
+_PROFILE = [0.1, 0.4, 0.24, 0.12, 0.06]
+
+
+def _prediction(table):
+    g = graph(table)
+    part = table("part").select(F.col("p_partkey").alias("node"))
+    near = G.margins(g.sparkSession, g.select("src", "dst", "type"), part.select(F.col("node").alias("origin"), "node"), 3)
+    return G.place_prediction(near, part.count(), _PROFILE, epsilon=0.0)
+
+
+@query("RET-10", f"{_PREDICTION} SELECT origin, node, round(p, 7) AS p FROM x")
+def bayes_prediction(table):
+    """The prediction matrix of all places of the graph, sparse, with the virtual place (-1) and the share of all others (-2)."""
+    return _prediction(table).select("origin", "node", F.round("p", 7).alias("p"))
+
+
+@query("RET-12", f"""{_PREDICTION}, w AS (SELECT p_partkey AS node, p_size / (SELECT sum(p_size) FROM part)::DOUBLE AS was FROM part),
+l AS (SELECT p_partkey AS node, 1.0::DOUBLE + p_partkey % 5 AS l FROM part),
+q AS (SELECT d.node, sum(w.was * coalesce(n.p, o.p)) AS q FROM w CROSS JOIN l d JOIN x o ON o.origin = w.node AND o.node = -2 LEFT JOIN x n ON n.origin = w.node AND n.node = d.node GROUP BY d.node)
+SELECT node, round(q * l / (SELECT sum(q * l) FROM q JOIN l USING (node)) * 1000, 6) AS posterior FROM q JOIN l USING (node)""")
+def bayes_update(table):
+    """Posterior (in thousandths) over all places after one move and one likelihood; the prior grows with the part's size."""
+    part = table("part").select(F.col("p_partkey").alias("node"), "p_size")
+    whole = F.broadcast(part.agg(F.sum("p_size").alias("total")))  # one row
+    prior = part.crossJoin(whole).select("node", (F.col("p_size") / F.col("total")).alias("p"))
+    raw = G.predicted(_prediction(table), prior).select("node", (F.col("p") * (F.col("node") % 5 + 1.0)).alias("p"))
+    scale = F.broadcast(raw.agg(F.sum("p").alias("sum")))  # one row
+    return raw.crossJoin(scale).select("node", F.round(F.col("p") / F.col("sum") * 1000, 6).alias("posterior"))

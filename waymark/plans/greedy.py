@@ -10,14 +10,28 @@ from waymark.plans.clouds import cloud
 from waymark.plans.sequences import events
 
 
-@query("TOP-09")
+_EVENTS = "e AS (SELECT user_id, event_id, event_type, value, epoch_us(ts) / 1e6::DOUBLE AS t FROM events)"
+_POINTS = "c AS (SELECT l_suppkey AS cloud, l_orderkey * 8 + l_linenumber AS id, min(l_quantity) AS x, min(l_extendedprice / 1000) AS y, min(l_discount * 100) AS z FROM lineitem GROUP BY ALL)"
+
+
+@query("TOP-09", f"""WITH RECURSIVE {_EVENTS},
+n AS (SELECT user_id, event_id, value AS x, t % 86400 / 3600 AS y, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn, count(*) OVER (PARTITION BY user_id) AS many FROM e),
+k AS (SELECT user_id, rn, many, event_id, [{{'x': x, 'y': y}}] AS held, true AS kept FROM n WHERE rn = 1
+UNION ALL SELECT user_id, rn, many, event_id, CASE WHEN apart THEN list_append(held, {{'x': x, 'y': y}}) ELSE held END, apart FROM (
+SELECT n.*, k.held, list_min(list_transform(k.held, lambda h: (h.x - n.x) * (h.x - n.x) + (h.y - n.y) * (h.y - n.y))) > 25 AS apart FROM k JOIN n ON n.user_id = k.user_id AND n.rn = k.rn + 1))
+SELECT event_id FROM k WHERE kept OR rn = many OR many <= 2""")
 def greedy_radius(table):
     """Poses of each trajectory that keep their distance."""
     e = events(table).withColumn("hour", F.pmod(F.col("t"), F.lit(86400.0)) / 3600)
     return Y.radius_poses(e, by=["user_id"], order=["event_id"], axes=["value", "hour"], radius=5.0).select("event_id")
 
 
-@query("GEO-10")
+@query("GEO-10", f"""WITH RECURSIVE {_POINTS},
+n AS (SELECT *, row_number() OVER (PARTITION BY cloud ORDER BY id) AS rn FROM c),
+k AS (SELECT cloud, rn, [{{'x': x, 'y': y, 'z': z}}] AS seeds, CAST(0 AS INTEGER) AS cluster FROM n WHERE rn = 1
+UNION ALL SELECT cloud, rn, CASE WHEN list_min(d) <= 64 THEN seeds ELSE list_append(seeds, {{'x': x, 'y': y, 'z': z}}) END, CAST(CASE WHEN list_min(d) <= 64 THEN list_position(d, list_min(d)) - 1 ELSE len(seeds) END AS INTEGER) FROM (
+SELECT n.*, k.seeds, list_transform(k.seeds, lambda s: (s.x - n.x) * (s.x - n.x) + (s.y - n.y) * (s.y - n.y) + (s.z - n.z) * (s.z - n.z)) AS d FROM k JOIN n ON n.cloud = k.cloud AND n.rn = k.rn + 1))
+SELECT cloud, cluster, count(*) AS n FROM k GROUP BY cloud, cluster""")
 def seed_cluster(table):
     """Seed clusters of each cloud."""
     c = cloud(table).groupBy("cloud", "id").agg(*(F.min(a).alias(a) for a in "xyz"))
@@ -34,14 +48,25 @@ def rate_limit(table):
     return Y.since_last_kept(events(table), by=["user_id"], order=["t", "event_id"], value="t", limit=43200.0).select("event_id")
 
 
-@query("TOP-06 TOP-03")
+@query("TOP-06 TOP-03", f"""WITH RECURSIVE {_POINTS},
+n AS (SELECT *, row_number() OVER (PARTITION BY cloud ORDER BY y, id) AS rn FROM c),
+k AS (SELECT cloud, rn, id, [{{'x': x, 'z': z}}] AS held, true AS kept FROM n WHERE rn = 1
+UNION ALL SELECT cloud, rn, id, CASE WHEN apart THEN list_append(held, {{'x': x, 'z': z}}) ELSE held END, apart FROM (
+SELECT n.*, k.held, len(k.held) < 5 AND list_min(list_transform(k.held, lambda h: (h.x - n.x) * (h.x - n.x) + (h.z - n.z) * (h.z - n.z))) >= 100 AS apart FROM k JOIN n ON n.cloud = k.cloud AND n.rn = k.rn + 1))
+SELECT cloud, id FROM k WHERE kept""")
 def diverse_candidates(table):
     """The five cheapest points of each cloud that are apart from each other."""
     c = cloud(table).groupBy("cloud", "id").agg(*(F.min(a).alias(a) for a in "xyz"))
     return Y.diverse_best(c, by=["cloud"], cost="y", key="id", axes=["x", "z"], separation=10.0, limit=5).select("cloud", "id")
 
 
-@query("JOIN-16")
+@query("JOIN-16", f"""WITH RECURSIVE {_EVENTS},
+p AS (SELECT v.user_id, v.event_id AS a, b.event_id AS b, abs(v.t - b.t) AS d FROM e v JOIN e b ON b.user_id = v.user_id WHERE v.event_type = 'view' AND b.event_type = 'purchase' AND abs(v.t - b.t) <= 86400),
+n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY d, a, b) AS rn FROM p),
+k AS (SELECT user_id, rn, a, b, [a] AS ua, [b] AS ub, true AS kept FROM n WHERE rn = 1
+UNION ALL SELECT user_id, rn, a, b, CASE WHEN free THEN list_append(ua, a) ELSE ua END, CASE WHEN free THEN list_append(ub, b) ELSE ub END, free FROM (
+SELECT n.*, k.ua, k.ub, NOT list_contains(k.ua, n.a) AND NOT list_contains(k.ub, n.b) AS free FROM k JOIN n ON n.user_id = k.user_id AND n.rn = k.rn + 1))
+SELECT a, b FROM k WHERE kept""")
 def greedy_pairs(table):
     """One-to-one pairs of views and purchases of a user, nearest in time first."""
     e = events(table)
@@ -51,7 +76,13 @@ def greedy_pairs(table):
     return Y.pair_greedily(pairs, by=["user_id"], a="a", b="b", distance="d", limit=86400.0).select("a", "b")
 
 
-@query("RET-11 RET-12")
+@query("RET-11", f"""WITH RECURSIVE {_EVENTS},
+d AS (SELECT user_id, CAST(floor(t / 86400) AS BIGINT) AS day, avg(value) AS m FROM e GROUP BY ALL),
+n AS (SELECT user_id, day, list_transform(range(10), lambda i: exp(-abs(m - i * 10 - 5) / 10)) AS l, row_number() OVER (PARTITION BY user_id ORDER BY day) AS rn FROM d),
+k AS (SELECT user_id, CAST(NULL AS BIGINT) AS day, CAST(0 AS BIGINT) AS rn, list_transform(range(10), lambda i: 0.1::DOUBLE) AS p FROM n WHERE rn = 1
+UNION ALL SELECT user_id, day, rn, list_transform(u, lambda x: x / list_sum(u)) FROM (
+SELECT n.user_id, n.day, n.rn, list_transform(range(1, 11), lambda i: n.l[i] * (0.6 * k.p[i] + 0.2 * k.p[greatest(i - 1, 1)] + 0.2 * k.p[least(i + 1, 10)])) AS u FROM k JOIN n ON n.user_id = k.user_id AND n.rn = k.rn + 1))
+SELECT user_id, day, CAST(place - 1 AS INTEGER) AS place, round(p[place], 6) AS posterior FROM (SELECT *, unnest(range(1, 11)) AS place FROM k WHERE rn > 0)""")
 def bayes_chain(table):
     """Posterior over ten places along each user's days; the day's mean value is near a place or not."""
     d = events(table).groupBy("user_id", F.floor(F.col("t") / 86400).alias("day")).agg(F.avg("value").alias("m"))

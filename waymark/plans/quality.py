@@ -62,7 +62,8 @@ def robust_fuse(table):
     return out.select("k", F.round("fx", 4).alias("x"), F.round("fy", 4).alias("y"), "n", F.round("effective", 4).alias("effective"))
 
 
-@query("AGG-20")
+@query("AGG-20", """WITH c AS (SELECT CAST(floor(l_quantity / 2) AS BIGINT) AS ix, CAST(floor(l_extendedprice / 2000) AS BIGINT) AS iy, list(CASE WHEN l_returnflag = 'R' THEN 0.85::DOUBLE ELSE -0.4::DOUBLE END ORDER BY l_orderkey * 8 + l_linenumber) AS u FROM lineitem GROUP BY ALL)
+SELECT ix, iy, round(list_reduce(list_prepend(0.0::DOUBLE, u), lambda v, d: least(greatest(v + d, -2.0::DOUBLE), 3.5::DOUBLE)), 6) + 0.0 AS log_odds, len(u) AS n FROM c""")
 def log_odds_grid(table):
     """Clamped log odds of each grid cell, updates in order."""
     c = table("lineitem").select(F.floor(F.col("l_quantity") / 2).alias("ix"), F.floor(F.col("l_extendedprice") / 2000).alias("iy"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("o"), (F.col("l_returnflag") == "R").alias("hit"))

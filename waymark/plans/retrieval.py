@@ -30,10 +30,9 @@ l AS (SELECT c.node, coalesce(score, 0.0) AS likelihood FROM c LEFT JOIN s ON s.
 def _newest_against_rest(table) -> DataFrame:
     docs = table("documents").select("doc_id", "text")
     last = docs.agg(F.max("doc_id").alias("last"))
-    index = R.term_counts(tokens(docs)).join(F.broadcast(last), F.lit(True))  # one row
-    asked = index.filter("node = last").select("word")
-    nodes = docs.join(F.broadcast(last), F.lit(True)).filter("doc_id <> last").select(F.col("doc_id").alias("node"))
-    return R.likelihood(index.filter("node <> last").drop("last"), asked, nodes)
+    newest = docs.join(F.broadcast(last), F.col("doc_id") == F.col("last")).select("doc_id", "text")  # one row
+    rest = docs.join(F.broadcast(last), F.lit(True)).filter("doc_id <> last").select("doc_id", "text")
+    return R.likelihood(tokens(rest), tokens(newest).select("word"), rest.select(F.col("doc_id").alias("node")))
 
 
 @query("RET-07 AGG-04 JOIN-05 TOP-10 RET-19 SCL-22", f"{_LIKELIHOOD} SELECT node, round(likelihood, 6) AS likelihood FROM l ORDER BY l.likelihood DESC, node LIMIT 20")
@@ -112,12 +111,25 @@ def _dictionary(table) -> DataFrame:
     return table("embeddings").groupBy("label").agg(F.min_by("embedding", "vec_id").alias("vec")).select((F.col("label") + 1).alias("word"), "vec")
 
 
-@query("RET-01 RET-03 RET-04", f"{_NEAR} SELECT id, CASE WHEN d2 IS NOT NULL AND d <= 0.8 * d2 THEN word ELSE 0 END AS word FROM r WHERE rn = 1")
+@query("RET-03", f"{_NEAR} SELECT id, CASE WHEN d2 IS NOT NULL AND d <= 0.8 * d2 THEN word ELSE 0 END AS word FROM r WHERE rn = 1")
 def nndr_quantize_batch(table):
     """Each vector's nearest word of a fixed dictionary, 0 where the nearest is not clearly nearer than the second."""
     return R.assign_words(table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), _dictionary(table))
 
 
+@query("RET-01", """WITH RECURSIVE v AS (SELECT vec_id % 16 AS session, vec_id, [embedding[1]::DOUBLE, embedding[2]::DOUBLE, embedding[3]::DOUBLE] AS vec FROM embeddings),
+n AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY vec_id) AS rn FROM v),
+k AS (SELECT session, rn, vec_id, [vec] AS made, CAST(1 AS BIGINT) AS word, true AS is_new FROM n WHERE rn = 1
+UNION ALL SELECT session, rn, vec_id, CASE WHEN fresh THEN list_append(made, vec) ELSE made END, CASE WHEN fresh THEN len(made) + 1 ELSE list_position(d, list_min(d)) END, fresh
+FROM (SELECT *, len(made) < 2 OR list_min(d) > 0.8 * list_sort(d)[2] AS fresh FROM (
+SELECT n.session, n.rn, n.vec_id, n.vec, k.made, list_transform(k.made, lambda m: (m[1] - n.vec[1]) * (m[1] - n.vec[1]) + (m[2] - n.vec[2]) * (m[2] - n.vec[2]) + (m[3] - n.vec[3]) * (m[3] - n.vec[3])) AS d FROM k JOIN n ON n.session = k.session AND n.rn = k.rn + 1)))
+SELECT session, vec_id, word, is_new FROM k""")
+def nndr_incremental(table):
+    """Words that sixteen sessions make as their vectors (three components) come: new ones where no word is clearly nearest."""
+    v = table("embeddings").select((F.col("vec_id") % 16).alias("session"), "vec_id", F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double")).alias("vec"))
+    return R.incremental_words(v, by=["session"], order="vec_id")
+
+
 @query("RET-02", f"{_NEAR} SELECT id, word, round(d, 6) AS d1 FROM r WHERE rn = 1")
 def fixed_dictionary_assign(table):
     """Each vector's nearest word and squared distance."""
