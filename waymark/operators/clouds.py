@@ -162,3 +162,15 @@ def erode(cells: DataFrame, *, by: list[str]) -> DataFrame:
     votes = cells.distinct().withColumn("_dx", F.explode(d)).withColumn("_dy", F.explode(d))
     votes = votes.groupBy(*by, (F.col("ix") + F.col("_dx")).alias("ix"), (F.col("iy") + F.col("_dy")).alias("iy")).agg(F.count("*").alias("n"))
     return votes.filter("n = 9").select(*by, "ix", "iy")
+
+
+def euclidean_clusters(cloud: DataFrame, tolerance: float, least: int, most: int, *, by: str, axes: tuple[str, ...] = AXES, key: str = "id") -> DataFrame:
+    """(by, cluster, n, biggest): clusters of ``least`` to ``most`` points linked by steps of at most the tolerance, named by their smallest id."""
+    from waymark.operators.graph import components
+
+    pairs = near_pairs(cloud, cloud, tolerance, by=[by], axes=axes, left_id=key, right_id=key).filter("a < b")
+    links = pairs.select(F.struct(F.col(by).alias("g"), F.col("a").alias("i")).alias("src"), F.struct(F.col(by).alias("g"), F.col("b").alias("i")).alias("dst"))
+    labels = components(cloud.sparkSession, links, cloud.select(F.struct(F.col(by).alias("g"), F.col(key).alias("i")).alias("node")))
+    sizes = labels.groupBy(F.col("component.g").alias(by), F.col("component.i").alias("cluster")).agg(F.count("*").alias("n")).filter(F.col("n").between(least, most))
+    first = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("n"), "cluster"))
+    return sizes.withColumn("biggest", first == 1).select(by, "cluster", "n", "biggest")

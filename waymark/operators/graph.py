@@ -133,3 +133,11 @@ def predicted(prediction: DataFrame, prior: DataFrame) -> DataFrame:
     named = moved.filter("node >= 0").join(spread, "origin").groupBy("node").agg(F.sum(F.col("p") * F.col("was") - F.col("s")).alias("p"))
     everywhere = spread.agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("all"))
     return prior.select("node").join(named, "node", "left").crossJoin(F.broadcast(everywhere)).select("node", (F.coalesce("p", F.lit(0.0)) + F.col("all")).alias("p"))  # one row
+
+
+def statistics(spark: SparkSession, links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One row: nodes, edges (each unordered pair once, without loops), components, isolated nodes, size of the largest component."""
+    sizes = components(spark, links, nodes).groupBy("component").agg(F.count("*").alias("n"))
+    of_sizes = sizes.agg(F.sum("n").alias("nodes"), F.count("*").alias("components"), F.count_if(F.col("n") == 1).alias("isolated"), F.max("n").alias("largest"))
+    edges = links.filter("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct().agg(F.count("*").alias("edges"))
+    return of_sizes.crossJoin(F.broadcast(edges)).select("nodes", "edges", "components", "isolated", "largest")  # one row each

@@ -8,7 +8,7 @@ from waymark.operators import quality as Q
 from waymark.plans.base import query
 
 
-@query("AGG-27 AGG-28 AGG-34", """SELECT o_orderkey, CASE WHEN o_totalprice IS NULL THEN 'no_value' WHEN o_totalprice < 10000 THEN 'too_small' WHEN o_orderstatus = 'P' THEN 'pending' ELSE 'accepted' END AS reason,
+@query("", """SELECT o_orderkey, CASE WHEN o_totalprice IS NULL THEN 'no_value' WHEN o_totalprice < 10000 THEN 'too_small' WHEN o_orderstatus = 'P' THEN 'pending' ELSE 'accepted' END AS reason,
 array_to_string(list_filter([CASE WHEN NOT o_totalprice >= 10000 THEN 'minimum' END, CASE WHEN NOT o_orderstatus <> 'P' THEN 'status' END, CASE WHEN NOT o_orderpriority <> '5-LOW' THEN 'priority' END], lambda x: x IS NOT NULL), ',') AS blockers FROM orders""")
 def quality_gate_case(table):
     """First reason of a decision chain, and all blockers of a gate."""
