@@ -6,6 +6,7 @@ import io
 import re
 import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -26,9 +27,14 @@ def parse_pose_blob(blob: bytes | None) -> list[float] | None:
 
 
 def pose_of_blob(column: str) -> Column:
+    """Twelve numbers of a pose blob, null where it hasn't 48 bytes; a batch is read as one buffer."""
+
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def parse(blobs: pd.Series) -> pd.Series:
-        return blobs.map(parse_pose_blob)
+        good = blobs.map(lambda b: b is not None and len(b) == 48).to_numpy(bool)
+        out = np.full(len(blobs), None, object)
+        out[good] = list(np.frombuffer(b"".join(blobs[good]), "<f4").reshape(-1, 12).astype(float))
+        return pd.Series(out)
 
     return parse(column)
 
@@ -36,11 +42,57 @@ def pose_of_blob(column: str) -> Column:
 def blob_of_pose(column: str) -> Column:
     @F.pandas_udf(T.BinaryType())
     def pack(poses: pd.Series) -> pd.Series:
-        return poses.map(lambda p: None if p is None else struct.pack("<12f", *p))
+        good = poses.notna().to_numpy()
+        out = np.full(len(poses), None, object)
+        if good.any():
+            data = np.stack(poses[good].to_list()).astype("<f4").tobytes()
+            out[good] = [data[i : i + 48] for i in range(0, len(data), 48)]
+        return pd.Series(out)
+
+    return pack(column)
+
+
+#: Type numbers of matrices in a blob's trailer, with the kind of their elements.
+MATRIX_KINDS = {0: "<u1", 2: "<u2", 4: "<i4", 5: "<f4", 6: "<f8"}
+
+
+def pack_matrix(values: np.ndarray, rows: int, kind: int) -> bytes:
+    """zlib data of a matrix, then rows, columns and type number as three 32-bit integers."""
+    data = np.asarray(values).astype(MATRIX_KINDS[kind])
+    return zlib.compress(data.tobytes()) + struct.pack("<3i", rows, len(data) // max(rows, 1), kind)
+
+
+def unpack_matrix(blob: bytes | None) -> tuple[int, int, np.ndarray] | None:
+    """(rows, columns, values) of a matrix blob; None for null, short, damaged or unknown ones."""
+    if blob is None or len(blob) < 12:
+        return None
+    rows, cols, kind = struct.unpack("<3i", blob[-12:])
+    try:
+        data = np.frombuffer(zlib.decompress(blob[:-12]), MATRIX_KINDS[kind])
+    except (zlib.error, KeyError, ValueError):
+        return None
+    return (rows, cols, data.astype(float)) if len(data) == rows * cols else None
+
+
+def matrix_blob(column: str, rows: int, kind: int) -> Column:
+    @F.pandas_udf(T.BinaryType())
+    def pack(values: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None else pack_matrix(v, rows, kind) for v in values])
 
     return pack(column)
 
 
+def matrix_of_blob(column: str) -> Column:
+    """Struct (rows, cols, values) of a matrix blob, null fields where it can't be read."""
+
+    @F.pandas_udf("rows int, cols int, values array<double>")
+    def unpack(blobs: pd.Series) -> pd.DataFrame:
+        found = [unpack_matrix(b) or (None, None, None) for b in blobs]
+        return pd.DataFrame({"rows": pd.array([f[0] for f in found], "Int32"), "cols": pd.array([f[1] for f in found], "Int32"), "values": [f[2] for f in found]})
+
+    return unpack(column)
+
+
 def parse_points(content: bytes) -> np.ndarray:
     """Points (x, y, z) of a PCD or ASCII PLY file, or of a bare file of 32-bit floats (x, y, z, intensity)."""
     head = content[:16]

@@ -53,6 +53,19 @@ def geojson_points(df: DataFrame, x: str, y: str, properties: list[str]) -> Data
     return df.select(F.to_json(feature).alias("value"))
 
 
+def geojson_lines(points: DataFrame, *, by: list[str], order: str, x: str, y: str, kind: str = "trajectory") -> DataFrame:
+    """One line-string feature for each key with two points or more, as text; points in order, one trajectory is one row."""
+    lines = points.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(order, x, y))).alias("_p")).filter(F.size("_p") >= 2)
+    geometry = F.struct(F.lit("LineString").alias("type"), F.transform("_p", lambda p: F.array(p[x], p[y])).alias("coordinates"))
+    properties = F.struct(*by, F.lit(kind).alias("kind"), F.size("_p").alias("nodes"))
+    return lines.select(*by, F.to_json(F.struct(F.lit("Feature").alias("type"), properties.alias("properties"), geometry.alias("geometry"))).alias("value"))
+
+
+def append_rows(df: DataFrame, path: str, *, partition: str) -> None:
+    """Add rows to a stored table, one folder for each value of ``partition``; readers see a finished append or nothing of it."""
+    df.write.mode("append").partitionBy(partition).parquet(path)
+
+
 def dot_edges(links: DataFrame) -> DataFrame:
     return links.select(F.format_string('  "%s" -> "%s" [label="%s"];', F.col("src").cast("string"), F.col("dst").cast("string"), F.col("type").cast("string")).alias("value"))
 
