@@ -170,3 +170,82 @@ def smooth_corrections(df: DataFrame, *, by: list[str], order: list[str], target
         return {"correction": x}
 
     return _grouped(df, by, order, [target, weight], flag, "correction double")
+
+
+def localisation_states(df: DataFrame, *, by: list[str], order: list[str], time: str) -> DataFrame:
+    """(by..., order, applied, trusted, rejected, state): a localiser's state after each frame, with two-frame gating and hysteresis.
+
+    A frame has normal, accepted, cx, cy, cyaw (the proposed correction; cx null without one), points and uniqueness. A correction is
+    applied from the second consecutive frame on that proposes nearly the same one. Trust ages: after 4 s without an applied
+    correction, or three frames, the state is weak, after 10 s lost; three applied ones in a row on enough structure make it
+    stable.
+    """
+
+    def flag(t, normal, accepted, cx, cy, cyaw, points, uniqueness):
+        n = len(t)
+        has = normal.astype(bool) & np.isfinite(cx.astype(float))
+        c = np.stack([cx.astype(float), cy.astype(float), cyaw.astype(float)], 1)
+        step = np.diff(c, axis=0, prepend=c[:1])
+        turn = np.abs(np.pi - (np.pi - step[:, 2]) % (2 * np.pi))
+        near = (np.hypot(step[:, 0], step[:, 1]) <= 0.12) & (turn <= np.radians(3))
+        near[1:] &= has[1:] & has[:-1]
+        near[:1] = False
+        applied, trusts, rejects, states = np.zeros(n, bool), np.zeros(n, np.int32), np.zeros(n, np.int32), []
+        run = trusted = rejected = 0
+        last = None
+        for i in range(n):
+            run = (run + 1 if near[i] else 1) if has[i] else 0
+            applied[i] = has[i] and bool(accepted[i]) and run >= 2
+            trusted, rejected = (trusted + 1, 0) if applied[i] else (0, rejected + 1)
+            if applied[i]:
+                last = t[i]
+            trusts[i], rejects[i] = trusted, rejected
+            stale = np.inf if last is None else t[i] - last
+            if not normal[i]:
+                states.append("lost")
+            elif last is None:
+                states.append("weak" if rejected >= 3 else "initializing")
+            elif stale > 10:
+                states.append("lost")
+            elif stale > 4 or rejected >= 3:
+                states.append("weak")
+            else:
+                states.append("stable" if applied[i] and trusted >= 3 and points[i] >= 80 and uniqueness[i] >= 0.22 else "usable")
+        return {"applied": applied, "trusted": trusts, "rejected": rejects, "state": states}
+
+    out = _grouped(df, by, order, [time, "normal", "accepted", "cx", "cy", "cyaw", "points", "uniqueness"], flag, "applied boolean, trusted int, rejected int, state string")
+    return out.select(*dict.fromkeys([*by, *order]), "applied", "trusted", "rejected", "state")
+
+
+def skeleton(df: DataFrame, *, by: list[str], order: list[str], x: str, y: str, time: str, must: str, straight: float = 0.75, tight: float = 0.3, angle: float = 4.0, seconds: float = 2.0, turn: float = 20.0, still: float = 0.05) -> DataFrame:
+    """Rows of each trajectory that its pose graph is optimised on: both ends, rows that ``must`` stay, turns, and enough between them.
+
+    A row between is kept when it is ``straight`` away from the last kept one (``tight`` in a turn), when the heading changed by
+    ``angle`` degrees since, or after ``seconds``. Headings are taken from moves of at least ``still``, as shorter ones are noise.
+    """
+
+    def wrapped(a):
+        return np.abs(np.pi - (np.pi - a) % (2 * np.pi))
+
+    def flag(xs, ys, t, fixed):
+        xs, ys, t = xs.astype(float), ys.astype(float), t.astype(float)
+        n = len(xs)
+        keep = fixed.astype(bool).copy()
+        keep[[0, -1]] = True
+        dx, dy = np.diff(xs), np.diff(ys)
+        far, heading = np.hypot(dx, dy) >= still, np.arctan2(dy, dx)
+        keep[1:-1] |= far[:-1] & far[1:] & (wrapped(heading[1:] - heading[:-1]) >= np.radians(turn))
+        anchor = 0
+        for i in range(1, n):
+            if not keep[i]:
+                distance = np.hypot(xs[i] - xs[anchor], ys[i] - ys[anchor])
+                change = 0.0
+                if distance >= still and far[i - 1]:
+                    change = wrapped(heading[i - 1] - np.arctan2(ys[i - 1] - ys[anchor], xs[i - 1] - xs[anchor]))
+                limit = tight if change >= np.radians(turn) / 2 else straight
+                keep[i] = distance >= limit or change >= np.radians(angle) or t[i] - t[anchor] >= seconds
+            if keep[i]:
+                anchor = i
+        return {"kept": keep}
+
+    return _grouped(df, by, order, [x, y, time, must], flag, "kept boolean").filter("kept").drop("kept")

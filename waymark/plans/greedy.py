@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from waymark.operators import greedy as Y
@@ -98,3 +99,46 @@ def correction_field(table):
     """Smoothed corrections of each trajectory, drawn towards the values of its purchases."""
     e = events(table).withColumn("target", F.when(F.col("event_type") == "purchase", F.col("value") / 10)).withColumn("weight", F.lit(10.0))
     return Y.smooth_corrections(e, by=["user_id"], order=["t", "event_id"], target="target", weight="weight").select("event_id", F.round("correction", 6).alias("correction"))
+
+
+@query("STR-11", f"""WITH RECURSIVE {_EVENTS},
+n AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn, row_number() OVER (PARTITION BY user_id ORDER BY event_id) * 1.25::DOUBLE AS t, event_type <> 'error' AS normal, event_id % 4 > 0 AS accepted,
+CASE WHEN event_id % 9 > 0 THEN floor(value / 40) / 16 END AS cx, event_id % 2 / 32.0::DOUBLE AS cy, event_id % 3 / 64.0::DOUBLE AS cyaw, 60 + event_id % 60 AS points, event_id % 10 / 20.0::DOUBLE AS uniqueness FROM e),
+k AS (SELECT user_id, event_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS DOUBLE) AS lx, CAST(NULL AS DOUBLE) AS ly, CAST(NULL AS DOUBLE) AS lw, 0 AS run, false AS applied, 0 AS trusted, 0 AS rejected, CAST(NULL AS DOUBLE) AS last, '' AS state FROM n WHERE rn = 1
+UNION ALL SELECT user_id, event_id, rn, cx, cy, cyaw, run, applied, trusted, rejected, last,
+CASE WHEN NOT normal THEN 'lost' WHEN last IS NULL THEN CASE WHEN rejected >= 3 THEN 'weak' ELSE 'initializing' END WHEN t - last > 10 THEN 'lost' WHEN t - last > 4 OR rejected >= 3 THEN 'weak' WHEN applied AND trusted >= 3 AND points >= 80 AND uniqueness >= 0.22 THEN 'stable' ELSE 'usable' END FROM (
+SELECT *, CASE WHEN applied THEN trusted0 + 1 ELSE 0 END AS trusted, CASE WHEN applied THEN 0 ELSE rejected0 + 1 END AS rejected, CASE WHEN applied THEN t ELSE last0 END AS last FROM (
+SELECT *, has AND accepted AND run >= 2 AS applied FROM (
+SELECT n.user_id, n.event_id, n.rn, n.t, n.normal, n.accepted, n.points, n.uniqueness, CASE WHEN n.normal THEN n.cx END AS cx, n.cy, n.cyaw, n.normal AND n.cx IS NOT NULL AS has, k.trusted AS trusted0, k.rejected AS rejected0, k.last AS last0,
+CASE WHEN NOT (n.normal AND n.cx IS NOT NULL) THEN 0 WHEN k.lx IS NOT NULL AND sqrt(power(n.cx - k.lx, 2) + power(n.cy - k.ly, 2)) <= 0.12 AND abs(n.cyaw - k.lw) <= radians(3) THEN k.run + 1 ELSE 1 END AS run
+FROM k JOIN n ON n.user_id = k.user_id AND n.rn = k.rn + 1))))
+SELECT user_id, event_id, applied, trusted, rejected, state FROM k WHERE rn > 0""")
+def localisation_states(table):
+    """State of each user's localiser after every event."""
+    k = F.col("event_id")
+    t = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) * 1.25
+    frames = table("events").select(
+        "user_id", "event_id", t.alias("t"), (F.col("event_type") != "error").alias("normal"), (k % 4 > 0).alias("accepted"), F.when(k % 9 > 0, F.floor(F.col("value") / 40) / 16).alias("cx"),
+        (k % 2 / 32).alias("cy"), (k % 3 / 64).alias("cyaw"), (k % 60 + 60).alias("points"), (k % 10 / 20).alias("uniqueness"),
+    )
+    return Y.localisation_states(frames, by=["user_id"], order=["event_id"], time="t")
+
+
+@query("GRA-17b", f"""WITH RECURSIVE {_EVENTS},
+p AS (SELECT user_id, event_id, event_type, event_id // 300 AS map, round(value / 64, 3) AS x, event_id % 30 / 8.0::DOUBLE AS y, row_number() OVER w AS rn, count(*) OVER (PARTITION BY user_id) AS many, row_number() OVER w * 0.5::DOUBLE AS t FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+h AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py, lead(x) OVER w AS nx, lead(y) OVER w AS ny, lag(map) OVER w AS pm, lead(map) OVER w AS nm FROM p WINDOW w AS (PARTITION BY user_id ORDER BY rn)),
+a AS (SELECT *, sqrt(power(x - px, 2) + power(y - py, 2)) AS d1, sqrt(power(nx - x, 2) + power(ny - y, 2)) AS d2, atan2(y - py, x - px) AS h1, atan2(ny - y, nx - x) AS h2 FROM h),
+n AS (SELECT *, rn = 1 OR rn = many OR event_type = 'purchase' OR map <> pm OR map <> nm OR coalesce(d1 >= 0.05 AND d2 >= 0.05 AND abs(pi() - ((pi() - (h2 - h1)) - 2 * pi() * floor((pi() - (h2 - h1)) / (2 * pi())))) >= radians(150), false) AS must FROM a),
+k AS (SELECT user_id, rn, event_id, x AS ax, y AS ay, t AS seen, true AS kept FROM n WHERE rn = 1
+UNION ALL SELECT user_id, rn, event_id, CASE WHEN kept THEN x ELSE ax END, CASE WHEN kept THEN y ELSE ay END, CASE WHEN kept THEN t ELSE seen END, kept FROM (
+SELECT *, coalesce(must, false) OR d >= CASE WHEN c >= radians(150) / 2 THEN 1.25 ELSE 2.5 END OR c >= radians(120) OR t - seen >= 2.5 AS kept FROM (
+SELECT n.*, k.ax, k.ay, k.seen, sqrt(power(n.x - k.ax, 2) + power(n.y - k.ay, 2)) AS d, CASE WHEN sqrt(power(n.x - k.ax, 2) + power(n.y - k.ay, 2)) >= 0.05 AND n.d1 >= 0.05 THEN abs(pi() - ((pi() - (n.h1 - atan2(n.py - k.ay, n.px - k.ax))) - 2 * pi() * floor((pi() - (n.h1 - atan2(n.py - k.ay, n.px - k.ax))) / (2 * pi())))) ELSE 0 END AS c
+FROM k JOIN n ON n.user_id = k.user_id AND n.rn = k.rn + 1)))
+SELECT event_id FROM k WHERE kept""")
+def adaptive_skeleton(table):
+    """Nodes that each trajectory's graph is optimised on: ends, purchases, map changes, turns, and rows by distance, turn and time."""
+    k, w = F.col("event_id"), Window.partitionBy("user_id").orderBy("event_id")
+    e = table("events").withColumn("map", F.floor(k / 300))
+    must = F.coalesce((F.col("event_type") == "purchase") | F.coalesce(F.col("map") != F.lag("map").over(w), F.lit(False)) | F.coalesce(F.col("map") != F.lead("map").over(w), F.lit(False)), F.lit(False))
+    rows = e.select("user_id", "event_id", F.round(F.col("value") / 64, 3).alias("x"), (k % 30 / 8).alias("y"), (F.row_number().over(w) * 0.5).alias("t"), must.alias("must"))
+    return Y.skeleton(rows, by=["user_id"], order=["event_id"], x="x", y="y", time="t", must="must", straight=2.5, tight=1.25, angle=120, seconds=2.5, turn=150).select("event_id")
