@@ -6,6 +6,7 @@ Every function works inside ``by`` keys, so a series is one window partition; no
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,11 +58,16 @@ def state_durations(df: DataFrame, state: str, time: str, *, by: list[str], orde
 
 
 def worst_of_bucket(df: DataFrame, bucket: Column, order: list[Column], *, by: list[str], last: list[str]) -> DataFrame:
-    """The first row of each bucket by ``order``, and the very last row of the series."""
+    """The first row of each bucket by ``order``, and the very last row of the series (by ``last``, which tells its rows apart).
+
+    Both are ranks cut to their first row, which the engine takes on the map side; only these rows are shuffled.
+    """
     rows = df.withColumn("_b", bucket)
-    best = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(*order))
-    end = F.lead(last[0]).over(_w(by, last))
-    return rows.withColumn("_r", best).withColumn("_end", end.isNull()).filter("_r = 1 or _end").drop("_b", "_r", "_end")
+    best = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_b").orderBy(*order))).filter("_r = 1")
+    end = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*(F.desc(c) for c in last)))).filter("_r = 1")
+    taken = best.select(*(F.col(c).alias(f"_t{i}") for i, c in enumerate([*by, *last])))
+    same = reduce(lambda p, q: p & q, (F.col(c).eqNullSafe(F.col(f"_t{i}")) for i, c in enumerate([*by, *last])))
+    return best.unionByName(end.join(taken, same, "left_anti")).drop("_b", "_r")
 
 
 def local_maxima(df: DataFrame, value: str, *, by: list[str], order: list[str]) -> DataFrame:

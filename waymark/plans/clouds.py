@@ -80,7 +80,7 @@ def nearest_correspondence(table):
     return C.nearest_within(c.filter("flag = 'A'"), c.filter("flag = 'R'"), 4.0, by=["cloud"]).select("cloud", "a", "b", F.round("d2", 4).alias("d2"))
 
 
-@query("AGG-16 AGG-17 GEO-18", f"{_CLOUD} SELECT cloud, CAST(floor(x / 5) AS BIGINT) AS cx, CAST(floor(y / 5) AS BIGINT) AS cy, CAST(floor(z / 5) AS BIGINT) AS cz, count(*) AS n, round(avg(x), 7) AS x, round(avg(y), 7) AS y, round(avg(z), 7) AS z FROM c GROUP BY ALL")
+@query("AGG-16 AGG-17", f"{_CLOUD} SELECT cloud, CAST(floor(x / 5) AS BIGINT) AS cx, CAST(floor(y / 5) AS BIGINT) AS cy, CAST(floor(z / 5) AS BIGINT) AS cz, count(*) AS n, round(avg(x), 7) AS x, round(avg(y), 7) AS y, round(avg(z), 7) AS z FROM c GROUP BY ALL")
 def voxel_centroid(table):
     """Centroids of 5-unit voxels."""
     out = C.voxels(cloud(table), 5.0, ["x", "y", "z"], by=["cloud"])

@@ -28,7 +28,7 @@ def road_attraction(table):
     return A.attract(poses, near, key="id").select("id", F.round("x", 6).alias("x"), "state")
 
 
-@query("GRA-14 JOIN-08 GRA-10 GRA-16", """WITH p AS (SELECT user_id, event_id AS id, value AS x, (event_id % 50)::DOUBLE AS y, (event_id % 60) / 10.0::DOUBLE - 3 AS yaw FROM events)
+@query("JOIN-08 GRA-10", """WITH p AS (SELECT user_id, event_id AS id, value AS x, (event_id % 50)::DOUBLE AS y, (event_id % 60) / 10.0::DOUBLE - 3 AS yaw FROM events)
 SELECT a.user_id, a.id AS a, b.id AS b FROM p a JOIN p b ON a.user_id = b.user_id AND b.id - a.id > 20 AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 9 AND abs(pi() - ((pi() - (a.yaw - b.yaw)) - 2 * pi() * floor((pi() - (a.yaw - b.yaw)) / (2 * pi())))) <= 0.5""")
 def loop_candidates(table):
     """Pairs of a user's poses that are near in place and heading but not in time."""

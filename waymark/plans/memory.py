@@ -18,7 +18,7 @@ def forget_first(table):
     return N.removable(nodes, linked, n=50, recent_share=0.2).select("node", "weight")
 
 
-@query("RET-15 SRC-15", "WITH w AS (SELECT o_custkey AS node, count(*) AS priority FROM orders GROUP BY 1), m AS (SELECT * FROM w WHERE node NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) ORDER BY priority DESC, node LIMIT 40) SELECT m.node, priority, c_mktsegment FROM m JOIN customer ON c_custkey = node")
+@query("RET-15", "WITH w AS (SELECT o_custkey AS node, count(*) AS priority FROM orders GROUP BY 1), m AS (SELECT * FROM w WHERE node NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) ORDER BY priority DESC, node LIMIT 40) SELECT m.node, priority, c_mktsegment FROM m JOIN customer ON c_custkey = node")
 def recall_places(table):
     """Forty wanted places that are not in working memory."""
     wanted = table("orders").groupBy(F.col("o_custkey").alias("node")).agg(F.count("*").alias("priority"))
@@ -97,7 +97,7 @@ def canonical_digests(table):
     return sinks.with_canonical_digest(table("events").select("event_id", "props"), "props").select("event_id", "sha256")
 
 
-@query("SNK-11 SNK-10", "SELECT count(*) AS n, CAST(sum(length('  \"' || s_suppkey || '\" -> \"' || s_nationkey || '\" [label=\"0\"];')) AS BIGINT) AS chars FROM supplier")
+@query("SNK-10", "SELECT count(*) AS n, CAST(sum(length('  \"' || s_suppkey || '\" -> \"' || s_nationkey || '\" [label=\"0\"];')) AS BIGINT) AS chars FROM supplier")
 def dot_graph(table):
     """Edges of a drawn graph."""
     lines = sinks.dot_edges(table("supplier").select(F.col("s_suppkey").alias("src"), F.col("s_nationkey").alias("dst"), F.lit(0).alias("type")))

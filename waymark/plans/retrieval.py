@@ -35,7 +35,7 @@ def _newest_against_rest(table) -> DataFrame:
     return R.likelihood(tokens(rest), tokens(newest).select("word"), rest.select(F.col("doc_id").alias("node")))
 
 
-@query("RET-07 AGG-04 JOIN-05 TOP-10 RET-19 SCL-22", f"{_LIKELIHOOD} SELECT node, round(likelihood, 6) AS likelihood FROM l ORDER BY l.likelihood DESC, node LIMIT 20")
+@query("RET-07 AGG-04 JOIN-05 TOP-10 SCL-22", f"{_LIKELIHOOD} SELECT node, round(likelihood, 6) AS likelihood FROM l ORDER BY l.likelihood DESC, node LIMIT 20")
 def tfidf_topk(table):
     """The 20 documents most like the newest one, by TF-IDF over the inverted index."""
     return _newest_against_rest(table).orderBy(F.desc("likelihood"), "node").limit(20).select("node", F.round("likelihood", 6).alias("likelihood"))

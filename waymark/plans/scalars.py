@@ -56,7 +56,7 @@ def vector_norms(table):
     return table("embeddings").select("vec_id", F.round(X.norm(F.col("embedding")), 6).alias("norm"))
 
 
-@query("SCL-03 RET-05", "SELECT c_custkey, CAST(bit_count(xor(c_custkey, c_custkey * 7)) AS INTEGER) AS hamming, round(CASE WHEN c_custkey % 16 = 15 THEN 0 ELSE 0.54 - 0.46 * cos(2 * pi() * (c_custkey % 16) / 15) END, 6) AS window FROM customer")
+@query("SCL-03", "SELECT c_custkey, CAST(bit_count(xor(c_custkey, c_custkey * 7)) AS INTEGER) AS hamming, round(CASE WHEN c_custkey % 16 = 15 THEN 0 ELSE 0.54 - 0.46 * cos(2 * pi() * (c_custkey % 16) / 15) END, 6) AS window FROM customer")
 def hamming(table):
     """Hamming distance of words of bits, and the Hamming window."""
     k = F.col("c_custkey")

@@ -127,7 +127,7 @@ def _views_clicks(table):
     return e.filter("event_type = 'view'").select("event_id", "user_id", "t"), e.filter("event_type = 'click'").select("user_id", F.col("t").alias("ct"), F.col("event_id").alias("click"))
 
 
-@query("JOIN-11 STR-07", f"{_VC} SELECT v.event_id, b.event_id AS before, a.event_id AS after FROM v ASOF LEFT JOIN c b ON v.user_id = b.user_id AND v.t >= b.t ASOF LEFT JOIN c a ON v.user_id = a.user_id AND v.t <= a.t")
+@query("JOIN-11", f"{_VC} SELECT v.event_id, b.event_id AS before, a.event_id AS after FROM v ASOF LEFT JOIN c b ON v.user_id = b.user_id AND v.t >= b.t ASOF LEFT JOIN c a ON v.user_id = a.user_id AND v.t <= a.t")
 def asof_bracket(table):
     """The clicks around each view."""
     v, c = _views_clicks(table)

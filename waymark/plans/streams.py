@@ -33,7 +33,7 @@ def _stream(table) -> DataFrame:
 _E = "WITH RECURSIVE e AS (SELECT user_id, event_id, value, event_type, epoch_us(ts) / 1e6::DOUBLE AS t FROM events), n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS rn FROM e)"
 
 
-@query("STR-01 STR-03 STR-12", f"""{_E},
+@query("STR-01 STR-03", f"""{_E},
 k AS (SELECT user_id, rn, event_id, t AS last, true AS kept, value AS worst, value AS seen FROM n WHERE rn = 1
 UNION ALL SELECT n.user_id, n.rn, n.event_id, CASE WHEN NOT (n.t - k.last > 0 AND n.t - k.last < 43200) THEN n.t ELSE k.last END, NOT (n.t - k.last > 0 AND n.t - k.last < 43200),
 CASE WHEN k.kept THEN n.value ELSE greatest(k.worst, n.value) END, CASE WHEN k.kept THEN n.value ELSE greatest(k.worst, n.value) END FROM k JOIN n ON n.user_id = k.user_id AND n.rn = k.rn + 1)

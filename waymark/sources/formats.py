@@ -158,7 +158,9 @@ def read_strict_jsonl(spark: SparkSession, path: str, *, allowed: dict[str, str]
 
     text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
     text = text.withColumn("ended", F.endswith("value", F.lit("\n")) | (F.length("value") == 0)).withColumn("value", F.regexp_replace("value", "\n$", ""))
-    lines = text.filter("value <> '' or not ended").select("file", "ended", F.size(F.split("value", "\n")).alias("n"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
+    # the text itself must not be carried along with each of its lines
+    whole = text.filter("value <> '' or not ended").select("file", "ended", F.size(F.split("value", "\n")).alias("n"), F.split("value", "\n").alias("lines"))
+    lines = whole.select("file", "ended", "n", F.posexplode("lines").alias("line", "value"))
 
     @F.pandas_udf("string")
     def check(values: pd.Series) -> pd.Series:
