@@ -154,3 +154,11 @@ def depth_to_point(u: Column, v: Column, depth: Column, cx: float, cy: float, fx
     """A pixel's point in the camera's frame; null without depth."""
     ok = depth > 0
     return F.when(ok, (u - cx) * depth / fx), F.when(ok, (v - cy) * depth / fy), F.when(ok, depth)
+
+
+def overlap_ratio(a: tuple[Column, Column, Column, Column], b: tuple[Column, Column, Column, Column]) -> Column:
+    """Common area of two rectangles (x0, y0, x1, y1) over the smaller one's; 1 where that has none."""
+    zero = F.lit(0.0)
+    common = F.greatest(F.least(a[2], b[2]) - F.greatest(a[0], b[0]), zero) * F.greatest(F.least(a[3], b[3]) - F.greatest(a[1], b[1]), zero)
+    smaller = F.least((a[2] - a[0]) * (a[3] - a[1]), (b[2] - b[0]) * (b[3] - b[1]))
+    return F.when(smaller > 0, common / smaller).otherwise(F.lit(1.0))

@@ -141,3 +141,32 @@ def statistics(spark: SparkSession, links: DataFrame, nodes: DataFrame) -> DataF
     of_sizes = sizes.agg(F.sum("n").alias("nodes"), F.count("*").alias("components"), F.count_if(F.col("n") == 1).alias("isolated"), F.max("n").alias("largest"))
     edges = links.filter("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct().agg(F.count("*").alias("edges"))
     return of_sizes.crossJoin(F.broadcast(edges)).select("nodes", "edges", "components", "isolated", "largest")  # one row each
+
+
+def within_radius(spark: SparkSession, links: DataFrame, poses: DataFrame, start: DataFrame, radius: float, *, depth: int = 0) -> DataFrame:
+    """(origin, node, d2): nodes reached from an origin over nodes whose squared distance to it is below radius^2, within ``depth`` links (0: any).
+
+    ``links`` is (src, dst), used both ways, ``poses`` (node, x, y), ``start`` (node). A radius of 0 has no limit.
+    """
+    place = poses.select("node", "x", "y")
+    origins = start.select("node").distinct().join(place, "node").select(F.col("node").alias("origin"), F.col("x").alias("ox"), F.col("y").alias("oy"))
+    edge_path = fresh_path(spark, "edges")
+    edges = materialize(spark, both_ways(links.select("src", "dst")).distinct().join(place.withColumnRenamed("node", "dst"), "dst"), "edges", path=edge_path)
+    path = fresh_path(spark, "reached")
+    reached = materialize(spark, origins.select("origin", F.col("origin").alias("node"), "ox", "oy", F.lit(0.0).alias("d2"), F.lit(0).alias("level")), "reached", path=path)
+    level = 0
+    while not depth or level < depth:
+        step = reached.filter(F.col("level") == level).withColumnRenamed("node", "src").join(edges, "src")
+        d2 = (F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + (F.col("y") - F.col("oy")) * (F.col("y") - F.col("oy"))
+        step = step.select("origin", F.col("dst").alias("node"), "ox", "oy", d2.alias("d2"), F.lit(level + 1).alias("level"))
+        if radius > 0:
+            step = step.filter(F.col("d2") < radius * radius)
+        fresh = step.dropDuplicates(["origin", "node"]).join(reached.select("origin", "node"), ["origin", "node"], "left_anti")
+        old, path = path, fresh_path(spark, "reached")
+        reached = materialize(spark, reached.unionByName(fresh), "reached", path=path)
+        drop_path(spark, old)
+        level += 1
+        if reached.filter(F.col("level") == level).isEmpty():
+            break
+    drop_path(spark, edge_path)
+    return reached.select("origin", "node", "d2")

@@ -130,3 +130,71 @@ def matrix_blobs(table):
     damaged = v.withColumn("blob", F.when(F.col("vec_id") % 10 == 3, F.substring("blob", 5, 1000000)).otherwise(F.col("blob")))
     m = damaged.select("vec_id", containers.matrix_of_blob("blob").alias("m"))
     return m.select("vec_id", F.col("m.rows").alias("n_rows"), F.col("m.cols").alias("cols"), F.col("m.values")[0].alias("first"), F.try_element_at("m.values", F.lit(64)).alias("last"))
+
+
+@query("SRC-22", "SELECT 'tag' || p_partkey AS tag_id, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_name END AS payload, CAST(p_partkey % 5 AS INTEGER) AS segment, CAST(CASE WHEN p_partkey % 2 = 0 THEN p_size END AS INTEGER) AS node_count, p_partkey / 4.0::DOUBLE AS x, CASE WHEN p_partkey % 7 = 0 THEN 0.0::DOUBLE ELSE p_size::DOUBLE END AS y FROM part")
+def price_tags(table):
+    """Price tags of JSON arrays, one array for each brand of parts; fields in both spellings."""
+    k, null = F.col("p_partkey"), F.lit(None)
+    old = k % 2 == 1
+    tag = F.struct(
+        F.when(~old, F.concat(F.lit("tag"), k.cast("string"))).alias("tagIdentifier"), F.when(old, F.concat(F.lit("tag"), k.cast("string"))).alias("id"), F.when(k % 3 != 0, F.col("p_name")).alias("payload"),
+        F.when(~old, (k % 5).cast("int")).alias("segmentIndex"), F.when(old, (k % 5).cast("int")).alias("segment_index"), F.when(~old, F.col("p_size").cast("int")).alias("nodeCount"), (k / 4).alias("x"), F.when(k % 7 != 0, F.col("p_size").cast("double")).otherwise(null).alias("y"),
+    )
+    arrays = table("part").groupBy((k % 16).alias("file")).agg(F.to_json(F.collect_list(tag)).alias("value")).select("value").repartition(16, "value")
+    found = _written_whole(arrays, lambda path: formats.read_price_tags(arrays.sparkSession, path))
+    return found.select("tag_id", "payload", "segment", "node_count", "x", "y")
+
+
+@query("SRC-21", "SELECT CAST(p_partkey AS INTEGER) AS node, p_size::DOUBLE AS x, p_partkey / 8.0::DOUBLE AS y, kind FROM part, (VALUES ('json'), ('csv')) f(kind) WHERE p_partkey % 9 <> 4")
+def trajectory_samples(table):
+    """Samples of a JSON array, and of a CSV file where the array is empty; rows without numbers go."""
+    k = F.col("p_partkey")
+    rows = table("part").select(k.cast("string").alias("nodeCount"), F.when(k % 9 == 4, "?").otherwise(F.col("p_size").cast("string")).alias("x"), (k / 8).cast("string").alias("y"))
+    spark = rows.sparkSession
+    array = rows.groupBy((F.col("nodeCount") % 4).alias("file")).agg(F.to_json(F.collect_list(F.struct("nodeCount", "x", "y"))).alias("value")).select("value").repartition(4, "value")
+    first = _written_whole(array, lambda path: formats.read_trajectory(spark, path, None)).select("node", "x", "y", F.lit("json").alias("kind"))
+    path = fresh_path(spark, "samples")
+    rows.write.option("header", True).csv(f"{path}/csv")
+    spark.range(1).select(F.lit("[]").alias("value")).write.text(f"{path}/json")
+    second = formats.read_trajectory(spark, f"{path}/json", f"{path}/csv").select("node", "x", "y", F.lit("csv").alias("kind"))
+    return first.unionByName(second)
+
+
+def _written_whole(arrays: DataFrame, read) -> DataFrame:
+    """Like ``_written``, with one file for each row."""
+    spark = arrays.sparkSession
+    before = spark.conf.get("spark.sql.files.maxRecordsPerFile")
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "1")
+    try:
+        return _written(arrays, read)
+    finally:
+        spark.conf.set("spark.sql.files.maxRecordsPerFile", before)
+
+
+@query("SRC-36", "SELECT table_name, column_name FROM information_schema.columns WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations')")
+def table_columns(table):
+    """Columns of every table, read off their schemas."""
+    names = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
+    found = [(n, c) for n in names for c in table(n).columns]
+    return table("region").sparkSession.createDataFrame(found, "table_name string, column_name string")
+
+
+@query("SCL-11", "SELECT p_partkey, CASE WHEN p_partkey % 6 <> 5 THEN p_size::DOUBLE END AS x, CASE WHEN p_partkey % 6 <> 5 THEN (p_partkey % 64) / 4.0::DOUBLE END AS y, CASE WHEN p_partkey % 6 <> 5 THEN 0.5::DOUBLE END AS z FROM part")
+def pose_blobs(table):
+    """Poses through their 48-byte form; blobs of another length are none."""
+    k, zero, one = F.col("p_partkey"), F.lit(0.0), F.lit(1.0)
+    pose = F.array(one, zero, zero, F.col("p_size").cast("double"), zero, one, zero, k % 64 / 4, zero, zero, one, F.lit(0.5))
+    blobs = table("part").select("p_partkey", pose.alias("pose")).select("p_partkey", containers.blob_of_pose("pose").alias("blob"))
+    cut = blobs.select("p_partkey", F.when(k % 6 == 5, F.substring("blob", 1, 47)).otherwise(F.col("blob")).alias("blob"))
+    read = cut.select("p_partkey", containers.pose_of_blob("blob").alias("p"))
+    return read.select("p_partkey", F.col("p")[3].alias("x"), F.col("p")[7].alias("y"), F.col("p")[11].alias("z"))
+
+
+@query("SNK-08", """WITH e AS (SELECT user_id, event_id, round(value / 2 - 20, 3) AS lon, (event_id % 90)::DOUBLE AS lat FROM events)
+SELECT user_id, '<LineString><coordinates>' || string_agg(lon || ',' || lat || ',0.0', ' ' ORDER BY event_id) || '</coordinates></LineString>' AS line FROM e GROUP BY user_id""")
+def kml_lines(table):
+    """A KML line string of each user's places."""
+    e = table("events").select("user_id", "event_id", F.round(F.col("value") / 2 - 20, 3).alias("lon"), (F.col("event_id") % 90).cast("double").alias("lat"), F.lit(0.0).alias("alt"))
+    lines = e.groupBy("user_id").agg(F.collect_list(F.struct("event_id", "lon", "lat", "alt")).alias("points"))
+    return lines.select("user_id", F.concat(F.lit("<LineString><coordinates>"), sinks.kml(lines), F.lit("</coordinates></LineString>")).alias("line"))

@@ -108,3 +108,14 @@ def bayes_update(table):
     raw = G.predicted(_prediction(table), prior).select("node", (F.col("p") * (F.col("node") % 5 + 1.0)).alias("p"))
     scale = F.broadcast(raw.agg(F.sum("p").alias("sum")))  # one row
     return raw.crossJoin(scale).select("node", F.round(F.col("p") / F.col("sum") * 1000, 6).alias("posterior"))
+
+
+@query("GRA-02", f"""WITH RECURSIVE {_G}, w AS (SELECT p_partkey AS node, p_size::DOUBLE AS x, (p_partkey % 40)::DOUBLE AS y FROM part),
+s(origin, node, level) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_size = 7 UNION SELECT s.origin, b.dst, s.level + 1 FROM s JOIN b ON b.src = s.node JOIN w o ON o.node = s.origin JOIN w d ON d.node = b.dst WHERE s.level < 6 AND (d.x - o.x) * (d.x - o.x) + (d.y - o.y) * (d.y - o.y) < 100),
+u AS (SELECT DISTINCT origin, node FROM s) SELECT u.origin, u.node, (d.x - o.x) * (d.x - o.x) + (d.y - o.y) * (d.y - o.y) AS d2 FROM u JOIN w o ON o.node = u.origin JOIN w d ON d.node = u.node""")
+def radius_search(table):
+    """Nodes that each part of size 7 reaches in six links without leaving a radius of 10."""
+    g = graph(table)
+    part = table("part")
+    poses = part.select(F.col("p_partkey").alias("node"), F.col("p_size").cast("double").alias("x"), (F.col("p_partkey") % 40).cast("double").alias("y"))
+    return G.within_radius(g.sparkSession, g, poses, part.filter("p_size = 7").select(F.col("p_partkey").alias("node")), 10.0, depth=6)

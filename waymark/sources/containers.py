@@ -33,7 +33,8 @@ def pose_of_blob(column: str) -> Column:
     def parse(blobs: pd.Series) -> pd.Series:
         good = blobs.map(lambda b: b is not None and len(b) == 48).to_numpy(bool)
         out = np.full(len(blobs), None, object)
-        out[good] = list(np.frombuffer(b"".join(blobs[good]), "<f4").reshape(-1, 12).astype(float))
+        for i, pose in zip(np.flatnonzero(good), np.frombuffer(b"".join(blobs[good]), "<f4").reshape(-1, 12).astype(float), strict=True):
+            out[i] = pose
         return pd.Series(out)
 
     return parse(column)

@@ -192,3 +192,37 @@ def replay(nodes: DataFrame, *, start: int = 0, stop: int = 0, start_map: int =
     if stop_map >= 0:
         out = out.filter(F.col("map_id") <= stop_map)
     return (out.filter("weight <> -1") if skip_intermediate else out).orderBy("node")
+
+
+def _planar(x: Column, y: Column, z: Column, axes: str) -> tuple[Column, Column]:
+    return {"xy": (x, y), "xz": (x, z)}[axes]
+
+
+def read_price_tags(spark: SparkSession, path: str, *, axes: str = "xy") -> DataFrame:
+    """(tag_id, payload, segment, node_count, x, y, yaw, stamp) of JSON arrays of tags, fields in either spelling; what is no object is left out."""
+    text = spark.read.text(path, wholetext=True)
+    kind = "array<struct<tagIdentifier:string,id:string,payload:string,segmentIndex:int,segment_index:int,nodeCount:int,x:double,y:double,z:double,yaw:double,timestamp:double>>"
+    t = text.select(F.explode(F.from_json("value", kind)).alias("t")).filter("t is not null").select("t.*")
+    number = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    word = lambda *cs: F.coalesce(*(F.nullif(F.col(c), F.lit("")) for c in cs), F.lit(""))
+    x, y = _planar(number("x"), number("y"), number("z"), axes)
+    segment = F.coalesce(F.nullif(F.col("segmentIndex"), F.lit(0)), F.col("segment_index"), F.lit(0))
+    return t.select(word("tagIdentifier", "id").alias("tag_id"), word("payload").alias("payload"), segment.alias("segment"), F.col("nodeCount").alias("node_count"), x.alias("x"), y.alias("y"), number("yaw").alias("yaw"), F.col("timestamp").alias("stamp"))
+
+
+def read_trajectory(spark: SparkSession, json_path: str | None, csv_path: str | None, *, axes: str = "xy") -> DataFrame:
+    """(node, x, y, yaw, stamp) of trajectory samples: a JSON array, or the CSV file where that holds none; rows without numbers go."""
+    number = lambda c: F.col(c).try_cast("double")
+    fields = ("x", "y", "z", "yaw", "nodeCount", "node_id", "timestamp", "stamp")
+    rows = None
+    if json_path:
+        kind = "array<struct<" + ",".join(f"{f}:string" for f in fields) + ">>"
+        rows = spark.read.text(json_path, wholetext=True).select(F.posexplode(F.from_json("value", kind)).alias("i", "t")).filter("t is not null").select("i", "t.*")
+    if (rows is None or rows.isEmpty()) and csv_path:
+        found = spark.read.option("header", True).csv(csv_path).withColumn("i", F.monotonically_increasing_id())
+        rows = found.select("i", *(F.col(f) if f in found.columns else F.lit(None).cast("string").alias(f) for f in fields))
+    if rows is None:
+        return spark.createDataFrame([], "node int, x double, y double, yaw double, stamp double")
+    filled = rows.select("i", *(F.when(F.col(f).isNull(), F.lit(0.0)).otherwise(number(f)).alias(f) for f in ("x", "y", "z", "yaw")), F.coalesce(*(number(c) for c in ("nodeCount", "node_id")), F.col("i") + 1.0).cast("int").alias("node"), F.coalesce(number("timestamp"), number("stamp")).alias("stamp"))
+    x, y = _planar(F.col("x"), F.col("y"), F.col("z"), axes)
+    return filled.filter("x is not null and y is not null and z is not null and yaw is not null").select("node", x.alias("x"), y.alias("y"), "yaw", "stamp")
