@@ -210,4 +210,76 @@ def test_covers_claims_no_method_that_is_not_built():
     from waymark import catalog
 
     claimed = {i for ids in catalog.COVERS.values() for i in ids}
-    assert not claimed & {"GRA-17b", "GEO-21", "RET-10", "GRA-02", "GEO-11", "STR-11", "AGG-31", "RET-17", "GRA-11", "GRA-17c"}
+    assert not claimed & {"GEO-21", "GEO-11", "AGG-31", "RET-17", "GRA-11", "GRA-17c"}
+
+
+def test_two_nearest_in_blocks_of_the_dictionary(spark, monkeypatch):
+    words = spark.createDataFrame([(i, [float(i), float(i % 3)]) for i in range(20)], "word int, vec array<double>")
+    vectors = spark.createDataFrame([(1, [2.2, 0.0]), (2, [19.0, 1.0]), (3, [7.5, 1.5])], "id int, vec array<double>")
+    whole = sorted(rows(retrieval.two_nearest(vectors, words)))
+    monkeypatch.setattr(retrieval, "DICTIONARY_BYTES", 100)
+    assert sorted(rows(retrieval.two_nearest(vectors, words))) == whole
+    one = words.filter("word = 4")
+    assert [r["word2"] for r in retrieval.two_nearest(vectors, one).collect()] == [None] * 3
+
+
+def test_components_of_chains_numbered_in_order(spark):
+    from waymark.operators import graph
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, i) for i in range(70, 80)] + [(5, 5)], "src long, dst long")
+    nodes = spark.createDataFrame([(i,) for i in [*range(61), *range(70, 80), 100, 200]], "node long")
+    got = dict(rows(graph.components(spark, edges, nodes)))
+    assert got == {**dict.fromkeys(range(61), 0), **dict.fromkeys([*range(70, 80), 100], 70), 200: 200}
+
+
+def test_a_search_that_is_not_over_is_an_error(spark):
+    from waymark.operators import graph
+
+    edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(5)], "src long, dst long, cost double")
+    start = spark.createDataFrame([(0, 0)], "origin long, node long")
+    with pytest.raises(RuntimeError):
+        graph.relax(spark, edges, start, max_rounds=2)
+    found = {r["node"]: (r["cost"], r["route"]) for r in graph.relax(spark, edges, start, routes=True).collect()}
+    assert found[3] == (3.0, [0, 1, 2, 3])
+
+
+def test_crowded_cells_keep_their_points_without_pairs(spark):
+    from waymark.operators import clouds
+
+    points = [("c", i, 0.01 * i, 0.0, 0.0) for i in range(40)] + [("c", 90, 5.0, 5.0, 5.0), ("c", 91, 1.2, 0.0, 0.0), ("c", 92, float("nan"), 0.0, 0.0)]
+    cloud = spark.createDataFrame(points, "cloud string, id int, x double, y double, z double")
+    kept = sorted(r["id"] for r in clouds.radius_outliers(cloud, 1.0, 3, by=["cloud"]).collect())
+    want = [i for _, i, x, y, z in points if sum(j != i and (x - a) ** 2 + (y - b) ** 2 + (z - c) ** 2 <= 1 for _, j, a, b, c in points) >= 3]
+    assert kept == want
+
+
+def test_prediction_rows_sum_to_one(spark):
+    from waymark.operators import graph
+
+    near = spark.createDataFrame([(0, 0, 0), (0, 1, 1), (1, 1, 0), (1, 0, 1), (1, 2, 1), (2, 2, 0), (2, 1, 1), (3, 3, 0)], "origin long, node long, margin int")
+    rows_ = graph.place_prediction(near, 4, [0.1, 0.4, 0.3, 0.1], epsilon=0.0).collect()
+    for origin in range(4):
+        own = {r["node"]: r["p"] for r in rows_ if r["origin"] == origin}
+        named = [n for n in own if n >= 0]
+        assert sum(own[n] for n in named) + own[-1] + own[-2] * (4 - len(named)) == pytest.approx(1)
+    prior = spark.createDataFrame([(i, 0.25) for i in range(4)], "node long, p double")
+    moved = graph.predicted(graph.place_prediction(near, 4, [0.1, 0.4, 0.3, 0.1], epsilon=0.0), prior)
+    assert sum(r["p"] for r in moved.collect()) == pytest.approx(0.9)
+
+
+def test_damaged_matrix_blobs_are_not_read():
+    from waymark.sources import containers
+
+    blob = containers.pack_matrix([1, 2, 3, 4, 5, 6], 2, 5)
+    assert containers.unpack_matrix(blob)[:2] == (2, 3) and containers.unpack_matrix(blob)[2].tolist() == [1, 2, 3, 4, 5, 6]
+    assert all(containers.unpack_matrix(b) is None for b in (None, b"", blob[:-1], blob[2:], blob[:-4] + b"\x63\0\0\0"))
+
+
+def test_a_shared_folder_is_needed_on_a_cluster():
+    from types import SimpleNamespace
+
+    from waymark.session import shared_dir
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="yarn", getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_dir(cluster)
