@@ -223,9 +223,9 @@ def test_two_nearest_in_blocks_of_the_dictionary(spark, monkeypatch):
     assert [r["word2"] for r in retrieval.two_nearest(vectors, one).collect()] == [None] * 3
 
 
-def test_components_of_chains_numbered_in_order(spark):
-    from waymark.operators import graph
-
+@pytest.mark.parametrize("limit", [1 << 20, 20, 0])
+def test_components_of_chains_numbered_in_order(spark, monkeypatch, limit):
+    monkeypatch.setattr(graph, "TASK_EDGES", limit)
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, i) for i in range(70, 80)] + [(5, 5)], "src long, dst long")
     nodes = spark.createDataFrame([(i,) for i in [*range(61), *range(70, 80), 100, 200]], "node long")
     got = dict(rows(graph.components(spark, edges, nodes)))

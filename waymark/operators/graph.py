@@ -6,12 +6,41 @@ the shared folder, and a round without change ends the search.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.session import drop_path, fresh_path, materialize
 
 
+#: Edges that one task may take (16 MB), counted first.
+TASK_EDGES = 1 << 20
+
+
+def roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Smallest position that each of n positions reaches over the pairs (x, y)."""
+    root = np.arange(n)
+    while True:
+        apart = root[x] != root[y]
+        x, y = x[apart], y[apart]
+        if not len(x):
+            return root
+        np.minimum.at(root, np.maximum(root[x], root[y]), np.minimum(root[x], root[y]))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _hooks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All edges (src, dst) of a counted number: gives (src, to), the smallest end that each end reaches."""
+    t = pa.Table.from_batches(list(batches), pa.schema([("src", pa.int64()), ("dst", pa.int64())]))
+    ids, ends = np.unique(np.concatenate([t.column("src").to_numpy(), t.column("dst").to_numpy()]), return_inverse=True)
+    found = roots(len(ids), ends[: t.num_rows], ends[t.num_rows :])
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[found])], names=["src", "to"])
+
+
 def both_ways(edges: DataFrame, *extra: str) -> DataFrame:
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *extra)
     return edges.select("src", "dst", *extra).unionByName(back)
@@ -66,13 +95,18 @@ def components(spark: SparkSession, edges: DataFrame, nodes: DataFrame) -> DataF
 
     A round hooks every node to the neighbour with the smallest hash, or to itself if its own is smaller, follows two hooks
     more, and replaces the ends of the edges by what they are hooked to; edges inside a contracted node go. Hashes differ
-    from round to round, so that a chain shrinks to a third or less however its nodes are numbered. The hooks of
-    all rounds are composed in the end. Ends of edges that are not in ``nodes`` connect, but are not returned.
+    from round to round, so that a chain shrinks to a third or less however its nodes are numbered. As soon as no more than
+    TASK_EDGES are left (of whole-numbered nodes), one task hooks what they connect. The hooks of all rounds are composed in
+    the end. Ends of edges that are not in ``nodes`` connect, but are not returned.
     """
+    whole = dict(edges.dtypes)["src"] in ("int", "bigint") and dict(edges.dtypes)["dst"] in ("int", "bigint")
     hooks: list[DataFrame] = []
     path = fresh_path(spark, "edges")
     both = materialize(spark, both_ways(edges.select("src", "dst")).filter("src <> dst").distinct(), "edges", path=path)
-    while not both.isEmpty():
+    while left := both.count():
+        if whole and left <= TASK_EDGES:
+            hooks.append(materialize(spark, both.select(F.col("src").cast("long"), F.col("dst").cast("long")).coalesce(1).mapInArrow(_hooks, "src long, to long"), "hooks", path=fresh_path(spark, "hooks")))
+            break
         mark = len(hooks)
         low = both.groupBy("src").agg(F.min(F.struct(F.xxhash64("dst", F.lit(mark)).alias("h"), F.col("dst").alias("to"))).alias("m"))
         low = low.select("src", F.least("m", F.struct(F.xxhash64("src", F.lit(mark)).alias("h"), F.col("src").alias("to")))["to"].alias("to"))
