@@ -471,7 +471,7 @@ def test_components_of_chains_stars_and_rings(spark, monkeypatch, limit):
 
 def test_groups_and_forests_brute_force(monkeypatch):
     from waymark.llm import near_duplicates as N
-    from waymark.llm.components import roots
+    from waymark.operators.graph import roots
 
     rng = np.random.default_rng(4)
     texts = _loose_group(rng, 90, 120, 12) + [_words(f"z{i}", 80) for i in range(10)]

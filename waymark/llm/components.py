@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waymark.operators.graph import roots
 from waymark.session import drop_path, fresh_path, materialize
 
 
@@ -16,19 +17,6 @@ from waymark.session import drop_path, fresh_path, materialize
 TASK_EDGES = 1 << 20
 
 
-def roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Smallest position that each of n positions reaches over the pairs (x, y)."""
-    root = np.arange(n)
-    while True:
-        apart = root[x] != root[y]
-        x, y = x[apart], y[apart]
-        if not len(x):
-            return root
-        np.minimum.at(root, np.maximum(root[x], root[y]), np.minimum(root[x], root[y]))
-        while (root[root] != root).any():
-            root = root[root]
-
-
 def _in_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     t = pa.Table.from_batches(list(batches), pa.schema([("a", pa.int64()), ("b", pa.int64())]))
     ids, ends = np.unique(np.concatenate([t.column("a").to_numpy(), t.column("b").to_numpy()]), return_inverse=True)

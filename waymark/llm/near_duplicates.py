@@ -30,8 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm.components import connected_components, roots
+from waymark.llm.components import connected_components
 from waymark.llm.text import Words, blocks, column_bytes, grams, mix
+from waymark.operators.graph import roots
 from waymark.session import drop_path, fresh_path, materialize, prepare
 
 SHINGLE = 5
