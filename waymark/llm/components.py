@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from waymark.operators.graph import roots
 from waymark.session import drop_path, fresh_path, materialize
 
-
 #: Edges that one task may take (16 MB); beyond it the work is shared out.
 TASK_EDGES = 1 << 20
 

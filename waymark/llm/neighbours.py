@@ -1,13 +1,13 @@
 """Approximate maximum-inner-product search with score-aware anisotropic quantisation.
 
-A vector is a coarse centroid plus a residual whose direction is product-quantised to four bits per pair of
+A vector is a coarse centroid plus a residual whose direction is product-quantised to four bits for each of its
 dimensions. Codes and codebooks minimise a loss that weighs the error parallel to the vector ``eta`` times as much as
 the orthogonal one, since only the parallel part moves large inner products; what error is left along the centroid is
 kept as one number. A query scans tables of its inner products with the centroids (two codes to a byte, so one lookup of
 256 entries serves two subspaces), and the best of each block are reranked exactly, in double precision.
 
 Equal vectors are one row of the index, with the smallest ids that have it, so ties and hot copies cost and lose nothing.
-Each is encoded once. Queries meet all codes block by block (some 30 bytes a row, and blocks as large as a task's memory
+Each is encoded once. Queries meet all codes block by block (some 50 bytes a row, and blocks as large as a task's memory
 takes, so that a pair of blocks is minutes of scanning for megabytes shuffled), the best of all blocks by approximate
 score are joined with their vectors, and ranked by exact scores. Blocks are dealt by hash, so a task that runs again gets
 the same rows. There is no pruning by coarse cells: on vectors without clusters it loses neighbours (of 64 cells, half
@@ -35,15 +35,15 @@ from waymark.session import fresh_path, materialize, prepare
 
 #: Vectors a quantiser is fitted on at most (those with the smallest hash of their number).
 FIT_ROWS = 8192
-#: Codes and queries of one task at most (some 30 MB and 4 MB), and codes scanned at once.
+#: Codes and queries of one task at most (some 50 MB and 4 MB), and codes scanned at once.
 ROW_BLOCK, QUERY_BLOCK, TILE = 1 << 20, 1 << 14, 8192
 #: Vectors reranked for each query.
-RERANK = 96
+RERANK = 128
 #: Coarse centroids; what is quantised is the direction from the nearest one, so tight clusters keep their detail.
 CELLS = 64
 #: Share of its norm that an inner product must reach to count in the loss.
 THRESHOLD = 0.2
-_SUB = 2
+_SUB = 1
 
 
 @dataclass
@@ -156,7 +156,7 @@ def _unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _split(x: np.ndarray) -> np.ndarray:
-    """(rows, subspaces, 2), padded with zeros to an even number of subspaces."""
+    """(rows, subspaces, _SUB), padded with zeros to an even number of subspaces."""
     pad = -x.shape[1] % (2 * _SUB)
     x = np.pad(x.astype(np.float64), ((0, 0), (0, pad))) if pad else x.astype(np.float64)
     return x.reshape(len(x), -1, _SUB)
