@@ -12,6 +12,7 @@ from waymark.llm.passages import OP10_SQL, op10_repeated_passages
 from waymark.llm.quality import op2_quality
 from waymark.llm.toxicity import op9_toxicity
 from waymark.llm.warc import OP6_SQL, op6_warc
+from waymark.llm.whitening import op13_embedding_whitening
 
 QUERIES = {
     "op1_language_id": op1_language_id,
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
     "op10_repeated_passages": op10_repeated_passages,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": OP3_SQL,
