@@ -9,6 +9,7 @@ from waymark.llm.near_duplicates import OP7_SQL, op7_near_duplicates
 from waymark.llm.neighbours import op4_nearest_neighbours
 from waymark.llm.packing import op5_packing
 from waymark.llm.passages import OP10_SQL, op10_repeated_passages
+from waymark.llm.periods import op11_periodic_runs
 from waymark.llm.quality import op2_quality
 from waymark.llm.toxicity import op9_toxicity
 from waymark.llm.warc import OP6_SQL, op6_warc
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
     "op10_repeated_passages": op10_repeated_passages,
+    "op11_periodic_runs": op11_periodic_runs,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
 ORACLE_SQL: dict[str, str] = {
