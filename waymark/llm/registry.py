@@ -11,6 +11,7 @@ from waymark.llm.packing import op5_packing
 from waymark.llm.passages import OP10_SQL, op10_repeated_passages
 from waymark.llm.periods import op11_periodic_runs
 from waymark.llm.quality import op2_quality
+from waymark.llm.secrets import op12_secret_scan
 from waymark.llm.toxicity import op9_toxicity
 from waymark.llm.warc import OP6_SQL, op6_warc
 from waymark.llm.whitening import op13_embedding_whitening
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_repeated_passages": op10_repeated_passages,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_secret_scan": op12_secret_scan,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
 ORACLE_SQL: dict[str, str] = {
