@@ -58,16 +58,16 @@ def state_durations(df: DataFrame, state: str, time: str, *, by: list[str], orde
 
 
 def worst_of_bucket(df: DataFrame, bucket: Column, order: list[Column], *, by: list[str], last: list[str]) -> DataFrame:
-    """The first row of each bucket by ``order``, and the very last row of the series (by ``last``, which tells its rows apart).
+    """The first row of each bucket by ``order`` (ascending, nulls first), and the very last row of the series (by ``last``, which tells its rows apart).
 
-    Both are ranks cut to their first row, which the engine takes on the map side; only these rows are shuffled.
+    One aggregation gives each bucket's first and last row; which of the last rows ends the series is seen from these few.
     """
-    rows = df.withColumn("_b", bucket)
-    best = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_b").orderBy(*order))).filter("_r = 1")
-    end = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*(F.desc(c) for c in last)))).filter("_r = 1")
-    taken = best.select(*(F.col(c).alias(f"_t{i}") for i, c in enumerate([*by, *last])))
-    same = reduce(lambda p, q: p & q, (F.col(c).eqNullSafe(F.col(f"_t{i}")) for i, c in enumerate([*by, *last])))
-    return best.unionByName(end.join(taken, same, "left_anti")).drop("_b", "_r")
+    row = F.struct(*(F.col(c) for c in df.columns))
+    both = df.groupBy(*by, bucket.alias("_b")).agg(F.min_by(row, F.struct(*order)).alias("_first"), F.max_by(row, F.struct(*last)).alias("_last"))
+    ends = F.row_number().over(Window.partitionBy(*by).orderBy(*(F.desc(f"_last.{c}") for c in last))) == 1
+    same = reduce(lambda p, q: p & q, (F.col(f"_first.{c}").eqNullSafe(F.col(f"_last.{c}")) for c in last))
+    taken = F.when(ends & ~same, F.array("_first", "_last")).otherwise(F.array("_first"))
+    return both.select(taken.alias("_t")).select(F.inline("_t"))
 
 
 def local_maxima(df: DataFrame, value: str, *, by: list[str], order: list[str]) -> DataFrame:
@@ -177,21 +177,16 @@ def overlaps(left: DataFrame, right: DataFrame, *, by: list[str], start: str, en
     return a.join(b, [*by, "_k"]).filter((F.col(end) >= F.col(other_start)) & (F.col(start) <= F.col(other_end)) & (F.col("_k") == first)).drop("_k")
 
 
-def correlate(left: DataFrame, right: DataFrame, *, by: list[str], index: str, a: str, b: str, max_lag: int | None = None) -> DataFrame:
-    """(by..., lag, sum of products): cross-correlation at lags -max_lag..max_lag, by an equi-join on the shifted index.
+def correlate(left: DataFrame, right: DataFrame, *, by: list[str], index: str, a: str, b: str) -> DataFrame:
+    """(by..., lag, n, xcorr, xcov) at all lags that occur: pairs, raw cross-correlation, and raw cross-covariance about each side's mean.
 
-    Without ``max_lag``, (by..., lag, n, xcorr, xcov) at all lags that occur: the number of pairs, the raw
-    cross-correlation and the raw cross-covariance about each side's mean, by a join of each key's rows.
+    Every row of a key meets every row of it on the other side, as all lags need: quadratic in the indices of a key (days, not seconds).
     """
-    if max_lag is None:
-        w = Window.partitionBy(*by)
-        x = left.select(*by, F.col(index).alias("_i"), F.col(a).alias("_a"), (F.col(a) - F.avg(a).over(w)).alias("_da"))
-        y = right.select(*by, F.col(index).alias("_j"), F.col(b).alias("_b"), (F.col(b) - F.avg(b).over(w)).alias("_db"))
-        pairs = x.join(y, by).groupBy(*by, (F.col("_j") - F.col("_i")).cast("int").alias("lag"))
-        return pairs.agg(F.count("*").alias("n"), F.sum(F.col("_a") * F.col("_b")).alias("xcorr"), F.sum(F.col("_da") * F.col("_db")).alias("xcov"))
-    x = left.select(*by, F.col(index).alias("_i"), F.col(a).alias("_a")).withColumn("lag", F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag)))).withColumn("_i", F.col("_i") + F.col("lag"))
-    y = right.select(*by, F.col(index).alias("_i"), F.col(b).alias("_b"))
-    return x.join(y, [*by, "_i"]).groupBy(*by, "lag").agg(F.sum(F.col("_a") * F.col("_b")).alias("xcorr"))
+    w = Window.partitionBy(*by)
+    x = left.select(*by, F.col(index).alias("_i"), F.col(a).alias("_a"), (F.col(a) - F.avg(a).over(w)).alias("_da"))
+    y = right.select(*by, F.col(index).alias("_j"), F.col(b).alias("_b"), (F.col(b) - F.avg(b).over(w)).alias("_db"))
+    pairs = x.join(y, by).groupBy(*by, (F.col("_j") - F.col("_i")).cast("int").alias("lag"))
+    return pairs.agg(F.count("*").alias("n"), F.sum(F.col("_a") * F.col("_b")).alias("xcorr"), F.sum(F.col("_da") * F.col("_db")).alias("xcov"))
 
 
 def latest_before(frames: DataFrame, values: DataFrame, *, by: list[str], time: str, value_time: str, value: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from waymark.operators import memory as N
@@ -26,10 +27,15 @@ def recall_places(table):
     return N.recall(wanted, c.filter("c_acctbal > 0"), c, limit=40).select("node", "priority", "c_mktsegment")
 
 
-@query("UDF-08", "SELECT o_custkey, o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS rn FROM orders WHERE o_orderkey <= 8000 + o_custkey) WHERE rn = 1")
+@query("UDF-08", """WITH e AS (SELECT o_custkey, o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders WHERE o_orderstatus <> 'P'), u AS (SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus <> 'P') - count(*) FILTER (WHERE o_orderstatus = 'P') AS kept FROM orders GROUP BY 1)
+SELECT o_custkey, o_orderkey, o_orderstatus FROM e JOIN u USING (o_custkey) WHERE place = kept""")
 def edits_in_force(table):
-    """The last edit of each key up to its cursor."""
-    e = table("orders").select("o_custkey", "o_orderkey", "o_orderstatus", (F.col("o_custkey") + 8000).alias("cursor"))
+    """The last edit of each customer's journal that its undos (orders of status P, one edit each) leave in force."""
+    w = Window.partitionBy("o_custkey")
+    undo = F.col("o_orderstatus") == "P"
+    journal = table("orders").select("o_custkey", "o_orderkey", "o_orderstatus", (F.count_if(~undo).over(w) - F.count_if(undo).over(w)).alias("kept"))
+    e = journal.filter(~undo).withColumn("place", F.row_number().over(w.orderBy("o_orderkey")))
+    e = e.withColumn("cursor", F.max(F.when(F.col("place") <= F.col("kept"), F.col("o_orderkey"))).over(w))
     return N.replay_edits(e, cursor="cursor", key="o_custkey", order="o_orderkey").select("o_custkey", "o_orderkey", "o_orderstatus")
 
 

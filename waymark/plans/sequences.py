@@ -81,7 +81,8 @@ SELECT event_id FROM r WHERE rn = 1 OR e""",
 def per_bucket_worst(table):
     """The row of highest risk of each user and day, and the last of all."""
     risk = F.when(F.col("event_type") == "error", 3).when(F.col("event_type") == "purchase", 2).otherwise(1)
-    return S.worst_of_bucket(events(table), F.floor(F.col("t") / 86400), [risk.desc(), F.col("value"), F.desc("t"), F.col("event_id")], by=BY, last=ORDER).select("event_id")
+    rows = events(table).select("event_id", "user_id", "t", "value", (-risk).alias("risk"))
+    return S.worst_of_bucket(rows, F.floor(F.col("t") / 86400), [F.col("risk"), F.col("value"), -F.col("t"), F.col("event_id")], by=BY, last=ORDER).select("event_id")
 
 
 @query("WIN-11", f"{_E}, n AS (SELECT event_id, value, lag(value) OVER w AS b, lead(value) OVER w AS a FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)) SELECT event_id FROM n WHERE coalesce(value > b, true) AND coalesce(value > a, true) AND NOT (a IS NULL AND b IS NULL)")
@@ -190,12 +191,12 @@ def interval_overlap(table):
 @query(
     "WIN-12",
     f"""{_E}, d AS (SELECT user_id, CAST(floor(t / 86400) AS BIGINT) AS day, count(*) FILTER (WHERE event_type = 'view') AS a, count(*) FILTER (WHERE event_type = 'click') AS b FROM e GROUP BY ALL)
-SELECT x.user_id, CAST(y.day - x.day AS INTEGER) AS lag, CAST(sum(x.a * y.b) AS BIGINT) AS xcorr FROM d x JOIN d y ON x.user_id = y.user_id AND y.day - x.day BETWEEN -3 AND 3 GROUP BY ALL""",
+SELECT x.user_id, CAST(y.day - x.day AS INTEGER) AS lag, CAST(sum(x.a * y.b) AS BIGINT) AS xcorr FROM d x JOIN d y ON x.user_id = y.user_id GROUP BY ALL""",
 )
 def xcorr(table):
-    """Cross-correlation of a user's daily views and clicks over lags of three days."""
+    """Cross-correlation of a user's daily views and clicks over all lags, from days with events."""
     d = events(table).groupBy("user_id", F.floor(F.col("t") / 86400).alias("day")).agg(F.count_if(F.col("event_type") == "view").alias("a"), F.count_if(F.col("event_type") == "click").alias("b"))
-    return S.correlate(d, d, by=BY, index="day", a="a", b="b", max_lag=3)
+    return S.correlate(d, d, by=BY, index="day", a="a", b="b").select("user_id", "lag", "xcorr")
 
 
 @query(
