@@ -317,6 +317,58 @@ def test_scan_keeps_the_best_of_all_tiles(monkeypatch):
         assert np.allclose(full[i, row[qi == i]], score[qi == i], atol=1e-5)
 
 
+def test_refit_solves_each_centroid():
+    """A round of running sums gives what the whole least squares of one subspace after the other gives."""
+    from waymark.llm import neighbours as N
+
+    rng = np.random.default_rng(9)
+    parts, dirs, eta = rng.normal(size=(300, 5, 2)), rng.normal(size=(300, 5, 2)) / 4, 3.5
+    books = rng.normal(size=(5, 16, 2))
+    codes = N.assign(books, parts, dirs, eta)
+    want = books.copy()
+    for s in range(5):
+        for c in range(16):
+            own = codes[:, s] == c
+            if own.any():
+                others = sum(((parts[own, t] - want[t, codes[own, t]]) * dirs[own, t]).sum(1) for t in range(5) if t != s)
+                rows = np.concatenate([np.tile(np.eye(2), (own.sum(), 1)), np.sqrt(eta - 1) * dirs[own, s]])
+                aim = np.concatenate([parts[own, s].ravel(), np.sqrt(eta - 1) * (others + (parts[own, s] * dirs[own, s]).sum(1))])
+                want[s, c] = np.linalg.lstsq(rows, aim, rcond=None)[0]
+    N.refit(books, parts, dirs, codes, eta)
+    assert np.allclose(books, want)
+
+
+def test_assignment_in_pieces_is_the_same(monkeypatch):
+    from waymark.llm import neighbours as N
+
+    rng = np.random.default_rng(2)
+    books, parts, dirs = rng.normal(size=(6, 16, 2)), rng.normal(size=(50, 6, 2)), rng.normal(size=(50, 6, 2))
+    whole = N.assign(books, parts, dirs, 4.0)
+    monkeypatch.setattr(N, "ASSIGN_BYTES", 1)
+    assert (N.assign(books, parts, dirs, 4.0) == whole).all()
+
+
+def test_neighbours_of_384_dimensions_over_several_blocks(spark):
+    """Row and query blocks of some kilobytes: every block pair is scanned, and recall holds."""
+    from pyspark.sql import functions as F
+
+    from waymark.llm.neighbours import search
+
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(1500, 384)) * rng.lognormal(0, 0.2, size=(1500, 1))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x.astype(np.float32))], "vec_id long, embedding array<float>")
+    got = defaultdict(list)
+    for r in search(spark, rows, F.col("vec_id") % 20 == 0, row_bytes=60_000, query_bytes=20_000).collect():
+        got[r["query_id"]].append(r["vec_id"])
+    x = x.astype(np.float32).astype(float)
+    hit = []
+    for i in range(0, 1500, 20):
+        s = x @ x[i]
+        s[i] = -np.inf
+        hit.append(len(set(got[i]) & set(np.argsort(-s)[:20].tolist())) / 20)
+    assert len(got) == 75 and np.mean(hit) >= 0.95
+
+
 def test_packing_keeps_capitals_with_combining_marks():
     import public_tokenizers
     from tokenizers import Tokenizer

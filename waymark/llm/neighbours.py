@@ -1,14 +1,14 @@
 """Approximate maximum-inner-product search with score-aware anisotropic quantisation.
 
-A vector is a coarse centroid plus a residual whose direction is product-quantised to four bits for each of its
-dimensions. Codes and codebooks minimise a loss that weighs the error parallel to the vector ``eta`` times as much as
-the orthogonal one, since only the parallel part moves large inner products; what error is left along the centroid is
-kept as one number. A query scans tables of its inner products with the centroids (two codes to a byte, so one lookup of
+A vector is a coarse centroid plus a residual whose direction is product-quantised: two layers of four-bit codes for each
+subspace of two dimensions, the second one for what the first leaves. Codes and codebooks minimise a loss that weighs the
+error parallel to the vector ``eta`` times as much as the orthogonal one, since only the parallel part moves large inner
+products; what error is left along the centroid is kept as one number. A query scans tables of its inner products with the centroids (two codes to a byte, so one lookup of
 256 entries serves two subspaces), and the best of each block are reranked exactly, in double precision.
 
 Equal vectors are one row of the index, with the smallest ids that have it, so ties and hot copies cost and lose nothing.
-Each is encoded once. Queries meet all codes block by block (some 50 bytes a row, and blocks as large as a task's memory
-takes, so that a pair of blocks is minutes of scanning for megabytes shuffled), the best of all blocks by approximate
+Each is encoded once. Queries meet all codes block by block (some 85 bytes a row at 64 dimensions; blocks are bounded in
+bytes, so that a pair of blocks is minutes of scanning for megabytes shuffled), the best of all blocks by approximate
 score are joined with their vectors, and ranked by exact scores. Blocks are dealt by hash, so a task that runs again gets
 the same rows. There is no pruning by coarse cells: on vectors without clusters it loses neighbours (of 64 cells, half
 must be probed for a recall of 0.9).
@@ -35,15 +35,16 @@ from waymark.session import fresh_path, materialize, prepare
 
 #: Vectors a quantiser is fitted on at most (those with the smallest hash of their number).
 FIT_ROWS = 8192
-#: Codes and queries of one task at most (some 50 MB and 4 MB), and codes scanned at once.
-ROW_BLOCK, QUERY_BLOCK, TILE = 1 << 20, 1 << 14, 8192
+#: Bytes of codes and of query vectors of one task at most, rows of codes scanned at once, and bytes of the tables of an assignment.
+ROW_BYTES, QUERY_BYTES, TILE, ASSIGN_BYTES = 64 << 20, 4 << 20, 8192, 64 << 20
 #: Vectors reranked for each query.
 RERANK = 128
 #: Coarse centroids; what is quantised is the direction from the nearest one, so tight clusters keep their detail.
 CELLS = 64
 #: Share of its norm that an inner product must reach to count in the loss.
 THRESHOLD = 0.2
-_SUB = 1
+#: Dimensions of a subspace, and codes of each.
+_SUB, LAYERS = 2, 2
 
 
 @dataclass
@@ -58,14 +59,14 @@ class Codes:
 
 @dataclass
 class Quantizer:
-    """``coarse`` centroids, and for unit residuals ``books[s, c]``, centroid c of subspace s."""
+    """``coarse`` centroids, and for unit residuals ``books[l][s, c]``, centroid c of subspace s in layer l."""
 
     eta: float
     coarse: np.ndarray
-    books: np.ndarray
+    books: list[np.ndarray]
 
     @classmethod
-    def fit(cls, x: np.ndarray, *, threshold: float = THRESHOLD, cells: int = CELLS, rounds: int = 6, seed: int = 5) -> Quantizer:
+    def fit(cls, x: np.ndarray, *, threshold: float = THRESHOLD, cells: int = CELLS, rounds: int = 4, seed: int = 5) -> Quantizer:
         rng = np.random.default_rng(seed)
         eta = max(1.0, (x.shape[1] - 1) * threshold**2 / (1 - threshold**2))
         coarse = x[rng.choice(len(x), min(cells, len(x)), replace=False)]
@@ -73,47 +74,18 @@ class Quantizer:
             coarse = _means(x, _nearest(x, coarse), coarse)
         residual, _ = _unit(x - coarse[_nearest(x, coarse)])
         parts, dirs = _split(residual), _split(_unit(x)[0])
-        books = np.stack([p[rng.choice(len(p), 16, replace=len(p) < 16)] for p in parts.transpose(1, 0, 2)])
-        for s in range(len(books)):  # plain k-means to start from
-            for _ in range(6):
-                books[s] = _means(parts[:, s], _nearest(parts[:, s], books[s]), books[s])
-        model = cls(eta, coarse, books)
-        for _ in range(rounds):
-            model._refit(parts, dirs, model._assign(parts, dirs))
+        model = cls(eta, coarse, [])
+        for _ in range(LAYERS):
+            books = np.stack([p[rng.choice(len(p), 16, replace=len(p) < 16)] for p in parts.transpose(1, 0, 2)])
+            for s in range(len(books)):  # plain k-means to start from
+                for _ in range(4):
+                    books[s] = _means(parts[:, s], _nearest(parts[:, s], books[s]), books[s])
+            for _ in range(rounds):
+                refit(books, parts, dirs, assign(books, parts, dirs, eta), eta)
+            model.books.append(books)
+            parts = parts - _shown(books, assign(books, parts, dirs, eta))
         return model
 
-    def _assign(self, parts: np.ndarray, dirs: np.ndarray, sweeps: int = 2) -> np.ndarray:
-        """Codes by coordinate descent on the squared residual plus eta - 1 times its part along the vector, squared."""
-        n, m, _ = parts.shape
-        gap, along = np.empty((n, m, 16)), np.empty((n, m, 16))
-        for s in range(m):
-            r = parts[:, s, None] - self.books[s][None]
-            gap[:, s] = (r**2).sum(2)
-            along[:, s] = (r * dirs[:, s, None]).sum(2)
-        codes, rows = gap.argmin(2), np.arange(n)
-        parallel = np.take_along_axis(along, codes[:, :, None], 2)[:, :, 0]
-        total = parallel.sum(1)
-        for _ in range(sweeps):
-            for s in range(m):
-                other = total - parallel[:, s]
-                codes[:, s] = (gap[:, s] + (self.eta - 1) * (other[:, None] + along[:, s]) ** 2).argmin(1)
-                parallel[:, s] = along[rows, s, codes[:, s]]
-                total = other + parallel[:, s]
-        return codes
-
-    def _refit(self, parts: np.ndarray, dirs: np.ndarray, codes: np.ndarray) -> None:
-        """Each centroid solves the weighted least squares of its members, the other subspaces being held."""
-        for s in range(len(self.books)):
-            residual = parts - self.books[np.arange(len(self.books))[None], codes]
-            inner = (residual * dirs).sum(2)
-            want = inner.sum(1) - inner[:, s] + (parts[:, s] * dirs[:, s]).sum(1)
-            for c in range(16):
-                own = codes[:, s] == c
-                if own.any():
-                    d = dirs[own, s]
-                    left = own.sum() * np.eye(_SUB) + (self.eta - 1) * d.T @ d
-                    self.books[s, c] = np.linalg.solve(left, parts[own, s].sum(0) + (self.eta - 1) * (d * want[own][:, None]).sum(0))
-
     def encode(self, x: np.ndarray) -> Codes:
         found = [self._encode(x[i : i + 2048].astype(np.float64)) for i in range(0, len(x), 2048)]
         return Codes(*(np.concatenate(f) for f in zip(*found, strict=True)))
@@ -122,15 +94,19 @@ class Quantizer:
         cell = _nearest(x, self.coarse)
         centre = self.coarse[cell]
         residual, length = _unit(x - centre)
-        codes = self._assign(_split(residual), _split(_unit(x)[0]))
-        shown = self.books[np.arange(len(self.books))[None], codes].reshape(len(x), -1)[:, : x.shape[1]]
-        error = x - centre - length[:, None] * shown
+        left, dirs, packed = _split(residual), _split(_unit(x)[0]), []
+        for books in self.books:
+            codes = assign(books, left, dirs, self.eta)
+            left = left - _shown(books, codes)
+            packed.append(codes[:, 0::2] | (codes[:, 1::2] << 4))
+        error = length[:, None] * left.reshape(len(x), -1)[:, : x.shape[1]]
         along = (error * centre).sum(1) / np.maximum((centre**2).sum(1), 1e-30)
-        return (codes[:, 0::2] | (codes[:, 1::2] << 4)).astype(np.uint8), cell, length.astype(np.float32), along.astype(np.float32)
+        return np.concatenate(packed, 1).astype(np.uint8), cell, length.astype(np.float32), along.astype(np.float32)
 
     def scan(self, q: np.ndarray, codes: Codes) -> np.ndarray:
         """Approximate inner products: tables of 256 entries for each byte of codes, the residual's length, the centroid's part."""
-        t = np.einsum("qsd,scd->qsc", _split(q), self.books).astype(np.float32)
+        own = _split(q)
+        t = np.concatenate([np.einsum("qsd,scd->qsc", own, books) for books in self.books], 1).astype(np.float32)
         table = (t[:, 1::2, :, None] + t[:, 0::2, None, :]).reshape(len(q), -1, 256)
         total = np.zeros((len(q), len(codes.cell)), np.float32)
         for b in range(codes.packed.shape[1]):
@@ -140,6 +116,59 @@ class Quantizer:
         return total
 
 
+def assign(books: np.ndarray, parts: np.ndarray, dirs: np.ndarray, eta: float, sweeps: int = 2) -> np.ndarray:
+    """Codes by coordinate descent on the squared residual plus eta - 1 times its part along the vector, squared."""
+    n, m, _ = parts.shape
+    step = max(1, ASSIGN_BYTES // (m * 16 * 16))
+    return np.concatenate([_assign(books, parts[i : i + step], dirs[i : i + step], eta, sweeps) for i in range(0, n, step)]) if n else np.zeros((0, m), np.int64)
+
+
+def _assign(books: np.ndarray, parts: np.ndarray, dirs: np.ndarray, eta: float, sweeps: int) -> np.ndarray:
+    n, m, d = parts.shape
+    books, parts, dirs = (v.astype(np.float32) for v in (books, parts, dirs))
+    gap, along = np.zeros((m, n, 16), np.float32), np.zeros((m, n, 16), np.float32)  # a subspace's table lies together
+    for j in range(d):
+        r = parts[:, :, j].T[:, :, None] - books[:, None, :, j]
+        gap += r * r
+        along += r * dirs[:, :, j].T[:, :, None]
+    codes, rows = gap.argmin(2), np.arange(n)
+    parallel = np.take_along_axis(along, codes[:, :, None], 2)[:, :, 0]
+    total = parallel.sum(0)
+    for _ in range(sweeps):
+        for s in range(m):
+            other = total - parallel[s]
+            codes[s] = (gap[s] + np.float32(eta - 1) * (other[:, None] + along[s]) ** 2).argmin(1)
+            parallel[s] = along[s][rows, codes[s]]
+            total = other + parallel[s]
+    return codes.T
+
+
+def _shown(books: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    return books[np.arange(len(books))[None], codes]
+
+
+def refit(books: np.ndarray, parts: np.ndarray, dirs: np.ndarray, codes: np.ndarray, eta: float) -> None:
+    """Each centroid in turn solves the weighted least squares of its members, the other subspaces being held.
+
+    The residuals' parts along the vectors are kept as running sums, so a round takes rows times dimensions.
+    """
+    inner = ((parts - _shown(books, codes)) * dirs).sum(2)
+    total = inner.sum(1)
+    d = parts.shape[2]
+    for s in range(len(books)):
+        x, u, code = parts[:, s], dirs[:, s], codes[:, s]
+        want = total - inner[:, s] + (x * u).sum(1)
+        sums = lambda v: np.bincount(code, weights=v, minlength=16)  # noqa: B023, E731
+        n = np.bincount(code, minlength=16)
+        left = n[:, None, None] * np.eye(d) + (eta - 1) * np.stack([sums(u[:, i] * u[:, j]) for i in range(d) for j in range(d)], 1).reshape(16, d, d)
+        right = np.stack([sums(x[:, i] + (eta - 1) * u[:, i] * want) for i in range(d)], 1)
+        own = n > 0
+        books[s, own] = np.linalg.solve(left[own], right[own][:, :, None])[:, :, 0]
+        new = ((x - books[s, code]) * u).sum(1)
+        total += new - inner[:, s]
+        inner[:, s] = new
+
+
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return ((centres**2).sum(1)[None] - 2 * (x @ centres.T)).argmin(1)
 
@@ -205,7 +234,7 @@ def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
     return ranked.groupBy("v").agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("ids"))
 
 
-def search(spark: SparkSession, rows: DataFrame, is_query: Column, *, key: str = "vec_id", vector: str = "embedding", k: int = 20, fit_rows: int = FIT_ROWS, row_block: int = ROW_BLOCK, query_block: int = QUERY_BLOCK, rerank: int = RERANK) -> DataFrame:
+def search(spark: SparkSession, rows: DataFrame, is_query: Column, *, key: str = "vec_id", vector: str = "embedding", k: int = 20, fit_rows: int = FIT_ROWS, row_bytes: int = ROW_BYTES, query_bytes: int = QUERY_BYTES, rerank: int = RERANK) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query row the k rows with the largest inner product, by the index."""
     prepare(spark)
     nothing = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -237,8 +266,9 @@ def search(spark: SparkSession, rows: DataFrame, is_query: Column, *, key: str =
 
     codes = keep(classes.select("c", "v").mapInArrow(encode, "c long, packed binary, cell int, length float, along float"), "codes")
     tasks = 2 * spark.sparkContext.defaultParallelism
-    n_rows = -(-n // row_block)
-    n_queries = max(-(-q // query_block), min(-(-q // 64), -(-tasks // n_rows)))
+    code_bytes = LAYERS * (-(-dim // (2 * _SUB))) + 20  # of one row
+    n_rows = -(-n * code_bytes // row_bytes)
+    n_queries = max(-(-q * 4 * dim // query_bytes), min(-(-q // 64), -(-tasks // n_rows)))
 
     def block(name: str, many: int) -> Column:
         return F.pmod(F.xxhash64(name, F.lit("block")), F.lit(many)).cast("int")
