@@ -164,3 +164,35 @@ def test_independent_placements_keep_their_distance():
         if all(math.hypot(*(places[i, :2] - places[j, :2])) >= 0.25 or abs(math.remainder(places[i, 2] - places[j, 2], 2 * math.pi)) >= math.radians(4) for j in want):
             want.append(i)
     assert kept.tolist() == want
+
+
+def _candidates(rows):
+    return [(k, i, float(x), float(y), float(a), 1.0 + i % 3, float(rx), 0.0) for k, i, x, y, a, rx in rows]
+
+
+GAUGE = "g string, id long, x double, y double, yaw double, weight double, raw_x double, raw_y double"
+
+
+def test_gauge_gates_and_consensus(spark):
+    from waymark.operators import gauge as Q
+
+    rng = np.random.default_rng(8)
+    near = lambda k, x, n, at=0: [(k, at + i, x + rng.normal(0, 0.05), 1 + rng.normal(0, 0.05), math.pi - 0.02 + 0.04 * (i % 2), i) for i in range(n)]
+    rows = _candidates([
+        *near("good", 3.0, 400), *((("good"), 1000 + i, rng.uniform(-50, 50), rng.uniform(-50, 50), 0.0, i) for i in range(100)),
+        *near("split", 0.0, 30), *near("split", 9.0, 28, 100), *near("one", 0.0, 1), ("close", 1, 0, 0, 0, 0), ("close", 2, 0, 0, 0, 1), ("apart", 1, 0, 0, 0, 0), ("apart", 2, 0, 0, 0, 9),
+        *near("low", 1.0, 30), *(("low", 500 + i, rng.uniform(-500, 500), rng.uniform(-500, 500), 0.0, i) for i in range(45)),
+    ])
+    got = {r["g"]: r for r in Q.robust_gauge(spark.createDataFrame(rows, GAUGE).repartition(4), by=["g"]).collect()}
+    assert {k: r["reason"] for k, r in got.items()} == {"good": None, "split": "ambiguous_clusters", "one": "insufficient_candidates", "close": "trajectory_span_too_small", "apart": "insufficient_consensus", "low": "low_consensus_ratio"}
+    good = got["good"]
+    assert good["inliers"] == 400 and good["x"] == pytest.approx(3.0, abs=0.02) and good["y"] == pytest.approx(1.0, abs=0.02) and math.cos(good["yaw"] - math.pi) > 0.9999
+    assert all(got[k]["x"] is None for k in got if k != "good")
+    kept = [r for r in rows if r[0] == "good" and r[1] < 1000]
+    mean = [sum(r[5] * f(r) for r in kept) / sum(r[5] for r in kept) for f in (lambda r: r[2], lambda r: r[3])]
+    for _ in range(4):
+        turn = math.atan2(sum(r[5] * math.sin(r[4]) for r in kept), sum(r[5] * math.cos(r[4]) for r in kept))
+        w = [r[5] * min(1, 2 / max(1e-12, math.hypot(r[2] - mean[0], r[3] - mean[1]) / 0.5 + abs(math.remainder(r[4] - turn, 2 * math.pi)) / 0.2)) for r in kept]
+        mean = [sum(a * r[j] for a, r in zip(w, kept, strict=True)) / sum(w) for j in (2, 3)]
+    assert (good["x"], good["y"]) == pytest.approx(mean, abs=1e-6)
+    assert Q.robust_gauge(spark.createDataFrame([], GAUGE), by=["g"]).count() == 0

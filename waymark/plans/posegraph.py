@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions.geometry import pose2
+from waymark.operators import gauge as Q
 from waymark.operators import propagation as P
 from waymark.plans.base import query
 
@@ -49,3 +50,44 @@ def propagated_poses(table):
     out = P.propagate(e.sparkSession, t, start)
     yaw = F.col("pose.yaw")
     return out.select("node", "root", *((F.round(v, 4) + F.lit(0.0)).alias(n) for n, v in (("x", F.col("pose.x")), ("y", F.col("pose.y")), ("c", F.cos(yaw)), ("s", F.sin(yaw)))))  # no negative zero
+
+
+# a customer is a component, its orders are candidates: most agree but for a few centimetres, of every third customer those of status P with each other, one in eleven with none
+_CANDIDATES = """c AS (SELECT o_custkey AS component, o_orderkey AS id, o_custkey % 10 + (o_orderkey % 7 - 3) / 20.0::DOUBLE + sqrt(o_orderkey) / 1000 + CASE WHEN o_orderstatus = 'P' AND o_custkey % 3 = 0 THEN 4 WHEN o_orderkey % 11 = 0 THEN o_orderkey % 97 ELSE 0 END AS x, o_custkey % 4 + (o_orderkey % 5 - 2) / 20.0::DOUBLE + sqrt(o_orderkey) / 2000 AS y,
+o_custkey % 6 - 2.5::DOUBLE + (o_orderkey % 9 - 4) / 50.0::DOUBLE AS yaw, 1.0::DOUBLE + o_orderkey % 3 AS weight, o_orderkey % 13 / 5.0::DOUBLE AS raw_x, o_orderkey % 17 / 8.0::DOUBLE AS raw_y FROM orders)"""
+_JOINT = "sqrt(power(c.x - {x}, 2) + power(c.y - {y}, 2)) / 0.5 + abs(atan2(sin(c.yaw - {a}), cos(c.yaw - {a}))) / 0.2"
+_WMEAN = "sum(w * x) / sum(w) AS x, sum(w * y) / sum(w) AS y, atan2(sum(w * sin(yaw)), sum(w * cos(yaw))) AS a"
+
+
+def _huber(i: int) -> str:
+    joint = _JOINT.format(x=f"g{i - 1}.x", y=f"g{i - 1}.y", a=f"g{i - 1}.a")
+    return f"g{i} AS (SELECT component, {_WMEAN} FROM (SELECT c.component, c.x, c.y, c.yaw, c.weight * CASE WHEN {joint} <= 2 THEN 1 ELSE 2 / ({joint}) END AS w FROM inl c JOIN g{i - 1} ON g{i - 1}.component = c.component) GROUP BY component)"
+
+
+@query(
+    "GRA-17c",
+    f"""WITH {_CANDIDATES},
+f AS (SELECT component, count(*) AS candidates, sqrt(power(max(raw_x) - min(raw_x), 2) + power(max(raw_y) - min(raw_y), 2)) AS span FROM c GROUP BY component),
+d AS (SELECT component, j, arg_min({{'id': id, 'x': x, 'y': y, 'a': yaw}}, [(id % 2147483647 * (1103515245 + 7654321 * j) + 12345 * j) % 2147483647, id]) AS m FROM c, range(128) r(j) GROUP BY component, j),
+h AS (SELECT a.component, a.j // 2 AS k, (a.m.x + b.m.x) / 2 AS x, (a.m.y + b.m.y) / 2 AS y, atan2(sin(a.m.a) + sin(b.m.a), cos(a.m.a) + cos(b.m.a)) AS a FROM d a JOIN d b ON b.component = a.component AND b.j = a.j + 1 WHERE a.j % 2 = 0 AND a.m.id <> b.m.id),
+n AS (SELECT h.component, k, h.x, h.y, h.a, count(*) AS n, string_agg(c.id, ',' ORDER BY c.id) AS mask FROM h JOIN c ON c.component = h.component WHERE {_JOINT.format(x="h.x", y="h.y", a="h.a")} < 2 GROUP BY ALL),
+b AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY component ORDER BY n DESC, k) = 1),
+s AS (SELECT n.component, max(n.n) AS second FROM n JOIN b USING (component) WHERE n.mask <> b.mask GROUP BY 1),
+o AS (SELECT f.component, candidates, coalesce(b.n, 0) AS inliers, coalesce(second, 0) AS second, span, b.x, b.y, b.a FROM f LEFT JOIN b USING (component) LEFT JOIN s USING (component)),
+q AS (SELECT *, CASE WHEN candidates < 2 THEN 'insufficient_candidates' WHEN candidates < 3 AND span <= 2 THEN 'trajectory_span_too_small' WHEN inliers < 3 THEN 'insufficient_consensus'
+  WHEN second > 0 AND inliers / candidates::DOUBLE - second / candidates::DOUBLE < 0.15 THEN 'ambiguous_clusters' WHEN inliers / candidates::DOUBLE < 0.5 THEN 'low_consensus_ratio' END AS reason FROM o),
+inl AS (SELECT c.* FROM c JOIN q ON q.component = c.component AND reason IS NULL WHERE {_JOINT.format(x="q.x", y="q.y", a="q.a")} < 2),
+g0 AS (SELECT component, {_WMEAN.replace("w * ", "weight * ").replace("sum(w)", "sum(weight)")} FROM inl GROUP BY component),
+{", ".join(_huber(i) for i in range(1, 5))}
+SELECT q.component, candidates, inliers, round(second / candidates::DOUBLE, 6) AS second_ratio, reason, round(g4.x, 4) AS x, round(g4.y, 4) AS y, round(g4.a, 4) AS yaw FROM q LEFT JOIN g4 USING (component)""",
+)
+def robust_gauge(table):
+    """Gauge of each customer's candidates, or why it has none."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    off = F.when((F.col("o_orderstatus") == "P") & (c % 3 == 0), 4).when(k % 11 == 0, k % 97).otherwise(0)
+    rows = table("orders").select(
+        c.alias("component"), k.alias("id"), (c % 10 + (k % 7 - 3) / 20 + F.sqrt(k) / 1000 + off).alias("x"), (c % 4 + (k % 5 - 2) / 20 + F.sqrt(k) / 2000).alias("y"), (c % 6 - 2.5 + (k % 9 - 4) / 50).alias("yaw"),
+        (1.0 + k % 3).alias("weight"), (k % 13 / 5).alias("raw_x"), (k % 17 / 8).alias("raw_y"),
+    )
+    out = Q.robust_gauge(rows, by=["component"])
+    return out.select("component", "candidates", "inliers", F.round("second_ratio", 6).alias("second_ratio"), "reason", *(F.round(v, 4).alias(v) for v in ("x", "y", "yaw")))
