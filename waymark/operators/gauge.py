@@ -21,8 +21,8 @@ HYPOTHESES, SAMPLE, LEAST_CANDIDATES, LEAST_SPAN = 64, 2, 3, 2.0
 SIGMA, SIGMA_YAW, INLIER = 0.5, 0.2, 2.0
 LEAST_INLIERS, LEAST_RATIO, LEAST_MARGIN = 3, 0.5, 0.15
 HUBER_ROUNDS, HUBER_DELTA = 4, 2.0
-#: Modulus, multiplier, its step and shift of the draws.
-DRAW = (2147483647, 1103515245, 7654321, 12345)
+#: Modulus and multipliers of the draws' two steps.
+DRAW = (2147483647, 1103515245, 7654321, 48271, 1566083941)
 
 
 def joint_residual(x: Column, y: Column, yaw: Column, mx: Column, my: Column, myaw: Column) -> Column:
@@ -32,10 +32,11 @@ def joint_residual(x: Column, y: Column, yaw: Column, mx: Column, my: Column, my
 
 def hypotheses(candidates: DataFrame, *, by: list[str]) -> DataFrame:
     """(by..., k, mx, my, myaw): means of pairs of two candidates (by..., id, x, y, yaw)."""
-    m, a, step, shift = DRAW
+    m, a, step, low, high = DRAW
     j = F.col("j")
     drawn = candidates.select(*by, "id", "x", "y", "yaw", F.explode(F.sequence(F.lit(0), F.lit(2 * HYPOTHESES - 1))).alias("j"))
-    h = (F.pmod("id", F.lit(m)) * (a + step * j) + shift * j) % m
+    u = (F.pmod("id", F.lit(m)) * a + j * F.lit(step).cast("long")) % m
+    h = (u * low + F.floor(u / 32768) * high) % m
     one = drawn.groupBy(*by, "j").agg(F.min_by(F.struct("id", "x", "y", "yaw"), F.struct(h, F.col("id"))).alias("c"))
     pair = one.groupBy(*by, F.floor(j / 2).alias("k")).agg(*(F.max(F.when(j % 2 == s, F.col("c"))).alias(n) for s, n in ((0, "a"), (1, "b")))).filter("a.id <> b.id")
     mean = lambda c: (F.col(f"a.{c}") + F.col(f"b.{c}")) / 2

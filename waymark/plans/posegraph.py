@@ -68,7 +68,7 @@ def _huber(i: int) -> str:
     "GRA-17c",
     f"""WITH {_CANDIDATES},
 f AS (SELECT component, count(*) AS candidates, sqrt(power(max(raw_x) - min(raw_x), 2) + power(max(raw_y) - min(raw_y), 2)) AS span FROM c GROUP BY component),
-d AS (SELECT component, j, arg_min({{'id': id, 'x': x, 'y': y, 'a': yaw}}, [(id % 2147483647 * (1103515245 + 7654321 * j) + 12345 * j) % 2147483647, id]) AS m FROM c, range(128) r(j) GROUP BY component, j),
+d AS (SELECT component, j, arg_min({{'id': id, 'x': x, 'y': y, 'a': yaw}}, [(u * 48271 + u // 32768 * 1566083941) % 2147483647, id]) AS m FROM (SELECT *, (id % 2147483647 * 1103515245 + j * 7654321) % 2147483647 AS u FROM c, range(128) r(j)) GROUP BY component, j),
 h AS (SELECT a.component, a.j // 2 AS k, (a.m.x + b.m.x) / 2 AS x, (a.m.y + b.m.y) / 2 AS y, atan2(sin(a.m.a) + sin(b.m.a), cos(a.m.a) + cos(b.m.a)) AS a FROM d a JOIN d b ON b.component = a.component AND b.j = a.j + 1 WHERE a.j % 2 = 0 AND a.m.id <> b.m.id),
 n AS (SELECT h.component, k, h.x, h.y, h.a, count(*) AS n, string_agg(c.id, ',' ORDER BY c.id) AS mask FROM h JOIN c ON c.component = h.component WHERE {_JOINT.format(x="h.x", y="h.y", a="h.a")} < 2 GROUP BY ALL),
 b AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY component ORDER BY n DESC, k) = 1),
