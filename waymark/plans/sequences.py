@@ -137,7 +137,7 @@ def asof_bracket(table):
 
 
 @query(
-    "JOIN-10 JOIN-19 JOIN-25",
+    "JOIN-10",
     f"""{_VC}, m AS (SELECT v.event_id, v.t - b.t AS db, a.t - v.t AS da, b.event_id AS b, a.event_id AS a FROM v ASOF LEFT JOIN c b ON v.user_id = b.user_id AND v.t >= b.t ASOF LEFT JOIN c a ON v.user_id = a.user_id AND v.t <= a.t)
 SELECT event_id, CASE WHEN least(db, da) <= 7200 THEN CASE WHEN db IS NOT NULL AND (da IS NULL OR db <= da) THEN b ELSE a END END AS click FROM m""",
 )
