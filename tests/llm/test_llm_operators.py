@@ -285,6 +285,33 @@ def test_packing_round_trip(spark, edge):
         assert at == 4096 or at & (at - 1) == 0
 
 
+def test_packing_in_several_groups(spark, edge):
+    """Every id in one piece, sequences gapless and full but for powers of two, whatever the number of groups."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from waymark.llm.packing import pack_documents
+
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rows = [r.asDict() for r in pack_documents(spark, spark.read.parquet(f"{edge}/documents.parquet"), with_ids=True, group_bytes=20_000).collect()]
+    assert len({r["sequence_id"] >> 32 for r in rows}) >= 4
+    whole = defaultdict(list)
+    sequences = defaultdict(list)
+    for r in rows:
+        whole[r["doc_id"]] += np.frombuffer(r["ids"], "<u4").tolist()
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    want = defaultdict(list)
+    for i, t in _docs(edge):
+        want[i] += [*tok.encode(t or "", add_special_tokens=False).ids, 2]
+    assert {k: sorted(v) for k, v in whole.items()} == {k: sorted(v) for k, v in want.items()}
+    for pieces in sequences.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at == 4096 or at & (at - 1) == 0
+
+
 def test_neighbours_of_repeated_ids_and_equal_vectors(spark):
     """The query's own id, repeated rows, null ids and ids beyond 2^53 among equal vectors, against a plain version."""
     from pyspark.sql import functions as F

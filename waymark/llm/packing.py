@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.session import prepare
+from waymark.session import fresh_path, materialize, prepare
 
 LENGTH = 4096
 END_ID = 2
@@ -216,6 +216,8 @@ def pack_documents(spark: SparkSession, docs: DataFrame, *, key: str = "doc_id",
     A group's number fills the upper bits of its sequences' ids, so groups need no counting of each other.
     """
     tokens = tokenize(spark, docs, key=key, text=text, tokenizer=tokenizer, end_id=end_id, group_bytes=group_bytes)
+    # the draw of the groups is written, so that a task that runs again finds every row in the group it was dealt to
+    tokens = materialize(spark, tokens, "tokens", path=fresh_path(spark, "tokens"))
     kind = docs.schema[key].dataType.simpleString()
     schema = f"key {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids binary" if with_ids else "")
 
