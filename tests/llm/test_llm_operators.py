@@ -159,6 +159,32 @@ def test_severity_of_four_grades(spark):
         train(spark, docs, spark.range(100).selectExpr("id AS key", "cast(id AS int) AS grade"))
 
 
+def test_repeated_keys_are_one_example(spark):
+    """A labelled key in many rows goes to the driver once, and what goes there is bounded in bytes."""
+    from waymark.llm.sampling import gather
+
+    rows = spark.createDataFrame([(i % 7, i % 7 % 2, bytes([i % 250]) * 40) for i in range(4000)], "key long, label int, idx binary").repartition(4)
+    found = gather(spark, rows, "key")
+    assert len(found) == 7
+    assert {(r["label"], bytes(r["idx"])) for r in found} == {(k % 2, min(bytes([i % 250]) * 40 for i in range(4000) if i % 7 == k)) for k in range(7)}
+    many = spark.range(2000).selectExpr("id AS key", "1 AS label", "cast(repeat('x', 84) AS binary) AS idx")
+    assert 300 < len(gather(spark, many, "key", limit=50_000)) < 700
+
+
+def test_language_of_many_classes_and_repeated_keys(spark):
+    """A hundred languages whose words differ, and a key that stands in a thousand rows."""
+    from waymark.llm.language import identify, train
+
+    rng = np.random.default_rng(4)
+    words = [["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(12)] for _ in range(100)]
+    rows = [(f"{g}-{i}", " ".join(rng.choice(words[g], 30)), f"l{g:02d}") for g in range(100) for i in range(8)]
+    labelled = spark.createDataFrame([*rows, *[("0-0", rows[0][1], "l00")] * 1000], "key string, text string, lang string")
+    model = train(spark, labelled, per_language=6)
+    test = spark.createDataFrame([(g, " ".join(rng.choice(words[g], 30))) for g in range(100)], "doc_id long, text string")
+    got = {r["doc_id"]: r["lang_pred"] for r in identify(spark, test, model).collect()}
+    assert np.mean([got[g] == f"l{g:02d}" for g in range(100)]) > 0.9
+
+
 def test_ordinal_gradient_matches_differences():
     """One small step of the fit lowers the plain negative log-likelihood, and many come near its least value."""
     from waymark.llm.toxicity import fit_ordinal

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm.sampling import fold_of
+from waymark.llm.sampling import fold_of, gather
 from waymark.llm.text import blocks, column_bytes
 from waymark.session import prepare
 
@@ -203,14 +203,15 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 i, c = np.unique(index[first[r] : first[r + 1]], return_counts=True)
                 idx.append(i.astype(np.int32).tobytes())
                 val.append((c * (SCALE / c.sum())).astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("lang").slice(at, end - at), pa.array(idx, pa.binary()), pa.array(val, pa.binary())], names=["lang", "idx", "val"])
+            yield pa.RecordBatch.from_arrays([batch.column("key").slice(at, end - at), batch.column("lang").slice(at, end - at), pa.array(idx, pa.binary()), pa.array(val, pa.binary())], names=["key", "lang", "idx", "val"])
 
 
 def train(spark: SparkSession, labelled: DataFrame, *, per_language: int = 600, most: int = 512) -> Model:
     """Fit on a bounded sample of rows (text, lang, key): about ``per_language`` texts of each language, cut there at most.
 
     Rows are taken by a hash of ``key``, at a rate read off the language counts, so no language is gathered in one task.
-    An example sent to the driver has at most 2^16 features, whatever the length of its text. More than ``most`` languages
+    An example has at most 2^16 features, whatever the length of its text, a key is one example, and all that are sent to
+    the driver are bounded in bytes. More than ``most`` languages
     are an error, as every two of a family get a machine.
     """
     prepare(spark)
@@ -222,7 +223,8 @@ def train(spark: SparkSession, labelled: DataFrame, *, per_language: int = 600,
     for lang, n in sorted(counts.items()):
         rate = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(rate)
     draw = F.pmod(F.xxhash64(F.lit("language"), F.col("key").cast("string")), F.lit(1 << 20)) / float(1 << 20)
-    found = usable.filter(draw < rate).select("text", "lang").mapInArrow(_examples, "lang string, idx binary, val binary").collect()
+    kind = labelled.schema["key"].dataType.simpleString()
+    found = gather(spark, usable.filter(draw < rate).select("key", "text", "lang").mapInArrow(_examples, f"key {kind}, lang string, idx binary, val binary"), "key")
     taken: dict[str, int] = {}
     examples = []
     for r in sorted(found, key=lambda r: (r[0], bytes(r[1]), bytes(r[2]))):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm.sampling import bounded_per_class, fold_of
+from waymark.llm.sampling import bounded_per_class, fold_of, gather
 from waymark.llm.text import NOT_SPACE, Words, blocks, column_bytes
 from waymark.session import prepare
 
@@ -147,7 +147,7 @@ def _metadata_arrays(batch: pa.RecordBatch, names: Sequence[str]) -> list[np.nda
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, metadata: Sequence[str] = (), per_class: int = PER_CLASS) -> FactorisationMachine:
-    """Fit on at most ``per_class`` labelled documents of each label. ``docs``: key, text and metadata; ``labels``: key, label."""
+    """Fit on at most ``per_class`` labelled documents of each label, one row of each key. ``docs``: key, text and metadata; ``labels``: key, label."""
     prepare(spark)
     names = list(metadata)
     one = labels.filter(F.col("label").isin(0, 1) & F.col("key").isNotNull()).groupBy("key").agg(F.max("label").cast("int").alias("label"))
@@ -160,10 +160,11 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, metadata:
             for at, end in blocks(offsets):
                 first, idx, val = features(offsets, data, at, end, [m[at:end] for m in meta])
                 pieces = [(idx[first[r] : first[r + 1]].tobytes(), val[first[r] : first[r + 1]].tobytes()) for r in range(end - at)]
-                yield pa.RecordBatch.from_arrays([batch.column("label").slice(at, end - at), pa.array([p[0] for p in pieces], pa.binary()), pa.array([p[1] for p in pieces], pa.binary())], names=["label", "idx", "val"])
+                yield pa.RecordBatch.from_arrays([batch.column("key").slice(at, end - at), batch.column("label").slice(at, end - at), pa.array([p[0] for p in pieces], pa.binary()), pa.array([p[1] for p in pieces], pa.binary())], names=["key", "label", "idx", "val"])
 
     # the sample's size is bounded by per_class, so it may be broadcast
-    found = docs.select("key", "text", *names).join(F.broadcast(sample), "key").select("label", "text", *names).mapInArrow(run, "label int, idx binary, val binary").collect()
+    taken = docs.select("key", "text", *names).join(F.broadcast(sample), "key").select("key", "label", "text", *names)
+    found = gather(spark, taken.mapInArrow(run, f"key {docs.schema['key'].dataType.simpleString()}, label int, idx binary, val binary"), "key")
     found.sort(key=lambda r: (r[0], bytes(r[1]), bytes(r[2])))
     rows = [(np.frombuffer(r[1], np.int32), np.frombuffer(r[2], np.float32).astype(np.float64)) for r in found]
     return fit(rows, np.array([r[0] for r in found], float), dimension(len(names)))

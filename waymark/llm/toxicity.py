@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm.sampling import bounded_per_class, fold_of
+from waymark.llm.sampling import bounded_per_class, fold_of, gather
 from waymark.llm.text import ALNUM, Words, blocks, column_bytes
 from waymark.session import prepare
 
@@ -141,16 +141,17 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key = np.unique((rows.astype(np.int64) << BITS) | ids)
             first = np.searchsorted(key, np.arange(end - at + 1) << BITS)
             ids = (key & ((1 << BITS) - 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("grade").slice(at, end - at), pa.array([ids[first[r] : first[r + 1]].tobytes() for r in range(end - at)], pa.binary())], names=["grade", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("key").slice(at, end - at), batch.column("grade").slice(at, end - at), pa.array([ids[first[r] : first[r + 1]].tobytes() for r in range(end - at)], pa.binary())], names=["key", "grade", "ids"])
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS) -> OrdinalModel:
-    """Fit on at most ``per_class`` documents of each grade. ``docs``: key, text; ``labels``: key, grade (0 is clean)."""
+    """Fit on at most ``per_class`` documents of each grade, one row of each key. ``docs``: key, text; ``labels``: key, grade (0 is clean)."""
     prepare(spark)
     one = labels.filter((F.col("grade") >= 0) & F.col("key").isNotNull()).groupBy("key").agg(F.max("grade").cast("int").alias("grade"))
     sample = bounded_per_class(one, "grade", "key", per_class)
     # the sample's size is bounded by per_class, so it may be broadcast
-    found = docs.select("key", "text").join(F.broadcast(sample), "key").select("grade", "text").mapInArrow(_examples, "grade int, ids binary").collect()
+    taken = docs.select("key", "text").join(F.broadcast(sample), "key").select("key", "grade", "text")
+    found = gather(spark, taken.mapInArrow(_examples, f"key {docs.schema['key'].dataType.simpleString()}, grade int, ids binary"), "key")
     found.sort(key=lambda r: (r[0], bytes(r[1])))
     return fit([np.frombuffer(r[1], np.int32) for r in found], np.array([r[0] for r in found], int))
 
