@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.functions import geometry as G
+
 #: Link types. SELF stands for src = dst in filters, whatever the stored type.
 NEIGHBOR, GLOBAL_CLOSURE, LOCAL_SPACE, LOCAL_TIME, USER, VIRTUAL, NEIGHBOR_MERGED, POSE_PRIOR, LANDMARK, GRAVITY = range(10)
 SELF, ALL_WITH_LANDMARKS, ALL = 97, 98, 99
@@ -83,3 +89,36 @@ def chains(turns: DataFrame, group: str, order: str, linked: Column) -> DataFram
     """Island number of consecutive rows that are linked, within a group."""
     w = Window.partitionBy(group).orderBy(order)
     return turns.withColumn("chain", F.sum(F.when(F.coalesce(linked, F.lit(False)), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def merge_links(first: DataFrame, second: DataFrame, *, merged: str = "merged") -> DataFrame:
+    """(id, src, dst, merged, t, info): each link followed by one that begins where it ends, as one link.
+
+    ``first`` is (id, src, dst, merged, t, info), ``second`` (src, dst, t, info); ``t`` has the twelve numbers of a pose, ``info`` the 36 of a 6 by 6
+    information matrix. Where ``merged`` holds, uncertainties add up: (A^-1 + B^-1)^-1. Else the matrix with the smaller first entry
+    is taken. Two null transforms give null and the identity, one gives null for both; so does a matrix without an inverse.
+    """
+    b = second.select(F.col("src").alias("dst"), F.col("dst").alias("_to"), F.col("t").alias("_t"), F.col("info").alias("_b"))
+    pairs = first.select("id", "src", "dst", F.col(merged).alias("merged"), "t", F.col("info").alias("_a")).join(b, "dst")
+    pairs = pairs.select("id", "src", F.col("_to").alias("dst"), "merged", F.when(F.col("t").isNotNull() & F.col("_t").isNotNull(), G.compose3(F.col("t"), F.col("_t"))).alias("t"), (F.col("t").isNull() & F.col("_t").isNull()).alias("_none"), "_a", "_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            info = [None] * batch.num_rows
+            both = np.array([a.is_valid and b.is_valid for a, b in zip(batch.column("_a"), batch.column("_b"), strict=True)], bool)
+            has = np.flatnonzero(both & batch.column("t").is_valid().to_numpy(zero_copy_only=False))
+            if len(has):
+                a, b = (batch.column(c).take(pa.array(has)).flatten().to_numpy(zero_copy_only=False).reshape(-1, 6, 6) for c in ("_a", "_b"))
+                add = batch.column("merged").take(pa.array(has)).to_numpy(zero_copy_only=False).astype(bool)
+                out = np.where((a[:, 0, 0] < b[:, 0, 0])[:, None, None], a, b)
+                able = np.array([np.linalg.matrix_rank(x) == 6 and np.linalg.matrix_rank(y) == 6 for x, y in zip(a, b, strict=True)])
+                sums = add & able
+                out[sums] = np.linalg.inv(np.linalg.inv(a[sums]) + np.linalg.inv(b[sums]))
+                for i, value, fine in zip(has, out, able | ~add, strict=True):
+                    info[i] = value.ravel() if fine else None
+            for i in np.flatnonzero(batch.column("_none").to_numpy(zero_copy_only=False)):
+                info[i] = np.eye(6).ravel()
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "src", "dst", "merged", "t")), pa.array(info, pa.list_(pa.float64()))], names=["id", "src", "dst", "merged", "t", "info"])
+
+    kinds = dict(pairs.dtypes)
+    return pairs.mapInArrow(run, f"id {kinds['id']}, src {kinds['src']}, dst {kinds['dst']}, merged boolean, t array<double>, info array<double>")

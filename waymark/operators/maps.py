@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions import geometry as G
 from waymark.operators import clouds as C
+from waymark.operators import sequences as S
 
 #: Gain and largest step of the attraction to a road, in metres, and the margin below which it is ambiguous.
 ROAD_GAIN, ROAD_CAP, ROAD_MARGIN = 0.15, 0.25, 0.35
@@ -49,3 +52,27 @@ def loop_candidates(poses: DataFrame, radius: float, angle: float, gap: int, *,
     yaw = poses.select(*by, F.col(key), F.col("yaw"))
     both = pairs.join(yaw.select(*by, F.col(key).alias("a"), F.col("yaw").alias("ya")), [*by, "a"]).join(yaw.select(*by, F.col(key).alias("b"), F.col("yaw").alias("yb")), [*by, "b"])
     return both.filter(F.abs(G.normalize_angle(F.col("ya") - F.col("yb"))) <= angle).select(*by, "a", "b")
+
+
+def aisle_constraints(poses: DataFrame, events: DataFrame, segments: DataFrame, *, by: list[str], event: str, order: list[str], stride: int = 4, width: float) -> DataFrame:
+    """(event, pose columns..., cx, cy, cyaw, distance): poses of a manual assignment to an aisle, put on the aisle.
+
+    ``events``: by..., event, aisle, start, end (in either order); ``poses``: by..., t, x, y, yaw; ``segments``: aisle, segment, ax, ay, bx,
+    by_. Of the poses within the closed interval every ``stride``-th counts, and is projected on the aisle's nearest segment
+    (the first at ties), headed along it in the direction nearer to its own. Aisles have few segments.
+    """
+    spans = events.select(*by, event, "aisle", F.least("start", "end").alias("_lo"), F.greatest("start", "end").alias("_hi"))
+    inside = S.stab(poses, spans, by=by, time="t", start="_lo", end="_hi", width=width).drop("_lo", "_hi")
+    w = Window.partitionBy(event).orderBy(*order)
+    taken = inside.withColumn("_i", F.row_number().over(w) - 1).filter(F.col("_i") % stride == 0).drop("_i")
+    of = segments.filter((F.col("ax") != F.col("bx")) | (F.col("ay") != F.col("by_"))).groupBy("aisle").agg(F.collect_list(F.struct("segment", "ax", "ay", "bx", "by_")).alias("_s"))
+
+    def put(s: Column) -> Column:
+        foot = G.project_on_segment(F.col("x"), F.col("y"), s["ax"], s["ay"], s["bx"], s["by_"])
+        return F.struct(foot["distance"].alias("distance"), s["segment"].alias("segment"), foot["x"].alias("x"), foot["y"].alias("y"), F.atan2(s["by_"] - s["ay"], s["bx"] - s["ax"]).alias("yaw"))
+
+    best = taken.join(of, "aisle").withColumn("m", F.array_min(F.transform("_s", put)))
+    back = G.normalize_angle(F.col("m.yaw") + math.pi)
+    turn = lambda a: F.abs(G.normalize_angle(a - F.col("yaw")))
+    yaw = F.when(turn(F.col("m.yaw")) <= turn(back), F.col("m.yaw")).otherwise(back)
+    return best.select(*inside.columns, F.col("m.x").alias("cx"), F.col("m.y").alias("cy"), yaw.alias("cyaw"), F.col("m.distance").alias("distance"))

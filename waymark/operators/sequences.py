@@ -154,6 +154,20 @@ def interpolate(left: DataFrame, right: DataFrame, *, by: list[str], time: str,
     return out.withColumn("interpolated", F.when((t1 - t0) <= max_gap, inner)).drop("before", "after")
 
 
+def truth_between(left: DataFrame, truth: DataFrame, *, by: list[str], time: str, truth_time: str, value: str, limit: float) -> DataFrame:
+    """Left rows with ``truth`` interpolated, only those that have one: a truth row strictly after the time, one at or before it, and gaps to both within the limit.
+
+    A row at a truth row's very time takes its value whatever the gap after it; at or after the last truth row there is none.
+    """
+    out = bracket(left, truth, by=by, time=time, right_time=truth_time, payload=[value])
+    last = truth.groupBy(*by).agg(F.max(truth_time).cast("double").alias("_last"))
+    t, t0, t1 = F.col(time).cast("double"), F.col("before.t"), F.col("after.t")
+    v0, v1 = F.col(f"before.{value}"), F.col(f"after.{value}")
+    between = F.when(t == t0, v0).when((t1 - t <= limit) & (t - t0 <= limit), v0 + (v1 - v0) * (t - t0) / (t1 - t0))
+    found = out.join(last, by).filter(t0.isNotNull() & (t < F.col("_last"))).withColumn("truth", between).filter((t == t0) | ((t1 - t <= limit) & (t - t0 <= limit)))
+    return found.drop("before", "after", "_last")
+
+
 def resample(df: DataFrame, time: str, value: str, period: float, *, by: list[str], max_gap: float) -> DataFrame:
     """(by..., t, value, status): a row each period from the first to the last time, interpolated over gaps up to ``max_gap``."""
     ends = df.groupBy(*by).agg(F.ceil(F.min(time) / period).cast("long").alias("lo"), F.floor(F.max(time) / period).cast("long").alias("hi")).filter("lo <= hi")

@@ -69,7 +69,7 @@ def subtract_filter(table):
 
 
 @query(
-    "JOIN-18 JOIN-17 JOIN-07",
+    "JOIN-18 JOIN-07",
     f"""{_CLOUD}, p AS (SELECT a.cloud, a.id AS a, b.id AS b, (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) AS d2 FROM c a JOIN c b ON a.cloud = b.cloud WHERE a.flag = 'A' AND b.flag = 'R'),
 r AS (SELECT *, row_number() OVER (PARTITION BY cloud, a ORDER BY d2, b) AS rn FROM p WHERE d2 <= 16.0)
 SELECT cloud, a, b, round(d2, 4) AS d2 FROM r WHERE rn = 1""",

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.functions.geometry import pose2
+from waymark.functions.geometry import from_euler, pose2
 from waymark.operators import gauge as Q
+from waymark.operators import links as K
 from waymark.operators import propagation as P
 from waymark.plans.base import query
 
@@ -91,3 +92,28 @@ def robust_gauge(table):
     )
     out = Q.robust_gauge(rows, by=["component"])
     return out.select("component", "candidates", "inliers", F.round("second_ratio", 6).alias("second_ratio"), "reason", *(F.round(v, 4).alias(v) for v in ("x", "y", "yaw")))
+
+
+# links between a user's events that follow each other; information matrices of three equal blocks of two by two
+_MERGE = """n AS (SELECT user_id, event_id AS src, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events),
+l AS (SELECT *, 0.5::DOUBLE + src % 11 / 10.0::DOUBLE AS x, src % 3 / 10.0::DOUBLE AS y, src % 5 / 8.0::DOUBLE AS z, src % 7 / 10.0::DOUBLE - 0.3 AS yaw, 2.137::DOUBLE + src % 5 AS a, src % 3 / 2.3::DOUBLE AS b, 3.071::DOUBLE + src % 7 AS d FROM n WHERE dst IS NOT NULL)"""
+
+
+@query(
+    "GRA-11",
+    f"""WITH {_MERGE}, m AS (SELECT p.src AS id, q.dst AS dst, p.src % 2 = 0 AS merged, p.x + cos(p.yaw) * q.x - sin(p.yaw) * q.y AS x, p.y + sin(p.yaw) * q.x + cos(p.yaw) * q.y AS y, p.z + q.z AS z, p.a AS pa, p.b AS pb, p.d AS pd, q.a AS qa, q.b AS qb, q.d AS qd, p.a * p.d - p.b * p.b AS pe, q.a * q.d - q.b * q.b AS qe FROM l p JOIN l q ON q.src = p.dst),
+s AS (SELECT *, pd / pe + qd / qe AS u, -(pb / pe + qb / qe) AS v, pa / pe + qa / qe AS w FROM m), r AS (SELECT *, u * w - v * v AS e FROM s)
+SELECT id, dst, merged, round(x, 5) AS x, round(y, 5) AS y, round(z, 5) AS z, round(CASE WHEN merged THEN w / e WHEN pa < qa THEN pa ELSE qa END, 4) AS i00, round(CASE WHEN merged THEN -v / e WHEN pa < qa THEN pb ELSE qb END, 4) + 0.0::DOUBLE AS i01, round(CASE WHEN merged THEN u / e WHEN pa < qa THEN pd ELSE qd END, 4) AS i55 FROM r""",
+)
+def merged_links(table):
+    """Each two links of a user that follow each other as one: composed transforms and merged information."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    k = F.col("src")
+    n = table("events").select(F.col("event_id").alias("src"), F.lead("event_id").over(w).alias("dst")).filter("dst is not null")
+    zero = F.lit(0.0)
+    a, b, d = 2.137 + k % 5, k % 3 / 2.3, 3.071 + k % 7
+    info = F.array(*({(0, 0): a, (0, 1): b, (1, 0): b, (1, 1): d}[i % 2, j % 2] if i // 2 == j // 2 else zero for i in range(6) for j in range(6)))
+    links_ = n.select(k.alias("id"), "src", "dst", (k % 2 == 0).alias("merged"), from_euler(0.5 + k % 11 / 10, k % 3 / 10, k % 5 / 8, zero, zero, k % 7 / 10 - 0.3).alias("t"), info.alias("info"))
+    out = K.merge_links(links_, links_.select("src", "dst", "t", "info"))
+    t, i = F.col("t"), F.col("info")
+    return out.select("id", "dst", "merged", F.round(t[3], 5).alias("x"), F.round(t[7], 5).alias("y"), F.round(t[11], 5).alias("z"), F.round(i[0], 4).alias("i00"), (F.round(i[1], 4) + 0.0).alias("i01"), F.round(i[35], 4).alias("i55"))

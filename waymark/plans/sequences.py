@@ -148,7 +148,7 @@ def asof_nearest(table):
 
 
 @query(
-    "WIN-09 JOIN-22",
+    "WIN-09",
     f"""{_E}, u AS (SELECT user_id, t, arg_min(value, value) AS value FROM e GROUP BY user_id, t),
 k AS (SELECT user_id, unnest(range(CAST(ceil(min(t) / 3600) AS BIGINT), CAST(floor(max(t) / 3600) AS BIGINT) + 1)) * 3600.0::DOUBLE AS t FROM e GROUP BY user_id),
 m AS (SELECT k.user_id, k.t, b.t AS t0, b.value AS v0, a.t AS t1, a.value AS v1 FROM k ASOF LEFT JOIN u b ON k.user_id = b.user_id AND k.t >= b.t ASOF LEFT JOIN u a ON k.user_id = a.user_id AND k.t <= a.t)
@@ -174,7 +174,7 @@ def _intervals(table) -> DataFrame:
     return events(table).filter("event_type = 'purchase'").select(F.col("event_id").alias("iv"), "user_id", F.col("t").alias("lo"), (F.col("t") + 1800 + 100 * F.col("value")).alias("hi"))
 
 
-@query("JOIN-12 JOIN-23", f"{_IV} SELECT e.event_id, iv FROM e JOIN i ON e.user_id = i.user_id AND e.t BETWEEN lo AND hi")
+@query("JOIN-12", f"{_IV} SELECT e.event_id, iv FROM e JOIN i ON e.user_id = i.user_id AND e.t BETWEEN lo AND hi")
 def interval_stab(table):
     """Events inside the intervals that purchases open."""
     return S.stab(events(table).select("event_id", "user_id", "t"), _intervals(table), by=BY, time="t", start="lo", end="hi", width=3600.0).select("event_id", "iv")
