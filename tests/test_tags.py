@@ -105,3 +105,16 @@ def test_merged_information(spark):
     assert np.allclose(np.reshape(got[1]["info"], (6, 6)), np.linalg.inv(np.linalg.inv(a) + np.linalg.inv(b)))
     assert np.allclose(np.reshape(got[2]["info"], (6, 6)), a if a[0, 0] < b[0, 0] else b)
     assert got[3]["info"] is None and got[4]["t"] is None and np.allclose(np.reshape(got[4]["info"], (6, 6)), np.eye(6)) and got[5]["t"] is None and got[5]["info"] is None
+
+
+def test_successors_over_buckets(spark):
+    """One key with most of the rows, gaps of several buckets, ties and null keys."""
+    rng = np.random.default_rng(5)
+    rows = [(k, int(v)) for k, n, top in (("hot", 300, 900), ("few", 5, 900), (None, 40, 60)) for v in rng.integers(-200, top, n)]
+    got = sorted(((r["k"], r["v"], r["next"]) for r in sequences.following(spark.createDataFrame(rows, "k string, v long").repartition(3), by=["k"], order="v", width=16).collect()), key=str)
+    want = []
+    for k in ("hot", "few", None):
+        own = sorted(v for x, v in rows if x == k)
+        want += zip([k] * len(own), own, [*own[1:], None], strict=True)
+    assert got == sorted(want, key=str)
+    assert sequences.following(spark.createDataFrame([], "k string, v long"), by=["k"], order="v").count() == 0

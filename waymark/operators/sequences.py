@@ -168,6 +168,21 @@ def truth_between(left: DataFrame, truth: DataFrame, *, by: list[str], time: str
     return found.drop("before", "after", "_last")
 
 
+def following(df: DataFrame, *, by: list[str], order: str, width: int = 1 << 16, into: str = "next") -> DataFrame:
+    """Rows with the next larger-or-equal value of ``order``, a whole number, among the rows of their key; null for the last.
+
+    A task sorts only the values of one key within ``width``; the last row of such a stretch gets the first value of the next one
+    that has rows, from a table of one row for each. Keys that are null go together.
+    """
+    rows = df.withColumn("_b", F.floor(F.col(order) / width))
+    inner = F.lead(order).over(Window.partitionBy(*by, "_b").orderBy(order))
+    names = [f"_k{i}" for i in range(len(by))]
+    first = rows.groupBy(*(F.col(c).alias(n) for c, n in zip(by, names, strict=True)), F.col("_b").alias("_kb")).agg(F.min(order).alias("_f"))
+    first = first.withColumn("_n", F.lead("_f").over(Window.partitionBy(*names).orderBy("_kb"))).drop("_f")
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(n)) for c, n in zip([*by, "_b"], [*names, "_kb"], strict=True)))
+    return rows.withColumn("_i", inner).join(first, same).withColumn(into, F.coalesce("_i", "_n")).select(*df.columns, into)
+
+
 def resample(df: DataFrame, time: str, value: str, period: float, *, by: list[str], max_gap: float) -> DataFrame:
     """(by..., t, value, status): a row each period from the first to the last time, interpolated over gaps up to ``max_gap``."""
     ends = df.groupBy(*by).agg(F.ceil(F.min(time) / period).cast("long").alias("lo"), F.floor(F.max(time) / period).cast("long").alias("hi")).filter("lo <= hi")

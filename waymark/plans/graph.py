@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.operators import graph as G
+from waymark.operators import sequences as S
 from waymark.plans.base import query
 
 # a sparse graph of parts: each links to the next of its size, and to one of another size
@@ -16,12 +17,10 @@ b AS (SELECT src, dst, type, cost FROM g UNION ALL SELECT dst, src, type, cost F
 
 
 def graph(table) -> DataFrame:
-    from pyspark.sql import Window
-
     part = table("part").select("p_partkey", "p_size")
     n = part.agg(F.count("*").alias("n"))
     k = F.col("p_partkey")
-    chain = part.select(k.alias("src"), F.lead("p_partkey").over(Window.partitionBy("p_size").orderBy("p_partkey")).alias("dst"), F.lit(0).alias("type"), (k % 7 + 1.0).alias("cost"))
+    chain = S.following(part, by=["p_size"], order="p_partkey").select(k.alias("src"), F.col("next").alias("dst"), F.lit(0).alias("type"), (k % 7 + 1.0).alias("cost"))
     jump = part.filter(k % 97 == 0).join(F.broadcast(n), F.lit(True)).select(k.alias("src"), ((k * 7) % F.col("n")).alias("dst"), F.lit(1).alias("type"), F.lit(5.0).alias("cost"))  # one row
     return chain.unionByName(jump).filter("dst is not null and src <> dst")
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.operators import retrieval as R
+from waymark.operators import sequences as S
 from waymark.plans.base import query
 
 
@@ -58,8 +59,8 @@ p AS (SELECT a, b FROM (SELECT doc_id AS a, lead(doc_id) OVER (PARTITION BY sour
 
 
 def _neighbours(table) -> DataFrame:
-    nxt = F.lead("doc_id").over(Window.partitionBy("source").orderBy("doc_id"))
-    return table("documents").select(F.col("doc_id").alias("a"), nxt.alias("b")).filter("b is not null")
+    out = S.following(table("documents").select("doc_id", "source"), by=["source"], order="doc_id")
+    return out.select(F.col("doc_id").alias("a"), F.col("next").alias("b")).filter("b is not null")
 
 
 @query(
