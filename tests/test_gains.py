@@ -30,7 +30,7 @@ def test_gains_against_a_dense_solve(spark):
     want = np.linalg.solve(left, right)
     pairs = spark.createDataFrame(rows, "a int, b int, va double, vb double").repartition(3)
     got = {r["node"]: r["gain"] for r in N.gains(spark, spark.createDataFrame(list(sizes.items()), "node int, n int"), N.overlap_means(pairs)).collect()}
-    assert np.allclose([got[i] for i in range(13)], want, atol=1e-9) and got[12] == 1.0 and max(abs(want - 1)) > 0.2
+    assert np.allclose([got[i] for i in range(13)], want, atol=1e-9) and got[12] == pytest.approx(1.0) and max(abs(want - 1)) > 0.2
 
 
 def test_no_clouds_and_a_solve_that_does_not_end(spark):

@@ -1,7 +1,7 @@
 """Gain compensation between overlapping clouds: normal equations as rows of a sparse matrix, solved by conjugate gradients.
 
 The matrix never leaves its rows: a round joins them with the direction, adds up by cloud, and writes the vectors to the shared
-folder; only four sums per round reach the driver. Clouds that no overlap connects are solved together, as blocks.
+folder; only two sums per round reach the driver. Clouds that no overlap connects are solved together, as blocks.
 """
 
 from __future__ import annotations
@@ -40,24 +40,22 @@ def solve(spark: SparkSession, diagonal: DataFrame, off: DataFrame, *, tolerance
     matrix_path, path = fresh_path(spark, "matrix"), fresh_path(spark, "vectors")
     matrix = materialize(spark, off, "matrix", path=matrix_path)
     d = F.col("diagonal")
-    state = materialize(spark, diagonal.select("node", "diagonal", F.lit(0.0).alias("x"), F.col("right").cast("double").alias("r"), (F.col("right") / d).alias("p")), "vectors", path=path)
-    first = state.agg(F.sum(F.col("r") * F.col("r") / d)).first()[0]
-    rest = first
+    state = materialize(spark, diagonal.select("node", "diagonal", F.lit(0.0).alias("x"), F.col("right").cast("double").alias("r"), F.lit(0.0).alias("p")), "vectors", path=path)
+    first = rest = state.agg(F.sum(F.col("r") * F.col("r") / d)).first()[0]
+    turn = 0.0
     for _ in range(most):
         if not rest or rest <= first * tolerance**2:
             drop_path(spark, matrix_path)
             return state.select("node", "x")
-        product = matrix.join(state.select(F.col("node").alias("j"), "p"), "j").groupBy(F.col("i").alias("node")).agg(F.sum(F.col("a") * F.col("p")).alias("ap"))
-        step_path = fresh_path(spark, "vectors")
-        step = materialize(spark, state.join(product, "node", "left").withColumn("ap", F.coalesce("ap", F.lit(0.0)) + d * F.col("p")), "vectors", path=step_path)
-        pap, cross, square = step.agg(F.sum(F.col("p") * F.col("ap")), F.sum(F.col("r") * F.col("ap") / d), F.sum(F.col("ap") * F.col("ap") / d)).first()
-        alpha = rest / pap
-        before, rest = rest, max(0.0, rest - 2 * alpha * cross + alpha * alpha * square)
-        r = F.col("r") - alpha * F.col("ap")
+        ahead = state.withColumn("p", F.col("r") / d + turn * F.col("p"))
+        product = matrix.join(ahead.select(F.col("node").alias("j"), "p"), "j").groupBy(F.col("i").alias("node")).agg(F.sum(F.col("a") * F.col("p")).alias("ap"))
         old, path = path, fresh_path(spark, "vectors")
-        state = materialize(spark, step.select("node", "diagonal", (F.col("x") + alpha * F.col("p")).alias("x"), r.alias("r"), (r / d + rest / before * F.col("p")).alias("p")), "vectors", path=path)
+        step = materialize(spark, ahead.join(product, "node", "left").withColumn("ap", F.coalesce("ap", F.lit(0.0)) + d * F.col("p")), "vectors", path=path)
         drop_path(spark, old)
-        drop_path(spark, step_path)
+        length = rest / step.agg(F.sum(F.col("p") * F.col("ap"))).first()[0]
+        state = step.select("node", "diagonal", (F.col("x") + length * F.col("p")).alias("x"), (F.col("r") - length * F.col("ap")).alias("r"), "p")
+        before, rest = rest, state.agg(F.sum(F.col("r") * F.col("r") / d)).first()[0]
+        turn = rest / before
     raise RuntimeError(f"the system was not solved after {most} rounds")
 
 
