@@ -118,3 +118,21 @@ def test_successors_over_buckets(spark):
         want += zip([k] * len(own), own, [*own[1:], None], strict=True)
     assert got == sorted(want, key=str)
     assert sequences.following(spark.createDataFrame([], "k string, v long"), by=["k"], order="v").count() == 0
+
+
+def test_frames_are_gated_by_the_samples_received(spark, tmp_path):
+    """Micro-batches of one file each: state carries over, frames outside of the samples go, old samples are forgotten."""
+    from waymark.plans.streams import drain
+    from waymark.streaming.admission import gate_frames
+
+    s, f = True, False
+    batches = [
+        [("a", 0, 50.0, f, 0.0), ("a", 1, 10.0, s, 1.0), ("a", 2, 20.0, s, 3.0), ("a", 3, 15.0, f, 0.0), ("a", 4, 20.0, f, 0.0), ("b", 5, 1.0, s, 7.0)],
+        [("a", 6, 9.0, f, 0.0), ("a", 7, 10.0, f, 0.0), ("a", 8, 30.0, s, 5.0), ("a", 9, 25.0, f, 0.0), ("a", 10, 40.0, s, 9.0), ("a", 11, 35.0, f, 0.0), ("a", 12, 12.0, f, 0.0), ("b", 13, 0.5, f, 0.0)],
+    ]
+    kinds = "k string, n int, t double, imu boolean, v double"
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, kinds).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = {r["n"]: r["sample"] for r in drain(gate_frames(stream, key="k", arrival="n", stamp="t", is_sample="imu", value="v", buffer=2)).collect()}
+    assert got == {0: None, 3: 2.0, 7: 1.0, 9: 4.0, 11: 7.0, 12: None}

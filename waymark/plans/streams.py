@@ -66,3 +66,20 @@ def window_counts(table):
     """Counts in six-hour windows, as a batch over the operator's windows."""
     out = A.windowed(table("events").withColumn("ts", F.col("ts").cast("timestamp")), time="ts", late="10 minutes", size="6 hours", by=["event_type"])
     return out.select(F.unix_seconds("window.start").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+@query(
+    "STR-07",
+    """WITH e AS (SELECT event_id, user_id, event_type <> 'purchase' AS imu, value, epoch_us(ts) / 1e6::DOUBLE + CASE WHEN event_type = 'purchase' THEN (2 - event_id % 7) * 40000 ELSE 0 END AS t FROM events WHERE event_type IN ('view', 'click', 'purchase')),
+w AS (SELECT *, first_value(CASE WHEN imu THEN t END IGNORE NULLS) OVER z AS oldest, last_value(CASE WHEN imu THEN t END IGNORE NULLS) OVER z AS newest, list(CASE WHEN imu THEN {'t': t, 'v': value} END) OVER z AS l FROM e WINDOW z AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)),
+g AS (SELECT event_id, t, list_filter(l, lambda x: x IS NOT NULL)[-16:] AS s FROM w WHERE NOT imu AND (oldest IS NULL OR (t >= oldest AND t < newest))),
+b AS (SELECT *, list_reverse_sort(list_filter(s, lambda x: x.t <= t))[1] AS p, list_sort(list_filter(s, lambda x: x.t > t))[1] AS n FROM g)
+SELECT event_id, round(p.v + (n.v - p.v) * (t - p.t) / (n.t - p.t), 4) AS sample FROM b""",
+)
+def stream_gated_frames(table):
+    """Purchases as frames, late or early, that the samples (views and clicks) received before them enclose, with the value at their stamp."""
+    frame = F.col("event_type") == "purchase"
+    rows = _stream(table).filter("event_type in ('view', 'click', 'purchase')")
+    rows = rows.select("user_id", "event_id", (F.col("t") + F.when(frame, (2 - F.col("event_id") % 7) * 40000).otherwise(0)).alias("stamp"), (~frame).alias("is_sample"), "value")
+    out = drain(A.gate_frames(rows, key="user_id", arrival="event_id", stamp="stamp", is_sample="is_sample", value="value", buffer=16))
+    return out.select("event_id", F.round("sample", 4).alias("sample"))

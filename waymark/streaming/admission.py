@@ -48,6 +48,36 @@ def admit(stream: DataFrame, *, key: str, time: str, period: float, variance: st
     return stream.groupBy(key).applyInPandasWithState(run, schema, "last double, worst double", "append", GroupStateTimeout.NoTimeout)
 
 
+def gate_frames(stream: DataFrame, *, key: str, arrival: str, stamp: str, is_sample: str, value: str, buffer: int = 64) -> DataFrame:
+    """Frames (key, arrival, stamp, sample) that lie within the samples received so far, each with the sample interpolated at its stamp.
+
+    A frame older than the first sample received, or not older than the last one, is skipped; before any sample all frames pass,
+    without a value. The newest ``buffer`` samples are kept, so a frame older than these passes without a value too.
+    """
+    kinds = dict(stream.dtypes)
+
+    def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        oldest, newest, times, values = state.get if state.exists else (None, None, [], [])
+        times, values, out = list(times), list(values), []
+        rows = _in_order(frames, arrival)
+        for row in rows.itertuples(index=False) if len(rows) else []:
+            t = float(getattr(row, stamp))
+            if getattr(row, is_sample):
+                oldest, newest = t if oldest is None else oldest, t
+                times, values = [*times, t][-buffer:], [*values, float(getattr(row, value))][-buffer:]
+            elif oldest is None or oldest <= t < newest:
+                before = max(((a, v) for a, v in zip(times, values, strict=True) if a <= t), default=None)
+                after = min(((a, v) for a, v in zip(times, values, strict=True) if a > t), default=None)
+                between = before[1] + (after[1] - before[1]) * (t - before[0]) / (after[0] - before[0]) if before and after else None
+                out.append((k[0], getattr(row, arrival), t, between))
+        state.update((oldest, newest, times, values))
+        if out:
+            yield pd.DataFrame(out, columns=[key, arrival, stamp, "sample"]).astype({"sample": float})
+
+    schema = f"`{key}` {kinds[key]}, `{arrival}` {kinds[arrival]}, `{stamp}` double, sample double"
+    return stream.groupBy(key).applyInPandasWithState(run, schema, "oldest double, newest double, times array<double>, readings array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
 def latch(stream: DataFrame, *, key: str, time: str, is_frame: str, value: str) -> DataFrame:
     """Frames (key, time, latched): each takes the last value that came since the frame before, and clears it."""
     kinds = dict(stream.dtypes)
