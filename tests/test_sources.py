@@ -106,6 +106,24 @@ def test_publish_moves_the_pointer_only_after_the_check(spark, tmp_path):
     assert sinks.current_version(spark, base) == "v3"
 
 
+def test_pointers_without_a_version_and_stale_staging(spark, tmp_path):
+    base = f"file://{tmp_path}/store"
+    with pytest.raises(ValueError, match="no version"):
+        sinks.current_version(spark, base)
+    sinks.publish(spark, spark.range(3), base, "v1")
+    sinks.publish(spark, spark.range(4), base, "v2")
+    with pytest.raises(ValueError, match="already"):
+        sinks.publish(spark, spark.range(4), base, "v1")
+    assert sinks.current_version(spark, base) == "v2" and spark.read.parquet(f"{base}/v1").count() == 3
+    (tmp_path / "store" / "CURRENT-000000000003").write_text("")  # a writer that has just made its pointer
+    (tmp_path / "store" / "CURRENT-000000000004").write_text("v9")
+    assert sinks.current_version(spark, base) == "v2"
+    sinks.publish(spark, spark.range(5), base, "v5")
+    assert sinks.current_version(spark, base) == "v5"
+    assert sinks.remove_stale(spark, base, 3600) == 0 and sinks.remove_stale(spark, base, 0) == 1  # what the refused v1 left
+    assert sinks.current_version(spark, base) == "v5"
+
+
 def test_manifest(spark, tmp_path):
     (tmp_path / "f").write_bytes(b"abc")
     row = sinks.manifest(spark, str(tmp_path)).first()

@@ -98,7 +98,7 @@ def appended_nodes(table):
     return stored.groupBy("map_id").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("weight"))
 
 
-@query("SNK-15 SNK-16", "SELECT 'v2' AS version, count(*) AS n, (SELECT count(*) FROM supplier) AS before FROM supplier WHERE s_suppkey % 2 = 0")
+@query("SNK-15", "SELECT 'v2' AS version, count(*) AS n, (SELECT count(*) FROM supplier) AS before FROM supplier WHERE s_suppkey % 2 = 0")
 def published_version(table):
     """The current one of two versions; a third fails its check and changes nothing."""
     rows = table("supplier")
@@ -115,6 +115,19 @@ def published_version(table):
     return spark.read.parquet(f"{base}/{version}").agg(F.count("*").alias("n")).crossJoin(F.broadcast(before)).select(F.lit(version).alias("version"), "n", "before")  # one row each
 
 
+@query("SNK-16", "SELECT CAST(sum(strlen(coalesce(html, '')) + 1) AS BIGINT) AS bytes, true AS agreed FROM (SELECT replace(replace(html, chr(10), ' '), chr(13), ' ') AS html FROM pages)")
+def page_manifest(table):
+    """Bytes of the written pages, by the manifest of their files, and whether a second manifest has the same digests."""
+    rows = table("pages").select(F.coalesce(F.translate("html", "\n\r", "  "), F.lit("")).alias("value"))
+    spark = rows.sparkSession
+    path = fresh_path(spark, "manifest")
+    rows.write.option("maxRecordsPerFile", 10_000).text(path)
+    first = sinks.manifest(spark, path).filter(F.col("path").endswith(".txt"))
+    again = first.select("path", F.col("sha256").alias("then"))
+    both = first.join(again, "path", "full_outer")
+    return both.agg(F.sum("bytes").alias("bytes"), F.min(F.coalesce(F.col("sha256") == F.col("then"), F.lit(False))).alias("agreed"))
+
+
 @query("SNK-11", """WITH e AS (SELECT user_id, list({'t': event_id, 'x': round(value, 2), 'y': (event_id % 50)::DOUBLE} ORDER BY event_id) AS p FROM events GROUP BY user_id)
 SELECT user_id, '{"type":"Feature","properties":{"user_id":' || user_id || ',"kind":"trajectory","nodes":' || len(p) || '},"geometry":{"type":"LineString","coordinates":[' || array_to_string(list_transform(p, lambda q: '[' || q.x || ',' || q.y || ']'), ',') || ']}}' AS value FROM e WHERE len(p) >= 2""")
 def trajectory_features(table):

@@ -112,27 +112,59 @@ def replace_children(stored: DataFrame, fresh: DataFrame, key: str) -> DataFrame
     return stored.join(fresh.select(key).distinct(), key, "left_anti").unionByName(fresh)
 
 
+def _files(spark: SparkSession, base: str):
+    """(file system, function that makes its paths) of a folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return path(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
 def publish(spark: SparkSession, df: DataFrame, base: str, version: str, check=None) -> str:
-    """Write a version beside the others, check it, and only then move the pointer; a failed check leaves the old one."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    """Write a version beside the others, check it, and only then name it in a new pointer; a failed check leaves what was.
+
+    Pointers are numbered and never replaced or deleted, so a reader finds a version at any moment: that of the highest number.
+    """
+    fs, path = _files(spark, base)
     staging, final = f"{base}/.staging-{uuid.uuid4().hex}", f"{base}/{version}"
     df.write.parquet(staging)
     if check is not None and not check(spark.read.parquet(staging)):
-        jvm.org.apache.hadoop.fs.Path(staging).getFileSystem(conf).delete(jvm.org.apache.hadoop.fs.Path(staging), True)
+        fs.delete(path(staging), True)
         raise ValueError("the new version did not pass its check")
-    fs = jvm.org.apache.hadoop.fs.Path(base).getFileSystem(conf)
-    if not fs.rename(jvm.org.apache.hadoop.fs.Path(staging), jvm.org.apache.hadoop.fs.Path(final)):
+    if fs.exists(path(final)) or not fs.rename(path(staging), path(final)):
         raise ValueError(f"version {version} is there already")
-    pointer = f"{base}/current-{uuid.uuid4().hex}"
-    out = fs.create(jvm.org.apache.hadoop.fs.Path(pointer), True)
-    out.write(bytearray(version.encode()))
-    out.close()
-    target = jvm.org.apache.hadoop.fs.Path(f"{base}/CURRENT")
-    fs.delete(target, False)
-    fs.rename(jvm.org.apache.hadoop.fs.Path(pointer), target)
-    return final
+    number = max([n for n, _ in _pointers(fs, path, base)], default=0)
+    while True:  # creating a file that is there fails, so of two writers one takes the next number
+        number += 1
+        try:
+            out = fs.create(path(f"{base}/CURRENT-{number:012d}"), False)
+        except Exception:  # noqa: BLE001  any file system's own exception
+            if not fs.exists(path(f"{base}/CURRENT-{number:012d}")):
+                raise
+            continue
+        out.write(bytearray(version.encode()))
+        out.close()
+        return final
+
+
+def _pointers(fs, path, base: str) -> list[tuple[int, str]]:
+    """(number, file) of all pointers."""
+    found = fs.globStatus(path(f"{base}/CURRENT-*")) or []
+    return sorted((int(f.getPath().getName().rpartition("-")[2]), str(f.getPath().toString())) for f in found)
 
 
 def current_version(spark: SparkSession, base: str) -> str:
-    return spark.read.text(f"{base}/CURRENT").first()[0]
+    """The version of the highest pointer that names a whole one; a pointer that is still empty or names none is passed over."""
+    fs, path = _files(spark, base)
+    for _, file in reversed(_pointers(fs, path, base)):
+        line = spark.read.text(file).first()
+        if line and fs.exists(path(f"{base}/{line[0]}/_SUCCESS")):
+            return line[0]
+    raise ValueError(f"no version is published in {base}")
+
+
+def remove_stale(spark: SparkSession, base: str, older_than_s: float) -> int:
+    """Delete staging folders that writers left behind, last changed that long ago; the number of them."""
+    import time
+
+    fs, path = _files(spark, base)
+    old = [f.getPath() for f in fs.globStatus(path(f"{base}/.staging-*")) or [] if f.getModificationTime() / 1000 <= time.time() - older_than_s]
+    return sum(bool(fs.delete(p, True)) for p in old)
