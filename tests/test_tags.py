@@ -136,3 +136,12 @@ def test_frames_are_gated_by_the_samples_received(spark, tmp_path):
     stream = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = {r["n"]: r["sample"] for r in drain(gate_frames(stream, key="k", arrival="n", stamp="t", is_sample="imu", value="v", buffer=2)).collect()}
     assert got == {0: None, 3: 2.0, 7: 1.0, 9: 4.0, 11: 7.0, 12: None}
+
+
+def test_sights_are_blocked_near_the_shelf_only(spark):
+    box = lambda x, y: [{"x": x + a, "y": y + b} for a, b in ((0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0))]
+    walls = spark.createDataFrame([(1, box(4.0, -0.5)), (1, box(-3.0, 9.0)), (2, box(0.0, 0.0)), (1, box(7.0, 7.0)[:2])], "f int, ring array<struct<x:double,y:double>>")
+    sights = [(1, 1, 0.0, 0.0, 6.5, 0.0), (2, 1, 0.0, 0.0, 9.0, 0.0), (3, 1, 0.0, 3.0, 6.5, 3.0), (4, 1, 0.0, 0.0, 4.5, 0.1), (5, 1, 6.0, 0.0, 0.0, 0.0), (6, 2, 6.0, 0.0, 4.0, 0.0), (7, 1, -5.0, 9.5, -1.0, 9.5), (8, 1, 7.5, 6.5, 7.5, 7.5)]
+    df = spark.createDataFrame(sights, "s int, f int, ax double, ay double, bx double, by_ double")
+    for size in (0.7, 5.0):
+        assert sorted(r["s"] for r in tags.occluded(df, walls, by=["f"], key="s", size=size).collect()) == [1, 4, 7]

@@ -150,6 +150,20 @@ def segments_cross(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, c
     return F.when(det == 0, F.lit(False)).otherwise(t.between(0, 1) & u.between(0, 1))
 
 
+def sight_blocked(ax: Column, ay: Column, bx: Column, by: Column, ring: Column, most: float) -> Column:
+    """Whether the sight from a to b meets a polygon: b lies inside, or an edge is crossed no farther than ``most`` from b. Parallel edges do not count."""
+    n = F.size(ring)
+
+    def near(i: Column) -> Column:
+        c, d = F.element_at(ring, i), F.element_at(ring, F.when(i == n, F.lit(1)).otherwise(i + 1))
+        rx, ry, sx, sy = bx - ax, by - ay, d["x"] - c["x"], d["y"] - c["y"]
+        det = rx * sy - ry * sx
+        t, u = ((c["x"] - ax) * sy - (c["y"] - ay) * sx) / det, ((c["x"] - ax) * ry - (c["y"] - ay) * rx) / det
+        return F.when(F.abs(det) <= 1e-12, F.lit(False)).otherwise(t.between(0, 1) & u.between(0, 1) & ((1 - t) * F.sqrt(rx * rx + ry * ry) <= most))
+
+    return (n >= 3) & (in_polygon(bx, by, ring) | F.exists(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), near))
+
+
 def depth_to_point(u: Column, v: Column, depth: Column, cx: float, cy: float, fx: float, fy: float) -> tuple[Column, Column, Column]:
     """A pixel's point in the camera's frame; null without depth."""
     ok = depth > 0
