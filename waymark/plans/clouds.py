@@ -59,7 +59,7 @@ def radius_outlier(table):
 
 
 @query(
-    "FLT-14 FLT-11",
+    "FLT-14",
     f"""{_CLOUD} , k AS (SELECT DISTINCT a.cloud, a.id FROM c a JOIN c b ON b.cloud = a.cloud WHERE a.flag = 'N' AND b.flag = 'R' AND (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) <= 9.0) SELECT cloud, id FROM c WHERE flag = 'N' AND (cloud, id) NOT IN (SELECT cloud, id FROM k)""",
 )
 def subtract_filter(table):

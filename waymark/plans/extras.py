@@ -27,7 +27,7 @@ def replay_range(table):
     return formats.replay(n, start=(lo or 0) + cut, stop=(hi or 0) - cut, start_map=1, stop_map=3).select("node", "map_id")
 
 
-@query("SRC-14 SNK-05", "SELECT user_id, count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k FROM events GROUP BY user_id")
+@query("SRC-14", "SELECT user_id, count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k FROM events GROUP BY user_id")
 def statistics_by_id(table):
     """Statistics parsed from their text and added up."""
     text = F.concat(F.lit("k:"), F.get_json_object("props", "$.k"))

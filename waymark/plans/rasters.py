@@ -23,7 +23,7 @@ def line_cells(table):
     return Z.line_cells(_rays(table), "x0", "y0", "x1", "y1").groupBy("ix", "iy").agg(F.count("*").alias("n"))
 
 
-@query("GEO-14 GEO-30", f"{_CELLS}, o AS (SELECT DISTINCT s_suppkey % 60 AS ix, (s_suppkey * 13) % 60 AS iy FROM supplier), h AS (SELECT ray, min(step) AS stop FROM c JOIN o USING (ix, iy) GROUP BY ray) SELECT c.ray, count(*) AS free FROM c LEFT JOIN h ON h.ray = c.ray WHERE stop IS NULL OR step < stop GROUP BY c.ray")
+@query("GEO-14", f"{_CELLS}, o AS (SELECT DISTINCT s_suppkey % 60 AS ix, (s_suppkey * 13) % 60 AS iy FROM supplier), h AS (SELECT ray, min(step) AS stop FROM c JOIN o USING (ix, iy) GROUP BY ray) SELECT c.ray, count(*) AS free FROM c LEFT JOIN h ON h.ray = c.ray WHERE stop IS NULL OR step < stop GROUP BY c.ray")
 def ray_trace(table):
     """Free cells of each ray before an obstacle."""
     o = table("supplier").select((F.col("s_suppkey") % 60).alias("ix"), ((F.col("s_suppkey") * 13) % 60).alias("iy"))
