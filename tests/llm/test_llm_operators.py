@@ -674,7 +674,7 @@ def test_null_ids_do_not_break_operators(spark, edge, tmp_path):
     for p in Path(edge).glob("*.parquet"):
         pq.write_table(pq.read_table(p) if p.name != "documents.parquet" else t.set_column(0, "doc_id", ids), tmp_path / p.name)
     for name in registry.QUERIES:
-        if name not in ("op4_nearest_neighbours", "op5_packing", "op6_warc"):
+        if name not in ("op4_nearest_neighbours", "op5_packing", "op6_warc", "op13_embedding_whitening"):
             assert len(_rows(spark, name, str(tmp_path))) == t.num_rows, name
     rows = _rows(spark, "op5_packing", str(tmp_path))
     for missing in (True, False):  # every row is packed, those without an id too
@@ -689,6 +689,8 @@ def test_null_ids_of_vectors_and_pages(spark, edge, tmp_path):
     pq.write_table(v.set_column(0, "vec_id", ids), tmp_path / "embeddings.parquet")
     rows = _rows(spark, "op4_nearest_neighbours", str(tmp_path))
     assert {r["query_id"] for r in rows} == {0, 20} and not {r["vec_id"] for r in rows} & {None, *gone}
+    white = _rows(spark, "op13_embedding_whitening", str(tmp_path))
+    assert len(white) == 8 * 56 and sum(r["vec_id"] is None for r in white) == 8 * len(gone)
     p = pq.read_table(f"{edge}/pages.parquet")
     pages = pa.array([None if i in (0, 3) else x for i, x in enumerate(p["page_id"].to_pylist())], pa.int64())
     pq.write_table(p.set_column(0, "page_id", pages), tmp_path / "pages.parquet")
