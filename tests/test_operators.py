@@ -150,6 +150,20 @@ def test_sequence_errors_are_registered_for_every_length(spark):
     assert [r[0] for r in rows(out.select("length").distinct(), "length")] == list(trajectories.SEQUENCE_LENGTHS)
 
 
+def test_sequence_error_keeps_every_start(spark):
+    from waymark import catalog
+
+    out = rows(catalog.QUERIES["sequence_error"](spark, "/root/testdata/sf0.001"), "user_id", "start", "length")
+    single = rows(catalog.QUERIES["sequence_error_all_lengths"](spark, "/root/testdata/sf0.001"), "user_id", "start", "length")
+    assert [r[:4] for r in out] == single and len({r[:2] for r in out}) > len({r[0] for r in out})
+    groups = {}
+    for user, _, length, error, *_ in out:
+        groups.setdefault((user, length), []).append(error)
+    for user, _, length, _, starts, mean, most in out:
+        own = groups[user, length]
+        assert (starts, most) == (len(own), max(own)) and mean == pytest.approx(sum(own) / len(own), abs=1e-5)
+
+
 def test_registered_optimisation_has_converged(spark, monkeypatch):
     import numpy as np
 
