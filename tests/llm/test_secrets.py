@@ -167,3 +167,58 @@ def test_labelled_sample_is_bounded(spark):
     assert len(few) == 300 and {r["label"] for r in few} == {0, 1}
     all_ = S.labelled_windows(docs, per_class=5000).collect()
     assert min(r["h"] for r in few if r["label"]) == min(r["h"] for r in all_ if r["label"])
+
+
+def _corpus(spark, n: int):
+    rows = [(f"note {i} token = {'%040x' % (i * 2**130 + 7919 * i)} and number {10**9 + 7 * i} end",) for i in range(n)]
+    return spark.createDataFrame(rows, "text string").repartition(3)
+
+
+def test_model_is_of_all_findings(spark, monkeypatch):
+    """More findings than the former 1,500 of a label, one longer than 1 KB, in several groups: each is fitted or calibrates."""
+    long = "secret = " + "x9" * 3000
+    docs = _corpus(spark, 2000).union(spark.createDataFrame([(long,)], "text string"))
+    seen = []
+
+    def watch(spark_, findings, *, epochs):
+        seen.extend(findings.collect())
+        return S.Network()
+
+    monkeypatch.setattr(S, "_fit", watch)
+    S.train_on_rules(spark, docs, group_bytes=1 << 18)
+    all_ = S.labelled_windows(docs).distinct().collect()
+    assert sum(r["label"] for r in all_) == 2001 and sum(not r["label"] for r in all_) == 2000 and max(r["size"] for r in all_) == 6000
+    assert {(r["label"], bytes(r["window"])) for r in seen} == {(r["label"], bytes(r["window"])) for r in all_ if not r["held"]}
+    assert len({r["part"] for r in seen}) > 4
+
+
+def test_model_of_several_groups_finds_held_out_findings(spark):
+    docs = _corpus(spark, 1200)
+    model = S.train_on_rules(spark, docs, group_bytes=1 << 19)
+    again = S.train_on_rules(spark, docs.repartition(5), group_bytes=1 << 19)
+    assert np.array_equal(model.network.state(), again.network.state())
+    rows = S.labelled_windows(docs).filter("held").collect()
+    windows, label = S.Windows.of([(bytes(r["window"]), r["lead"], r["size"]) for r in rows]), np.array([r["label"] for r in rows])
+    yes = model.accepts(windows, model.probability(windows))
+    assert yes[label == 1].mean() >= 0.95 and yes[label == 0].mean() <= 0.05
+
+
+def test_order_statistics_and_thresholds_are_exact(spark):
+    rng = np.random.default_rng(8)
+    p = np.concatenate([rng.random(300) ** 9, np.full(40, 0.25), 0.25 + np.arange(60) * 2.0**-53, [0.0, 1.0]])
+    size, label = rng.integers(8, 60, len(p)), rng.integers(0, 2, len(p))
+    df = spark.createDataFrame([*zip(p.tolist(), size.tolist(), label.tolist(), strict=True)], "p double, size long, label int").repartition(3)
+    assert [S.kth_smallest(df, "p", k, bins=4) for k in (0, 200, 250, 401)] == np.sort(p)[[0, 200, 250, 401]].tolist()
+    assert S._thresholds(df, 0.9) == S.recall_thresholds(p, size, label, 0.9)
+
+
+def test_gradient_is_equal_over_slabs(monkeypatch):
+    rng = np.random.default_rng(3)
+    parts = [(bytes(rng.integers(33, 200, int(n)).tolist()), min(16, int(n) - 9), 8) for n in rng.integers(9, 90, 12)] + [(b"k=" + b"x1" * 300, 2, 600)]
+    net = S.Network()
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    windows, label = S.Windows.of(parts), np.arange(13) % 2
+    loss, whole = net.gradient(windows, label)
+    monkeypatch.setattr(S, "SLAB", 7)
+    again, cut = net.gradient(windows, label)
+    assert loss == pytest.approx(again) and all(np.allclose(whole[k], cut[k], atol=1e-6) for k in whole)

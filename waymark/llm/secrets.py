@@ -6,14 +6,16 @@ three times in 16 characters or more. The network sees the candidate with 16 byt
 a mark of what is inside the candidate, convolved over five bytes, and pooled (largest and mean inside, largest
 outside) however long the candidate is; a hidden layer gives the logit. All of it is NumPy.
 
-It is trained on labelled findings: candidates of the corpus, labelled by whether a rule found them, or labelled windows
+It is trained on labelled findings: all candidates of the corpus, labelled by whether a rule found them, or labelled windows
 given by the caller. Half of the positive ones are shown with their value redrawn from other alphabets of secrets, or in the
 surroundings of a negative one, so that neither one alphabet nor one wording is what is learnt. A quarter of the findings calibrates: a
 logistic fit of logits to labels gives probabilities, and for each range of lengths the threshold is the highest one
 that still keeps ``recall`` of the calibration's positives.
 
-Findings for training are bounded (``per_class`` of each label, those of smallest hash, windows of 1 KB at most); scanning has no
-bound and no shuffle.
+Every finding takes part in training, windows of any length included; equal windows of one label are one finding. Findings are dealt by
+hash into groups of bounded size; in each epoch every group goes on from the same weights, and the weights it ends with are averaged
+by Spark, each group counting by its findings. The fit of the logits is Newton's method on sums over all calibrating findings, the
+thresholds are exact order statistics of all of them, so only weights and sums reach the driver. Scanning has no shuffle.
 
 Defined edge cases: null texts are empty and have no span; repeated rows are scanned each; text of any length is scanned whole;
 where fewer than 8 positive or negative findings are known there is no network, and only the rules find; an empty table gives
@@ -23,13 +25,14 @@ an empty result. Spans are in code points, the end exclusive.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm.text import Words, blocks, column_bytes
@@ -43,7 +46,10 @@ KINDS = ("assign", "access", "hex", "model")
 ASSIGN_VALUE, ACCESS_LENGTH = 8, 16
 
 LEAST, CONTEXT, WIDTH = 8, 16, 5
-PER_CLASS, WINDOW_BYTES = 1500, 1024
+#: Size of a group of findings that one task trains on, and what each counts beside its bytes.
+GROUP_BYTES, FINDING_BYTES = 4 << 20, 1000
+#: Bytes of windows after which a batch of findings ends.
+BATCH_BYTES = 1 << 20
 EMBED, FILTERS, HIDDEN = 8, 24, 16
 #: Positions convolved together when scanning.
 SLAB = 1 << 16
@@ -156,6 +162,21 @@ class Network:
         rng = np.random.default_rng(seed)
         draw = lambda *shape: rng.normal(size=shape).astype(np.float32) / np.float32(np.sqrt(shape[-1] if len(shape) == 1 else np.prod(shape[:-1])))
         self.p = {"e": rng.normal(size=(_SYMBOLS, EMBED)).astype(np.float32) * np.float32(0.3), "k": draw(WIDTH, EMBED + 1, FILTERS), "b": np.zeros(FILTERS, np.float32), "w": draw(3 * FILTERS, HIDDEN), "c": np.zeros(HIDDEN, np.float32), "v": draw(HIDDEN), "d": np.zeros(1, np.float32)}
+        self.m, self.s = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
+        self.step = 0.0
+
+    def state(self) -> np.ndarray:
+        """Weights, moments and number of steps as one vector."""
+        return np.concatenate([*(v.ravel() for part in (self.p, self.m, self.s) for v in part.values()), [self.step]]).astype(np.float64)
+
+    def resume(self, state: np.ndarray) -> Network:
+        at = 0
+        for part in (self.p, self.m, self.s):
+            for k, v in part.items():
+                part[k] = state[at : at + v.size].reshape(v.shape).astype(np.float32)
+                at += v.size
+        self.step = float(state[at])
+        return self
 
     def _embedded(self, symbol: np.ndarray, inside: np.ndarray) -> np.ndarray:
         return np.concatenate([self.p["e"][symbol], inside[:, None].astype(np.float32)], 1)
@@ -179,22 +200,36 @@ class Network:
         return (np.maximum(feats @ self.p["w"] + self.p["c"], 0) @ self.p["v"] + self.p["d"]).astype(np.float64)
 
     def gradient(self, windows: Windows, label: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean logistic loss and its gradient; the largest of a window passes its share on to every position that has it."""
+        """Mean logistic loss and its gradient; the largest of a window passes its share on to every position that has it.
+
+        Like logits it takes a slab of positions at a time, so a window may have any length; what one slab holds is kept, otherwise it is computed again.
+        """
         n, half, p = len(label), WIDTH // 2, self.p
         symbol, inside, owner = windows.padded()
-        x = self._embedded(symbol, inside)
-        y = self._convolved(x)
-        own, within = owner[half:-half], inside[half:-half]
-        feats, ties = [], []
-        for mask in (within, ~within & (own >= 0)):
-            top = _pooled(y[mask], own[mask], np.maximum, np.zeros((n, FILTERS), y.dtype))
-            even = (y == top[own]) & mask[:, None]
-            count = _pooled(even[mask].astype(y.dtype), own[mask], np.add, np.zeros((n, FILTERS), y.dtype))
-            feats.append(top)
-            ties.append((even, np.maximum(count, 1)))
-        mean = _pooled(y[within], own[within], np.add, np.zeros((n, FILTERS), y.dtype))
+
+        def slab(at: int) -> tuple:
+            end = min(at + SLAB, len(symbol) - half)
+            x = self._embedded(symbol[at - half : end + half], inside[at - half : end + half])
+            own, within = owner[at:end], inside[at:end]
+            return symbol[at - half : end + half], x, self._convolved(x), own, (within, ~within & (own >= 0))
+
+        starts = range(half, len(symbol) - half, SLAB)
+        kept = [slab(at) for at in starts] if len(starts) == 1 else None
+
+        def slabs() -> Iterator[tuple]:
+            return iter(kept) if kept is not None else map(slab, starts)
+
+        top, count = ([np.zeros((n, FILTERS), p["k"].dtype) for _ in range(2)] for _ in range(2))
+        mean = np.zeros((n, FILTERS), p["k"].dtype)
+        for _, _, y, own, masks in slabs():
+            for k, mask in enumerate(masks):
+                _pooled(y[mask], own[mask], np.maximum, top[k])
+            _pooled(y[masks[0]], own[masks[0]], np.add, mean)
+        for _, _, y, own, masks in slabs():
+            for k, mask in enumerate(masks):
+                _pooled((y[mask] == top[k][own[mask]]).astype(y.dtype), own[mask], np.add, count[k])
         size = np.maximum(windows.size, 1)[:, None].astype(np.float32)
-        z = np.concatenate([feats[0], mean / size, feats[1]], 1)
+        z = np.concatenate([top[0], mean / size, top[1]], 1)
         h = np.maximum(z @ p["w"] + p["c"], 0)
         logit = h @ p["v"] + p["d"]
         prob = 1 / (1 + np.exp(-logit))
@@ -202,34 +237,39 @@ class Network:
         g = ((prob - label) / n).astype(np.float32)
         gh = g[:, None] * p["v"] * (h > 0)
         gz = gh @ p["w"].T
-        gy = np.zeros_like(y)
-        for (even, count), part in zip(ties, (gz[:, :FILTERS], gz[:, 2 * FILTERS :]), strict=True):
-            gy += even * (part / count)[own]
-        gy += within[:, None] * (gz[:, FILTERS : 2 * FILTERS] / size)[own]
-        gy *= y > 0
-        m = len(y)
-        gx = np.zeros_like(x)
-        gk = np.empty_like(p["k"])
-        for o in range(WIDTH):
-            gk[o] = x[o : o + m].T @ gy
-            gx[o : o + m] += gy @ p["k"][o].T
-        ge = np.stack([np.bincount(symbol, weights=gx[:, j], minlength=_SYMBOLS) for j in range(EMBED)], 1).astype(np.float32)
-        return loss, {"e": ge, "k": gk, "b": gy.sum(0), "w": z.T @ gh, "c": gh.sum(0), "v": h.T @ g, "d": g.sum(keepdims=True)}
+        shares = [part / np.maximum(c, 1) for part, c in zip((gz[:, :FILTERS], gz[:, 2 * FILTERS :]), count, strict=True)]
+        even = gz[:, FILTERS : 2 * FILTERS] / size
+        gk, gb = np.zeros_like(p["k"]), np.zeros_like(p["b"])
+        ge = np.zeros((_SYMBOLS, EMBED))
+        for symbols, x, y, own, masks in slabs():
+            gy = masks[0][:, None] * even[own]
+            for k, mask in enumerate(masks):
+                gy += ((y == top[k][own]) & mask[:, None]) * shares[k][own]
+            gy *= y > 0
+            gx = np.zeros_like(x)
+            for o in range(WIDTH):
+                gk[o] += x[o : o + len(y)].T @ gy
+                gx[o : o + len(y)] += gy @ p["k"][o].T
+            gb += gy.sum(0)
+            for j in range(EMBED):
+                ge[:, j] += np.bincount(symbols, weights=gx[:, j], minlength=_SYMBOLS)
+        return loss, {"e": ge.astype(np.float32), "k": gk, "b": gb, "w": z.T @ gh, "c": gh.sum(0), "v": h.T @ g, "d": g.sum(keepdims=True)}
 
     def fit(self, windows: Windows, label: np.ndarray, *, epochs: int = 10, batch: int = 64, rate: float = 0.01, seed: int = 4) -> Network:
-        """Adam over shuffled batches."""
-        rng, step = np.random.default_rng(seed), 0
-        m, s = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
+        """Adam over shuffled batches, from the moments that the network has."""
+        rng, m, s = np.random.default_rng(seed), self.m, self.s
         for _ in range(epochs):
             order = rng.permutation(len(label))
-            for at in range(0, len(order), batch):
-                ids = order[at : at + batch]
+            filled = np.cumsum(np.diff(windows.first)[order]) // BATCH_BYTES
+            cuts = np.flatnonzero((np.arange(len(order)) % batch == 0) | (np.diff(filled, prepend=0) > 0))
+            for at, end in zip(cuts, [*cuts[1:], len(order)], strict=True):
+                ids = order[at:end]
                 _, g = self.gradient(windows.take(ids), label[ids])
-                step += 1
+                self.step += 1
                 for k, v in g.items():
                     m[k] = 0.9 * m[k] + 0.1 * v
                     s[k] = 0.99 * s[k] + 0.01 * v * v
-                    self.p[k] = (self.p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+                    self.p[k] = (self.p[k] - rate * (m[k] / (1 - 0.9**self.step)) / (np.sqrt(s[k] / (1 - 0.99**self.step)) + 1e-6)).astype(np.float32)
         return self
 
 
@@ -249,19 +289,35 @@ class Model:
         return probability >= np.array(self.thresholds)[np.searchsorted(RANGES, windows.size, side="right") - 1]
 
 
-def calibrate(logit: np.ndarray, label: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """Slope and offset of a logistic fit, with targets a little inside 0 and 1 (Platt), by Newton's method."""
-    pos, neg = (label == 1).sum(), (label == 0).sum()
-    target = np.where(label == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    scale = max(float(np.abs(logit).max()), 1e-9)
-    x = np.stack([logit / scale, np.ones(len(logit))], 1)
+def platt(sums: Callable[[np.ndarray, float, tuple[float, float]], np.ndarray], pos: int, neg: int, scale: float, rounds: int = 50) -> tuple[float, float]:
+    """Slope and offset of a logistic fit, with targets a little inside 0 and 1 (Platt), by Newton's method.
+
+    ``sums`` gives, for weights of x = logit / scale and 1 and for the targets of both labels, the sums of vxx, vx, v, rx and r over
+    all findings, v = p (1 - p) and r = target - p.
+    """
+    scale = max(scale, 1e-9)
     w = np.zeros(2)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
-        w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(2), x.T @ (target - p) - 1e-4 * w)
+        vxx, vx, v, rx, r = sums(w, scale, (1 / (neg + 2), (pos + 1) / (pos + 2)))
+        step = np.linalg.solve(np.array([[vxx, vx], [vx, v]]) + 1e-4 * np.eye(2), np.array([rx, r]) - 1e-4 * w)
+        w += step
+        if np.abs(step).max() < 1e-9:
+            break
     return float(w[0] / scale), float(w[1])
 
 
+def calibrate(logit: np.ndarray, label: np.ndarray, rounds: int = 50) -> tuple[float, float]:
+    """:func:`platt` of logits and labels at hand."""
+
+    def sums(w: np.ndarray, scale: float, targets: tuple[float, float]) -> np.ndarray:
+        x = logit / scale
+        p = 1 / (1 + np.exp(-np.clip(x * w[0] + w[1], -50, 50)))
+        v, r = p * (1 - p), np.array(targets)[label] - p
+        return np.array([(v * x * x).sum(), (v * x).sum(), v.sum(), (r * x).sum(), r.sum()])
+
+    return platt(sums, int((label == 1).sum()), int((label == 0).sum()), float(np.abs(logit).max()), rounds)
+
+
 def recall_thresholds(probability: np.ndarray, size: np.ndarray, label: np.ndarray, recall: float, least: int = 20) -> tuple[float, ...]:
     """For each range of lengths the highest threshold that keeps the recall; of a range with few positives that of all, and 0.5 at least."""
     part = np.searchsorted(RANGES, size, side="right") - 1
@@ -283,7 +339,7 @@ def varied(parts: list[tuple[bytes, int, int]], label: np.ndarray, seed: int = 6
         letters = np.frombuffer(ALPHABETS[int(rng.integers(len(ALPHABETS)))], np.uint8)
         length = size if i % 3 else int(rng.integers(16, 65))
         value = letters[rng.integers(0, len(letters), length)].tobytes()
-        around, before, inner = plain[int(rng.integers(len(plain)))] if i % 2 else (window, lead, size)
+        around, before, inner = plain[int(rng.integers(len(plain)))] if i % 2 and plain else (window, lead, size)
         out.append((around[:before] + value + around[before + inner :], before, length))
     return out
 
@@ -331,11 +387,19 @@ def _scan(texts: pa.Array) -> Iterator[tuple[int, int, Words, list[tuple], np.nd
         yield at, end, w, found, start[free], stop[free]
 
 
-def labelled_windows(docs: DataFrame, *, text: str = "text", per_class: int = PER_CLASS) -> DataFrame:
-    """(label, h, lead, size, window): candidates of all rows labelled by the rules, of each task the ``per_class`` of smallest hash of each label."""
+def labelled_windows(docs: DataFrame, *, text: str = "text", per_class: int | None = None) -> DataFrame:
+    """(label, h, held, lead, size, window): candidates of all rows, labelled by the rules; ``held`` ones calibrate.
+
+    For callers that want a few only, ``per_class`` takes of each task those of smallest hash of each label.
+    """
+    names = ["label", "h", "held", "lead", "size", "window"]
+    kinds = [pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.binary()]
+
+    def batch_of(rows: Iterable[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[dict] = [{}, {}]
+        kept: list[set] = [set(), set()]
         for batch in batches:
             for _, _, w, found, start, stop in _scan(batch.column(0)):
                 value = np.array([f[4:] for f in found], np.int64).reshape(-1, 2)
@@ -343,27 +407,118 @@ def labelled_windows(docs: DataFrame, *, text: str = "text", per_class: int = PE
                     windows = Windows.cut(w.raw, w.edge, a, b)
                     for i in range(len(a)):
                         part = windows.data[windows.first[i] : windows.first[i + 1]].tobytes()
-                        if len(part) <= WINDOW_BYTES:
-                            kept[y][(xxhash.xxh3_64_intdigest(part) >> 1, part)] = (int(windows.lead[i]), int(windows.size[i]))
-                    if len(kept[y]) > 4 * per_class:
-                        kept[y] = {k: kept[y][k] for k in sorted(kept[y])[:per_class]}
-        for y in (0, 1):
-            own = sorted(kept[y])[:per_class]
+                        kept[y].add((y, xxhash.xxh3_64_intdigest(part) >> 1, xxhash.xxh3_64_intdigest(part, 9) % 4 == 0, int(windows.lead[i]), int(windows.size[i]), part))
+                    if per_class is None:
+                        if kept[y]:
+                            yield batch_of(kept[y])
+                        kept[y] = set()
+                    elif len(kept[y]) > 4 * per_class:
+                        kept[y] = set(sorted(kept[y])[:per_class])
+        for own in kept:
             if own:
-                yield pa.RecordBatch.from_arrays([pa.array([y] * len(own), pa.int32()), pa.array([k[0] for k in own], pa.int64()), *(pa.array([kept[y][k][j] for k in own], pa.int32()) for j in (0, 1)), pa.array([k[1] for k in own], pa.binary())], names=["label", "h", "lead", "size", "window"])
+                yield batch_of(sorted(own)[:per_class])
+
+    return docs.select(text).mapInArrow(run, "label int, h long, held boolean, lead int, size int, window binary")
 
-    return docs.select(text).mapInArrow(run, "label int, h long, lead int, size int, window binary")
 
+def _parts(table: pa.Table) -> tuple[list[tuple[bytes, int, int]], np.ndarray]:
+    """Windows and labels of a group of findings and of what :func:`varied` adds, in an order of their own."""
+    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("h", "window", "lead", "size", "label")), strict=True))
+    label = np.array([r[4] for r in rows], np.int64)
+    own = [r[1:4] for r in rows]
+    more = varied(own, label, seed=6 + table.column("part")[0].as_py())
+    return own + more, np.concatenate([label, np.ones(len(more), np.int64)])
 
-def train_on_rules(spark: SparkSession, docs: DataFrame, *, text: str = "text", per_class: int = PER_CLASS, recall: float = RECALL) -> Model | None:
-    """A model of a bounded sample of the candidates of ``docs``, labelled by the rules."""
+
+def _epoch(sent: Broadcast, epoch: int) -> Callable[[pa.Table], pa.Table]:
+    def run(table: pa.Table) -> pa.Table:
+        parts, label = _parts(table)
+        part = table.column("part")[0].as_py()
+        own = Network().resume(sent.value).fit(Windows.of(parts), label, epochs=1, seed=4 + epoch + 1000 * part)
+        return pa.table({"part": pa.array([part], pa.int64()), "n": pa.array([len(parts)], pa.int64()), "state": pa.array([own.state()], pa.list_(pa.float64()))})
+
+    return run
+
+
+def _fit(spark: SparkSession, findings: DataFrame, *, epochs: int) -> Network:
+    """A network of all ``findings`` (part, h, lead, size, window, label): an epoch in each part, then the mean of their weights."""
+    network = Network()
+    for epoch in range(epochs):
+        sent = spark.sparkContext.broadcast(network.state())  # a fixed number of weights
+        ends = findings.groupBy("part").applyInArrow(_epoch(sent, epoch), "part long, n long, state array<double>")
+        # summed in the order of the parts, so that another run gives the same weights
+        each = ends.select("part", "n", F.posexplode("state").alias("i", "x")).groupBy("i").agg(F.array_sort(F.collect_list(F.struct("part", "n", "x"))).alias("g"))
+        mean = F.aggregate("g", F.lit(0.0), lambda a, r: a + r["n"] * r["x"]) / F.aggregate("g", F.lit(0).cast("long"), lambda a, r: a + r["n"])
+        network.resume(np.array([r["x"] for r in each.select("i", mean.alias("x")).orderBy("i").collect()]))
+        sent.destroy()
+    return network
+
+
+def _probability(slope: float, offset: float) -> Column:
+    z = F.greatest(F.lit(-50.0), F.least(F.lit(50.0), F.col("logit") * slope + offset))
+    return 1 / (1 + F.exp(-z))
+
+
+def kth_smallest(values: DataFrame, column: str, k: int, bins: int = 4096) -> float:
+    """The value with exactly ``k`` before it in order: bins are counted, and the one it lies in is cut again."""
+    low, high = values.agg(F.min(column), F.max(column)).first()
+    while low < high:
+        place = F.least(F.floor((F.col(column) - low) / F.lit(high - low) * bins), F.lit(bins - 1))
+        found = values.filter(F.col(column).between(low, high)).groupBy(place.alias("b")).agg(F.count("*").alias("n"), F.min(column).alias("low"), F.max(column).alias("high")).orderBy("b").collect()
+        for r in found:
+            if k < r["n"]:
+                low, high = r["low"], r["high"]
+                break
+            k -= r["n"]
+    return float(low)
+
+
+def _thresholds(scores: DataFrame, recall: float, least: int = 20) -> tuple[float, ...]:
+    """:func:`recall_thresholds` of all positive rows of (size, label, p), by exact order statistics."""
+    pos = scores.filter("label = 1").select("p", sum((F.col("size") >= r).cast("int") for r in RANGES[1:]).alias("range"))
+    count = {r["range"]: r["n"] for r in pos.groupBy("range").agg(F.count("*").alias("n")).collect()}
+
+    def highest(rows: DataFrame, n: int) -> float:
+        return kth_smallest(rows, "p", int(np.floor((1 - recall) * n)))
+
+    whole = highest(pos, sum(count.values()))
+    return tuple(max(0.5, highest(pos.filter(F.col("range") == k), count[k]) if count.get(k, 0) >= least else whole) for k in range(len(RANGES)))
+
+
+def train_on_rules(spark: SparkSession, docs: DataFrame, *, text: str = "text", recall: float = RECALL, epochs: int = 10, group_bytes: int = GROUP_BYTES) -> Model | None:
+    """A model of all candidates of ``docs``, labelled by the rules: every finding is fitted or, every fourth by its hash, calibrates."""
     prepare(spark)
-    found = labelled_windows(docs, text=text, per_class=per_class).dropDuplicates(["label", "window"])
-    # two steps, so that no task sorts what all tasks have kept
-    few = found.withColumn("r", F.row_number().over(Window.partitionBy("label", F.col("h") % 64).orderBy("h", "window"))).filter(F.col("r") <= per_class)
-    few = materialize(spark, few.drop("r"), "findings", path=fresh_path(spark, "findings"))
-    rows = [r for y in (0, 1) for r in few.filter(F.col("label") == y).orderBy("h", "window").limit(per_class).collect()]
-    return train([(bytes(r["window"]), r["lead"], r["size"]) for r in rows], np.array([r["label"] for r in rows], np.int64), recall=recall)
+    found = materialize(spark, labelled_windows(docs, text=text).distinct(), "findings", path=fresh_path(spark, "findings"))
+    facts = found.groupBy("label").agg(F.count("*").alias("n"), F.count_if("held").alias("held"), F.min("h").alias("h"), F.sum(F.octet_length("window") + F.lit(FINDING_BYTES)).alias("size")).collect()
+    if len(facts) < 2 or min(r["n"] for r in facts) < 8:
+        return None
+    # a label whose findings all stand on one side has one moved to the other
+    moved = [(F.col("label") == r["label"]) & (F.col("h") == r["h"]) for r in facts if r["held"] in (0, r["n"])]
+    for m in moved:
+        found = found.withColumn("held", F.col("held") != m)
+    groups = -(-sum(r["size"] for r in facts) // group_bytes)
+    found = found.withColumn("part", F.pmod("h", F.lit(groups)))
+    network = _fit(spark, found.filter("not held").drop("held"), epochs=epochs)
+    sent = spark.sparkContext.broadcast(network)
+
+    def score(table: pa.Table) -> pa.Table:
+        parts, label = _parts(table)
+        windows = Windows.of(parts)
+        return pa.table({"label": pa.array(label, pa.int32()), "size": pa.array(windows.size), "logit": pa.array(sent.value.logits(windows))})
+
+    scores = found.filter("held").drop("held").groupBy("part").applyInArrow(score, "label int, size long, logit double")
+    scores = materialize(spark, scores, "scores", path=fresh_path(spark, "scores"))
+    pos, neg, scale = scores.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0), F.max(F.abs("logit"))).first()
+
+    def sums(w: np.ndarray, scale: float, targets: tuple[float, float]) -> np.ndarray:
+        x = F.col("logit") / scale
+        p = _probability(float(w[0] / scale), float(w[1]))
+        t = F.when(F.col("label") == 1, targets[1]).otherwise(targets[0])
+        rows = scores.select(x.alias("x"), (p * (1 - p)).alias("v"), (t - p).alias("r"))
+        return np.array(rows.agg(*map(F.sum, (F.col("v") * F.col("x") * F.col("x"), F.col("v") * F.col("x"), F.col("v"), F.col("r") * F.col("x"), F.col("r")))).first())
+
+    slope, offset = platt(sums, pos, neg, scale)
+    return Model(network, slope, offset, _thresholds(scores.withColumn("p", _probability(slope, offset)), recall))
 
 
 def scan_secrets(spark: SparkSession, docs: DataFrame, model: Model | None, *, key: str = "doc_id", text: str = "text") -> DataFrame:
