@@ -434,6 +434,37 @@ def test_packing_keeps_capitals_with_combining_marks():
             assert np.frombuffer(enc.encode(t.encode()), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, t
 
 
+def test_packing_learns_words_of_many_texts_in_few_calls(monkeypatch):
+    """Ids are those of the tokenizer, capitals, signs and letters that fold into several included, and words aren't encoded one by one."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from waymark.llm import packing
+    from waymark.llm.packing import WordEncoder
+
+    tok, enc = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), WordEncoder()
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist()
+    texts = [t or "" for t in texts] + ["\u0130stanbul \u0130. STRA\u00dfE a\u00aa. it's IT'S. 's' can't! caf\u00e9*** Tal TAL, tal&&& \u03a3\u03a3. \u1e9e \u01c5x <|endoftext|> x", "a' a'. a_ a_b a@b.c 12ab ab12! \u0301x e\u0301. \ufb01n \u1100\u1161 \u2126hm \u00a0x\u00a0y. \u3000z x\u2028y", "\x1fa b\x1c c", ""]
+    calls, real = [], enc.tokenizer
+
+    class Counting:
+        def __getattr__(self, name):
+            return getattr(real, name)
+
+        def encode_batch_fast(self, words, **kw):
+            calls.append(len(words))
+            return real.encode_batch_fast(words, **kw)
+
+    enc.tokenizer = Counting()
+    monkeypatch.setattr(packing, "CACHE_WORDS", 3000)
+    for _ in range(2):
+        for at in range(0, len(texts), 40):
+            got = enc.encode_all([t.encode() for t in texts[at : at + 40]])
+            assert [np.frombuffer(g, "<u4").tolist() for g in got] == [tok.encode(t, add_special_tokens=False).ids for t in texts[at : at + 40]]
+        if len(calls) and _ == 0:
+            assert sum(calls) < len({w for t in texts for w in t.split()}) / 4
+
+
 def test_first_fit_decreasing_is_first_fit():
     from waymark.llm.packing import first_fit_decreasing
 

@@ -12,13 +12,14 @@ or null document ids are packed row by row; an empty table gives no rows.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waymark.llm.text import blocks, column_bytes
 from waymark.session import fresh_path, materialize, prepare
 
 LENGTH = 4096
@@ -27,18 +28,28 @@ END_ID = 2
 GROUP_BYTES = 8 << 20
 #: Words whose ids a worker remembers; the older half is forgotten beyond it.
 CACHE_WORDS = 500_000
+#: Words of letters that are encoded as one text.
+JOINED_WORDS = 256
+#: Bytes of texts whose new chunks are learnt together.
+LEARN_BYTES = 1 << 18
 
 
 class WordEncoder:
     """Ids of texts, by remembering the ids of their whitespace-separated chunks.
 
     Valid for tokenizers that split at white space, drop it and fold case, as ``word_bpe_49k`` does: no token spans two
-    chunks. Only texts all in ASCII are lower-cased beforehand: elsewhere the tokenizer composes before it folds, and a
+    chunks. Only texts and chunks all in ASCII are lower-cased beforehand: elsewhere the tokenizer composes before it folds, and a
     capital and its combining mark may compose differently from the small letter. A text that may hold the name of a
     special token is encoded as a whole.
+
+    New chunks are learnt for many texts at once. Signs behind a last letter are split off, as letters and signs share no
+    token. Words of letters are encoded as one text and cut where tokens end a word; that holds if there are as many ends
+    as words, since each word has one at least, and otherwise they are encoded one by one.
     """
 
-    _TAIL = b".,;:!?"
+    #: Signs that stand in tokens of their own behind a letter; an apostrophe may belong to one with it.
+    _TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+    _END = "</w>"
 
     def __init__(self, path: str | None = None):
         import os
@@ -51,47 +62,92 @@ class WordEncoder:
 
             path = public_tokenizers.path("word_bpe_49k.json")
         self.tokenizer = Tokenizer.from_file(path)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        vocab = self.tokenizer.get_vocab()
+        self.ends[[i for t, i in vocab.items() if t.endswith(self._END)]] = True
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
     def _pack(self, ids: list[int]) -> bytes:
         return np.array(ids, "<u4").tobytes()
 
-    def _learn(self, chunks: list[bytes]) -> None:
-        cores: dict[bytes, None] = {}
-        parts = []
+    def _single(self, words: list[bytes]) -> Iterator[bytes]:
+        for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False):
+            yield self._pack(e.ids)
+
+    def _joined(self, words: list[bytes]) -> Iterator[bytes]:
+        """Of words that hold letters only."""
+        for at in range(0, len(words), JOINED_WORDS):
+            part = words[at : at + JOINED_WORDS]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+            cut = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cut) != len(part) or cut[-1] != 4 * len(ids):
+                yield from self._single(part)
+                continue
+            raw, before = ids.tobytes(), 0
+            for c in cut:
+                yield raw[before:c]
+                before = c
+
+    def _learn(self, chunks: Iterable[bytes]) -> None:
+        """Ids of chunks that ``new`` doesn't hold."""
+        new, old = self.new, self.old
+        parts, letters, others = [], {}, {}
         for c in chunks:
-            if c in self.old:
-                self.new[c] = self.old[c]
+            if c in old:
+                new[c] = old[c]
+                continue
+            if c.isalpha():  # bytes.isalpha is ASCII only
+                word = c.lower()
+                if word not in new:
+                    letters[word] = None
+                if word != c:
+                    parts.append((c, word, b""))
                 continue
             core = c.rstrip(self._TAIL)
-            if core == c or not core[-1:].isalpha():  # bytes.isalpha is ASCII only
-                core = c
-            parts.append((c, core))
-            cores[core] = None
-            if core != c:
-                cores[c[len(core) :]] = None
-        missing = [c for c in cores if c not in self.new]
-        for c, e in zip(missing, self.tokenizer.encode_batch_fast([m.decode("utf-8", "replace") for m in missing], add_special_tokens=False), strict=True):
-            self.new[c] = self._pack(e.ids)
-        for c, core in parts:
-            if core != c:
-                self.new[c] = self.new[core] + self.new[c[len(core) :]]
+            tail = c[len(core) :]
+            if tail and not core[-1:].isalpha():
+                last = core[-2:].decode("utf-8", "ignore")[-1:]
+                if not (last.isalpha() and last < "\u0250"):
+                    core, tail = c, b""
+            word = core.lower() if core.isascii() else core
+            if word not in new:
+                (letters if word.isalpha() or word.decode("utf-8", "replace").isalpha() else others)[word] = None
+            if tail and tail not in new:
+                others[tail] = None
+            if tail or word != c:
+                parts.append((c, word, tail))
+        new.update(zip(letters, self._joined(list(letters)), strict=True))
+        new.update(zip(others, self._single(list(others)), strict=True))
+        for c, word, tail in parts:
+            new[c] = new[word] + new[tail] if tail else new[word]
+
+    def encode_all(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        if len(self.new) > CACHE_WORDS:
+            self.old, self.new = self.new, {}
+        new = self.new
+        out: list[bytes] = []
+        later, missing = [], set()
+        for i, t in enumerate(texts):
+            if b"<|" in t:
+                out.append(self._pack(self.tokenizer.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids))
+                continue
+            chunks = (t.lower() if t.isascii() else t).split()  # ASCII white space
+            try:
+                out.append(b"".join([new[c] for c in chunks]))
+            except KeyError:
+                out.append(b"")
+                later.append((i, chunks))
+                missing.update([c for c in chunks if c not in new])
+        if missing:
+            self._learn(missing)
+        for i, chunks in later:
+            out[i] = b"".join([new[c] for c in chunks])
+        return out
 
     def encode(self, text: bytes) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if b"<|" in text:
-            return self._pack(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids)
-        chunks = (text.lower() if text.isascii() else text).split()  # ASCII white space
-        new = self.new
-        try:
-            return b"".join([new[c] for c in chunks])
-        except KeyError:
-            if len(new) > CACHE_WORDS:
-                self.old, self.new = new, {}
-                new = self.new
-            self._learn([c for c in dict.fromkeys(chunks) if c not in new])
-            return b"".join([new[c] for c in chunks])
+        return self.encode_all([text])[0]
 
 
 _ENCODERS: dict[str | None, WordEncoder] = {}
@@ -196,9 +252,11 @@ def tokenize(spark: SparkSession, docs: DataFrame, *, key: str = "doc_id", text:
         kind = id_type(enc)
         end = np.array([end_id], kind).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = [np.frombuffer(enc.encode(t.as_py().encode() if t.is_valid else b""), "<u4").astype(kind).tobytes() + end for t in part.column(1)]
+            offsets, data = column_bytes(batch.column(1))
+            for at, stop in blocks(offsets, LEARN_BYTES):
+                part = batch.slice(at, stop - at)
+                found = enc.encode_all([data[offsets[i] : offsets[i + 1]].tobytes() for i in range(at, stop)])
+                ids = [np.frombuffer(x, "<u4").astype(kind).tobytes() + end for x in found]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(ids, pa.binary())], names=["key", "grp", "ids"])
 
     kind = docs.schema[key].dataType.simpleString()
