@@ -141,6 +141,18 @@ def in_polygon(px: Column, py: Column, ring: Column) -> Column:
     return F.when(n >= 3, F.aggregate(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), crosses), F.lit(0), lambda s, x: s + x) % 2 == 1).otherwise(F.lit(False))
 
 
+def on_ring(px: Column, py: Column, ring: Column) -> Column:
+    """Whether a point lies on an edge of a ring of structs (x, y), ends included."""
+    n = F.size(ring)
+
+    def touches(i: Column) -> Column:
+        a, b = F.element_at(ring, i), F.element_at(ring, F.when(i == n, F.lit(1)).otherwise(i + 1))
+        cross = (b["x"] - a["x"]) * (py - a["y"]) - (b["y"] - a["y"]) * (px - a["x"])
+        return (cross == 0) & px.between(F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"])) & py.between(F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"]))
+
+    return (n > 0) & F.exists(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), touches)
+
+
 def segments_cross(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy: Column, dx: Column, dy: Column) -> Column:
     """Whether two segments meet in one point, ends included; parallel ones do not."""
     rx, ry, sx, sy = bx - ax, by - ay, dx - cx, dy - cy
