@@ -120,13 +120,17 @@ def map_units(x_cm: Column, y_cm: Column, cw_degrees: Column, height_m: float) -
     return pose2(x_cm / 100, F.lit(height_m) - y_cm / 100, normalize_angle(-F.radians(cw_degrees)))
 
 
-def project_on_segment(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
-    """(x, y, ratio, distance) of the nearest point of a segment."""
+def project_on_segment(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column, *, relative: bool = False) -> Column:
+    """(x, y, ratio, distance) of the nearest point of a segment.
+
+    The distance is that from (x, y), or with ``relative`` taken in offsets from the segment's start: both round differently.
+    """
     dx, dy = bx - ax, by - ay
     square = dx * dx + dy * dy
     t = F.when(square > 0, F.least(F.greatest(((px - ax) * dx + (py - ay) * dy) / square, F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(0.0))
     x, y = ax + t * dx, ay + t * dy
-    return F.struct(x.alias("x"), y.alias("y"), t.alias("ratio"), F.sqrt((px - x) * (px - x) + (py - y) * (py - y)).alias("distance"))
+    u, v = (px - ax - t * dx, py - ay - t * dy) if relative else (px - x, py - y)
+    return F.struct(x.alias("x"), y.alias("y"), t.alias("ratio"), F.sqrt(u * u + v * v).alias("distance"))
 
 
 def in_polygon(px: Column, py: Column, ring: Column) -> Column:

@@ -146,7 +146,7 @@ def nearest_corridor(table):
     s = table("nation").select(F.col("n_nationkey").alias("id"), (n * 2).alias("ax"), (F.col("n_regionkey") * 10.0).alias("ay"), (n * 2 + 10).alias("bx"), (F.col("n_regionkey") * 10.0 + 20).alias("by"))
     p = table("part").select("p_partkey", F.col("p_size").cast("double").alias("px"), (F.col("p_retailprice") / 30).alias("py"))
     # a nation's table has 25 rows
-    d = p.join(F.broadcast(s), F.lit(True)).select("p_partkey", "id", G.project_on_segment(*(F.col(c) for c in ("px", "py", "ax", "ay", "bx", "by")))["distance"].alias("d"))
+    d = p.join(F.broadcast(s), F.lit(True)).select("p_partkey", "id", G.project_on_segment(*(F.col(c) for c in ("px", "py", "ax", "ay", "bx", "by")), relative=True)["distance"].alias("d"))
     best = d.filter("d <= 3.75").groupBy("p_partkey").agg(F.min(F.struct("d", "id")).alias("m"))
     return best.select("p_partkey", F.col("m.id").alias("corridor"), F.round("m.d", 6).alias("distance"))
 
