@@ -104,17 +104,19 @@ def either_field(record: Column, snake: str, camel: str) -> Column:
 
 def column_number(letters: Column) -> Column:
     """1 for A, 27 for AA."""
-    return F.aggregate(F.split(F.upper(letters), ""), F.lit(0), lambda s, c: F.when(c == "", s).otherwise(s * 26 + F.ascii(c) - 64))
+    return F.aggregate(F.split(F.upper(letters), ""), F.lit(0), lambda s, c: F.when(c == "", s).otherwise(s * 26 + (F.ascii(c) - 64)))
 
 
-def column_letters(n: Column, places: int = 4) -> Column:
-    """A for 1, AA for 27."""
-    out, rest = F.lit(""), n.cast("long")
+def column_letters(n: Column, places: int = 14) -> Column:
+    """A for 1, AA for 27; fourteen letters hold every 64-bit number."""
+    n, pieces, shorter, unit = n.cast("long"), [], 0, 1
     for _ in range(places):
-        digit = F.when(rest > 0, F.pmod(rest - 1, F.lit(26)))
-        out = F.concat(F.coalesce(F.char(digit + 65), F.lit("")), out)
-        rest = F.when(rest > 0, F.floor((rest - 1) / 26)).otherwise(F.lit(0))
-    return out
+        # shorter: how many numbers have fewer letters than reach this one
+        digit = F.call_function("div", n - 1 - F.lit(shorter).cast("long"), F.lit(unit).cast("long")) % 26
+        pieces.append(F.when(n > shorter, F.char(digit + 65)).otherwise(""))
+        unit *= 26
+        shorter += unit
+    return F.concat(*reversed(pieces))
 
 
 def cell_reference(ref: Column) -> Column:
