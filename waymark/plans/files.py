@@ -12,11 +12,11 @@ from waymark.session import drop_path, fresh_path, materialize
 from waymark.sources import containers, formats, sinks
 
 
-def _written(lines: DataFrame, read) -> DataFrame:
-    """What ``read`` makes of a text file with these lines (one column); the result is kept, the file is not."""
+def _written(lines: DataFrame, read, **options) -> DataFrame:
+    """What ``read`` makes of a text file with these lines (one column), written with the options; the result is kept, the file is not."""
     spark = lines.sparkSession
     path = fresh_path(spark, "text")
-    lines.write.text(path)
+    lines.write.options(**options).text(path)
     out = materialize(spark, read(path), "read-back", path=fresh_path(spark, "read-back"))
     drop_path(spark, path)
     return out
@@ -175,14 +175,8 @@ def trajectory_samples(table):
 
 
 def _written_whole(arrays: DataFrame, read) -> DataFrame:
-    """Like ``_written``, with one file for each row."""
-    spark = arrays.sparkSession
-    before = spark.conf.get("spark.sql.files.maxRecordsPerFile")
-    spark.conf.set("spark.sql.files.maxRecordsPerFile", "1")
-    try:
-        return _written(arrays, read)
-    finally:
-        spark.conf.set("spark.sql.files.maxRecordsPerFile", before)
+    """Like ``_written``, with one file for each row of the text, but not of what is read."""
+    return _written(arrays, read, maxRecordsPerFile=1)
 
 
 @query("SRC-36", "SELECT table_name, column_name FROM information_schema.columns WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations')")
